@@ -89,23 +89,24 @@ def chunk_json_source(spark, sf_dir):
 
 @query(
     "golden_dataset_source",
-    """SELECT concat('Act ', CAST(conv_id AS VARCHAR)) AS act,
-      max(text) FILTER (turn = 0) AS question, max(text) FILTER (turn = 1) AS ground_truth
-    FROM conversations WHERE turn < 2 GROUP BY conv_id""",
+    """SELECT concat('Act ', conv_id, '-', turn // 2) AS act,
+      max(CASE WHEN turn % 2 = 0 THEN text END) AS question,
+      max(CASE WHEN turn % 2 = 1 THEN text END) AS ground_truth
+    FROM conversations GROUP BY conv_id, turn // 2""",
 )
 def golden_dataset_source(spark, sf_dir):
-    """The first two turns of every conversation as question and expected answer."""
+    """Every two turns of a conversation as a question and its expected answer."""
     path = new_dir(spark, "golden-json")
+    asks = F.col("turn") % 2 == 0
     (
         inputs.table(spark, sf_dir, "conversations")
-        .where("turn < 2")
-        .groupBy("conv_id")
+        .groupBy("conv_id", F.expr("turn div 2").alias("pair"))
         .agg(
-            F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("question"),
-            F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("ground_truth"),
+            F.max(F.when(asks, F.col("text"))).alias("question"),
+            F.max(F.when(~asks, F.col("text"))).alias("ground_truth"),
         )
         .select(
-            F.concat(F.lit("Act "), F.col("conv_id").cast("string")).alias("act"),
+            F.concat(F.lit("Act "), F.concat_ws("-", "conv_id", "pair")).alias("act"),
             "question",
             "ground_truth",
         )

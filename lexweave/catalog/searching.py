@@ -111,15 +111,13 @@ _COSINES = (
 
 
 def _cosines(spark, sf_dir):
-    return inputs.vectors(spark, sf_dir).select(
+    rows = inputs.vectors(spark, sf_dir).select(
         "vec_id",
-        vectors.rounded_score(
-            vectors.cosine_similarity(
-                inputs.mean_vector(spark, sf_dir).select("query_vector").scalar(),
-                F.expr(_DISTORTED),
-            )
-        ).alias("s"),
+        F.expr(_DISTORTED).alias("v"),
+        inputs.mean_vector(spark, sf_dir).scalar().alias("q"),
     )
+    similarity = vectors.cosine_similarity(F.col("q"), F.col("v"))
+    return rows.select("vec_id", vectors.rounded_score(similarity).alias("s"))
 
 
 @query("cosine_similarity", _COSINES + "SELECT vec_id, round(s, 6) AS similarity FROM cosines")

@@ -320,8 +320,8 @@ def vector_facts(vector: str = "embedding") -> str:
     return (
         f"CAST(len({vector}) AS INTEGER) AS dims, "
         f"CAST(len(list_filter({vector}, lambda x: x <> 0)) AS INTEGER) AS non_zero, "
-        f"round(list_sum(list_transform({vector}, lambda x, i: CAST(x AS DOUBLE) * i)), 4) "
-        f"AS weighted_sum"
+        f"round(coalesce(list_sum(list_transform({vector}, "
+        f"lambda x, i: CAST(x AS DOUBLE) * i)), 0.0), 4) AS weighted_sum"
     )
 
 

@@ -73,10 +73,14 @@ def check_top_k(top_k: int, maximum: int | None = None) -> int:
 def score_chunks(
     chunks: DataFrame, query_vector: Column, vector: str = "embedding"
 ) -> DataFrame:
-    """Every chunk with its score and distance to one query vector."""
-    score = rounded_score(cosine_similarity(query_vector, F.col(vector)))
-    return chunks.withColumn("score", score).withColumn(
-        "distance", cosine_distance(F.col("score"))
+    """Every chunk with its score and distance to one query vector, which may be a
+    scalar subquery."""
+    score = rounded_score(cosine_similarity(F.col("_query"), F.col(vector)))
+    return (
+        chunks.withColumn("_query", query_vector)
+        .withColumn("score", score)
+        .withColumn("distance", cosine_distance(F.col("score")))
+        .drop("_query")
     )
 
 

@@ -88,8 +88,7 @@ def read_document_text(spark: SparkSession, path: str) -> DataFrame:
     """Full text per document as written by ``write_document_text``."""
     files = (
         spark.read.schema("value string, document_id string")
-        .option("wholetext", True)
-        .text(path)
+        .text(path, wholetext=True)
         .select("document_id", "value", F.col("_metadata.file_name").alias("part"))
     )
     joined = files.groupBy("document_id").agg(
