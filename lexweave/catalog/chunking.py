@@ -11,6 +11,7 @@ from lexweave.functions.vectors import hash_embedding
 from lexweave.operators import documents as docs
 from lexweave.operators import enrich
 from lexweave.operators.embed import embed_chunks, model_encoder
+from lexweave.operators.rows import each, spread
 
 _CHUNKS = sql.LEGAL_CHUNKS
 _TEXTS = sql.with_(sql.LEGAL)
@@ -72,18 +73,13 @@ def split_body_annex(spark, sf_dir):
 
 
 def _articles(spark, sf_dir):
-    return (
-        inputs.legal_texts_of_pages(spark, sf_dir)
-        .select(
-            "document_id",
-            F.posexplode(
-                chunking.let(
-                    chunking.split_body_annex(text.clean_text(F.col("full_text"))),
-                    lambda halves: chunking.articles_of(halves["body"]),
-                )
-            ).alias("at", "a"),
-        )
-        .select("document_id", (F.col("at") + 1).alias("article_index"), "a.*")
+    articles = chunking.let(
+        chunking.split_body_annex(text.clean_text(F.col("full_text"))),
+        lambda halves: chunking.articles_of(halves["body"]),
+    )
+    texts = inputs.legal_texts_of_pages(spark, sf_dir)
+    return each(texts, ["document_id"], articles, "at", "a").select(
+        "document_id", (F.col("at") + 1).alias("article_index"), "a.*"
     )
 
 
@@ -113,12 +109,9 @@ def article_segments(spark, sf_dir):
     FROM article_parts WHERE length(article) > 900""",
 )
 def split_oversized(spark, sf_dir):
-    return (
-        _articles(spark, sf_dir)
-        .where(F.length("article") > chunking.MAX_CHARS)
-        .select(
-            "document_id", "article_index", F.posexplode("parts").alias("part_index", "part")
-        )
+    long = _articles(spark, sf_dir).where(F.length("article") > chunking.MAX_CHARS)
+    return each(
+        long, ["document_id", "article_index"], F.col("parts"), "part_index", "part"
     )
 
 
@@ -128,8 +121,12 @@ def split_oversized(spark, sf_dir):
       unnest(parts) AS part FROM (SELECT doc_id, {sql.hard("text")} AS parts FROM documents)""",
 )
 def hard_split(spark, sf_dir):
-    return inputs.table(spark, sf_dir, "documents").select(
-        "doc_id", F.posexplode(chunking.hard_split(F.col("text"))).alias("part_index", "part")
+    return each(
+        spread(inputs.table(spark, sf_dir, "documents")),
+        ["doc_id"],
+        chunking.hard_split(F.col("text")),
+        "part_index",
+        "part",
     )
 
 

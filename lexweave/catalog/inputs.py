@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.citations import INSUFFICIENT
 from lexweave.operators.documents import chunk_documents, document_text
+from lexweave.operators.rows import each, spread
 from lexweave.sources.files import with_page_facts
 from lexweave.sources.tables import Target
 from lexweave.storage import new_dir
@@ -90,9 +91,9 @@ def legal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def legal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = F.regexp_extract_all("full_text", F.lit(rf"(?s).{{1,{PAGE_CHARS}}}"), F.lit(0))
     return with_page_facts(
-        legal_texts(spark, sf_dir)
-        .select("document_id", "file_name", F.posexplode(pages).alias("at", "page_text"))
-        .select(
+        each(
+            legal_texts(spark, sf_dir), ["document_id", "file_name"], pages, "at", "page_text"
+        ).select(
             "document_id",
             "file_name",
             (F.col("at") + 1).alias("page_number"),
@@ -117,7 +118,7 @@ def legal_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plain_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``documents`` table in the shape of document texts."""
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         name.alias("document_id"),
         F.concat(name, F.lit(".txt")).alias("file_name"),
         F.col("text").alias("full_text"),

@@ -46,7 +46,7 @@ PAGE_TIERS = (200, 100, 50)
 
 # Segments are at least this long, so the overlap in front of an article reaches
 # back over at most this many of them.
-_OVERLAP_SEGMENTS = -(-PART_OVERLAP // len("Article 1"))
+OVERLAP_SEGMENTS = -(-PART_OVERLAP // len("Article 1"))
 
 # A slice length beyond any array.
 _TO_END = 1 << 30
@@ -88,22 +88,27 @@ def hard_split(text: Column) -> Column:
     ).otherwise(F.array(text))
 
 
-def _halves(cleaned: Column) -> Column:
+def halves(cleaned: Column) -> Column:
+    """The text before the first annex line and, if there is one, what follows."""
     return F.split(F.regexp_replace(cleaned, f"({ANNEX_START})", f"{CUT}$1"), CUT, 2)
 
 
-def _body(halves: Column) -> Column:
-    return rstrip(F.get(halves, F.lit(0)))
+def _body(parts: Column) -> Column:
+    return rstrip(F.get(parts, F.lit(0)))
 
 
-def _annex(halves: Column) -> Column:
-    return strip(F.translate(F.coalesce(F.get(halves, F.lit(1)), F.lit("")), CUT, ""))
+def annex_part(parts: Column) -> Column:
+    return F.translate(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), CUT, "")
+
+
+def _annex(parts: Column) -> Column:
+    return strip(annex_part(parts))
 
 
 def split_body_annex(cleaned: Column) -> Column:
     """Struct of the body and the annex text (empty when there is no annex)."""
     return let(
-        _halves(cleaned),
+        halves(cleaned),
         lambda h: F.struct(_body(h).alias("body"), _annex(h).alias("annex")),
     )
 
@@ -168,69 +173,77 @@ def split_oversized(article: Column, number: Column, title: Column) -> Column:
     )
 
 
+def article_entry(raw: Column, overlap: Column) -> Column:
+    """(number, title, article, parts) of the text from one heading to the next,
+    given the characters in front of it."""
+
+    def with_parts(number: Column, title: Column, article: Column) -> Column:
+        return F.struct(
+            number.alias("number"),
+            title.alias("title"),
+            article.alias("article"),
+            F.when(F.length(article) <= MAX_CHARS, F.array(F.concat(overlap, raw)))
+            .otherwise(split_oversized(article, number, title))
+            .alias("parts"),
+        )
+
+    return let(
+        F.struct(
+            F.regexp_extract(raw, ARTICLE_HEADING, 1).alias("number"),
+            strip(raw).alias("article"),
+        ),
+        lambda a: let(
+            article_title(a["article"]),
+            lambda title: with_parts(a["number"], title, a["article"]),
+        ),
+    )
+
+
 def articles_of(body: Column) -> Column:
     """Array of (number, title, article, parts), one per article heading."""
 
-    def locate(segments: Column) -> Column:
-        def segment(raw: Column, i: Column) -> Column:
+    def entries(segments: Column) -> Column:
+        def entry(raw: Column, i: Column) -> Column:
             before = F.slice(
                 segments,
-                F.greatest(i - _OVERLAP_SEGMENTS + 1, F.lit(1)),
-                F.least(i, F.lit(_OVERLAP_SEGMENTS)),
+                F.greatest(i - OVERLAP_SEGMENTS + 1, F.lit(1)),
+                F.least(i, F.lit(OVERLAP_SEGMENTS)),
             )
             overlap = F.when(
                 i > 1, F.substring(F.array_join(before, ""), -PART_OVERLAP, PART_OVERLAP)
             ).otherwise(F.lit(""))
-            return F.struct(
-                F.regexp_extract(raw, ARTICLE_HEADING, 1).alias("number"),
-                strip(raw).alias("article"),
-                F.concat(overlap, raw).alias("in_context"),
+            return let(
+                overlap, lambda text: F.when(i > 0, article_entry(raw, text))
             )
 
-        return _drop_first(F.transform(segments, segment))
+        return _drop_first(F.transform(segments, entry))
 
-    titled = F.transform(
-        let(cut_at(body, ARTICLE_HEADING), locate),
-        lambda a: F.struct(
-            a["number"].alias("number"),
-            article_title(a["article"]).alias("title"),
-            a["article"].alias("article"),
-            a["in_context"].alias("in_context"),
-        ),
-    )
-    return F.transform(
-        titled,
-        lambda a: F.struct(
-            a["number"].alias("number"),
-            a["title"].alias("title"),
-            a["article"].alias("article"),
-            F.when(F.length(a["article"]) <= MAX_CHARS, F.array(a["in_context"]))
-            .otherwise(split_oversized(a["article"], a["number"], a["title"]))
-            .alias("parts"),
+    return let(cut_at(body, ARTICLE_HEADING), entries)
+
+
+def annex_entry(raw: Column, number: Column) -> Column:
+    """(number, text, parts) of one annex."""
+    return let(
+        strip(raw),
+        lambda text: F.struct(
+            number.alias("number"), text.alias("text"), hard_split(text).alias("parts")
         ),
     )
 
 
-def annexes_of(annex: Column) -> Column:
-    """Array of (number, article, parts); without a heading the whole text is one."""
+def annex_number(raw: Column) -> Column:
+    return non_empty(F.regexp_extract(raw, ANNEX_HEADING, 1))
 
-    def entry(number: Column, text: Column) -> Column:
-        return F.struct(
-            number.alias("number"), text.alias("text"), hard_split(text).alias("parts")
-        )
+
+def annexes_of(annex: Column) -> Column:
+    """Array of (number, text, parts); without a heading the whole text is one."""
 
     def entries(segments: Column) -> Column:
         return F.when(
-            F.size(segments) <= 1, F.array(entry(_null_string(), annex))
+            F.size(segments) <= 1, F.array(annex_entry(annex, _null_string()))
         ).otherwise(
             F.transform(
-                _drop_first(segments),
-                lambda raw: let(
-                    strip(raw),
-                    lambda text: entry(
-                        non_empty(F.regexp_extract(raw, ANNEX_HEADING, 1)), text
-                    ),
-                ),
+                _drop_first(segments), lambda raw: annex_entry(raw, annex_number(raw))
             )
         )
 
@@ -264,60 +277,60 @@ def _chunk(
     )
 
 
+def chunks_of_article(a: Column) -> Column:
+    return F.transform(
+        a["parts"],
+        lambda part, i: _chunk(
+            "article",
+            normalize_ws(part),
+            article=a["number"],
+            title=a["title"],
+            index=i,
+            count=F.size(a["parts"]),
+        ),
+    )
+
+
 def article_chunks(body: Column) -> Column:
-    return F.flatten(
-        F.transform(
-            articles_of(body),
-            lambda a: F.transform(
-                a["parts"],
-                lambda part, i: _chunk(
-                    "article",
-                    normalize_ws(part),
-                    article=a["number"],
-                    title=a["title"],
-                    index=i,
-                    count=F.size(a["parts"]),
-                ),
-            ),
-        )
+    return F.flatten(F.transform(articles_of(body), chunks_of_article))
+
+
+def chunks_of_annex(a: Column) -> Column:
+    return F.transform(
+        a["parts"],
+        lambda part, i: _chunk(
+            "annex",
+            normalize_ws(part),
+            annex=a["number"],
+            title=F.concat_ws(" ", F.lit("Annex"), a["number"]),
+            index=i,
+            count=F.size(a["parts"]),
+        ),
     )
 
 
 def annex_chunks(annex: Column) -> Column:
-    chunks = F.flatten(
-        F.transform(
-            annexes_of(annex),
-            lambda a: F.transform(
-                a["parts"],
-                lambda part, i: _chunk(
-                    "annex",
-                    normalize_ws(part),
-                    annex=a["number"],
-                    title=F.concat_ws(" ", F.lit("Annex"), a["number"]),
-                    index=i,
-                    count=F.size(a["parts"]),
-                ),
-            ),
-        )
-    )
+    chunks = F.flatten(F.transform(annexes_of(annex), chunks_of_annex))
     return F.filter(chunks, lambda _: annex != "")
 
 
 def fallback_chunks(body: Column) -> Column:
     """Fixed windows, for texts without a single article heading."""
-    texts = F.transform(windows(body, MAX_CHARS, FALLBACK_OVERLAP), normalize_ws)
-    return F.transform(
-        F.filter(texts, lambda t: t != ""), lambda t: _chunk("fallback", t)
-    )
+    return chunks_of_windows(windows(body, MAX_CHARS, FALLBACK_OVERLAP))
+
+
+def chunks_of_windows(texts: Column) -> Column:
+    filled = F.filter(F.transform(texts, normalize_ws), lambda t: t != "")
+    return F.transform(filled, lambda t: _chunk("fallback", t))
 
 
 def chunk_array(text: Column) -> Column:
     """All chunks of a raw document text, in order: articles (else fallback
     windows), then annexes."""
 
-    def assemble(halves: Column) -> Column:
+    def assemble(parts: Column) -> Column:
         body_chunks = let(
-            _body(halves),
+            _body(parts),
             lambda body: let(
                 article_chunks(body),
                 lambda articles: F.when(F.size(articles) > 0, articles).otherwise(
@@ -325,9 +338,9 @@ def chunk_array(text: Column) -> Column:
                 ),
             ),
         )
-        return F.concat(body_chunks, let(_annex(halves), annex_chunks))
+        return F.concat(body_chunks, let(_annex(parts), annex_chunks))
 
-    return let(_halves(clean_text(text)), assemble)
+    return let(halves(clean_text(text)), assemble)
 
 
 def chunk_uid(

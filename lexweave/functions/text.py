@@ -31,6 +31,9 @@ WS = (
     r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+# Runs that are not already a single space.
+WS_RUN = rf"{WS}{{2,}}|{WS}(?<! )"
+BLANK_RUN = r"[ \t]{2,}|\t"
 DIGIT = r"\p{Nd}"
 WORD = r"[\p{L}\p{N}_]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
@@ -76,6 +79,10 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(WS_CHARS))
 
 
+def lstrip(text: Column) -> Column:
+    return F.ltrim(text, F.lit(WS_CHARS))
+
+
 def rstrip(text: Column) -> Column:
     return F.rtrim(text, F.lit(WS_CHARS))
 
@@ -87,17 +94,21 @@ def non_empty(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Remove soft hyphens, running headers and surplus blanks from page text."""
+    return strip(clean_lines(text))
+
+
+def clean_lines(text: Column) -> Column:
+    """``clean_text`` but for the stripping, so that it applies to part of a text."""
     out = F.translate(text, DELETED_CHARS, "")
     for line in NOISE_LINES:
         out = F.regexp_replace(out, rf"(?md)^{WS}*{line}{WS}*$", "")
-    out = F.regexp_replace(out, r"[ \t]+", " ")
-    out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    return strip(out)
+    out = F.regexp_replace(out, BLANK_RUN, " ")
+    return F.regexp_replace(out, r"\n{3,}", "\n\n")
 
 
 def normalize_ws(text: Column) -> Column:
     """Collapse every run of white space to one space and strip the ends."""
-    return strip(F.regexp_replace(text, rf"{WS}+", " "))
+    return strip(F.regexp_replace(text, WS_RUN, " "))
 
 
 def match_form(text: Column) -> Column:

@@ -94,8 +94,8 @@ def hash_embedding(text: Column, dimensions: int = HASH_DIMENSIONS) -> Column:
     counts = let(
         buckets,
         lambda bs: F.transform(
-            F.sequence(F.lit(0), F.lit(dimensions - 1)),
-            lambda d: F.size(F.filter(bs, lambda b: b == d)).cast("double"),
+            F.sequence(F.lit(0).cast("bigint"), F.lit(dimensions - 1).cast("bigint")),
+            lambda d: (F.size(bs) - F.size(F.array_remove(bs, d))).cast("double"),
         ),
     )
     return let(

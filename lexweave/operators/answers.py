@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.citations import citations, is_insufficient
 from lexweave.functions.text import first_non_empty
+from lexweave.operators.rows import each
 
 
 def extract_citations(answers: DataFrame) -> DataFrame:
     """One row per citation, numbered within its answer."""
-    return answers.select(
-        "answer_id", F.posexplode(citations(F.col("answer"))).alias("position", "c")
-    ).select("answer_id", "position", "c.citation", "c.page")
+    found = each(answers, ["answer_id"], citations(F.col("answer")), "position", "c")
+    return found.select("answer_id", "position", "c.citation", "c.page")
 
 
 def insufficient_answers(answers: DataFrame) -> DataFrame:

@@ -9,10 +9,13 @@ from lexweave.functions import chunking
 from lexweave.functions.chunking import PAGE_TIERS, let
 from lexweave.functions.text import match_form
 from lexweave.operators.enrich import LAW_PASSED_DATES, lookup
+from lexweave.operators.long_documents import chunk_long_documents
+from lexweave.operators.rows import by_key, each
+from lexweave.storage import materialize
 
-# Up to this many characters a document's chunks look for their page within the
-# document's own row; work there grows with chunks times pages.  Longer documents
-# go through ``tag_pages``, whose work grows with the text.
+# A document of up to this many characters is put together in one row, where the
+# search for its chunks' pages grows with chunks times pages.  Longer documents
+# stay spread out over their pages, see ``long_documents`` and ``_tag_long``.
 IN_ROW_CHARS = 2_000_000
 
 _DOCUMENT = ("document_id", "file_name")
@@ -31,7 +34,7 @@ def _assembled(pages: DataFrame) -> DataFrame:
             F.struct("page_number", F.coalesce("page_text", F.lit("")).alias("page_text"))
         )
     )
-    return pages.groupBy(*_DOCUMENT).agg(
+    return by_key(pages, *_DOCUMENT).groupBy(*_DOCUMENT).agg(
         F.transform(in_order, lambda p: p["page_text"]).alias("page_texts")
     )
 
@@ -46,9 +49,8 @@ def _mark(chunk: Column) -> Column:
     )
 
 
-def _chunk_rows(chunks: DataFrame, *extra: str) -> DataFrame:
-    """Explode (document, ``chunks``) rows into numbered chunk rows."""
-    numbered = chunks.select(*_DOCUMENT, F.posexplode("chunks").alias("chunk_id", "c"), *extra)
+def _chunk_rows(numbered: DataFrame) -> DataFrame:
+    """Flat chunk rows of (document, ``chunk_id``, chunk struct ``c``) rows."""
     return numbered.select(
         chunking.chunk_uid(
             F.col("document_id"),
@@ -62,45 +64,98 @@ def _chunk_rows(chunks: DataFrame, *extra: str) -> DataFrame:
         "chunk_id",
         "c.*",
         F.length("c.chunk_text").alias("char_length"),
-        *extra,
     )
 
 
+def _numbered(documents: DataFrame, chunks: Column) -> DataFrame:
+    return each(documents, [*_DOCUMENT], chunks, "chunk_id", "c")
+
+
 def chunk_documents(documents: DataFrame, text: str = "full_text") -> DataFrame:
     """Numbered chunk rows of documents, without page numbers and without a shuffle."""
-    return _chunk_rows(
-        documents.select(*_DOCUMENT, chunking.chunk_array(F.col(text)).alias("chunks"))
+    return _chunk_rows(_numbered(documents, chunking.chunk_array(F.col(text))))
+
+
+def split_by_length(
+    pages: DataFrame, in_row_chars: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """Pages of documents that fit in a row, and of those that do not (if any).
+
+    The check reads document ids and text lengths only.
+    """
+    length = F.col("char_count") if "char_count" in pages.columns else F.length("page_text")
+    long = (
+        pages.groupBy("document_id")
+        .agg(F.sum(length + 1).alias("chars"))
+        .where(F.col("chars") > in_row_chars)
+        .select("document_id")
+    )
+    if long.isEmpty():
+        return pages, None
+    ids = materialize(long, "long-documents")
+    return (
+        pages.join(ids, "document_id", "left_anti"),
+        pages.join(ids, "document_id", "left_semi"),
+    )
+
+
+def tag_pages(
+    chunks: DataFrame, pages: DataFrame, in_row_chars: int = IN_ROW_CHARS
+) -> DataFrame:
+    """Page number per chunk: the first page that contains the 200-character prefix
+    of its fingerprint, else the 100-, else the 50-character one."""
+    short, long = split_by_length(pages, in_row_chars)
+    forms = _assembled(short).select(
+        *_DOCUMENT, F.transform("page_texts", match_form).alias("page_forms")
+    )
+    if long is None:
+        return _tag_short(chunks, forms)
+    ids = long.select("document_id").distinct()
+    return _tag_short(chunks.join(ids, "document_id", "left_anti"), forms).unionByName(
+        _tag_long(chunks.join(ids, "document_id", "left_semi"), long)
+    )
+
+
+def _tag_short(chunks: DataFrame, forms: DataFrame) -> DataFrame:
+    mark = chunking.fingerprint(
+        F.col("chunk_text"),
+        F.col("chunk_type"),
+        F.col("article_number"),
+        F.col("annex_number"),
+        F.col("part_index"),
+    )
+    page = let(mark, lambda m: chunking.locate_page(m, F.col("page_forms")))
+    return (
+        by_key(chunks, *_DOCUMENT)
+        .join(forms, [*_DOCUMENT], "left")
+        .withColumn("page_number", page)
+        .select(*chunks.columns, "page_number")
     )
 
 
-def tag_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
-    """Page number per chunk, for documents of any length.
+def _tag_long(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """``tag_pages`` for documents of any length, by equality joins on text.
 
-    A chunk's page is the first that contains its fingerprint's 200-character
-    prefix, else the 100-, else the 50-character one.  Only text windows that
-    start with some wanted 50-character prefix are looked at further, and they
-    are reduced to their first page before chunks are joined, so no
-    (chunk, page) pairs arise.
+    Only text windows that start with some wanted 50-character prefix are looked
+    at further, and they are reduced to their first page before chunks are joined,
+    so no (chunk, page) pairs arise.
     """
     longest, shortest = PAGE_TIERS[0], PAGE_TIERS[-1]
     base_of = lambda text: F.substring(text, 1, shortest)
 
-    marked = chunks.select(
-        "document_id",
-        "chunk_id",
-        F.posexplode(
-            let(
-                chunking.fingerprint(
-                    F.col("chunk_text"),
-                    F.col("chunk_type"),
-                    F.col("article_number"),
-                    F.col("annex_number"),
-                    F.col("part_index"),
-                ),
-                lambda mark: F.array(*[F.substring(mark, 1, n) for n in PAGE_TIERS]),
-            )
-        ).alias("tier", "prefix"),
-    ).where(F.col("prefix") != "")
+    prefixes = let(
+        chunking.fingerprint(
+            F.col("chunk_text"),
+            F.col("chunk_type"),
+            F.col("article_number"),
+            F.col("annex_number"),
+            F.col("part_index"),
+        ),
+        lambda mark: F.array(*[F.substring(mark, 1, n) for n in PAGE_TIERS]),
+    )
+    marked = each(chunks, ["document_id", "chunk_id"], prefixes, "tier", "prefix").where(
+        F.col("prefix") != ""
+    )
 
     wanted = marked.groupBy("document_id", base_of(F.col("prefix")).alias("base")).agg(
         F.collect_set(F.length("prefix")).alias("lengths")
@@ -114,12 +169,12 @@ def tag_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
         match_form(F.col("page_text")), F.lit(rf"(?s)(?=(.{{1,{longest}}}))"), F.lit(1)
     )
     bases = (
-        pages.join(base_lengths, "document_id")
-        .select(
-            "document_id",
-            "page_number",
-            F.explode(every_window).alias("window"),
-            "base_lengths",
+        each(
+            pages.join(base_lengths, "document_id"),
+            ["document_id", "page_number", "base_lengths"],
+            every_window,
+            "at",
+            "window",
         )
         .select(
             "document_id", "page_number", "window", F.explode("base_lengths").alias("n")
@@ -152,42 +207,35 @@ def tag_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
         .groupBy("document_id", "chunk_id")
         .agg(F.min_by("page_number", "tier").alias("page_number"))
     )
-    return chunks.join(located, ["document_id", "chunk_id"], "left")
+    return chunks.join(located, ["document_id", "chunk_id"], "left").select(
+        *chunks.columns, "page_number"
+    )
 
 
 def silver_chunks(pages: DataFrame, in_row_chars: int = IN_ROW_CHARS) -> DataFrame:
     """Chunk rows with page numbers and law dates, from page rows.
 
-    One shuffle brings a document's pages together; chunking and, for all but
-    very long documents, the page search happen in that row.
+    One shuffle brings a document's pages together; chunking and the page search
+    happen in that row.  Documents too long for that are handled in blocks.
     """
-    documents = _assembled(pages).select(
-        *_DOCUMENT, "page_texts", F.array_join("page_texts", "\n").alias("full_text")
-    )
-    is_long = F.length("full_text") > in_row_chars
-
-    in_row = documents.where(~is_long).select(
+    short, long = split_by_length(pages, in_row_chars)
+    chunked = _assembled(short).select(
         *_DOCUMENT,
-        chunking.chunk_array(F.col("full_text")).alias("chunks"),
+        chunking.chunk_array(F.array_join("page_texts", "\n")).alias("chunks"),
         F.transform("page_texts", match_form).alias("page_forms"),
     )
-    located = in_row.select(
-        *_DOCUMENT,
-        F.transform(
-            "chunks",
-            lambda c: c.withField(
-                "page_number",
-                let(_mark(c), lambda m: chunking.locate_page(m, F.col("page_forms"))),
-            ),
-        ).alias("chunks"),
-    )
-    long_pages = (
-        documents.where(is_long)
-        .select("document_id", F.posexplode("page_texts").alias("at", "page_text"))
-        .select("document_id", (F.col("at") + 1).alias("page_number"), "page_text")
-    )
-    long_chunks = tag_pages(chunk_documents(documents.where(is_long)), long_pages)
-    return _finished(_chunk_rows(located).unionByName(long_chunks))
+    located = F.transform(
+        "chunks",
+        lambda c: c.withField(
+            "page_number",
+            let(_mark(c), lambda m: chunking.locate_page(m, F.col("page_forms"))),
+        ),
+    )
+    chunks = _chunk_rows(_numbered(chunked, located))
+    if long is not None:
+        long_chunks = materialize(_chunk_rows(chunk_long_documents(long)), "long-chunks")
+        chunks = chunks.unionByName(_tag_long(long_chunks, long))
+    return _finished(chunks)
 
 
 def _finished(chunks: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexweave import schemas
 from lexweave.functions.text import non_empty
 from lexweave.operators.enrich import REGULATION_FAMILIES, lookup
+from lexweave.operators.rows import each
 from lexweave.storage import require_rows
 
 # Fixed values of a document row.
@@ -97,10 +98,12 @@ def extract_pages(files: DataFrame, extractor: PageExtractor, method: str) -> Da
 def text_pages(documents: DataFrame, method: str = "text") -> DataFrame:
     """Pages of text documents, whose pages are separated by form feeds."""
     return with_page_facts(
-        documents.select(
-            "document_id",
-            "file_name",
-            F.posexplode(F.split("full_text", "\f")).alias("position", "page_text"),
+        each(
+            documents,
+            ["document_id", "file_name"],
+            F.split("full_text", "\f"),
+            "position",
+            "page_text",
         ).select(
             "document_id",
             "file_name",
