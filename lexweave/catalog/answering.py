@@ -13,6 +13,7 @@ from lexweave.functions.citations import INSUFFICIENT
 from lexweave.functions.vectors import cosine_similarity, rounded_score
 from lexweave.operators import answers as ans
 from lexweave.operators import context, evaluate, search
+from lexweave.operators.rows import small_side
 from lexweave.plans import medallion, rag
 from lexweave.sinks import files as file_sinks
 from lexweave.sources import files
@@ -185,7 +186,7 @@ _EVALUATION = (
 def _scores(spark, sf_dir):
     """Labels as questions: their vectors are the statements (supported from a score
     of 0.5 on) and the regenerated questions; hits of the same label are relevant."""
-    centroids = inputs.label_centroids(spark, sf_dir)
+    centroids = small_side(inputs.label_centroids(spark, sf_dir), "centroids")
     own = (
         inputs.vectors(spark, sf_dir)
         .withColumnRenamed("label", "query_id")

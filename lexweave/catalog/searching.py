@@ -12,7 +12,7 @@ from lexweave.operators import report, search
 from lexweave.operators.embed import embed_chunks, embed_questions
 from lexweave.plans import rag
 from lexweave.sources import files
-from lexweave.storage import materialize
+from lexweave.storage import materialize, new_dir
 
 _CENTROIDS = sql.with_(sql.CENTROIDS, sql.CENTROID_SCORES)
 _VEC = ("vec_id",)
@@ -207,17 +207,20 @@ def source_numbering(spark, sf_dir):
         """planes AS (SELECT h, i,
           CASE WHEN substr(md5(concat(h, ':', i - 1)), 1, 1) < '8' THEN 1.0 ELSE -1.0 END AS sign
           FROM range(0, 8) a(h), range(1, 65) b(i)),
-        queries AS (SELECT query_id, qv, list(b ORDER BY h) AS bits FROM (
-          SELECT query_id, any_value(qv) AS qv, h, CASE WHEN sum(sign * qv[i]) > 0 THEN 1 ELSE 0
-            END AS b FROM centroids, planes GROUP BY query_id, h) GROUP BY query_id, qv),
-        rows_ AS (SELECT vec_id, embedding, list(b ORDER BY h) AS bits FROM (
+        margins AS (SELECT query_id, h, sum(sign * qv[i]) AS m
+          FROM centroids, planes GROUP BY query_id, h),
+        costs AS (SELECT query_id, code,
+          sum(CASE WHEN (m > 0) <> ((code >> h) & 1 = 1) THEN abs(m) ELSE 0 END) AS cost
+          FROM margins, range(0, 256) c(code) GROUP BY query_id, code),
+        probes AS (SELECT query_id, code FROM (SELECT *,
+          row_number() OVER (PARTITION BY query_id ORDER BY cost, code) AS rn FROM costs)
+          WHERE rn <= 96),
+        bucketed AS (SELECT vec_id, any_value(embedding) AS embedding, sum(bit) AS code FROM (
           SELECT vec_id, any_value(embedding) AS embedding, h,
-            CASE WHEN sum(sign * CAST(embedding[i] AS DOUBLE)) > 0 THEN 1 ELSE 0 END AS b
-          FROM embeddings, planes GROUP BY vec_id, h) GROUP BY vec_id, embedding)""",
+            CASE WHEN sum(sign * CAST(embedding[i] AS DOUBLE)) > 0 THEN 1 << h ELSE 0 END AS bit
+          FROM embeddings, planes GROUP BY vec_id, h) GROUP BY vec_id)""",
         f"""near AS (SELECT query_id, vec_id, {sql.cosine("qv", sql.doubles("embedding"))} AS score
-          FROM queries q, rows_ r
-          WHERE list_sum(list_transform(range(1, 9),
-            lambda h: CASE WHEN q.bits[h] <> r.bits[h] THEN 1 ELSE 0 END)) <= 2)""",
+          FROM bucketed JOIN probes USING (code) JOIN centroids USING (query_id))""",
     )
     + """SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER
@@ -225,15 +228,12 @@ def source_numbering(spark, sf_dir):
 )
 def ann_search(spark, sf_dir):
     """Label centroids against an index of all vectors written by bucket."""
-    indexed = search.with_bucket(
-        inputs.vectors(spark, sf_dir), "embedding", inputs.VECTOR_DIMENSIONS
+    buckets = search.Buckets("bucket", inputs.VECTOR_DIMENSIONS)
+    indexed = search.write_ann_index(
+        inputs.vectors(spark, sf_dir), "embedding", buckets, new_dir(spark, "ann-index")
     )
     hits = search.ann_search(
-        indexed,
-        inputs.label_centroids(spark, sf_dir),
-        inputs.VECTOR_DIMENSIONS,
-        5,
-        keys=_VEC,
+        indexed, inputs.label_centroids(spark, sf_dir), buckets, 5, keys=_VEC
     )
     return hits.select("query_id", "rank", "vec_id", _six("score"))
 

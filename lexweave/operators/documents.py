@@ -28,13 +28,16 @@ def document_text(pages: DataFrame) -> DataFrame:
     )
 
 
-def _assembled(pages: DataFrame) -> DataFrame:
+def _assembled(pages: DataFrame, *partition_by: str) -> DataFrame:
+    """Page texts in order per document, partitioned by document id by default, as
+    the joins on document id that follow need it."""
     in_order = F.array_sort(
         F.collect_list(
             F.struct("page_number", F.coalesce("page_text", F.lit("")).alias("page_text"))
         )
     )
-    return by_key(pages, *_DOCUMENT).groupBy(*_DOCUMENT).agg(
+    keys = partition_by or ("document_id",)
+    return by_key(pages, *keys).groupBy(*_DOCUMENT).agg(
         F.transform(in_order, lambda p: p["page_text"]).alias("page_texts")
     )
 
@@ -105,7 +108,7 @@ def tag_pages(
     """Page number per chunk: the first page that contains the 200-character prefix
     of its fingerprint, else the 100-, else the 50-character one."""
     short, long = split_by_length(pages, in_row_chars)
-    forms = _assembled(short).select(
+    forms = _assembled(short, *_DOCUMENT).select(
         *_DOCUMENT, F.transform("page_texts", match_form).alias("page_forms")
     )
     if long is None:

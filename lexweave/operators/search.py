@@ -36,11 +36,13 @@ DEFAULT_TOP_K = 5
 MAX_SHIPPED_QUERIES = 2048
 # Size of a block on either side of that join.
 BLOCK_ROWS = 8192
+# Result keys broadcast to fetch the other columns of the winning rows.
+MAX_BROADCAST_HITS = 200_000
 
-# Buckets of the approximate index, and how many of a query's signature bits may
-# differ in the buckets it probes.
+# Approximate index: buckets are numbered by this many signature bits, and a query
+# probes this share of them, those it would fall in with the least change.
 SIGNATURE_BITS = 8
-PROBE_RADIUS = 2
+PROBED_SHARE = 0.375
 
 CHUNK_KEYS = ("chunk_uid", "chunk_id")
 
@@ -104,12 +106,12 @@ def numbered_results(
 
 @dataclass(frozen=True)
 class _Queries:
-    """Query vectors as they are shipped to tasks."""
+    """Query vectors as they are shipped to tasks, and the buckets each one probes."""
 
     ids: list
     id_type: pa.DataType
     vectors: list[np.ndarray]
-    buckets: np.ndarray | None = None
+    probes: np.ndarray | None = None
 
 
 def _as_vectors(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
@@ -165,7 +167,7 @@ class _Best:
                     continue
                 row_buckets = buckets[row_ids]
                 for bucket in np.unique(row_buckets):
-                    near = _bit_count(self.queries.buckets[query_ids] ^ bucket) <= PROBE_RADIUS
+                    near = self.queries.probes[query_ids, bucket]
                     here = row_buckets == bucket
                     if near.any():
                         self._add_block(
@@ -204,16 +206,46 @@ class _Best:
         return pa.RecordBatch.from_arrays(columns, names)
 
 
-def _bit_count(values: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(values.astype(np.uint32))
-
+@dataclass(frozen=True)
+class Buckets:
+    """The bucket column of an approximate index, and how a query chooses buckets."""
+
+    column: str
+    dimensions: int
+    bits: int = SIGNATURE_BITS
+    probed_share: float = PROBED_SHARE
+
+    def planes(self) -> np.ndarray:
+        """Fixed hyperplanes, one row of signs per bit."""
+        return np.array(
+            [
+                [
+                    1.0 if int(hashlib.md5(f"{h}:{d}".encode()).hexdigest()[0], 16) < 8 else -1.0
+                    for d in range(self.dimensions)
+                ]
+                for h in range(self.bits)
+            ]
+        )
 
-def _queries_of(table: pa.Table, bucketed: bool) -> _Queries:
+    def probes(self, vectors: list[np.ndarray]) -> np.ndarray:
+        """Per query, which buckets it probes: those whose differing bits lie on
+        planes that the query is closest to."""
+        planes = self.planes()
+        codes = np.arange(1 << self.bits)
+        bits = (codes[:, None] >> np.arange(self.bits)) & 1
+        wanted = max(1, int(len(codes) * self.probed_share))
+        out = np.zeros((len(vectors), len(codes)), dtype=bool)
+        for i, vector in enumerate(vectors):
+            margins = planes[:, : len(vector)] @ vector[: self.dimensions]
+            cost = (np.abs(margins) * (bits != (margins > 0))).sum(axis=1)
+            out[i, np.argsort(cost, kind="stable")[:wanted]] = True
+        return out
+
+
+def _queries_of(table: pa.Table, buckets: Buckets | None) -> _Queries:
     vectors = _as_vectors(table.column(1))
-    buckets = None
-    if bucketed:
-        buckets = table.column(2).to_numpy().astype(np.int64)
-    return _Queries(table.column(0).to_pylist(), table.schema.field(0).type, vectors, buckets)
+    probes = buckets.probes(vectors) if buckets else None
+    return _Queries(table.column(0).to_pylist(), table.schema.field(0).type, vectors, probes)
 
 
 def nearest(
@@ -225,32 +257,36 @@ def nearest(
     vector: str = "embedding",
     query_id: str = "query_id",
     query_vector: str = "query_vector",
-    bucket: str | None = None,
+    buckets: Buckets | None = None,
     max_shipped: int = MAX_SHIPPED_QUERIES,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The top k chunk keys of every query, as (query id, keys, score, rank).
 
-    ``keys`` must identify a chunk.  With ``bucket`` only chunks in buckets near
-    the query's are scored (approximate search).
+    ``keys`` must identify a chunk.  With ``buckets`` only chunks in the buckets
+    that a query probes are scored (approximate search).  A result of proven small
+    size carries a broadcast hint for the join that fetches further columns.
     """
     check_top_k(top_k)
-    side = [query_vector] if bucket is None else [query_vector, bucket]
-    wanted = queries.select(query_id, *side)
+    wanted = queries.select(query_id, query_vector)
     fields = [chunks.schema[k] for k in keys]
     schema = StructType(
         [queries.schema[query_id], *fields, StructField("score", DoubleType())]
     )
-    left = chunks.select(*keys, vector, *([bucket] if bucket else []))
+    left = chunks.select(*keys, vector, *([buckets.column] if buckets else []))
 
     head = wanted.limit(max_shipped + 1).toArrow()
-    if head.num_rows <= max_shipped:
+    shipped = head.num_rows <= max_shipped
+    if shipped:
         best = _nearest_shipped(
-            left, _queries_of(head, bucket is not None), top_k, schema, query_id, bucket
+            left, _queries_of(head, buckets), top_k, schema, query_id, buckets
         )
     else:
-        best = _nearest_blocks(left, wanted, top_k, schema, query_id, bucket, block_rows)
-    return numbered_results(best, keys, query_id).where(F.col("rank") <= top_k)
+        best = _nearest_blocks(left, wanted, top_k, schema, query_id, buckets, block_rows)
+    hits = numbered_results(best, keys, query_id).where(F.col("rank") <= top_k)
+    if shipped and head.num_rows * top_k <= MAX_BROADCAST_HITS:
+        return F.broadcast(hits)
+    return hits
 
 
 def _nearest_shipped(
@@ -259,24 +295,24 @@ def _nearest_shipped(
     top_k: int,
     schema: StructType,
     query_id: str,
-    bucket: str | None,
+    buckets: Buckets | None,
 ) -> DataFrame:
     n_keys = len(schema.fields) - 2
-    if bucket is not None:
-        codes = np.arange(1 << SIGNATURE_BITS)
-        near = _bit_count(codes[:, None] ^ queries.buckets[None, :]) <= PROBE_RADIUS
-        probed = codes[near.any(axis=1)] if len(queries.ids) else []
-        left = left.where(F.col(bucket).isin([int(c) for c in probed]))
+    if buckets is not None:
+        probed = np.flatnonzero(queries.probes.any(axis=0))
+        left = left.where(F.col(buckets.column).isin([int(b) for b in probed]))
+
+    shared = left.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, key_fields = _Best(queries, top_k), None
+        best, key_fields = _Best(shared.value, top_k), None
         for batch in batches:
             key_fields = [batch.schema.field(i) for i in range(n_keys)]
-            if batch.num_rows and queries.ids:
+            if batch.num_rows and shared.value.ids:
                 best.add(
                     [batch.column(i) for i in range(n_keys)],
                     _as_vectors(batch.column(n_keys)),
-                    None if bucket is None else batch.column(n_keys + 1).to_numpy(),
+                    None if buckets is None else batch.column(n_keys + 1).to_numpy(),
                 )
         if key_fields is not None:
             yield best.table(key_fields, query_id)
@@ -290,7 +326,7 @@ def _nearest_blocks(
     top_k: int,
     schema: StructType,
     query_id: str,
-    bucket: str | None,
+    buckets: Buckets | None,
     block_rows: int,
 ) -> DataFrame:
     """Block join: both sides are hashed into blocks of bounded size, and each task
@@ -312,16 +348,15 @@ def _nearest_blocks(
     asked = queries.withColumn("_queries", block([query_id], query_blocks)).withColumn(
         "_rows", all_blocks(row_blocks)
     )
-    bucketed = bucket is not None
 
     def run(row_table: pa.Table, query_table: pa.Table) -> pa.Table:
         key_fields = [row_table.schema.field(i) for i in range(n_keys)]
-        best = _Best(_queries_of(query_table, bucketed), top_k)
+        best = _Best(_queries_of(query_table, buckets), top_k)
         if row_table.num_rows and query_table.num_rows:
             best.add(
                 [row_table.column(i).combine_chunks() for i in range(n_keys)],
                 _as_vectors(row_table.column(n_keys)),
-                row_table.column(n_keys + 1).to_numpy() if bucketed else None,
+                row_table.column(n_keys + 1).to_numpy() if buckets else None,
             )
         return pa.Table.from_batches([best.table(key_fields, query_id)])
 
@@ -355,45 +390,40 @@ def vector_search(
 # -- approximate search ------------------------------------------------------
 
 
-def signature(vector: Column, dimensions: int, bits: int = SIGNATURE_BITS) -> Column:
-    """Bucket number: one bit per fixed hyperplane, set on its positive side."""
+def with_bucket(df: DataFrame, vector: str, buckets: Buckets) -> DataFrame:
+    """The frame with its bucket number: one bit per plane, set on its positive side."""
+    values = normalize_vector(F.col(vector))
 
-    def side(plane: int) -> Column:
-        signs = [
-            1.0 if int(hashlib.md5(f"{plane}:{d}".encode()).hexdigest()[0], 16) < 8 else -1.0
-            for d in range(dimensions)
-        ]
-        positive = dot(vector, F.array(*[F.lit(s) for s in signs])) > 0
-        return F.when(positive, F.lit(1 << plane)).otherwise(F.lit(0))
+    def side(bit: int, signs: np.ndarray) -> Column:
+        positive = dot(F.col("_values"), F.array(*[F.lit(float(s)) for s in signs])) > 0
+        return F.when(positive, F.lit(1 << bit)).otherwise(F.lit(0))
 
-    total = side(0)
-    for plane in range(1, bits):
-        total = total + side(plane)
-    return total.cast("int")
+    total = sum(
+        (side(bit, signs) for bit, signs in enumerate(buckets.planes())), F.lit(0)
+    )
+    return (
+        df.withColumn("_values", values)
+        .withColumn(buckets.column, total.cast("int"))
+        .drop("_values")
+    )
 
 
-def with_bucket(
-    df: DataFrame, vector: str, dimensions: int, bucket: str = "bucket"
-) -> DataFrame:
-    """The frame with its bucket; write it partitioned by that to prune scans."""
-    return df.withColumn(bucket, signature(normalize_vector(F.col(vector)), dimensions))
+def write_ann_index(df: DataFrame, vector: str, buckets: Buckets, path: str) -> DataFrame:
+    """Write vectors partitioned by bucket; a search then reads only probed ones."""
+    bucketed = with_bucket(df, vector, buckets)
+    bucketed.write.partitionBy(buckets.column).parquet(path)
+    return df.sparkSession.read.schema(bucketed.schema).parquet(path)
 
 
 def ann_search(
     indexed: DataFrame,
     queries: DataFrame,
-    dimensions: int,
+    buckets: Buckets,
     top_k: int = DEFAULT_TOP_K,
-    *,
-    bucket: str = "bucket",
-    query_vector: str = "query_vector",
     **options,
 ) -> DataFrame:
     """Approximate top k: exact scores, but only within the probed buckets."""
-    asked = with_bucket(queries, query_vector, dimensions, bucket)
-    return nearest(
-        indexed, asked, top_k, bucket=bucket, query_vector=query_vector, **options
-    )
+    return nearest(indexed, queries, top_k, buckets=buckets, **options)
 
 
 # -- result shapes -----------------------------------------------------------
