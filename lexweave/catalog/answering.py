@@ -16,7 +16,7 @@ from lexweave.operators import context, evaluate, search
 from lexweave.operators.rows import small_side
 from lexweave.plans import medallion, rag
 from lexweave.sinks import files as file_sinks
-from lexweave.sources import files
+from lexweave.sources import files, tables
 from lexweave.storage import new_dir
 
 _ANSWERS = sql.with_(sql.ANSWERS)
@@ -340,34 +340,37 @@ def form_feed_pages(content: bytes) -> list[str]:
     "ingest_all",
     sql.LEGAL_CHUNKS
     + """SELECT document_id, CASE WHEN bad THEN 0 ELSE coalesce(n, 0) END AS chunk_count,
+      CASE WHEN bad THEN 0 ELSE labels END AS indexed,
       CASE WHEN bad THEN 'ValueError: unreadable file' END AS error
     FROM (SELECT document_id, contains(full_text, 'Clause ') AS bad FROM legal_documents)
-    LEFT JOIN (SELECT document_id, count(*) AS n FROM chunks GROUP BY document_id)
-      USING (document_id)""",
+    LEFT JOIN (SELECT document_id, count(*) AS n, count(DISTINCT chunk_uid) AS labels
+               FROM chunks GROUP BY document_id) USING (document_id)""",
 )
 def ingest_all(spark, sf_dir):
-    """All files at once; those that cannot be read are reported, not fatal."""
-    contents = (
-        inputs.legal_pages(spark, sf_dir)
-        .groupBy("file_name")
-        .agg(
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("page_number", "page_text"))),
-                    lambda p: p["page_text"],
-                ),
-                "\f",
-            )
-            .cast("binary")
-            .alias("content")
-        )
-        .withColumnRenamed("file_name", "path")
+    """All files into a fresh store; those that cannot be read are reported.
+
+    Chunk counts come from the written registry and, distinct labels, the index.
+    """
+    extracted = files.extract_pages(
+        inputs.legal_file_contents(spark, sf_dir), form_feed_pages, "stand-in"
     )
-    extracted = files.extract_pages(contents, form_feed_pages, "stand-in")
-    chunks, failures = rag.split_ingest(extracted)
-    done = chunks.groupBy("document_id").agg(
-        F.count("*").alias("chunk_count"), F.lit(None).cast("string").alias("error")
+    store = rag.Store(
+        inputs.scratch_target(spark), new_dir(spark, "json"), new_dir(spark, "registry")
     )
+    failures = rag.ingest_into(extracted, store, recreate=True)
+    indexed = (
+        tables.table_scan(spark, store.target, store.index)
+        .groupBy("document_id")
+        .agg(F.count("*").alias("indexed"))
+    )
+    done = (
+        tables.registry(spark, store.registry_dir)
+        .join(indexed, "document_id", "left")
+        .select("document_id", "chunk_count", "indexed", F.lit(None).cast("string").alias("error"))
+    )
+    none = F.lit(0).cast("bigint")
     return done.unionByName(
-        failures.select("document_id", F.lit(0).cast("bigint").alias("chunk_count"), "error")
+        failures.select(
+            "document_id", none.alias("chunk_count"), none.alias("indexed"), "error"
+        )
     )

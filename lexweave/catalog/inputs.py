@@ -115,6 +115,17 @@ def legal_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def legal_file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as (path, content), the pages of a file separated by form feeds."""
+    pages = F.array_sort(F.collect_list(F.struct("page_number", "page_text")))
+    text = F.array_join(F.transform(pages, lambda p: p["page_text"]), "\f")
+    return (
+        legal_pages(spark, sf_dir)
+        .groupBy(F.col("file_name").alias("path"))
+        .agg(text.cast("binary").alias("content"))
+    )
+
+
 def plain_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``documents`` table in the shape of document texts."""
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))

@@ -230,7 +230,7 @@ def ann_search(spark, sf_dir):
     """Label centroids against an index of all vectors written by bucket."""
     buckets = search.Buckets("bucket", inputs.VECTOR_DIMENSIONS)
     indexed = search.write_ann_index(
-        inputs.vectors(spark, sf_dir), "embedding", buckets, new_dir(spark, "ann-index")
+        inputs.vectors(spark, sf_dir), "embedding", buckets, new_dir(spark, "ann-index"), _VEC
     )
     hits = search.ann_search(
         indexed, inputs.label_centroids(spark, sf_dir), buckets, 5, keys=_VEC

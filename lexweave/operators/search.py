@@ -34,8 +34,11 @@ DEFAULT_TOP_K = 5
 
 # Queries shipped to every task.  More than this many are joined in blocks.
 MAX_SHIPPED_QUERIES = 2048
-# Size of a block on either side of that join.
+# Size of a block of chunks, and bytes in a block of queries, in that join.
 BLOCK_ROWS = 8192
+QUERY_BLOCK_BYTES = 32 << 20
+# Scores held at a time in a task.
+TILE_SCORES = 1 << 21
 # Result keys broadcast to fetch the other columns of the winning rows.
 MAX_BROADCAST_HITS = 200_000
 
@@ -175,6 +178,12 @@ class _Best:
                         )
 
     def _add_block(self, keys, row_ids, matrix, query_ids, query_matrix) -> None:
+        rows = max(1, TILE_SCORES // len(query_ids))
+        for start in range(0, len(row_ids), rows):
+            tile = slice(start, start + rows)
+            self._add_tile(keys, row_ids[tile], matrix[tile], query_ids, query_matrix)
+
+    def _add_tile(self, keys, row_ids, matrix, query_ids, query_matrix) -> None:
         scores = _cosines(matrix, query_matrix)
         for column in np.flatnonzero(scores.max(axis=0) >= self.floor[query_ids]):
             query = query_ids[column]
@@ -282,7 +291,11 @@ def nearest(
             left, _queries_of(head, buckets), top_k, schema, query_id, buckets
         )
     else:
-        best = _nearest_blocks(left, wanted, top_k, schema, query_id, buckets, block_rows)
+        width = max(len(v) for v in _as_vectors(head.column(1)))
+        query_rows = min(4 * block_rows, QUERY_BLOCK_BYTES // (8 * max(width, 1)))
+        best = _nearest_blocks(
+            left, wanted, top_k, schema, query_id, buckets, (block_rows, max(query_rows, 1))
+        )
     hits = numbered_results(best, keys, query_id).where(F.col("rank") <= top_k)
     if shipped and head.num_rows * top_k <= MAX_BROADCAST_HITS:
         return F.broadcast(hits)
@@ -327,14 +340,14 @@ def _nearest_blocks(
     schema: StructType,
     query_id: str,
     buckets: Buckets | None,
-    block_rows: int,
+    block_rows: tuple[int, int],
 ) -> DataFrame:
     """Block join: both sides are hashed into blocks of bounded size, and each task
     sees one block of chunks and one block of queries."""
     n_keys = len(schema.fields) - 2
     keys = left.columns[:n_keys]
-    row_blocks = -(-left.count() // block_rows) or 1
-    query_blocks = -(-queries.count() // block_rows) or 1
+    row_blocks = -(-left.count() // block_rows[0]) or 1
+    query_blocks = -(-queries.count() // block_rows[1]) or 1
 
     def block(columns: Sequence[str], blocks: int) -> Column:
         return F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int")
@@ -408,10 +421,18 @@ def with_bucket(df: DataFrame, vector: str, buckets: Buckets) -> DataFrame:
     )
 
 
-def write_ann_index(df: DataFrame, vector: str, buckets: Buckets, path: str) -> DataFrame:
-    """Write vectors partitioned by bucket; a search then reads only probed ones."""
+def write_ann_index(
+    df: DataFrame, vector: str, buckets: Buckets, path: str, keys: Sequence[str] = CHUNK_KEYS
+) -> DataFrame:
+    """Write vectors sorted by bucket, so that a search skips the row groups of
+    buckets it does not probe.  Range partitioning by bucket and key also splits a
+    bucket that holds a large share of the rows."""
     bucketed = with_bucket(df, vector, buckets)
-    bucketed.write.partitionBy(buckets.column).parquet(path)
+    (
+        bucketed.repartitionByRange(buckets.column, *keys)
+        .sortWithinPartitions(buckets.column)
+        .write.parquet(path)
+    )
     return df.sparkSession.read.schema(bucketed.schema).parquet(path)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,10 @@ from lexweave.operators.documents import silver_chunks
 from lexweave.operators.embed import Encoder, embed_chunks, embed_questions
 from lexweave.operators.enrich import first_page_metadata, with_metadata
 from lexweave.operators.search import CHUNK_KEYS, DEFAULT_TOP_K, check_top_k, vector_search
+from lexweave.sinks.files import append_registry, chunk_documents_json, write_chunk_json
+from lexweave.sinks.tables import swap_table, upsert
+from lexweave.sources.tables import Target
+from lexweave.storage import materialize
 
 MAX_TOP_K = 20
 
@@ -95,9 +102,41 @@ def ask(
     return answers.join(listed, "query_id", "left")
 
 
-def embed_index(chunks: DataFrame, encoder: Encoder = hash_embedding) -> DataFrame:
-    """Chunk rows with vectors, one row per label: the last of a repeated one."""
-    from lexweave.sinks.tables import upsert
+@dataclass(frozen=True)
+class Store:
+    """Where ingested documents go: an index table, chunk JSON and a registry."""
+
+    target: Target
+    json_dir: str
+    registry_dir: str
+    index: str = "chunk_index"
+
 
-    embedded = embed_chunks(chunks, encoder)
-    return upsert(embedded.limit(0), embedded, CHUNK_KEYS[0], F.col("chunk_id"))
+def ingest_into(
+    extracted: DataFrame, store: Store, encoder: Encoder = hash_embedding, recreate: bool = False
+) -> DataFrame:
+    """Ingest all documents at once and return the failures.
+
+    Chunks are written as JSON, embedded and upserted into the index; every
+    document that could be read gets a registry row.  ``recreate`` starts the
+    index anew.
+    """
+    spark = extracted.sparkSession
+    extracted = materialize(extracted, "extracted")
+    failed = F.col("error").isNotNull()
+    pages = extracted.where(~failed).drop("error")
+    chunks = materialize(ingest(pages), "chunks")
+
+    headers = registry_rows(pages, chunks)
+    write_chunk_json(chunk_documents_json(chunks, headers), f"{store.json_dir}/{uuid4().hex}")
+
+    incoming = embed_chunks(chunks, encoder).drop("embedding_model", "embedding_version")
+    name = store.target.table(store.index)
+    if recreate:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    existing = spark.table(name) if spark.catalog.tableExists(name) else incoming.limit(0)
+    merged = upsert(existing, incoming, CHUNK_KEYS[0], F.col("chunk_id"))
+    swap_table(merged, store.target, store.index)
+
+    append_registry(headers, store.registry_dir)
+    return extracted.where(failed)

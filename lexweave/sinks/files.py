@@ -11,6 +11,14 @@ from lexweave import schemas
 # further ones, so that no single row grows with the largest document.
 CHUNKS_PER_JSON = 10_000
 
+_HEADER_FIELDS = (
+    "source_pdf",
+    "regulation_title",
+    "document_version",
+    "issuing_authority",
+    "law_passed_date",
+)
+
 
 def chunk_documents_json(
     chunks: DataFrame, headers: DataFrame, fallback_date: Column | None = None
@@ -47,7 +55,7 @@ def chunk_documents_json(
     if fallback_date is not None:
         law_date = F.coalesce(law_date, fallback_date)
     return (
-        nested.join(headers, "document_id", "left")
+        nested.join(headers.select("document_id", *_HEADER_FIELDS), "document_id", "left")
         .join(counts, "document_id")
         .select(
             "document_id",

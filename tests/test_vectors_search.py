@@ -166,10 +166,10 @@ def test_approximate_search_recalls_most(spark, sf_dir):
     assert all((r.vec_id, r.vec_id) in near for r in vectors.collect())
 
 
-def test_ann_index_prunes_partitions(spark, sf_dir, tmp_path):
+def test_ann_index_scan_is_filtered(spark, sf_dir, tmp_path):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     buckets = search.Buckets("bucket", 64, probed_share=0.02)
-    indexed = search.write_ann_index(vectors, "embedding", buckets, str(tmp_path / "ann"))
+    indexed = search.write_ann_index(vectors, "embedding", buckets, str(tmp_path / "ann"), ("vec_id",))
     query = vectors.limit(1).select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")
     )
@@ -177,7 +177,7 @@ def test_ann_index_prunes_partitions(spark, sf_dir, tmp_path):
     formatted = hits._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     )
-    assert "PartitionFilters: [bucket#" in formatted
+    assert "PushedFilters: [In(bucket, " in formatted
     assert indexed.count() == vectors.count()
 
 
