@@ -1 +1,9 @@
 """Regulation-document analytics and retrieval expressed as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel whole, so that executors need no copy
+# of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -10,7 +10,7 @@ from lexweave.functions.chunking import PAGE_TIERS, let
 from lexweave.functions.text import match_form
 from lexweave.operators.enrich import LAW_PASSED_DATES, lookup
 from lexweave.operators.long_documents import chunk_long_documents
-from lexweave.operators.rows import by_key, each
+from lexweave.operators.rows import by_key, each, small_side
 from lexweave.storage import materialize
 
 # A document of up to this many characters is put together in one row, where the
@@ -18,6 +18,11 @@ from lexweave.storage import materialize
 # stay spread out over their pages, see ``long_documents`` and ``_tag_long``.
 IN_ROW_CHARS = 2_000_000
 
+# Distinct beginnings of sought texts that are broadcast at most, and the lengths
+# that longer ones are cut to.
+MAX_BROADCAST_TEXTS = 500_000
+_BASE_LENGTHS = (8, 16, 32, PAGE_TIERS[-1])
+
 _DOCUMENT = ("document_id", "file_name")
 
 
@@ -139,12 +144,18 @@ def _tag_short(chunks: DataFrame, forms: DataFrame) -> DataFrame:
 def _tag_long(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """``tag_pages`` for documents of any length, by equality joins on text.
 
-    Only text windows that start with some wanted 50-character prefix are looked
+    Only text windows that start with the beginning of some wanted prefix are looked
     at further, and they are reduced to their first page before chunks are joined,
-    so no (chunk, page) pairs arise.
+    so no (chunk, page) pairs arise.  The wanted beginnings are broadcast while
+    they are few enough, which spares a shuffle of all windows.
     """
-    longest, shortest = PAGE_TIERS[0], PAGE_TIERS[-1]
-    base_of = lambda text: F.substring(text, 1, shortest)
+    longest = PAGE_TIERS[0]
+
+    def base_of(prefix: Column) -> Column:
+        length = F.length(prefix)
+        for n in sorted(_BASE_LENGTHS):
+            length = F.when(F.length(prefix) >= n, F.lit(n)).otherwise(length)
+        return prefix.substr(F.lit(1), length)
 
     prefixes = let(
         chunking.fingerprint(
@@ -160,11 +171,18 @@ def _tag_long(chunks: DataFrame, pages: DataFrame) -> DataFrame:
         F.col("prefix") != ""
     )
 
-    wanted = marked.groupBy("document_id", base_of(F.col("prefix")).alias("base")).agg(
-        F.collect_set(F.length("prefix")).alias("lengths")
+    wanted = small_side(
+        marked.groupBy("document_id", base_of(F.col("prefix")).alias("base")).agg(
+            F.collect_set(F.length("prefix")).alias("lengths")
+        ),
+        "wanted-texts",
+        MAX_BROADCAST_TEXTS,
     )
-    base_lengths = wanted.groupBy("document_id").agg(
-        F.collect_set(F.length("base")).alias("base_lengths")
+    base_lengths = small_side(
+        wanted.groupBy("document_id").agg(
+            F.collect_set(F.length("base")).alias("base_lengths")
+        ),
+        "wanted-lengths",
     )
 
     # Every position's following text, cut in one pass per page.

@@ -315,13 +315,16 @@ def _nearest_shipped(
         probed = np.flatnonzero(queries.probes.any(axis=0))
         left = left.where(F.col(buckets.column).isin([int(b) for b in probed]))
 
-    shared = left.sparkSession.sparkContext.broadcast(queries)
+    # Plain values, which workers can load without this module.
+    shared = left.sparkSession.sparkContext.broadcast(
+        (queries.ids, queries.id_type, queries.vectors, queries.probes)
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, key_fields = _Best(shared.value, top_k), None
+        best, key_fields = _Best(_Queries(*shared.value), top_k), None
         for batch in batches:
             key_fields = [batch.schema.field(i) for i in range(n_keys)]
-            if batch.num_rows and shared.value.ids:
+            if batch.num_rows and best.queries.ids:
                 best.add(
                     [batch.column(i) for i in range(n_keys)],
                     _as_vectors(batch.column(n_keys)),

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as contract
@@ -44,3 +49,27 @@ def test_chunking_plain_documents_needs_no_shuffle(spark, sf_dir):
     plan = plan_of(inputs.plain_chunks(spark, sf_dir))
     assert plan.count("Exchange") == plan.count("RoundRobinPartitioning")
     assert "posexplode" in plan and "size(transform" not in plan
+
+
+def test_python_workers_need_no_copy_of_the_package(sf_dir, tmp_path):
+    """Run from elsewhere, as a driver that only puts the repository on its path."""
+    script = f"""
+import sys
+sys.path.insert(0, {str(Path(contract.__file__).parent)!r})
+import __spark_entry__ as contract
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+names = ["topk_batch", "ann_search", "embed_batches", "ingest_all", "evaluate_failures", "ask"]
+print("rows", [contract.queries()[n](spark, {sf_dir!r}).count() > 0 for n in names])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, "-c", script],
+        cwd=tmp_path,
+        env=env,
+        capture_output=True,
+        text=True,
+        timeout=300,
+        check=False,
+    )
+    assert f"rows {[True] * 6}" in done.stdout, done.stderr[-2000:]
