@@ -18,10 +18,11 @@ from lexweave.storage import materialize
 # stay spread out over their pages, see ``long_documents`` and ``_tag_long``.
 IN_ROW_CHARS = 2_000_000
 
-# Distinct beginnings of sought texts that are broadcast at most, and the lengths
-# that longer ones are cut to.
+# Pages of a long document searched before the others; how many beginnings of
+# sought texts are broadcast at most, and the lengths that they have.
+EARLY_PAGES = 256
 MAX_BROADCAST_TEXTS = 500_000
-_BASE_LENGTHS = (8, 16, 32, PAGE_TIERS[-1])
+_BEGINNINGS = (8, 16, 32, PAGE_TIERS[-1])
 
 _DOCUMENT = ("document_id", "file_name")
 
@@ -100,7 +101,7 @@ def split_by_length(
     )
     if long.isEmpty():
         return pages, None
-    ids = materialize(long, "long-documents")
+    ids = small_side(long, "long-documents")
     return (
         pages.join(ids, "document_id", "left_anti"),
         pages.join(ids, "document_id", "left_semi"),
@@ -144,19 +145,10 @@ def _tag_short(chunks: DataFrame, forms: DataFrame) -> DataFrame:
 def _tag_long(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """``tag_pages`` for documents of any length, by equality joins on text.
 
-    Only text windows that start with the beginning of some wanted prefix are looked
-    at further, and they are reduced to their first page before chunks are joined,
-    so no (chunk, page) pairs arise.  The wanted beginnings are broadcast while
-    they are few enough, which spares a shuffle of all windows.
+    Sought prefixes are reduced to the first page they occur on before chunks are
+    joined, so no (chunk, page) pairs arise.  A few early pages are searched first:
+    what is found there, as short texts mostly are, need not be sought further on.
     """
-    longest = PAGE_TIERS[0]
-
-    def base_of(prefix: Column) -> Column:
-        length = F.length(prefix)
-        for n in sorted(_BASE_LENGTHS):
-            length = F.when(F.length(prefix) >= n, F.lit(n)).otherwise(length)
-        return prefix.substr(F.lit(1), length)
-
     prefixes = let(
         chunking.fingerprint(
             F.col("chunk_text"),
@@ -170,67 +162,78 @@ def _tag_long(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     marked = each(chunks, ["document_id", "chunk_id"], prefixes, "tier", "prefix").where(
         F.col("prefix") != ""
     )
+    sought = materialize(marked.select("document_id", "prefix").distinct(), "sought-texts")
+    pages = by_key(pages, "document_id", "page_number")
+    is_early = F.col("page_number") <= EARLY_PAGES
+    early = materialize(_first_pages(sought, pages.where(is_early)), "found-texts")
+    later = _first_pages(
+        sought.join(early, ["document_id", "prefix"], "left_anti"), pages.where(~is_early)
+    )
+    located = (
+        marked.join(early.unionByName(later), ["document_id", "prefix"])
+        .groupBy("document_id", "chunk_id")
+        .agg(F.min_by("page_number", "tier").alias("page_number"))
+    )
+    return chunks.join(located, ["document_id", "chunk_id"], "left").select(
+        *chunks.columns, "page_number"
+    )
+
+
+def _first_pages(sought: DataFrame, pages: DataFrame) -> DataFrame:
+    """The first page on which each sought text of a document occurs.
+
+    Every position of a page is looked up by the beginning of the text there; only
+    where some sought text begins like that is it compared in full.  The beginnings
+    are broadcast while they are few enough, which spares a shuffle of all positions.
+    """
+
+    def beginning(text: Column) -> Column:
+        length = F.length(text)
+        for n in sorted(_BEGINNINGS):
+            length = F.when(F.length(text) >= n, F.lit(n)).otherwise(length)
+        return text.substr(F.lit(1), length)
 
     wanted = small_side(
-        marked.groupBy("document_id", base_of(F.col("prefix")).alias("base")).agg(
+        sought.groupBy("document_id", beginning(F.col("prefix")).alias("start")).agg(
             F.collect_set(F.length("prefix")).alias("lengths")
         ),
         "wanted-texts",
         MAX_BROADCAST_TEXTS,
     )
-    base_lengths = small_side(
+    start_lengths = small_side(
         wanted.groupBy("document_id").agg(
-            F.collect_set(F.length("base")).alias("base_lengths")
+            F.collect_set(F.length("start")).alias("start_lengths")
         ),
         "wanted-lengths",
     )
-
-    # Every position's following text, cut in one pass per page.
+    # The text at every position, cut in one pass per page.
     every_window = F.regexp_extract_all(
-        match_form(F.col("page_text")), F.lit(rf"(?s)(?=(.{{1,{longest}}}))"), F.lit(1)
+        match_form(F.col("page_text")), F.lit(rf"(?s)(?=(.{{1,{PAGE_TIERS[0]}}}))"), F.lit(1)
     )
-    bases = (
-        each(
-            pages.join(base_lengths, "document_id"),
-            ["document_id", "page_number", "base_lengths"],
-            every_window,
-            "at",
-            "window",
-        )
-        .select(
-            "document_id", "page_number", "window", F.explode("base_lengths").alias("n")
-        )
-        .select(
-            "document_id",
-            "page_number",
-            "window",
-            "n",
-            F.col("window").substr(F.lit(1), F.col("n")).alias("base"),
-        )
-        .where(F.length("base") == F.col("n"))
-        .drop("n")
+    windows = each(
+        pages.join(start_lengths, "document_id"),
+        ["document_id", "page_number", "start_lengths"],
+        every_window,
+        "at",
+        "window",
     )
-    first_pages = (
-        bases.join(wanted, ["document_id", "base"])
-        .select("document_id", "page_number", "window", F.explode("lengths").alias("n"))
-        .select(
-            "document_id",
-            "page_number",
-            "n",
-            F.col("window").substr(F.lit(1), F.col("n")).alias("prefix"),
+
+    def cut(rows: DataFrame, lengths: str, name: str) -> DataFrame:
+        """The window cut to each of the lengths it has."""
+        text = F.col("window").substr(F.lit(1), F.col("n"))
+        return (
+            rows.withColumn("n", F.explode(lengths))
+            .withColumn(name, text)
+            .where(F.length(name) == F.col("n"))
+            .drop("n", lengths)
         )
-        .where(F.length("prefix") == F.col("n"))
+
+    starts = cut(windows, "start_lengths", "start").join(wanted, ["document_id", "start"])
+    return (
+        cut(starts, "lengths", "prefix")
         .groupBy("document_id", "prefix")
         .agg(F.min("page_number").alias("page_number"))
     )
-    located = (
-        marked.join(first_pages, ["document_id", "prefix"])
-        .groupBy("document_id", "chunk_id")
-        .agg(F.min_by("page_number", "tier").alias("page_number"))
-    )
-    return chunks.join(located, ["document_id", "chunk_id"], "left").select(
-        *chunks.columns, "page_number"
-    )
 
 
 def silver_chunks(pages: DataFrame, in_row_chars: int = IN_ROW_CHARS) -> DataFrame:

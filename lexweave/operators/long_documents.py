@@ -33,7 +33,7 @@ from lexweave.functions.text import (
     rstrip,
     strip,
 )
-from lexweave.operators.rows import each
+from lexweave.operators.rows import by_key, each
 from lexweave.storage import materialize
 
 # Pages per block, roughly, and windows numbered together.
@@ -58,13 +58,10 @@ def _is_firm(line: Column) -> Column:
 def _pages_with_cuts(pages: DataFrame, block_pages: int) -> DataFrame:
     """Pages with the block range they fall in and where the range may be cut."""
     text = F.translate(F.coalesce("page_text", F.lit("")), DELETED_CHARS, "")
+    ranged = pages.withColumn("range", F.floor(F.col("page_number") / block_pages))
     lined = (
-        pages.select(
-            *_DOCUMENT,
-            "page_number",
-            F.floor(F.col("page_number") / block_pages).alias("range"),
-            F.split(text, "\n", -1).alias("lines"),
-        )
+        by_key(ranged, "document_id", "range")
+        .select(*_DOCUMENT, "page_number", "range", F.split(text, "\n", -1).alias("lines"))
         .withColumn("firm", F.transform("lines", _is_firm))
         .withColumn("starts_firm", F.get("firm", F.lit(0)))
         .withColumn("ends_firm", F.element_at("firm", -1))

@@ -174,7 +174,8 @@ def test_long_documents_get_the_same_chunks(spark, block_pages, seed):
     assert rows_of(got) == rows_of(want)
 
 
-def test_long_and_short_paths_tag_the_same_pages(spark):
+def test_long_and_short_paths_tag_the_same_pages(spark, monkeypatch):
+    monkeypatch.setattr(docs, "EARLY_PAGES", 2)
     pages = random_pages(spark, 120, seed=31).cache()
     want = docs.silver_chunks(pages)
     assert rows_of(docs.silver_chunks(pages, in_row_chars=0)) == rows_of(want)
