@@ -17,7 +17,7 @@ from lexweave.operators.rows import small_side
 from lexweave.plans import medallion, rag
 from lexweave.sinks import files as file_sinks
 from lexweave.sources import files, tables
-from lexweave.storage import new_dir
+from lexweave.storage import materialize, new_dir
 
 _ANSWERS = sql.with_(sql.ANSWERS)
 
@@ -89,7 +89,7 @@ def _prompt_sql() -> str:
 )
 def rag_prompt(spark, sf_dir):
     """Questions whose best hit scores below 0.8 count as without results."""
-    hits = rag_hits(spark, sf_dir)
+    hits = materialize(rag_hits(spark, sf_dir), "hits")
     found = hits.where("rank = 1 AND score >= 0.8").select("query_id")
     contexts = context.build_context(hits).join(found, "query_id", "left_semi")
     return context.rag_prompts(inputs.questions(spark, sf_dir), contexts)

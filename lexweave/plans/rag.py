@@ -89,7 +89,10 @@ def ask(
 ) -> DataFrame:
     """Answer record per question with its ranked sources."""
     check_top_k(top_k, MAX_TOP_K)
-    hits = retrieve(questions, embedded, top_k, encoder)
+    if not questions.where(F.coalesce(F.col("question") == "", F.lit(True))).isEmpty():
+        raise ValueError("questions must not be empty")
+    # Read twice below, and not to be searched again when an answer is retried.
+    hits = materialize(retrieve(questions, embedded, top_k, encoder), "hits")
     prompts = context.rag_prompts(questions, context.build_context(hits))
     answers = context.generate_answers(prompts, model)
     listed = hits.groupBy("query_id").agg(

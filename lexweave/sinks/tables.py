@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from lexweave import schemas
 from lexweave.sources.tables import Target
-from lexweave.storage import new_dir
+from lexweave.storage import materialize, new_dir
+
+# Incoming keys broadcast at most by an upsert.
+MAX_BROADCAST_KEYS = 500_000
 
 
 def create_tables(spark: SparkSession, target: Target, location: str | None = None) -> None:
@@ -39,21 +42,24 @@ def recreate_table(spark: SparkSession, target: Target, name: str) -> None:
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, order: Column) -> DataFrame:
     """One row per key: the incoming row if there is one, and of several the last
-    in ``order``.  Partial aggregation keeps a repeated key cheap."""
-    both = existing.withColumn("_new", F.lit(0)).unionByName(
-        incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True
-    )
-    rest = [c for c in existing.columns if c != key]
-    return (
-        both.groupBy(key)
-        .agg(
-            F.max_by(F.struct(*rest), F.struct(F.col("_new"), order.alias("_order"))).alias(
-                "_row"
-            )
-        )
+    in ``order``.
+
+    ``existing`` has one row per key already, so it is only relieved of incoming
+    keys and not shuffled while those are few.  A key that repeats is reduced by
+    partial aggregation.
+    """
+    rest = F.struct(*[c for c in existing.columns if c != key])
+    latest = materialize(
+        incoming.groupBy(key)
+        .agg(F.max_by(rest, order).alias("_row"))
         .select(key, "_row.*")
-        .select(*existing.columns)
+        .select(*existing.columns),
+        "incoming",
     )
+    keys = latest.select(key)
+    if latest.count() <= MAX_BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return existing.join(keys, key, "left_anti").select(*existing.columns).unionByName(latest)
 
 
 def swap_table(df: DataFrame, target: Target, name: str) -> int:

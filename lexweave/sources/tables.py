@@ -78,5 +78,7 @@ def golden_dataset(spark: SparkSession, path: str, *, multi_line: bool = True) -
     return spark.read.schema(schemas.GOLDEN).option("multiLine", multi_line).json(path)
 
 
-def registry(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.REGISTRY).parquet(path)
+def registry(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Ingested documents; JSON registries may be one array over many lines."""
+    reader = spark.read.schema(schemas.REGISTRY).format(fmt)
+    return (reader.option("multiLine", True) if fmt == "json" else reader).load(path)

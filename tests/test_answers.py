@@ -94,6 +94,9 @@ def test_ask_end_to_end(spark):
     assert int(record.answer) > len(record.context)
     with pytest.raises(ValueError):
         rag.ask(questions, index, None, 21)
+    blank = spark.createDataFrame([(5, "")], "query_id bigint, question string")
+    with pytest.raises(ValueError, match="must not be empty"):
+        rag.ask(blank, index, None)
 
 
 def test_citations_and_links(spark):

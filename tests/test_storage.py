@@ -218,6 +218,36 @@ def test_registry_grows_and_known_sources_are_skipped(spark, tmp_path):
     assert tables.registry(spark, path).count() == 2
 
 
+def test_json_registry(spark, tmp_path):
+    path = tmp_path / "documents.json"
+    path.write_text('[{"document_id": "a",\n "chunk_count": 3}, {"document_id": "b"}]')
+    rows = tables.registry(spark, str(path), "json").collect()
+    assert {(r.document_id, r.chunk_count) for r in rows} == {("a", 3), ("b", None)}
+
+
+def test_ingest_into_a_store_twice(spark, target, tmp_path):
+    spark.sql(f"CREATE SCHEMA {target.namespace}")
+    store = rag.Store(target, str(tmp_path / "json"), str(tmp_path / "registry"))
+
+    def extracted(*rows):
+        return spark.createDataFrame(
+            [(d, f"{d}.pdf", 1, text, error) for d, text, error in rows], f"{PAGES}, error string"
+        )
+
+    first = extracted(("a", GDPR, None), ("b", "old text", None), ("c", None, "unreadable"))
+    assert [r.document_id for r in rag.ingest_into(first, store).collect()] == ["c"]
+    rag.ingest_into(extracted(("b", "new text", None)), store)
+    index = spark.table(target.table("chunk_index"))
+    assert {r.chunk_uid: r.chunk_text for r in index.collect()} == {
+        "a_art_1_p_0": "Article 1 Subject matter Rules.",
+        "b_chunk_0": "new text",
+    }
+    assert tables.registry(spark, store.registry_dir).count() == 3
+    assert tables.chunk_json_source(spark, f"{store.json_dir}/*").count() == 3
+    rag.ingest_into(extracted(("d", "more", None)), store, recreate=True)
+    assert [r.chunk_uid for r in spark.table(target.table("chunk_index")).collect()] == ["d_chunk_0"]
+
+
 def test_source_manifest(spark):
     rows = spark.createDataFrame([("32016R0679_EN",)], "document_id string")
     (row,) = files.source_manifest(rows).collect()
