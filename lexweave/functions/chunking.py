@@ -221,6 +221,10 @@ def articles_of(body: Column) -> Column:
     return let(cut_at(body, ARTICLE_HEADING), entries)
 
 
+def annex_title(number: Column) -> Column:
+    return F.concat_ws(" ", F.lit("Annex"), number)
+
+
 def annex_entry(raw: Column, number: Column) -> Column:
     """(number, text, parts) of one annex."""
     return let(
@@ -250,7 +254,7 @@ def annexes_of(annex: Column) -> Column:
     return let(cut_at(annex, ANNEX_HEADING), entries)
 
 
-def _chunk(
+def chunk_struct(
     kind: str,
     text: Column,
     *,
@@ -280,7 +284,7 @@ def _chunk(
 def chunks_of_article(a: Column) -> Column:
     return F.transform(
         a["parts"],
-        lambda part, i: _chunk(
+        lambda part, i: chunk_struct(
             "article",
             normalize_ws(part),
             article=a["number"],
@@ -298,11 +302,11 @@ def article_chunks(body: Column) -> Column:
 def chunks_of_annex(a: Column) -> Column:
     return F.transform(
         a["parts"],
-        lambda part, i: _chunk(
+        lambda part, i: chunk_struct(
             "annex",
             normalize_ws(part),
             annex=a["number"],
-            title=F.concat_ws(" ", F.lit("Annex"), a["number"]),
+            title=annex_title(a["number"]),
             index=i,
             count=F.size(a["parts"]),
         ),
@@ -321,7 +325,7 @@ def fallback_chunks(body: Column) -> Column:
 
 def chunks_of_windows(texts: Column) -> Column:
     filled = F.filter(F.transform(texts, normalize_ws), lambda t: t != "")
-    return F.transform(filled, lambda t: _chunk("fallback", t))
+    return F.transform(filled, lambda t: chunk_struct("fallback", t))
 
 
 def chunk_array(text: Column) -> Column:

@@ -7,7 +7,7 @@ border, so each block is cleaned and cut by itself.  Pieces of an article or
 annex that spans blocks are then joined, as are fixed windows, by their offset.
 Only block numbers, lengths and counts are ordered per document.
 
-What must fit in a row is a block, an article, or an annex.
+What must fit in a row is a block or an article.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from lexweave.functions.text import (
     NOISE_LINES,
     clean_lines,
     lstrip,
+    normalize_ws,
     rstrip,
     strip,
 )
@@ -186,13 +187,14 @@ def _split_regions(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return body, annex
 
 
-def _sections(region: DataFrame, heading: str) -> DataFrame:
-    """Sections of a region as (document, major, minor, raw, overlap, has_heading).
+def _section_pieces(region: DataFrame, heading: str) -> DataFrame:
+    """Pieces of sections as (document, block, major, minor, raw, overlap).
 
     A section starts at a heading and is known by the block and number of that
     heading; the text before the first heading is section 0 of the first block.
-    ``overlap`` is the text just in front of a section, empty for the first with
-    a heading.
+    Its pieces come one from each block it touches.  ``overlap`` is the text just
+    in front of the section, given with its first piece; it is empty for the first
+    section with a heading.
     """
     cut = region.withColumn("segments", chunking.cut_at(F.col("text"), heading))
     in_order = Window.partitionBy("document_id").orderBy("block")
@@ -222,7 +224,7 @@ def _sections(region: DataFrame, heading: str) -> DataFrame:
     )
     before_block = F.array_join(F.concat("tails", F.array(F.lit(""))), "\n")
     preamble = F.struct(F.col("first_block").alias("major"), F.lit(0).alias("minor"))
-    segments = (
+    pieces = (
         each(
             cut.join(blocks, ["document_id", "block"]).withColumn("before", before_block),
             [*_DOCUMENT, "block", "earlier", "first_block", "before"],
@@ -267,70 +269,126 @@ def _sections(region: DataFrame, heading: str) -> DataFrame:
             ).otherwise(F.lit("")),
         )
     )
-    return (
-        segments.groupBy(*_DOCUMENT, "section")
+    overlap = F.when(F.col("i") > 0, F.col("overlap"))
+    return pieces.select(*_DOCUMENT, "block", "section.*", "s.raw", overlap.alias("overlap"))
+
+
+def _article_units(body: DataFrame) -> DataFrame:
+    articles = (
+        _section_pieces(body, ARTICLE_HEADING)
+        .where("minor > 0")
+        .groupBy(*_DOCUMENT, "major", "minor")
         .agg(
             F.array_join(
                 F.transform(
-                    F.array_sort(F.collect_list(F.struct("block", "s.raw"))),
-                    lambda p: p["raw"],
+                    F.array_sort(F.collect_list(F.struct("block", "raw"))), lambda p: p["raw"]
                 ),
                 "\n",
             ).alias("raw"),
-            F.max(F.when(F.col("i") > 0, F.col("overlap"))).alias("overlap"),
-            F.max(F.col("i") > 0).alias("has_heading"),
+            F.max("overlap").alias("overlap"),
         )
-        .select(*_DOCUMENT, "section.*", "raw", "overlap", "has_heading")
     )
-
-
-def _article_units(body: DataFrame) -> DataFrame:
-    articles = _sections(body, ARTICLE_HEADING).where("has_heading")
     entry = chunking.article_entry(F.col("raw"), F.col("overlap"))
     return articles.select(
-        *_DOCUMENT, "major", "minor", let(entry, chunking.chunks_of_article).alias("chunks")
+        *_DOCUMENT,
+        "major",
+        F.lit(0).alias("minor"),
+        F.lit(0).alias("part_group"),
+        F.col("minor").alias("position"),
+        let(entry, chunking.chunks_of_article).alias("chunks"),
     )
 
 
 def _annex_units(annex: DataFrame) -> DataFrame:
-    sections = _sections(annex, ANNEX_HEADING)
-    headed = sections.where("has_heading").select("document_id").distinct()
-    number = F.when(F.col("has_heading"), chunking.annex_number(F.col("raw")))
-    entry = chunking.annex_entry(F.col("raw"), number)
-    with_heading = sections.where("has_heading")
-    without = sections.where("NOT has_heading").join(headed, "document_id", "left_anti")
-    return with_heading.unionByName(without).select(
-        *_DOCUMENT, "major", "minor", let(entry, chunking.chunks_of_annex).alias("chunks")
+    """Annexes by windows, since an annex may be most of a document."""
+    cut = _section_pieces(annex, ANNEX_HEADING)
+    headed = cut.where("minor > 0").select("document_id").distinct()
+    pieces = (
+        cut.where("minor > 0")
+        .unionByName(cut.where("minor = 0").join(headed, "document_id", "left_anti"))
+        .withColumn(
+            "text",
+            F.when(F.col("block") == F.col("major"), lstrip(F.col("raw"))).otherwise(
+                F.col("raw")
+            ),
+        )
+    )
+    section = ["document_id", "major", "minor"]
+    placed = _with_start(pieces, section)
+    firm = rstrip(F.col("text"))
+    facts = placed.groupBy(*section).agg(
+        F.max(
+            F.when(
+                (F.col("block") == F.col("major")) & (F.col("minor") > 0),
+                chunking.annex_number(F.col("raw")),
+            )
+        ).alias("number"),
+        F.max(F.when(firm != "", F.col("start") + F.length(firm))).alias("chars"),
+    )
+    step = MAX_CHARS - PART_OVERLAP
+    is_split = F.col("chars") > MAX_CHARS
+    chunk = chunking.chunk_struct(
+        "annex",
+        normalize_ws(F.col("text")),
+        annex=F.col("number"),
+        title=chunking.annex_title(F.col("number")),
+        index=F.col("window"),
+        count=F.when(is_split, F.ceil(F.col("chars") / step)).otherwise(F.lit(1)),
+    )
+    return (
+        _window_texts(placed, ["major", "minor"], PART_OVERLAP)
+        .join(facts, section)
+        .where((F.col("window") == 0) | (is_split & (F.col("window") * step < F.col("chars"))))
+        .select(
+            *_DOCUMENT,
+            "major",
+            "minor",
+            F.expr(f"window div {WINDOW_GROUP}").alias("part_group"),
+            F.col("window").alias("position"),
+            F.array(chunk).alias("chunks"),
+        )
     )
 
 
-def _window_units(body: DataFrame) -> DataFrame:
-    """Fixed windows over region text, put together from the blocks they touch."""
-    step = MAX_CHARS - FALLBACK_OVERLAP
-    in_order = Window.partitionBy("document_id").orderBy("block")
-    offsets = body.select(
-        "document_id", "block", (F.length("text") + 1).cast("bigint").alias("chars")
-    ).select(
-        "document_id",
-        "block",
-        F.coalesce(F.sum("chars").over(in_order.rowsBetween(*_BEFORE)), F.lit(0)).alias("start"),
+def _fallback_units(body: DataFrame) -> DataFrame:
+    """Fixed windows over a whole body."""
+    texts = _window_texts(_with_start(body, ["document_id"]), [], FALLBACK_OVERLAP)
+    return texts.select(
+        *_DOCUMENT,
+        F.lit(0).alias("major"),
+        F.lit(0).alias("minor"),
+        F.expr(f"window div {WINDOW_GROUP}").alias("part_group"),
+        F.col("window").alias("position"),
+        chunking.chunks_of_windows(F.array("text")).alias("chunks"),
     )
-    placed = body.join(offsets, ["document_id", "block"]).withColumn(
-        "text", F.concat("text", F.lit("\n"))
+
+
+def _with_start(pieces: DataFrame, key: list[str]) -> DataFrame:
+    """Pieces with their offset in the text that they make up, joined by newlines."""
+    in_order = Window.partitionBy(*key).orderBy("block").rowsBetween(*_BEFORE)
+    starts = pieces.select(
+        *key, "block", (F.length("text") + 1).cast("bigint").alias("chars")
+    ).select(
+        *key, "block", F.coalesce(F.sum("chars").over(in_order), F.lit(0)).alias("start")
     )
+    return pieces.join(starts, [*key, "block"])
+
+
+def _window_texts(placed: DataFrame, key: list[str], overlap: int) -> DataFrame:
+    """Windows (document, key, window, text) put together from the pieces they touch."""
+    step = MAX_CHARS - overlap
+    rows = placed.withColumn("text", F.concat("text", F.lit("\n")))
     first = F.greatest(F.ceil((F.col("start") - MAX_CHARS + 1) / step), F.lit(0))
     last = F.floor((F.col("start") + F.length("text") - 1) / step)
-    touched = placed.select(
-        *_DOCUMENT, "block", "start", "text", F.explode(F.sequence(first, last)).alias("window")
-    )
     begin = F.col("window") * step - F.col("start")
     piece = F.col("text").substr(
         (F.greatest(begin, F.lit(0)) + 1).cast("int"),
         (F.least(begin + MAX_CHARS, F.length("text")) - F.greatest(begin, F.lit(0))).cast("int"),
     )
-    texts = (
-        touched.select(*_DOCUMENT, "block", "window", piece.alias("piece"))
-        .groupBy(*_DOCUMENT, "window")
+    return (
+        rows.withColumn("window", F.explode(F.sequence(first, last)))
+        .select(*_DOCUMENT, *key, "block", "window", piece.alias("piece"))
+        .groupBy(*_DOCUMENT, *key, "window")
         .agg(
             F.array_join(
                 F.transform(
@@ -341,49 +399,45 @@ def _window_units(body: DataFrame) -> DataFrame:
             ).alias("text")
         )
     )
-    return texts.select(
-        *_DOCUMENT,
-        F.expr(f"window div {WINDOW_GROUP}").alias("major"),
-        F.col("window").alias("minor"),
-        chunking.chunks_of_windows(F.array("text")).alias("chunks"),
-    )
 
 
 def chunk_long_documents(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
     """(document_id, file_name, chunk_id, c) rows, ``c`` being the chunk struct."""
     blocks = materialize(clean_blocks(pages, block_pages), "blocks")
     body, annex = _split_regions(blocks)
-    articles = _article_units(body)
     with_articles = body.where(F.col("text").rlike(ARTICLE_HEADING)).select("document_id")
-    windows = _window_units(body.join(with_articles.distinct(), "document_id", "left_anti"))
+    without_articles = body.join(with_articles.distinct(), "document_id", "left_anti")
+    group = ["major", "minor", "part_group"]
 
-    def ranked(units: DataFrame, region: int) -> DataFrame:
+    def in_region(units: DataFrame, region: int) -> DataFrame:
         return units.select(
             *_DOCUMENT,
             F.lit(region).alias("region"),
-            F.col("major").cast("bigint").alias("major"),
-            F.col("minor").cast("bigint").alias("minor"),
+            *[F.col(c).cast("bigint").alias(c) for c in (*group, "position")],
             "chunks",
         )
 
     units = materialize(
-        ranked(articles, 0).unionByName(ranked(windows, 0)).unionByName(
-            ranked(_annex_units(annex), 1)
-        ),
+        in_region(_article_units(body), 0)
+        .unionByName(in_region(_fallback_units(without_articles), 0))
+        .unionByName(in_region(_annex_units(annex), 1)),
         "units",
     )
     # Number chunks by group totals first, then within each group.
-    group = ["document_id", "region", "major"]
-    groups = units.groupBy(*group).agg(F.sum(F.size("chunks")).alias("chunk_total"))
-    before_group = Window.partitionBy("document_id").orderBy("region", "major")
-    starts = groups.select(
-        *group,
-        F.coalesce(
-            F.sum("chunk_total").over(before_group.rowsBetween(*_BEFORE)), F.lit(0)
-        ).alias("group_start"),
+    key = ["document_id", "region", *group]
+    before_group = (
+        Window.partitionBy("document_id").orderBy("region", *group).rowsBetween(*_BEFORE)
+    )
+    starts = (
+        units.groupBy(*key)
+        .agg(F.sum(F.size("chunks")).alias("chunk_total"))
+        .select(
+            *key,
+            F.coalesce(F.sum("chunk_total").over(before_group), F.lit(0)).alias("group_start"),
+        )
     )
-    before_unit = Window.partitionBy(*group).orderBy("minor").rowsBetween(*_BEFORE)
-    numbered = units.join(starts, group).withColumn(
+    before_unit = Window.partitionBy(*key).orderBy("position").rowsBetween(*_BEFORE)
+    numbered = units.join(starts, key).withColumn(
         "first_id",
         F.col("group_start")
         + F.coalesce(F.sum(F.size("chunks")).over(before_unit), F.lit(0)),
