@@ -62,6 +62,22 @@ def source_block(spark, sf_dir):
     return context.source_context(rag_hits(spark, sf_dir))
 
 
+@query(
+    "answer_sources",
+    RAG_HITS
+    + """SELECT query_id, rank AS source_index, chunk_uid, file_name AS source_file,
+      page_number AS page, article_number, round(score, 6) AS score,
+      round(distance, 6) AS distance, title, regulation_family, source_path,
+      substr(chunk_text, 1, 1200) AS text FROM hits""",
+)
+def answer_sources(spark, sf_dir):
+    """The sources listed next to an answer."""
+    rows = context.sources(rag_hits(spark, sf_dir))
+    return rows.withColumns(
+        {c: F.round(c, 6) for c in ("score", "distance")}
+    )
+
+
 def _sql_text(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

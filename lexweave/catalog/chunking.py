@@ -17,10 +17,6 @@ _CHUNKS = sql.LEGAL_CHUNKS
 _TEXTS = sql.with_(sql.LEGAL)
 
 
-def _md5(column: str):
-    return F.md5(F.col(column).cast("binary")).alias(f"{column}_md5")
-
-
 # All texts: the documents table, and the legal documents with their headers.
 def _all_texts(spark, sf_dir):
     return inputs.plain_documents(spark, sf_dir).unionByName(

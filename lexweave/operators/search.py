@@ -483,6 +483,29 @@ def search_rows(results: DataFrame) -> DataFrame:
     )
 
 
+def result_records(results: DataFrame) -> DataFrame:
+    """Result rows as (query, rank, label, content, metadata, distance)."""
+    return results.select(
+        "query_id",
+        "rank",
+        "chunk_uid",
+        F.col("chunk_text").alias("content"),
+        F.struct(
+            F.col("file_name").alias("source_file"),
+            "regulation_title",
+            "document_version",
+            "article_number",
+            "annex_number",
+            F.col("page_number").alias("page"),
+            "part_index",
+            "part_count",
+            F.col("chunk_type").alias("type"),
+            "title",
+        ).alias("metadata"),
+        "distance",
+    )
+
+
 def encode_nulls(chunks: DataFrame, *extra: str) -> DataFrame:
     """Chunk metadata for stores without nulls: -1 for the page, '' for texts."""
 

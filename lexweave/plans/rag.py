@@ -13,7 +13,13 @@ from lexweave.operators import context
 from lexweave.operators.documents import silver_chunks
 from lexweave.operators.embed import Encoder, embed_chunks, embed_questions
 from lexweave.operators.enrich import first_page_metadata, with_metadata
-from lexweave.operators.search import CHUNK_KEYS, DEFAULT_TOP_K, check_top_k, vector_search
+from lexweave.operators.search import (
+    CHUNK_KEYS,
+    DEFAULT_TOP_K,
+    check_top_k,
+    result_records,
+    vector_search,
+)
 from lexweave.sinks.files import append_registry, chunk_documents_json, write_chunk_json
 from lexweave.sinks.tables import swap_table, upsert
 from lexweave.sources.tables import Target
@@ -95,12 +101,9 @@ def ask(
     hits = materialize(retrieve(questions, embedded, top_k, encoder), "hits")
     prompts = context.rag_prompts(questions, context.build_context(hits))
     answers = context.generate_answers(prompts, model)
-    listed = hits.groupBy("query_id").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct("rank", "chunk_uid", "file_name", "page_number", "score", "chunk_text")
-            )
-        ).alias("retrieved_chunks")
+    record = F.struct("rank", "chunk_uid", "content", "metadata", "distance")
+    listed = result_records(hits).groupBy("query_id").agg(
+        F.array_sort(F.collect_list(record)).alias("retrieved_chunks")
     )
     return answers.join(listed, "query_id", "left")
 

@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave import schemas
 from lexweave.functions.text import non_empty
 from lexweave.operators.enrich import REGULATION_FAMILIES, lookup
 from lexweave.operators.rows import each
@@ -133,7 +132,3 @@ def source_manifest(documents: DataFrame) -> DataFrame:
         celex.alias("celex_id"),
         non_empty(F.substring_index(title, "_", -1)).alias("language"),
     )
-
-
-def page_columns() -> list[str]:
-    return schemas.PAGES.fieldNames()

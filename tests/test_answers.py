@@ -90,7 +90,10 @@ def test_ask_end_to_end(spark):
     index = embed_chunks(rag.ingest(pages))
     questions = spark.createDataFrame([(5, "fines imposed on operators")], "query_id bigint, question string")
     (record,) = rag.ask(questions, index, lambda q, p: p.str.len().astype(str), 1).collect()
-    assert [c.chunk_uid for c in record.retrieved_chunks] == ["d_art_2_p_0"]
+    (chunk,) = record.retrieved_chunks
+    assert (chunk["rank"], chunk.chunk_uid) == (1, "d_art_2_p_0")
+    assert chunk.metadata.source_file == "d.pdf" and chunk.metadata.page == 2
+    assert "Penalties" in chunk.content and 0 <= chunk.distance < 1
     assert int(record.answer) > len(record.context)
     with pytest.raises(ValueError):
         rag.ask(questions, index, None, 21)
