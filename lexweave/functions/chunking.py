@@ -34,12 +34,12 @@ TITLE_MAX_CHARS = 150
 TITLE_LINES = 3
 
 # The structure of a regulation text.
-ARTICLE_HEADING = rf"(?mdi)^{WS}*Article{WS}+({DIGIT}+[A-Za-z]?){WS}*$"
-ANNEX_START = rf"(?md)^{WS}*ANNEX(?:ES)?(?!{WORD})"
-ANNEX_HEADING = rf"(?md)^{WS}*ANNEX(?:ES)?{WS}+([IVX]+)?{WS}*$"
-PARAGRAPH_BREAK = rf"\n(?=(?:\([A-Za-z0-9]+\)|{DIGIT}+\.){WS})"
+ARTICLE_HEADING = rf"(?mdiU)^{WS}*Article{WS}+({DIGIT}+[A-Za-z]?){WS}*$"
+ANNEX_START = rf"(?mdU)^{WS}*ANNEX(?:ES)?(?!{WORD})"
+ANNEX_HEADING = rf"(?mdU)^{WS}*ANNEX(?:ES)?{WS}+([IVX]+)?{WS}*$"
+PARAGRAPH_BREAK = rf"(?U)\n(?=(?:\([A-Za-z0-9]+\)|{DIGIT}+\.){WS})"
 NOT_A_TITLE = rf"^(?:{DIGIT}+\.|\({DIGIT}+\)|L {DIGIT}+/{DIGIT}+)|Official Journal|^EN$"
-FIRST_PARAGRAPH_MARK = rf"(?s)((?:\({WORD}+\)|{DIGIT}+\.){WS}.*)"
+FIRST_PARAGRAPH_MARK = rf"(?sU)((?:\({WORD}+\)|{DIGIT}+\.){WS}.*)"
 
 # Prefix lengths tried, longest first, when looking for a page.
 PAGE_TIERS = (200, 100, 50)

@@ -1,7 +1,7 @@
 """Text expressions: cleaning, normalising, document metadata, escaping.
 
-Patterns spell out Unicode white space, digits and word characters, because the
-JVM's ``\\s``, ``\\d`` and ``\\w`` are ASCII-only by default.  Line anchors use
+Patterns ask for Unicode white space (``(?U)``), digits and word characters, because
+the JVM's ``\\s``, ``\\d`` and ``\\w`` are ASCII-only by default.  Line anchors use
 ``(?d)`` so that only ``\\n`` ends a line.
 """
 
@@ -27,13 +27,10 @@ WS_CHARS = "".join(
     )
     for point in range(first, last + 1)
 )
-WS = (
-    r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-)
+# Patterns with WS in them need the U flag.
+WS = r"[\s\x1c-\x1f]"
 # Runs that are not already a single space.
-WS_RUN = rf"{WS}{{2,}}|{WS}(?<! )"
-BLANK_RUN = r"[ \t]{2,}|\t"
+WS_RUN = rf"(?U){WS}{{2,}}|[\s\x1c-\x1f&&[^ ]]"
 DIGIT = r"\p{Nd}"
 WORD = r"[\p{L}\p{N}_]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
@@ -99,10 +96,12 @@ def clean_text(text: Column) -> Column:
 
 def clean_lines(text: Column) -> Column:
     """``clean_text`` but for the stripping, so that it applies to part of a text."""
-    out = F.translate(text, DELETED_CHARS, "")
+    out = text
+    for char in DELETED_CHARS:
+        out = F.replace(out, F.lit(char), F.lit(""))
     for line in NOISE_LINES:
-        out = F.regexp_replace(out, rf"(?md)^{WS}*{line}{WS}*$", "")
-    out = F.regexp_replace(out, BLANK_RUN, " ")
+        out = F.regexp_replace(out, rf"(?mdU)^{WS}*{line}{WS}*$", "")
+    out = F.regexp_replace(F.replace(out, F.lit("\t"), F.lit(" ")), "  +", " ")
     return F.regexp_replace(out, r"\n{3,}", "\n\n")
 
 
