@@ -11,6 +11,7 @@ import pytest
 
 import __spark_entry__ as contract
 import check_oracle
+from lexweave.catalog.registry import ORACLES, QUERIES
 from tests.conftest import plan_of
 
 
@@ -19,7 +20,7 @@ def con(sf_dir):
     return check_oracle.connection(sf_dir)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, con, sf_dir, name):
     problem = check_oracle.compare(spark, con, sf_dir, name)
     # At the smallest scale a filter may leave nothing; the larger ones have rows.
@@ -27,7 +28,7 @@ def test_query_matches_sql(spark, con, sf_dir, name):
 
 
 def test_every_query_has_a_twin():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
