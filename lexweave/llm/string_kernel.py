@@ -87,59 +87,66 @@ def by_length(strings: list[str]) -> dict[int, list[int]]:
     return found
 
 
-def primal(landmarks: list[str], weights: np.ndarray) -> np.ndarray:
-    """The weighted sum of the landmarks in feature space."""
-    total = np.zeros(LETTERS**LENGTH, np.float64)
-    for landmark, weight in zip(landmarks, weights, strict=True):
-        codes = encode([landmark])
-        numbers, spans = features(codes)
-        norm = float(np.sqrt(kernel(codes, codes)[0]))
-        if norm > 0:
-            np.add.at(total, numbers[0], weight * spans / norm)
-    return total.astype(np.float32)
-
-
-def project(strings: list[str], direction: np.ndarray, batch: int = 2048) -> np.ndarray:
-    """Inner product of each (unit length) string with a vector of feature space."""
-    out = np.zeros(len(strings), np.float32)
-    for length, rows in by_length(strings).items():
-        if length < LENGTH:
-            continue
-        for i in range(0, len(rows), batch):
-            part = rows[i : i + batch]
-            codes = encode([strings[r] for r in part])
-            numbers, spans = features(codes)
-            norm = np.sqrt(kernel(codes, codes))
-            out[part] = direction[numbers] @ spans / np.maximum(norm, 1e-12)
-    return out
-
-
-def gram(strings: list[str], landmarks: list[str]) -> np.ndarray:
+class Prepared:
+    """Strings with their subsequences and norms, to be projected again and again."""
+
+    def __init__(self, strings: list[str], batch: int = 2048):
+        self.n, self.parts = len(strings), []
+        for length, rows in by_length(strings).items():
+            if length < LENGTH:
+                continue
+            for i in range(0, len(rows), batch):
+                part = rows[i : i + batch]
+                codes = encode([strings[r] for r in part])
+                numbers, spans = features(codes)
+                norm = np.sqrt(kernel(codes, codes))
+                self.parts.append((part, numbers, spans, np.maximum(norm, 1e-12)))
+
+    def project(self, direction: np.ndarray) -> np.ndarray:
+        """Inner product of each (unit length) string with a vector of feature space."""
+        out = np.zeros(self.n, np.float32)
+        for rows, numbers, spans, norm in self.parts:
+            out[rows] = direction[numbers] @ spans / norm
+        return out
+
+    def sum(self, weights: np.ndarray) -> np.ndarray:
+        """The weighted sum of the strings in feature space."""
+        total = np.zeros(LETTERS**LENGTH, np.float64)
+        for rows, numbers, spans, norm in self.parts:
+            np.add.at(total, numbers, (weights[rows] / norm)[:, None] * spans)
+        return total.astype(np.float32)
+
+
+def project(strings: list[str], direction: np.ndarray, batch: int = 1 << 14) -> np.ndarray:
+    """As ``Prepared.project``, of any number of strings."""
+    parts = [strings[i : i + batch] for i in range(0, len(strings), batch)]
+    return np.concatenate(
+        [np.zeros(0, np.float32), *(Prepared(part).project(direction) for part in parts)]
+    )
+
+
+def gram(strings: Prepared, landmarks: Prepared) -> np.ndarray:
     """Normalised kernel of all strings with all landmarks."""
-    columns = [project(strings, primal([mark], np.ones(1))) for mark in landmarks]
-    return np.stack(columns, axis=1)
+    units = np.eye(landmarks.n)
+    return np.stack([strings.project(landmarks.sum(unit)) for unit in units], axis=1)
 
 
-def nystrom(landmarks: list[str], floor: float = 1e-3) -> np.ndarray:
+def nystrom(landmarks: Prepared, floor: float = 1e-3) -> np.ndarray:
     """The map from kernel values with the landmarks to features (inverse square root)."""
     values, vectors = np.linalg.eigh(gram(landmarks, landmarks).astype(np.float64))
     return vectors @ np.diag(1 / np.sqrt(np.maximum(values, floor))) @ vectors.T
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Linear SVM by dual coordinate descent; the last column of ``x`` carries the bias."""
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
-    norms = np.maximum((x * x).sum(axis=1), 1e-12)
-    order = np.random.default_rng(7)
+def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Linear SVM with squared hinge loss by Newton steps on its support vectors."""
+    w = np.zeros(x.shape[1])
+    active = np.ones(len(x), bool)
     for _ in range(rounds):
-        largest = 0.0
-        for i in order.permutation(len(x)):
-            gradient = y[i] * (w @ x[i]) - 1
-            new = min(max(alpha[i] - gradient / norms[i], 0.0), cost[i])
-            if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
-                largest = max(largest, abs(new - alpha[i]))
-                alpha[i] = new
-        if largest < 1e-4:
+        weighted = x[active] * cost[active][:, None]
+        hessian = weighted.T @ x[active] + np.eye(x.shape[1])
+        w = np.linalg.solve(hessian, weighted.T @ y[active])
+        now = y * (x @ w) < 1
+        if (now == active).all():
             break
+        active = now
     return w

@@ -2,11 +2,12 @@
 
 Labels belong to documents, insults to single words, so training is multiple-instance:
 sentences of clean documents hold only clean words, those of toxic documents hold at
-least one witness.  Witnesses are the fewest words that cover the toxic documents and
-that clean ones hardly have (greedy cover).  The SVM learns witnesses, also with a
-character inserted, against clean words; clean words that score highest are added and it
-learns again.  A document's margin is that of its worst word, a logistic curve fitted on
-the training documents turns it into a score.
+least one witness.  Witnesses are words that clean documents hardly have and toxic ones
+have in more different contexts (following words, so that copies count once) than chance
+explains; the documents they leave open are covered greedily by further words.  The SVM
+learns witnesses, also with a character inserted, against clean words; clean words that
+score highest are added and it learns again.  A document's margin is that of its worst
+word, a logistic curve fitted on the training documents turns it into a score.
 
 A word is a run of other than white space, without punctuation around it; it is also read
 with its letters only, and three or more single characters in a row are read as one word.
@@ -18,6 +19,7 @@ them is toxic, every score is the share of toxic rows, 0.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -33,9 +35,9 @@ from lexweave.operators.rows import small_side
 from lexweave.storage import materialize
 
 MAX_TRAINING_ROWS = 20_000
-CANDIDATES = 1_500
-WITNESSES = 240
-LANDMARKS = 160
+CANDIDATES = 3_000
+WITNESSES = 300
+LANDMARKS = 320
 CLEAN_WORDS = 1_500
 HARD_ROUNDS = 3
 HARD_WORDS = 400
@@ -106,30 +108,44 @@ def document_margins(model: Model, cache: dict[str, float], texts: list[str | No
 
 
 def _word_rows(batches) -> Iterator[pa.RecordBatch]:
+    """Every word of a document once, with a hash of what follows its first occurrence."""
     for batch in batches:
-        doc, toxic, word = [], [], []
+        doc, toxic, word, near = [], [], [], []
         for d, y, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found = {EDGES.sub("", w) for w in words_of(text)} - {""}
-            doc += [d] * len(found)
-            toxic += [y] * len(found)
-            word += found
+            tokens = (text or "").lower().split()
+            follows = dict(zip(reversed(tokens), ["", *reversed(tokens[1:])], strict=True))
+            plain = {EDGES.sub("", t): zlib.crc32(n.encode()) for t, n in follows.items()}
+            plain.update((EDGES.sub("", w), 0) for w in words_of(text) if w not in follows)
+            plain.pop("", None)
+            doc += [d] * len(plain)
+            toxic += [y] * len(plain)
+            word += plain
+            near += plain.values()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(toxic, pa.int32()), pa.array(word, pa.string())],
-            names=["doc", "toxic", "word"],
+            [
+                pa.array(doc, pa.int64()),
+                pa.array(toxic, pa.int32()),
+                pa.array(word, pa.string()),
+                pa.array(near, pa.int64()),
+            ],
+            names=["doc", "toxic", "word", "near"],
         )
 
 
-def _cover(pairs: list[tuple[int, str]], n_toxic: dict[str, int]) -> list[str]:
-    """Words that cover the documents, most wanted first, until all are covered."""
+def _cover(pairs: list[tuple[int, str]], contexts: dict[str, int], enough: float) -> list[str]:
+    """Words in enough contexts, then those that cover most of the documents left open."""
     docs_of: dict[str, set[int]] = defaultdict(set)
     for doc, word in pairs:
         docs_of[word].add(doc)
+    by_contexts = sorted(docs_of, key=lambda w: (-contexts[w], w))
+    chosen = [w for w in by_contexts if contexts[w] >= enough][:WITNESSES]
     left = set().union(*docs_of.values()) if docs_of else set()
-    chosen: list[str] = []
-    while left and len(chosen) < WITNESSES:
-        word = max(docs_of, key=lambda w: (len(docs_of[w] & left), n_toxic[w], w))
+    for word in chosen:
+        left -= docs_of.pop(word)
+    while left and docs_of and len(chosen) < WITNESSES:
+        word = max(docs_of, key=lambda w: (len(docs_of[w] & left), contexts[w], w))
         gained = docs_of.pop(word) & left
-        # A word that explains a single further document explains it by chance.
+        # A word that explains a single further document may do so by chance.
         if not gained or (len(gained) < 2 and len(chosen) >= 8):
             break
         chosen.append(word)
@@ -149,17 +165,17 @@ def _fit(witnesses: list[str], clean: list[str]) -> Model:
     bad = [sk.START + w + sk.END for w in witnesses if len(w) + 2 <= sk.WINDOW]
     bent = [sk.START + w + sk.END for w in _with_inserted(witnesses) if len(w) + 2 <= sk.WINDOW]
     good = [sk.windows(w)[0] for w in clean]
-    marks = bad[: LANDMARKS * 3 // 4]
-    marks = list(dict.fromkeys(marks + good[-(LANDMARKS - len(marks)) :]))
+    marks = bad[: LANDMARKS * 2 // 3]
+    marks = sk.Prepared(list(dict.fromkeys(marks + good[-(LANDMARKS - len(marks)) :])))
     whiten = sk.nystrom(marks)
-    strings = bad + bent + good
-    x = sk.gram(strings, marks) @ whiten
+    x = sk.gram(sk.Prepared(bad + bent + good), marks) @ whiten
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     y = np.concatenate([np.ones(len(bad) + len(bent)), -np.ones(len(good))])
-    cost = np.where(y > 0, 10.0 * max(1.0, len(good) / max(1, len(bad) + len(bent))), 10.0)
-    cost[len(bad) : len(bad) + len(bent)] *= 0.2
+    cost = np.full(len(y), 10.0)
+    cost[: len(bad)] = 10.0 * max(1.0, len(good) / max(1, 4 * len(bad)))
+    cost[len(bad) : len(bad) + len(bent)] = 6.0
     w = sk.svm(x, y, cost)
-    return Model(sk.primal(marks, whiten @ w[:-1]), float(w[-1]), 1.0, 0.0)
+    return Model(marks.sum(whiten @ w[:-1]), float(w[-1]), 1.0, 0.0)
 
 
 def _logistic(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -197,7 +213,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     )
     read = _word_rows
     words = materialize(
-        chosen.mapInArrow(read, "doc long, toxic int, word string"), "training-words"
+        chosen.mapInArrow(read, "doc long, toxic int, word string, near long"),
+        "training-words",
     )
     sides = {
         r["toxic"]: r["n"]
@@ -221,14 +238,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         .orderBy(F.desc("bad"), "word")
         .limit(CANDIDATES)
     )
-    n_toxic = {r["word"]: r["bad"] for r in likely.collect()}
-    pairs = (
-        words.where("toxic > 0")
-        .join(F.broadcast(likely.select("word")), "word")
-        .select("doc", "word")
-        .collect()
+    pairs = materialize(
+        words.where("toxic > 0").join(F.broadcast(likely.select("word")), "word"),
+        "training-candidates",
     )
-    witnesses = _cover([(r["doc"], r["word"]) for r in pairs], n_toxic)
+    contexts = {
+        r["word"]: r["n"]
+        for r in pairs.groupBy("word").agg(F.countDistinct("near").alias("n")).collect()
+    }
+    # As many as hardly any word has by chance, among so many words.
+    enough = np.log(100 * max(1, counted.count())) / np.log((toxic + clean) / toxic + 1e-9)
+    found = pairs.select("doc", "word").collect()
+    witnesses = _cover([(r["doc"], r["word"]) for r in found], contexts, enough)
     innocent = counted.where((F.col("good") > 0) & ~F.col("word").isin(witnesses))
     usual = [
         r["word"]
