@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -294,7 +295,7 @@ def decode_rows(df: DataFrame, model_path: str, pieces_col: str = "pieces") -> D
     vocabulary = Vocabulary.load(model_path)
 
     @F.pandas_udf("string")
-    def decoded(batches: Iterator) -> Iterator:
+    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for ids in batches:
             yield ids.map(lambda x: None if x is None else vocabulary.decode(list(x)))
 

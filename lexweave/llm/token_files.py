@@ -9,7 +9,7 @@ and renames at the end: a repeated task replaces a file by an equal one.
 
 White space ends every pre-token of the vocabulary, so texts are encoded by their distinct
 runs between blanks, each once.  Null texts are empty and hold the end id only.  Rows
-without an id come last; rows that share an id are ordered by their text.
+without an id come last; rows that share an id are ordered by a hash of their text.
 """
 
 from __future__ import annotations
@@ -198,7 +198,7 @@ def write_token_files(
     write, make = _write_shard, encoder
     shards = materialize(
         docs.repartitionByRange(partitions(spark), *order)
-        .sortWithinPartitions(order[0], "text")
+        .sortWithinPartitions(*order, "text")
         .mapInArrow(
             lambda b: write(b, folder, length, lambda: make(tokenizer_path), end_id),
             "shard long, docs long, tokens long",

@@ -113,7 +113,7 @@ def _word_rows(batches) -> Iterator[pa.RecordBatch]:
         doc, toxic, word, near = [], [], [], []
         for d, y, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             tokens = (text or "").lower().split()
-            follows = dict(zip(reversed(tokens), ["", *reversed(tokens[1:])], strict=True))
+            follows = dict(zip(reversed(tokens), ["", *reversed(tokens[1:])]))  # noqa: B905
             plain = {EDGES.sub("", t): zlib.crc32(n.encode()) for t, n in follows.items()}
             plain.update((EDGES.sub("", w), 0) for w in words_of(text) if w not in follows)
             plain.pop("", None)
