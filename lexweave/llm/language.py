@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -203,14 +204,23 @@ class TextSums:
                 self.identifier.tokens(new)
             )
             self.number.update(zip(new, range(n, n + len(new)), strict=True))
-        return np.array(list(map(self.number.__getitem__, block)), np.int64)
+        return np.fromiter(map(self.number.__getitem__, block), np.int64, len(block))
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         out = np.zeros((len(texts), self.logs.shape[1]))
-        for i, text in enumerate(texts):
-            for block in blocks(tokens_of(text or "")):
-                rows = self._rows(block)
-                out[i] += self.logs[rows].sum(axis=0)
+        for a, b in groups(texts):
+            lists = [tokens_of(t or "") for t in texts[a:b]]
+            short = [k for k, x in enumerate(lists) if isinstance(x, list) and x]
+            if short:
+                rows = self._rows(list(chain.from_iterable(lists[k] for k in short)))
+                size = np.array([len(lists[k]) for k in short])
+                out[a + np.array(short)] = np.add.reduceat(
+                    self.logs[rows], np.cumsum(size) - size, axis=0
+                )
+            for k, x in enumerate(lists):
+                if not isinstance(x, list):
+                    for block in blocks(x):
+                        out[a + k] += self.logs[self._rows(block)].sum(axis=0)
         return out[:, :-1], out[:, -1].astype(np.int64)
 
 
