@@ -230,12 +230,9 @@ def encoder(vocabulary: Vocabulary):
     table = Spellings(vocabulary.encode_units)
 
     def encode(texts: list[str | None]) -> list[np.ndarray]:
-        return [
-            table.of(found_in(vocabulary.unit, MARK + t.replace(" ", MARK)))
-            if t
-            else np.zeros(0, np.int32)
-            for t in texts
-        ]
+        return table.of_each(
+            [found_in(vocabulary.unit, MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        )
 
     return encode
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 
 # Texts are taken in groups of about so many characters.
 GROUP_CHARS = 1 << 20
-KEPT_STRINGS = 300_000
+KEPT_STRINGS = 600_000
 TOKEN = re.compile(r"\S+")
 
 
@@ -67,18 +68,31 @@ class Spellings:
         self.used += more
         self.number.update(zip(strings, range(n, n + len(strings)), strict=True))
 
+    def _rows(self, block: list[str]) -> np.ndarray:
+        if len(self.number) > KEPT_STRINGS:
+            self.clear()
+        new = list(set(block).difference(self.number))
+        if new:
+            self._add(new)
+        return np.fromiter(map(self.number.__getitem__, block), np.int64, len(block))
+
     def of(self, strings: Iterable[str]) -> np.ndarray:
         """The sequences of all strings, one after the other."""
-        out = []
+        out = [np.zeros(0, np.int32)]
         for block in blocks(strings):
-            if len(self.number) > KEPT_STRINGS:
-                self.clear()
-            new = list(set(block).difference(self.number))
-            if new:
-                self._add(new)
-            rows = np.array(list(map(self.number.__getitem__, block)), np.int64)
+            rows = self._rows(block)
             out.append(gathered(self.flat, self.start[rows], self.length[rows]))
-        return np.concatenate(out) if out else np.zeros(0, np.int32)
+        return np.concatenate(out)
+
+    def of_each(self, lists: list[Iterable[str]]) -> list[np.ndarray]:
+        """As ``of`` for each of several; new strings of all lists are spelled together."""
+        short = [x for x in lists if isinstance(x, list)]
+        rows = self._rows(list(chain.from_iterable(short)))
+        length = self.length[rows]
+        ids = gathered(self.flat, self.start[rows], length)
+        ends = np.concatenate(([0], np.cumsum(length)))[np.cumsum([0, *map(len, short)])]
+        parts = iter(np.split(ids, ends[1:-1]))
+        return [next(parts) if isinstance(x, list) else self.of(x) for x in lists]
 
 
 def blocks(strings: Iterable[str], size: int = 1 << 18) -> Iterator[list[str]]:

@@ -100,10 +100,15 @@ def test_matches_the_library(vocabulary, spark, sf_dir):
     parts = {x[:120] for r in table(spark, sf_dir, "documents").collect() for x in r.text.split("\n")}
     known = {c for i, p in enumerate(vocabulary.pieces) if vocabulary.plain[i] for c in p}
     texts = sorted(x for x in parts if x and "  " not in x and set(x) <= known | {" "})[:400]
+    checked = 0
     for text, ids in zip(texts, ps.encoder(vocabulary)(texts), strict=True):
         best = model.nbest_encode_as_ids(text, 2)[0]
+        if min(vocabulary.scores[i] for i in best) < -1e6:
+            continue
+        checked += 1
         assert sum(vocabulary.scores[i] for i in ids) == sum(vocabulary.scores[i] for i in best)
         assert model.decode(ids.tolist()) == text
+    assert checked > 200
 
 
 def test_trie_finds_all_prefixes():
