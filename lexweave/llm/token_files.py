@@ -3,7 +3,8 @@
 Documents are dealt to shards by ranges of their id, encoded in order and written as one
 stream of ids, cut into sequences of ``length``.  A shard is an Arrow IPC file whose record
 batches hold two fixed-size lists, ids and mask (0 for the padding after the last id), so
-any sequence is found by its number and read without a copy.  A second file holds id,
+any sequence is found by its number and read without a copy.  Ids take two bytes where the
+vocabulary fits into them.  A second file holds id,
 start and number of ids of the shard's documents.  A task writes under a name of its own
 and renames at the end: a repeated task replaces a file by an equal one.
 
@@ -25,6 +26,7 @@ from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lexweave.llm.tables import partitions
 from lexweave.llm.vocabulary import Spellings, found_in, groups
@@ -35,6 +37,9 @@ BATCH_SEQUENCES = 256
 END_ID = 1
 # Blanks at which the vocabulary always cuts, whatever stands around them.
 RUNS = re.compile(r"[^ \t\n\r]+")
+# A word that marks where a run ends when many are encoded as one text.
+SEPARATOR = "\x01"
+RUNS_TOGETHER = 2048
 
 
 def file_system(path: str) -> tuple[arrow_fs.FileSystem, str]:
@@ -46,24 +51,39 @@ def file_system(path: str) -> tuple[arrow_fs.FileSystem, str]:
 def encoder(tokenizer_path: str):
     """A function from a list of texts to their arrays of ids."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
     tokenizer = Tokenizer.from_file(tokenizer_path)
     tokenizer.encode_special_tokens = True
 
+    def ids(text: str) -> np.ndarray:
+        (found,) = tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, np.int32)
+
+    comma = ids(SEPARATOR)
+    if len(comma) != 1:
+        raise ValueError(f"{tokenizer_path} does not spell the separator by one id")
+
     def spell(runs: list[str]) -> list[np.ndarray]:
-        found = tokenizer.encode_batch(runs, add_special_tokens=False)
-        return [np.array(e.ids, np.int32) for e in found]
+        """Many runs are one text, with a word of its own between them."""
+        joined = [i for i, run in enumerate(runs) if SEPARATOR not in run]
+        spelled: list[np.ndarray | None] = [None] * len(runs)
+        for k in range(0, len(joined), RUNS_TOGETHER):
+            part = joined[k : k + RUNS_TOGETHER]
+            stream = ids(f" {SEPARATOR} ".join(runs[i] for i in part))
+            cuts = np.flatnonzero(stream == comma[0])
+            for i, found in zip(part, np.split(stream, cuts), strict=True):
+                spelled[i] = found
+            for i in part[1:]:
+                spelled[i] = spelled[i][1:]
+        return [ids(run) if found is None else found for run, found in zip(runs, spelled, strict=True)]
 
     table = Spellings(spell)
-    return lambda texts: [table.of(found_in(RUNS, t or "")) for t in texts]
+    return lambda texts: table.of_each([found_in(RUNS, t or "") for t in texts])
 
 
-def _types(length: int) -> tuple[pa.Schema, pa.Schema]:
+def _types(length: int, narrow: bool) -> tuple[pa.Schema, pa.Schema]:
+    ids = pa.uint16() if narrow else pa.uint32()
     return (
-        pa.schema(
-            [("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))]
-        ),
+        pa.schema([("ids", pa.list_(ids, length)), ("mask", pa.list_(pa.bool_(), length))]),
         pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())]),
     )
 
@@ -71,10 +91,11 @@ def _types(length: int) -> tuple[pa.Schema, pa.Schema]:
 class ShardWriter:
     """Writes the two files of a shard; ``close`` puts them in place."""
 
-    def __init__(self, folder: str, number: int, attempt: int, length: int):
+    def __init__(self, folder: str, number: int, attempt: int, length: int, narrow: bool):
         self.fs, root = file_system(folder)
         self.fs.create_dir(root, recursive=True)
-        self.length, self.schemas = length, _types(length)
+        self.length, self.schemas = length, _types(length, narrow)
+        self.kind = np.uint16 if narrow else np.uint32
         self.names = [f"{root}/{kind}-{number:06d}.arrow" for kind in ("ids", "docs")]
         self.drafts = [f"{n}.{attempt}.draft" for n in self.names]
         self.files = [self.fs.open_output_stream(d) for d in self.drafts]
@@ -97,13 +118,13 @@ class ShardWriter:
             self._write(False)
 
     def _write(self, last: bool) -> None:
-        stream = np.concatenate([*self.waiting, np.zeros(0, np.int32)]).astype(np.uint32)
+        stream = np.concatenate([*self.waiting, np.zeros(0, np.int32)]).astype(self.kind)
         size = self.length * BATCH_SEQUENCES
         for start in range(0, len(stream), size):
             part = stream[start : start + size]
             if len(part) < size and not last:
                 break
-            mask = np.ones(len(part), np.uint8)
+            mask = np.ones(len(part), bool)
             short = -len(part) % self.length
             part, mask = np.pad(part, (0, short)), np.pad(mask, (0, short))
             lists = [
@@ -141,8 +162,8 @@ class Shard:
         """(ids, mask) of one sequence."""
         batch = self.ids.get_batch(number // BATCH_SEQUENCES)
         at = (number % BATCH_SEQUENCES) * self.length
-        lists = [batch.column(c).flatten().to_numpy() for c in ("ids", "mask")]
-        return tuple(x[at : at + self.length] for x in lists)
+        lists = [batch.column(c).flatten()[at : at + self.length] for c in ("ids", "mask")]
+        return lists[0].to_numpy(), lists[1].to_numpy(zero_copy_only=False)
 
     def documents(self) -> Iterator[tuple[int | None, int, list[np.ndarray]]]:
         """(doc_id, start, pieces of its ids) in order."""
@@ -161,10 +182,12 @@ class Shard:
                 yield doc_id, start, pieces
 
 
-def _write_shard(batches, folder, length, make_encoder, end_id) -> Iterator[pa.RecordBatch]:
+def _write_shard(
+    batches, folder, length, make_encoder, end_id, narrow
+) -> Iterator[pa.RecordBatch]:
     encode, task = make_encoder(), TaskContext.get()
     number = task.partitionId()
-    writer = ShardWriter(folder, number, task.taskAttemptId(), length)
+    writer = ShardWriter(folder, number, task.taskAttemptId(), length, narrow)
     end = np.array([end_id], np.int32)
     for batch in batches:
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
@@ -196,11 +219,12 @@ def write_token_files(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
     write, make = _write_shard, encoder
+    narrow = max(end_id + 1, Tokenizer.from_file(tokenizer_path).get_vocab_size()) <= 1 << 16
     shards = materialize(
         docs.repartitionByRange(partitions(spark), *order)
         .sortWithinPartitions(*order, "text")
         .mapInArrow(
-            lambda b: write(b, folder, length, lambda: make(tokenizer_path), end_id),
+            lambda b: write(b, folder, length, lambda: make(tokenizer_path), end_id, narrow),
             "shard long, docs long, tokens long",
         ),
         "shards",
