@@ -111,18 +111,17 @@ def rag_prompt(spark, sf_dir):
     return context.rag_prompts(inputs.questions(spark, sf_dir), contexts)
 
 
-def first_excerpt(questions: pd.Series, prompts: pd.Series) -> pd.Series:
-    """A stand-in for a chat model: answers with the first excerpt of the prompt."""
+def all_excerpts(questions: pd.Series, prompts: pd.Series) -> pd.Series:
+    """A stand-in for a chat model: answers with the excerpts of the prompt."""
     excerpts = prompts.str.split("## Excerpts\n", n=1).str[1]
-    return excerpts.str.split("\n\n", n=1).str[0]
+    return excerpts.str.rsplit("\n\n## Question\n", n=1).str[0]
 
 
 @query(
     "ask",
     RAG_HITS.rstrip()
     + f""",\n{_CONTEXTS}
-    SELECT query_id, question, context, string_split(context, concat(chr(10), chr(10)))[1]
-        AS answer,
+    SELECT query_id, question, context, context AS answer,
       NULL::VARCHAR AS error, uids AS chunk_uids, hit_count
     FROM questions JOIN contexts USING (query_id) JOIN (
       SELECT query_id, string_agg(chunk_uid, ',' ORDER BY rank) AS uids,
@@ -130,7 +129,7 @@ def first_excerpt(questions: pd.Series, prompts: pd.Series) -> pd.Series:
 )
 def ask(spark, sf_dir):
     records = rag.ask(
-        inputs.questions(spark, sf_dir), rag_index(spark, sf_dir), first_excerpt, 5
+        inputs.questions(spark, sf_dir), rag_index(spark, sf_dir), all_excerpts, 5
     )
     return records.select(
         "query_id",
@@ -143,6 +142,41 @@ def ask(spark, sf_dir):
     )
 
 
+_SOURCE_BLOCKS = """string_agg(concat('[Source ', rank, ']', chr(10), 'File: ', file_name,
+      chr(10), 'Page: ', coalesce(CAST(page_number AS VARCHAR), 'None'),
+      chr(10), 'Article: ', coalesce(article_number, 'None'),
+      chr(10), 'Title: ', coalesce(title, 'None'),
+      chr(10), 'Regulation: ', coalesce(regulation_family, 'None'),
+      chr(10), 'Text:', chr(10), chunk_text), concat(chr(10), chr(10)) ORDER BY rank)"""
+
+
+@query(
+    "ask_with_sources",
+    RAG_HITS
+    + f"""SELECT query_id, any_value(question) AS question, {_SOURCE_BLOCKS} AS answer,
+      NULL::VARCHAR AS error, string_agg(chunk_uid, ',' ORDER BY rank) AS chunk_uids,
+      string_agg(substr(chunk_text, 1, 1200), '|' ORDER BY rank) AS previews,
+      string_agg(chunk_text, '|' ORDER BY rank) AS texts,
+      round(sum(score), 5) AS score
+    FROM hits GROUP BY query_id""",
+)
+def ask_with_sources(spark, sf_dir):
+    records = rag.ask_with_sources(
+        inputs.questions(spark, sf_dir), rag_index(spark, sf_dir), all_excerpts, 5
+    )
+    total = F.aggregate("retrieved_chunks.score", F.lit(0.0), lambda a, x: a + x)
+    return records.select(
+        "query_id",
+        "question",
+        "answer",
+        "error",
+        F.array_join("sources.chunk_uid", ",").alias("chunk_uids"),
+        F.array_join("sources.text", "|").alias("previews"),
+        F.array_join("retrieved_chunks.chunk_text", "|").alias("texts"),
+        F.round(total, 5).alias("score"),
+    )
+
+
 # -- answers -----------------------------------------------------------------
 
 
@@ -288,13 +322,13 @@ def picky_model(questions: pd.Series, prompts: pd.Series) -> pd.Series:
     """A stand-in that fails on some questions."""
     if prompts.str.contains("the", regex=False).any():
         raise ValueError("cannot answer this")
-    return questions.str.slice(0, 40)
+    return questions
 
 
 @query(
     "evaluate_failures",
     """SELECT concat(conv_id, '-', turn) AS query_id,
-      CASE WHEN contains(text, 'the') THEN NULL ELSE substr(text, 1, 40) END AS answer,
+      CASE WHEN contains(text, 'the') THEN NULL ELSE text END AS answer,
       CASE WHEN contains(text, 'the') THEN 'ValueError: cannot answer this' END AS error
     FROM conversations WHERE role = 'user'""",
 )
@@ -334,7 +368,7 @@ def medallion_build(spark, sf_dir):
     return medallion.build(
         spark,
         inputs.scratch_target(spark),
-        files.document_rows(inputs.legal_files(spark, sf_dir), inputs.VOLUME_DIR),
+        files.document_rows(inputs.legal_files(spark, sf_dir), inputs.RAW_ROOT),
         inputs.legal_pages(spark, sf_dir),
     )
 
@@ -390,3 +424,28 @@ def ingest_all(spark, sf_dir):
             "document_id", none.alias("chunk_count"), none.alias("indexed"), "error"
         )
     )
+
+
+@query(
+    "reindex_json",
+    sql.LEGAL_CHUNKS
+    + f"""SELECT chunk_uid, document_id, chunk_id, page_number, title, regulation_title,
+      chunk_text, {sql.vector_facts()}
+    FROM (SELECT *, {sql.embedding("chunk_text")} AS embedding,
+        row_number() OVER (PARTITION BY chunk_uid ORDER BY chunk_id DESC) AS rn FROM rag_chunks)
+    WHERE rn = 1""",
+)
+def reindex_json(spark, sf_dir):
+    """The chunk JSON of a store, read back and indexed without the documents."""
+    pages = inputs.legal_pages(spark, sf_dir)
+    store = rag.Store(
+        inputs.scratch_target(spark), new_dir(spark, "json"), new_dir(spark, "registry")
+    )
+    chunks = materialize(rag.ingest(pages), "chunks")
+    documents = file_sinks.chunk_documents_json(chunks, rag.registry_rows(pages, chunks))
+    file_sinks.write_chunk_json(documents, f"{store.json_dir}/first")
+    rag.reindex(spark, store)
+    return tables.table_scan(spark, store.target, store.index).select(
+        "chunk_uid", "document_id", "chunk_id", "page_number", "title", "regulation_title",
+        "chunk_text", *inputs.vector_facts(),
+    )

@@ -203,6 +203,12 @@ def chunk_union(spark, sf_dir):
     )
 
 
+@query("silver_chunks_of_long_documents", _CHUNKS + "SELECT * FROM silver")
+def silver_chunks_of_long_documents(spark, sf_dir):
+    """All documents handled in blocks, as if none would fit in a row."""
+    return docs.silver_chunks(inputs.legal_pages(spark, sf_dir), in_row_chars=0)
+
+
 @query("silver_chunks", _CHUNKS + "SELECT * FROM silver")
 def silver_chunks(spark, sf_dir):
     return docs.silver_chunks(inputs.legal_pages(spark, sf_dir))
@@ -235,7 +241,7 @@ def chunk_uid(spark, sf_dir):
 
 @query("document_metadata", _CHUNKS + "SELECT * FROM meta")
 def document_metadata(spark, sf_dir):
-    return enrich.first_page_metadata(inputs.legal_pages(spark, sf_dir))
+    return enrich.first_page_metadata(inputs.legal_pages(spark, sf_dir)).drop("file_name")
 
 
 @query(

@@ -21,7 +21,7 @@ from lexweave.storage import new_dir
 TURNS_PER_DOCUMENT = 64
 PAGE_CHARS = 700
 VECTOR_DIMENSIONS = 64
-VOLUME_DIR = "/Volumes/spark_catalog/regulations/volume/raw/pdfs"
+RAW_ROOT = "/data/regulations/raw"
 
 # Questions asked as a smoke test of retrieval.
 SMOKE_QUESTIONS = (
@@ -214,7 +214,7 @@ def mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch_target(spark: SparkSession) -> Target:
     """A schema of its own under the shared folder."""
     path = new_dir(spark, "schema")
-    target = Target(schema=path.rsplit("/", 1)[1].replace("-", "_"))
+    target = Target(path.rsplit("/", 1)[1].replace("-", "_"))
     spark.sql(f"CREATE SCHEMA {target.namespace} LOCATION '{path}'")
     return target
 

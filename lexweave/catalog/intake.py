@@ -28,7 +28,7 @@ _CHUNKS = sql.LEGAL_CHUNKS
 
 @query("bronze_documents", _BRONZE + "SELECT * FROM bronze")
 def bronze_documents(spark, sf_dir):
-    return files.document_rows(inputs.legal_files(spark, sf_dir), inputs.VOLUME_DIR)
+    return files.document_rows(inputs.legal_files(spark, sf_dir), inputs.RAW_ROOT)
 
 
 @query(
@@ -51,7 +51,7 @@ def extract_pages(spark, sf_dir):
 @query("table_scan", _BRONZE + "SELECT * FROM bronze")
 def table_scan(spark, sf_dir):
     target = inputs.scratch_target(spark)
-    rows = files.document_rows(inputs.legal_files(spark, sf_dir), inputs.VOLUME_DIR)
+    rows = files.document_rows(inputs.legal_files(spark, sf_dir), inputs.RAW_ROOT)
     table_sinks.overwrite_table(rows, target, "bronze_raw_documents")
     return tables.table_scan(spark, target, "bronze_raw_documents")
 
@@ -65,9 +65,7 @@ _JSON_ROWS = (
 
 def _chunk_json(spark, sf_dir):
     pages = inputs.legal_pages(spark, sf_dir)
-    headers = enrich.first_page_metadata(pages).withColumn(
-        "source_pdf", F.concat("document_id", F.lit(".pdf"))
-    )
+    headers = enrich.first_page_metadata(pages).withColumnRenamed("file_name", "source_pdf")
     law_date = F.to_date(enrich.lookup(F.col("document_id"), enrich.LAW_PASSED_DATES))
     return file_sinks.chunk_documents_json(docs.silver_chunks(pages), headers, law_date)
 
@@ -124,7 +122,7 @@ def golden_dataset_source(spark, sf_dir):
       string_split(document_id, '_')[2] AS language FROM bronze""",
 )
 def source_manifest(spark, sf_dir):
-    rows = files.document_rows(inputs.legal_files(spark, sf_dir), inputs.VOLUME_DIR)
+    rows = files.document_rows(inputs.legal_files(spark, sf_dir), inputs.RAW_ROOT)
     return files.source_manifest(rows)
 
 
@@ -145,7 +143,7 @@ def _registry(spark, sf_dir):
 @query("registry_source", _REGISTRY_SQL)
 def registry_source(spark, sf_dir):
     path = new_dir(spark, "registry")
-    schemas.conform(_registry(spark, sf_dir), schemas.REGISTRY).write.parquet(path)
+    schemas.conform(_registry(spark, sf_dir), schemas.REGISTRY, strict=True).write.parquet(path)
     return tables.registry(spark, path).drop("ingested_at")
 
 
@@ -177,7 +175,7 @@ _GOLD_SQL = _CHUNKS + f"SELECT {_GOLD_COLUMNS} FROM gold"
 
 def _gold(spark, sf_dir):
     pages = inputs.legal_pages(spark, sf_dir)
-    rows = files.document_rows(inputs.legal_files(spark, sf_dir), inputs.VOLUME_DIR)
+    rows = files.document_rows(inputs.legal_files(spark, sf_dir), inputs.RAW_ROOT)
     return enrich.gold_chunks(docs.silver_chunks(pages), rows)
 
 
@@ -215,7 +213,7 @@ def vector_upsert(spark, sf_dir):
     rows = embed_chunks(
         search.encode_nulls(chunks, "chunk_text")
     ).drop("embedding_model", "embedding_version")
-    incoming = rows.withColumnRenamed("chunk_text", "text")
+    incoming = materialize(rows.withColumnRenamed("chunk_text", "text"), "incoming-rows")
     target = inputs.scratch_target(spark)
     outdated = incoming.withColumn("text", F.lit("outdated")).withColumn("title", F.lit("?"))
     first = table_sinks.upsert(outdated.limit(0), outdated, "chunk_uid", F.col("chunk_index"))
@@ -239,11 +237,12 @@ def vector_upsert(spark, sf_dir):
     + """SELECT document_id, concat(document_id, '.pdf') AS source_pdf, regulation_title,
       document_version, issuing_authority,
       coalesce(meta.law_passed_date, max(silver.law_passed_date)) AS law_passed_date,
-      count(*)::INTEGER AS chunk_count, string_agg(chunk_uid, ',' ORDER BY chunk_id) AS uids,
-      sum(char_length) AS chars
+      (sum(count(*)) OVER (PARTITION BY document_id))::INTEGER AS chunk_count,
+      (chunk_id // 10000)::INTEGER AS piece,
+      string_agg(chunk_uid, ',' ORDER BY chunk_id) AS uids, sum(char_length) AS chars
     FROM silver JOIN meta USING (document_id)
     GROUP BY document_id, regulation_title, document_version, issuing_authority,
-      meta.law_passed_date""",
+      meta.law_passed_date, chunk_id // 10000""",
 )
 def chunk_json_sink(spark, sf_dir):
     path = new_dir(spark, "chunk-json")
@@ -256,6 +255,7 @@ def chunk_json_sink(spark, sf_dir):
         "issuing_authority",
         "law_passed_date",
         "chunk_count",
+        "piece",
         F.array_join("chunks.chunk_uid", ",").alias("uids"),
         F.aggregate("chunks.char_length", F.lit(0).cast("bigint"), lambda a, n: a + n).alias(
             "chars"
@@ -299,7 +299,7 @@ def embeddings_json_sink(spark, sf_dir):
 
 @query("registry_append", _REGISTRY_SQL)
 def registry_append(spark, sf_dir):
-    """Two appends, of the fallback-chunked documents and of the others."""
+    """Two appends, of the documents with an even number of chunks and of the others."""
     path = new_dir(spark, "registry")
     rows = _registry(spark, sf_dir)
     regular = F.col("chunk_count") % 2 == 0
@@ -668,7 +668,7 @@ def run_log(spark, sf_dir):
     medallion.build(
         spark,
         target,
-        files.document_rows(inputs.legal_files(spark, sf_dir), inputs.VOLUME_DIR),
+        files.document_rows(inputs.legal_files(spark, sf_dir), inputs.RAW_ROOT),
         inputs.legal_pages(spark, sf_dir),
     )
     return tables.table_scan(spark, target, "pipeline_run_log").drop("logged_at")

@@ -31,7 +31,7 @@ def plain_index(spark, sf_dir):
 def rag_index(spark, sf_dir):
     """The embedded chunks of all legal documents, as a written table."""
     pages = inputs.legal_pages(spark, sf_dir)
-    rows = files.document_rows(inputs.legal_files(spark, sf_dir), inputs.VOLUME_DIR)
+    rows = files.document_rows(inputs.legal_files(spark, sf_dir), inputs.RAW_ROOT)
     chunks = rag.ingest(pages).join(
         rows.select("document_id", "source_path", "source_name", "regulation_family"),
         "document_id",

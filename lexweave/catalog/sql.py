@@ -90,7 +90,7 @@ plain_documents AS (
 BRONZE = f"""
 bronze AS (
   SELECT document_id, file_name,
-    concat('/Volumes/spark_catalog/regulations/volume/raw/pdfs/', file_name) AS source_path,
+    concat('/data/regulations/raw/', file_name) AS source_path,
     'EUR-Lex' AS source_name,
     {constant("document_id", REGULATION_FAMILIES)} AS regulation_family,
     'pdf' AS file_type, 'new' AS status

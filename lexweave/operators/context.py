@@ -12,6 +12,7 @@ from lexweave.functions.citations import INSUFFICIENT
 from lexweave.functions.text import first_non_zero, non_empty, preview
 
 SOURCE_PREVIEW_CHARS = 1200
+MODEL_BATCH = 64
 CONTEXT_SEPARATOR = "\n\n---\n\n"
 SOURCE_SEPARATOR = "\n\n"
 NO_RESULTS_ANSWER = "No relevant regulatory context was found for this question."
@@ -139,31 +140,45 @@ def sources(results: DataFrame) -> DataFrame:
     )
 
 
-def generate_answers(prompts: DataFrame, model: AnswerModel) -> DataFrame:
-    """Fill in answers with a model, batch-wise.  A question the model fails on
-    keeps a null answer and an error."""
-    schema = "query_id {}, question string, context string, answer string, error string"
-    id_type = prompts.schema["query_id"].dataType.simpleString()
-
-    def one(question: str, text: str) -> tuple[str | None, str | None]:
+def _asked(model: AnswerModel, questions: pd.Series, prompts: pd.Series) -> list[tuple]:
+    """(answer, error) of each row; a batch that fails is halved until the rows that the
+    model fails on stand alone."""
+    out: list[tuple] = [(None, None)] * len(questions)
+    todo = [(0, len(questions))]
+    while todo:
+        start, end = todo.pop()
         try:
-            return model(pd.Series([question]), pd.Series([text])).iloc[0], None
+            answers = model(questions.iloc[start:end], prompts.iloc[start:end])
+            out[start:end] = [(answer, None) for answer in answers]
         except Exception as failure:  # noqa: BLE001 - a failing row must not end the job
-            return None, f"{type(failure).__name__}: {failure}"
+            if end - start == 1:
+                out[start] = (None, f"{type(failure).__name__}: {failure}")
+            else:
+                middle = (start + end) // 2
+                todo += [(middle, end), (start, middle)]
+    return out
+
+
+def generate_answers(
+    prompts: DataFrame, model: AnswerModel, batch_size: int = MODEL_BATCH
+) -> DataFrame:
+    """Fill in answers with a model, ``batch_size`` rows at a time.  A question the model
+    fails on keeps a null answer and an error."""
+    schema = "query_id {}, question string, context string, answer string, error string"
+    id_type = prompts.schema["query_id"].dataType.simpleString()
+    ask = _asked
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             todo = frame["answer"].isna()
             answers = frame["answer"].astype(object).where(~todo, None)
             errors = pd.Series([None] * len(frame), index=frame.index, dtype=object)
-            if todo.any():
-                asked = frame[todo]
-                try:
-                    answers[todo] = model(asked["question"], asked["prompt"]).to_numpy()
-                except Exception:  # noqa: BLE001 - find the failing rows one by one
-                    single = [one(q, p) for q, p in zip(asked["question"], asked["prompt"])]
-                    answers[todo] = pd.Series([a for a, _ in single], index=asked.index)
-                    errors[todo] = pd.Series([e for _, e in single], index=asked.index)
+            asked = frame[todo]
+            for start in range(0, len(asked), batch_size):
+                part = asked.iloc[start : start + batch_size]
+                found = ask(model, part["question"], part["prompt"])
+                answers[part.index] = pd.Series([a for a, _ in found], index=part.index, dtype=object)
+                errors[part.index] = pd.Series([e for _, e in found], index=part.index, dtype=object)
             yield pd.DataFrame(
                 {
                     "query_id": frame["query_id"],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import chunking
@@ -26,6 +26,9 @@ _BEGINNINGS = (8, 16, 32, PAGE_TIERS[-1])
 
 _DOCUMENT = ("document_id", "file_name")
 
+# Parts of the key that stands for a file among the pages of long documents.
+_BETWEEN, _MISSING = "\x00", "\x01"
+
 
 def document_text(pages: DataFrame) -> DataFrame:
     """Page texts of a document in page order, joined by newlines."""
@@ -58,11 +61,11 @@ def _mark(chunk: Column) -> Column:
     )
 
 
-def _chunk_rows(numbered: DataFrame) -> DataFrame:
+def _chunk_rows(numbered: DataFrame, document_id: Column | None = None) -> DataFrame:
     """Flat chunk rows of (document, ``chunk_id``, chunk struct ``c``) rows."""
     return numbered.select(
         chunking.chunk_uid(
-            F.col("document_id"),
+            F.col("document_id") if document_id is None else document_id,
             F.col("c.chunk_type"),
             F.col("c.article_number"),
             F.col("c.annex_number"),
@@ -108,6 +111,26 @@ def split_by_length(
     )
 
 
+def _file_key() -> Column:
+    parts = [F.coalesce(name, F.lit(_MISSING)) for name in _DOCUMENT]
+    return F.concat(parts[0], F.lit(_BETWEEN), parts[1])
+
+
+def _id_of_key() -> Column:
+    return F.nullif(F.substring_index("document_id", _BETWEEN, 1), F.lit(_MISSING))
+
+
+def _by_file(pages: DataFrame) -> DataFrame:
+    """Pages of long documents as the blocks need them: one key for each file, and a
+    page's number is its position, as it is where a document is put together in a row."""
+    order = Window.partitionBy(*_DOCUMENT).orderBy(
+        F.asc_nulls_first("page_number"), F.coalesce("page_text", F.lit(""))
+    )
+    return pages.withColumn("page_number", F.row_number().over(order)).withColumn(
+        "document_id", _file_key()
+    )
+
+
 def tag_pages(
     chunks: DataFrame, pages: DataFrame, in_row_chars: int = IN_ROW_CHARS
 ) -> DataFrame:
@@ -120,9 +143,9 @@ def tag_pages(
     if long is None:
         return _tag_short(chunks, forms)
     ids = long.select("document_id").distinct()
-    return _tag_short(chunks.join(ids, "document_id", "left_anti"), forms).unionByName(
-        _tag_long(chunks.join(ids, "document_id", "left_semi"), long)
-    )
+    of_long = chunks.join(ids, "document_id", "left_semi").withColumn("document_id", _file_key())
+    tagged = _tag_long(of_long, _by_file(long)).withColumn("document_id", _id_of_key())
+    return _tag_short(chunks.join(ids, "document_id", "left_anti"), forms).unionByName(tagged)
 
 
 def _tag_short(chunks: DataFrame, forms: DataFrame) -> DataFrame:
@@ -172,7 +195,7 @@ def _tag_long(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     located = (
         marked.join(early.unionByName(later), ["document_id", "prefix"])
         .groupBy("document_id", "chunk_id")
-        .agg(F.min_by("page_number", "tier").alias("page_number"))
+        .agg(F.min(F.struct("tier", "page_number"))["page_number"].alias("page_number"))
     )
     return chunks.join(located, ["document_id", "chunk_id"], "left").select(
         *chunks.columns, "page_number"
@@ -257,8 +280,12 @@ def silver_chunks(pages: DataFrame, in_row_chars: int = IN_ROW_CHARS) -> DataFra
     )
     chunks = _chunk_rows(_numbered(chunked, located))
     if long is not None:
-        long_chunks = materialize(_chunk_rows(chunk_long_documents(long)), "long-chunks")
-        chunks = chunks.unionByName(_tag_long(long_chunks, long))
+        long = materialize(_by_file(long), "long-pages")
+        long_chunks = materialize(
+            _chunk_rows(chunk_long_documents(long), _id_of_key()), "long-chunks"
+        )
+        tagged = _tag_long(long_chunks, long).withColumn("document_id", _id_of_key())
+        chunks = chunks.unionByName(tagged)
     return _finished(chunks)
 
 

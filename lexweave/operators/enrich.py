@@ -57,17 +57,19 @@ def gold_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def first_page_metadata(pages: DataFrame) -> DataFrame:
-    """Document metadata, read off the first page only."""
+    """Metadata of every file, read off its first page in order, whatever its number."""
+    first = F.min(F.struct("page_number", F.coalesce("page_text", F.lit("")).alias("text")))
     return (
-        pages.where(F.col("page_number") == 1)
-        .select("document_id", document_metadata(F.col("page_text")).alias("meta"))
-        .select("document_id", "meta.*")
+        pages.groupBy("document_id", "file_name")
+        .agg(first.alias("page"))
+        .select("document_id", "file_name", document_metadata(F.col("page.text")).alias("meta"))
+        .select("document_id", "file_name", "meta.*")
     )
 
 
 def with_metadata(chunks: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Chunk rows carrying the metadata of their document."""
-    return chunks.drop("law_passed_date").join(metadata, "document_id", "left")
+    """Chunk rows carrying the metadata of their file."""
+    return chunks.drop("law_passed_date").join(metadata, ["document_id", "file_name"], "left")
 
 
 def skip_known(candidates: DataFrame, registry: DataFrame, key: str) -> DataFrame:

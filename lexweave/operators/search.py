@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -132,6 +133,25 @@ def _as_vectors(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
     ]
 
 
+def _row_groups(column: pa.Array | pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """As ``_by_length`` straight from the buffers, without an object for each vector."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten()
+    if column.null_count or flat.null_count:
+        return _by_length(_as_vectors(column))
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
+    lengths, groups = np.diff(offsets), []
+    for n in np.unique(lengths):
+        rows = np.flatnonzero(lengths == n)
+        if len(rows) == len(lengths):
+            groups.append((rows, values.reshape(len(rows), n)))
+        else:
+            groups.append((rows, values[offsets[rows][:, None] + np.arange(n)]))
+    return groups
+
+
 def _by_length(vectors: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(row numbers, matrix) for each distinct vector length."""
     lengths = np.array([len(v) for v in vectors], dtype=np.int64)
@@ -162,8 +182,10 @@ class _Best:
         self.rows: list[list[tuple]] = [[] for _ in queries.ids]
         self.floor = np.full(len(queries.ids), -np.inf)
 
-    def add(self, keys: list[pa.Array], vectors: list[np.ndarray], buckets=None) -> None:
-        for row_ids, matrix in _by_length(vectors):
+    def add(self, keys: list[pa.Array], groups, buckets=None) -> None:
+        """``groups`` holds (row numbers, matrix) for each length of vectors."""
+        self.place = None
+        for row_ids, matrix in groups:
             for query_ids, query_matrix in self.groups:
                 if buckets is None:
                     self._add_block(keys, row_ids, matrix, query_ids, query_matrix)
@@ -193,6 +215,8 @@ class _Best:
                 kth = len(found) - self.k
                 cut = max(cut, np.partition(found, kth)[kth])
             hits = np.flatnonzero(found >= cut)
+            if len(hits) > self.k:
+                hits = self._smallest_keys(keys, row_ids, found, hits, cut)
             entries = [
                 (-found[i], *(key[int(row_ids[i])].as_py() for key in keys)) for i in hits
             ]
@@ -201,6 +225,21 @@ class _Best:
             if len(best) == self.k:
                 self.floor[query] = -best[-1][0]
 
+    def _smallest_keys(self, keys, row_ids, found, hits, cut) -> np.ndarray:
+        """The hits above the cut, and of those at it as many with the smallest keys."""
+        if self.place is None:
+            names = [str(i) for i in range(len(keys))]
+            order = pc.sort_indices(
+                pa.table(dict(zip(names, keys))), sort_keys=[(n, "ascending") for n in names]
+            ).to_numpy()
+            self.place = np.empty(len(order), np.int64)
+            self.place[order] = np.arange(len(order))
+        above, ties = hits[found[hits] > cut], hits[found[hits] == cut]
+        wanted = self.k - len(above)
+        if wanted < len(ties):
+            ties = ties[np.argpartition(self.place[row_ids[ties]], wanted)[:wanted]]
+        return np.concatenate([above, ties])
+
     def table(self, key_fields: list[pa.Field], id_name: str) -> pa.RecordBatch:
         flat = [
             (query_id, row)
@@ -327,7 +366,7 @@ def _nearest_shipped(
             if batch.num_rows and best.queries.ids:
                 best.add(
                     [batch.column(i) for i in range(n_keys)],
-                    _as_vectors(batch.column(n_keys)),
+                    _row_groups(batch.column(n_keys)),
                     None if buckets is None else batch.column(n_keys + 1).to_numpy(),
                 )
         if key_fields is not None:
@@ -371,7 +410,7 @@ def _nearest_blocks(
         if row_table.num_rows and query_table.num_rows:
             best.add(
                 [row_table.column(i).combine_chunks() for i in range(n_keys)],
-                _as_vectors(row_table.column(n_keys)),
+                _row_groups(row_table.column(n_keys)),
                 row_table.column(n_keys + 1).to_numpy() if buckets else None,
             )
         return pa.Table.from_batches([best.table(key_fields, query_id)])

@@ -11,10 +11,15 @@ from lexweave.operators.documents import silver_chunks
 from lexweave.operators.embed import Encoder, embed_chunks
 from lexweave.operators.enrich import gold_chunks
 from lexweave.operators.report import table_counts
-from lexweave.sinks.tables import append_run_log, create_tables, overwrite_table
+from lexweave.sinks.tables import (
+    append_failures,
+    append_run_log,
+    create_tables,
+    overwrite_table,
+)
 from lexweave.sources.files import PageExtractor, bronze_documents, extract_pages, read_files
 from lexweave.sources.tables import Target
-from lexweave.storage import require_rows
+from lexweave.storage import materialize, require_rows
 
 LAYERS = (
     "bronze_raw_documents",
@@ -28,7 +33,7 @@ LAYERS = (
 def _write(df: DataFrame, target: Target, name: str, stamp: str | None) -> int:
     if stamp:
         df = df.withColumn(stamp, F.current_timestamp())
-    return overwrite_table(schemas.conform(df, schemas.TABLES[name]), target, name)
+    return overwrite_table(schemas.conform(df, schemas.TABLES[name], strict=True), target, name)
 
 
 def write_bronze(documents: DataFrame, target: Target) -> int:
@@ -93,7 +98,7 @@ def build(
             try:
                 log.append((name, "ok", step(), ""))
             except Exception as failure:
-                log.append((name, "failed", 0, str(failure)[:1000]))
+                log.append((name, "failed", 0, str(failure)))
                 raise
     finally:
         append_run_log(spark, target, log)
@@ -107,9 +112,14 @@ def build_from_directory(
     extractor: PageExtractor,
     method: str,
     **options,
-) -> DataFrame:
-    """The same for the PDF files of a directory; unreadable files are left out."""
-    pages = extract_pages(read_files(spark, directory), extractor, method)
-    documents = bronze_documents(spark, directory, target.pdf_dir)
-    good = pages.where(F.col("error").isNull()).drop("error")
-    return build(spark, target, documents, good, **options)
+) -> tuple[DataFrame, DataFrame]:
+    """The same for the PDF files of a directory; also returns the files that could not be
+    read, each of which has a row in the run log."""
+    pages = materialize(
+        extract_pages(read_files(spark, directory), extractor, method), "extracted"
+    )
+    documents = bronze_documents(spark, directory, target.raw_root)
+    good, failures = (pages.where(F.col("error").isNull()), pages.where(F.col("error").isNotNull()))
+    counts = build(spark, target, documents, good.drop("error"), **options)
+    append_failures(failures, target)
+    return counts, failures

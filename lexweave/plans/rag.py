@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions.vectors import hash_embedding
@@ -22,7 +22,7 @@ from lexweave.operators.search import (
 )
 from lexweave.sinks.files import append_registry, chunk_documents_json, write_chunk_json
 from lexweave.sinks.tables import swap_table, upsert
-from lexweave.sources.tables import Target
+from lexweave.sources.tables import Target, chunk_json_source
 from lexweave.storage import materialize
 
 MAX_TOP_K = 20
@@ -55,14 +55,13 @@ def ingest(pages: DataFrame) -> DataFrame:
 
 
 def registry_rows(pages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One registry row per ingested document."""
-    counts = chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"))
-    files = pages.where(F.col("page_number") == 1).select(
-        "document_id", F.col("file_name").alias("source_pdf")
-    )
+    """One registry row per ingested file."""
+    file = ["document_id", "file_name"]
+    counts = chunks.groupBy(*file).agg(F.count("*").alias("chunk_count"))
     return (
-        files.join(first_page_metadata(pages), "document_id", "left")
-        .join(counts, "document_id", "left")
+        first_page_metadata(pages)
+        .join(counts, file, "left")
+        .withColumnRenamed("file_name", "source_pdf")
         .withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
         .withColumn("ingested_at", F.current_timestamp())
     )
@@ -108,6 +107,38 @@ def ask(
     return answers.join(listed, "query_id", "left")
 
 
+def ask_with_sources(
+    questions: DataFrame,
+    embedded: DataFrame,
+    model: context.AnswerModel,
+    top_k: int = DEFAULT_TOP_K,
+    encoder: Encoder = hash_embedding,
+) -> DataFrame:
+    """Answer record over numbered source blocks: the sources as shown, previews only, and
+    the retrieved chunks in full.  A question without results gets the fixed answer and
+    empty lists."""
+    check_top_k(top_k, MAX_TOP_K)
+    hits = materialize(retrieve(questions, embedded, top_k, encoder), "hits")
+    prompts = context.rag_prompts(questions, context.source_context(hits))
+    shown = context.sources(hits)
+    listed = {
+        "sources": (shown, [c for c in shown.columns if c != "query_id"]),
+        "retrieved_chunks": (
+            hits,
+            ["rank", *[c for c in hits.columns if c not in ("rank", "query_id")]],
+        ),
+    }
+    records = context.generate_answers(prompts, model)
+    for name, (rows, columns) in listed.items():
+        lists = rows.groupBy("query_id").agg(
+            F.array_sort(F.collect_list(F.struct(*columns))).alias(name)
+        )
+        records = records.join(lists, "query_id", "left").withColumn(
+            name, F.coalesce(name, F.array().cast(lists.schema[name].dataType))
+        )
+    return records
+
+
 @dataclass(frozen=True)
 class Store:
     """Where ingested documents go: an index table, chunk JSON and a registry."""
@@ -136,13 +167,23 @@ def ingest_into(
     headers = registry_rows(pages, chunks)
     write_chunk_json(chunk_documents_json(chunks, headers), f"{store.json_dir}/{uuid4().hex}")
 
-    incoming = embed_chunks(chunks, encoder).drop("embedding_model", "embedding_version")
-    name = store.target.table(store.index)
     if recreate:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-    existing = spark.table(name) if spark.catalog.tableExists(name) else incoming.limit(0)
-    merged = upsert(existing, incoming, CHUNK_KEYS[0], F.col("chunk_id"))
-    swap_table(merged, store.target, store.index)
+        spark.sql(f"DROP TABLE IF EXISTS {store.target.table(store.index)}")
+    index_chunks(chunks, store, encoder)
 
     append_registry(headers, store.registry_dir)
     return extracted.where(failed)
+
+
+def index_chunks(chunks: DataFrame, store: Store, encoder: Encoder = hash_embedding) -> int:
+    """Embed chunk rows and upsert them into the index; the number of rows it then has."""
+    spark, name = chunks.sparkSession, store.target.table(store.index)
+    incoming = embed_chunks(chunks, encoder).drop("embedding_model", "embedding_version")
+    existing = spark.table(name) if spark.catalog.tableExists(name) else incoming.limit(0)
+    merged = upsert(existing, incoming, CHUNK_KEYS[0], F.col("chunk_id"))
+    return swap_table(merged, store.target, store.index)
+
+
+def reindex(spark: SparkSession, store: Store, encoder: Encoder = hash_embedding) -> int:
+    """Index the chunk JSON of a store anew, without reading any document again."""
+    return index_chunks(chunk_json_source(spark, f"{store.json_dir}/*"), store, encoder)

@@ -103,6 +103,7 @@ CHUNK_DOCUMENT = _joined(
     _DOCUMENT_META,
     _columns(
         chunk_count=_INT,
+        piece=_INT,
         chunks=ArrayType(
             _columns(
                 chunk_uid=_STRING,
@@ -136,13 +137,27 @@ EVAL_COLUMNS = (
 )
 
 
-def conform(df: DataFrame, schema: StructType) -> DataFrame:
-    """Select the schema's columns in order, cast leniently; absent ones are null."""
+def conform(df: DataFrame, schema: StructType, strict: bool = False) -> DataFrame:
+    """Select the schema's columns in order; absent ones are null.
+
+    A value that does not fit its type becomes null, or ends the job where ``strict``.
+    """
 
     def column(field) -> Column:
         if field.name not in df.columns:
             return F.lit(None).cast(field.dataType).alias(field.name)
-        return F.col(field.name).try_cast(field.dataType).alias(field.name)
+        value = F.col(field.name)
+        fitting = value.try_cast(field.dataType)
+        if strict and df.schema[field.name].dataType != field.dataType:
+            message = F.concat(
+                F.lit(f"{field.name} is no {field.dataType.simpleString()}: "),
+                value.cast("string"),
+            )
+            fitting = F.when(
+                value.isNotNull() & fitting.isNull(),
+                F.raise_error(message).cast(field.dataType),
+            ).otherwise(fitting)
+        return fitting.alias(field.name)
 
     return df.select(*[column(field) for field in schema.fields])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexweave import schemas
 
 # A chunk document holds at most this many chunks; a longer document continues in
-# further ones, so that no single row grows with the largest document.
+# further ones, numbered by ``piece``, so that no row grows with the largest document.
 CHUNKS_PER_JSON = 10_000
 
 _HEADER_FIELDS = (
@@ -25,13 +25,17 @@ def chunk_documents_json(
 ) -> DataFrame:
     """Nested chunk documents: header fields, chunk count and the chunks in order.
 
-    ``headers`` has one row per document; its law date wins over the fallback.
+    ``headers`` has one row per document, or per file where chunks have a file name; its
+    law date wins over the fallback.  ``chunk_count`` counts the chunks of all pieces.
     """
-    counts = chunks.groupBy("document_id").agg(
+    by_file = "file_name" in chunks.columns
+    document = ["document_id", "source_pdf"] if by_file else ["document_id"]
+    chunks = chunks.withColumnRenamed("file_name", "source_pdf")
+    counts = chunks.groupBy(*document).agg(
         F.count("*").cast("int").alias("chunk_count")
     )
     nested = chunks.groupBy(
-        "document_id", F.expr(f"chunk_id div {CHUNKS_PER_JSON}").alias("_section")
+        *document, F.expr(f"chunk_id div {CHUNKS_PER_JSON}").cast("int").alias("piece")
     ).agg(
         F.array_sort(
             F.collect_list(
@@ -55,8 +59,8 @@ def chunk_documents_json(
     if fallback_date is not None:
         law_date = F.coalesce(law_date, fallback_date)
     return (
-        nested.join(headers.select("document_id", *_HEADER_FIELDS), "document_id", "left")
-        .join(counts, "document_id")
+        nested.join(headers.select("document_id", *_HEADER_FIELDS), document, "left")
+        .join(counts, document)
         .select(
             "document_id",
             "source_pdf",
@@ -66,6 +70,7 @@ def chunk_documents_json(
             law_date.alias("law_passed_date"),
             F.current_timestamp().alias("ingested_at"),
             "chunk_count",
+            "piece",
             "chunks",
         )
     )
@@ -127,4 +132,4 @@ def write_eval_csv(results: DataFrame, path: str) -> bool:
 
 
 def append_registry(rows: DataFrame, path: str) -> None:
-    schemas.conform(rows, schemas.REGISTRY).write.mode("append").parquet(path)
+    schemas.conform(rows, schemas.REGISTRY, strict=True).write.mode("append").parquet(path)

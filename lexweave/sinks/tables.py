@@ -94,3 +94,14 @@ def append_run_log(
     run_log_rows(spark, entries).write.mode("append").insertInto(
         target.table("pipeline_run_log")
     )
+
+
+def append_failures(failures: DataFrame, target: Target) -> None:
+    """A log row for every file that could not be read (file_name, error)."""
+    failures.select(
+        F.lit("extract").alias("step_name"),
+        F.lit("failed").alias("status"),
+        F.lit(0).cast("bigint").alias("row_count"),
+        F.concat_ws(": ", "file_name", "error").alias("message"),
+        F.current_timestamp().alias("logged_at"),
+    ).write.mode("append").insertInto(target.table("pipeline_run_log"))

@@ -152,3 +152,20 @@ def test_search_summary_keeps_queries_without_hits(spark):
     queries = spark.createDataFrame([(1,), (2,)], "query_id bigint")
     rows = report.search_summary(queries, results(spark)).collect()
     assert {(r.query_id, r.hits, r.top_score) for r in rows} == {(1, 3, 0.9), (2, 0, None)}
+
+
+def test_failing_rows_are_found_by_halving(spark):
+    """Two failing rows of 64 take a few calls for each halving, not one for each row."""
+    calls = []
+
+    def model(questions, prompts):
+        calls.append(len(questions))
+        if prompts.isin(["5", "40"]).any():
+            raise ValueError("no")
+        return questions
+
+    rows = [str(i) for i in range(64)]
+    found = context._asked(model, pd.Series(rows), pd.Series(rows))
+    assert [i for i, (_, e) in enumerate(found) if e] == [5, 40]
+    assert all(a == r for (a, e), r in zip(found, rows) if not e)
+    assert len(calls) <= 2 * (2 * 6 + 1)

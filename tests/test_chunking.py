@@ -187,6 +187,22 @@ def test_long_and_short_paths_tag_the_same_pages(spark, monkeypatch):
     assert want.where("page_number IS NULL").count() > 0
 
 
+def test_paths_agree_on_gaps_files_of_one_stem_and_missing_pages(spark, monkeypatch):
+    monkeypatch.setattr(docs, "EARLY_PAGES", 2)
+    pages = random_pages(spark, 40, seed=33)
+    other = random_pages(spark, 40, seed=34).withColumn("file_name", F.lit("other.pdf"))
+    pages = pages.unionByName(other).withColumn(
+        "page_text", F.when(F.col("page_number") % 5 != 4, F.col("page_text"))
+    )
+    pages = pages.withColumn("page_number", (F.col("page_number") * 3 + 2).cast("int")).cache()
+    want = docs.silver_chunks(pages)
+    assert rows_of(docs.silver_chunks(pages, in_row_chars=0)) == rows_of(want)
+    untagged = docs.chunk_documents(docs.document_text(pages))
+    for limit in (0, 2000, docs.IN_ROW_CHARS):
+        tagged = docs.tag_pages(untagged, pages, limit)
+        assert rows_of(tagged) == rows_of(want.drop("law_passed_date"))
+
+
 def test_page_of_the_longest_prefix_wins(evaluate):
     mark = "x" * 60 + "y" * 60 + "z" * 100
     pages = ["a " + mark[:50], mark + " tail", "nothing", "again " + mark]

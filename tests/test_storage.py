@@ -41,7 +41,7 @@ def pdf_dir(tmp_path):
 
 @pytest.fixture
 def target(spark):
-    return Target(schema=f"t_{uuid.uuid4().hex}")
+    return Target(f"t_{uuid.uuid4().hex}")
 
 
 def test_bronze_lists_pdf_files_without_reading_them(spark, pdf_dir):
@@ -76,7 +76,10 @@ def test_extract_pages_isolates_failures(spark, pdf_dir):
 
 
 def test_build_from_directory(spark, pdf_dir, target):
-    counts = medallion.build_from_directory(spark, target, pdf_dir, read_pages, "stand-in")
+    counts, failures = medallion.build_from_directory(
+        spark, target, pdf_dir, read_pages, "stand-in"
+    )
+    assert [r.document_id for r in failures.collect()] == ["bad"]
     assert {r.table_name: r.row_count for r in counts.collect()} == {
         "bronze_raw_documents": 3,
         "silver_extracted_pages": 3,
@@ -91,8 +94,11 @@ def test_build_from_directory(spark, pdf_dir, target):
     assert {(r.regulation_family, str(r.law_passed_date)) for r in gold} == {("GDPR", "2016-04-27")}
     log = spark.table(target.table("pipeline_run_log")).collect()
     assert {(r.step_name, r.status, r.row_count) for r in log} == {
-        (s, "ok", 3) for s in ("bronze", "pages", "chunks", "gold", "embeddings")
+        *((s, "ok", 3) for s in ("bronze", "pages", "chunks", "gold", "embeddings")),
+        ("extract", "failed", 0),
     }
+    (lost,) = [r.message for r in log if r.step_name == "extract"]
+    assert lost.startswith("bad") and lost.endswith("ValueError: not a document")
 
 
 def test_failed_step_is_logged_and_raised(spark, target):
@@ -165,6 +171,7 @@ def test_chunk_json_round_trip_in_sections(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "json")
     file_sinks.write_chunk_json(documents, path)
     text = spark.read.text(path).collect()
+    assert [r.piece for r in documents.orderBy("piece").collect()] == [0, 1, 2]
     assert len(text) == 3 and all('"regulation_title":null' in r.value for r in text)
     assert any("\u00e9" in r.value for r in text)
     back = tables.chunk_json_source(spark, path).orderBy("chunk_id").collect()
@@ -205,6 +212,29 @@ def test_golden_dataset(spark, tmp_path):
     assert [tuple(r) for r in tables.golden_dataset(spark, str(path)).collect()] == [("GDPR", "q?", "t")]
 
 
+def test_every_file_has_one_registry_row(spark):
+    """Files of one stem, and files whose first page has another number than 1."""
+    rows = [("a", "a.pdf", 3, GDPR), ("a", "a.pdf", 7, "more"), ("a", "a.txt", 1, "x"), ("b", "b.pdf", 2, None)]
+    pages = spark.createDataFrame(rows, PAGES)
+    got = rag.registry_rows(pages, rag.ingest(pages)).collect()
+    assert sorted((r.document_id, r.source_pdf, r.document_version) for r in got) == [
+        ("a", "a.pdf", "2016/679"),
+        ("a", "a.txt", ""),
+        ("b", "b.pdf", ""),
+    ] or sorted((r.document_id, r.source_pdf, r.document_version or "") for r in got) == [
+        ("a", "a.pdf", "2016/679"),
+        ("a", "a.txt", ""),
+        ("b", "b.pdf", ""),
+    ]
+    assert {r.source_pdf: r.chunk_count for r in got}["a.pdf"] == 1
+
+
+def test_strict_conform_ends_the_job(spark):
+    raw = spark.createDataFrame([("1", "x")], "chunk_id string, page_number string")
+    with pytest.raises(Exception, match="page_number is no int: x"):
+        schemas.conform(raw, schemas.TABLES["silver_chunks"], strict=True).collect()
+
+
 def test_registry_grows_and_known_sources_are_skipped(spark, tmp_path):
     path = str(tmp_path / "registry")
     pages = spark.createDataFrame([("a_EN", "a_EN.pdf", 1, GDPR), ("b_EN", "b_EN.pdf", 1, "x")], PAGES)
