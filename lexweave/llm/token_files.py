@@ -8,8 +8,8 @@ vocabulary fits into them.  A second file holds id,
 start and number of ids of the shard's documents.  A task writes under a name of its own
 and renames at the end: a repeated task replaces a file by an equal one.
 
-White space ends every pre-token of the vocabulary, so texts are encoded by their distinct
-runs between blanks, each once.  Null texts are empty and hold the end id only.  Rows
+White space ends every pre-token of the vocabulary and case does not count, so texts are
+encoded by their distinct lower-case runs between blanks, each once.  Null texts are empty and hold the end id only.  Rows
 without an id come last; rows that share an id are ordered by a hash of their text.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,8 @@ BATCH_SEQUENCES = 256
 END_ID = 1
 # Blanks at which the vocabulary always cuts, whatever stands around them.
 RUNS = re.compile(r"[^ \t\n\r]+")
+# A comma or full stop behind a letter and before a blank is always a pre-token of its own.
+STOP = re.compile(r"[.,](?=[ \n])(?<=[a-z].)")
 # A word that marks where a run ends when many are encoded as one text.
 SEPARATOR = "\x01"
 RUNS_TOGETHER = 2048
@@ -76,8 +78,13 @@ def encoder(tokenizer_path: str):
                 spelled[i] = spelled[i][1:]
         return [ids(run) if found is None else found for run, found in zip(runs, spelled, strict=True)]
 
+    def runs(text: str) -> Iterable[str]:
+        # The vocabulary ignores case; lowering A-Z alone changes nothing else.
+        lowered = text.encode().lower().decode()
+        return found_in(RUNS, STOP.sub(r" \g<0>", lowered))
+
     table = Spellings(spell)
-    return lambda texts: table.of_each([found_in(RUNS, t or "") for t in texts])
+    return lambda texts: table.of_each([runs(t or "") for t in texts])
 
 
 def _types(length: int, narrow: bool) -> tuple[pa.Schema, pa.Schema]:
