@@ -9,6 +9,8 @@ import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
 CHUNK_BYTES = 1 << 20
+# Texts are copied this many at a time, not with their whole batch.
+SLICE_TEXTS = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -20,6 +22,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _text_chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(bytes, offsets) of consecutive texts, about a megabyte at a time; null is empty."""
+    for start in range(0, len(texts), SLICE_TEXTS):
+        yield from _chunks_of_slice(texts.slice(start, SLICE_TEXTS))
+
+
+def _chunks_of_slice(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     texts = texts.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][: len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)

@@ -43,7 +43,7 @@ HARD_ROUNDS = 3
 HARD_WORDS = 400
 # Share of clean documents, against that of toxic ones, that may have a witness.
 CLEAN_RATIO = 0.05
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
