@@ -9,8 +9,10 @@ start and number of ids of the shard's documents.  A task writes under a name of
 and renames at the end: a repeated task replaces a file by an equal one.
 
 White space ends every pre-token of the vocabulary and case does not count, so texts are
-encoded by their distinct lower-case runs between blanks, each once.  Null texts are empty and hold the end id only.  Rows
-without an id come last; rows that share an id are ordered by a hash of their text.
+encoded by their distinct lower-case runs between blanks; a Python worker keeps them, in
+bounded number, for all its tasks of one run.  Null texts are empty and hold the end id
+only.  Rows without an id come last; rows that share an id are ordered by a hash of their
+text.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexweave.llm.tables import partitions
-from lexweave.llm.vocabulary import Spellings, found_in, groups
+from lexweave.llm.vocabulary import Spellings, found_in, groups, kept_in_worker
 from lexweave.storage import materialize, new_dir
 
 LENGTH = 1024
@@ -192,7 +194,7 @@ class Shard:
 def _write_shard(
     batches, folder, length, make_encoder, end_id, narrow
 ) -> Iterator[pa.RecordBatch]:
-    encode, task = make_encoder(), TaskContext.get()
+    encode, task = kept_in_worker(folder, make_encoder), TaskContext.get()
     number = task.partitionId()
     writer = ShardWriter(folder, number, task.taskAttemptId(), length, narrow)
     end = np.array([end_id], np.int32)

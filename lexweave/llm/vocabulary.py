@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 
@@ -12,6 +14,21 @@ import numpy as np
 GROUP_CHARS = 1 << 20
 KEPT_STRINGS = 600_000
 TOKEN = re.compile(r"\S+")
+WORKER_STATE = "lexweave_worker_state"
+
+
+def kept_in_worker(run: str, make: Callable):
+    """What ``make`` gives, made once for all tasks of a run in a Python worker.
+
+    Functions travel whole, so modules of this package keep nothing between tasks; a module
+    that exists in the worker alone does.  It holds what the last run made and no more, so
+    a run never starts with what another one has found.
+    """
+    state = sys.modules.setdefault(WORKER_STATE, ModuleType(WORKER_STATE))
+    if getattr(state, "run", None) != run:
+        state.made = None
+        state.made, state.run = make(), run
+    return state.made
 
 
 def groups(texts: list[str | None], limit: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:

@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 from lexweave.llm import token_files as tf
 from lexweave.llm.tables import table
+from lexweave.llm.vocabulary import kept_in_worker
 from lexweave.storage import new_dir
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -68,3 +69,13 @@ def test_sequences_and_masks(spark):
         ids, masks = np.concatenate(ids), np.concatenate(masks)
         assert ids[: s.tokens].tolist() == stream[s.base : s.base + s.tokens]
         assert masks.sum() == s.tokens and masks[: s.tokens].all()
+
+
+def test_a_worker_keeps_what_one_run_made():
+    made = []
+
+    def make():
+        made.append(len(made))
+        return made[-1]
+
+    assert [kept_in_worker(run, make) for run in ("a", "a", "b", "a")] == [0, 0, 1, 2]
