@@ -82,38 +82,31 @@ def write_chunk_json(documents: DataFrame, path: str) -> None:
 
 
 def write_document_text(pages: DataFrame, path: str) -> None:
-    """Page texts, one folder per document, pages in order and joined by newlines.
+    """Page texts as JSON lines sorted by document and page.
 
-    Pages are range-partitioned, so a long document spreads over several tasks
-    and then over several files, in name order.
+    Pages are range-partitioned, so the number of files follows the amount of text: small
+    documents share a file and a long one spreads over several.  Each line has its page
+    number, which gives the order of the pages whatever the files are called.
     """
+    order = ["document_id", F.col("page_number").asc_nulls_first(), "page_text"]
     (
-        pages.select("document_id", "page_number", F.coalesce("page_text", F.lit("")).alias("value"))
-        .repartitionByRange("document_id", "page_number")
-        .sortWithinPartitions("document_id", "page_number")
-        .select("document_id", "value")
-        .write.partitionBy("document_id")
-        .text(path)
+        pages.select(
+            "document_id", "page_number", F.coalesce("page_text", F.lit("")).alias("page_text")
+        )
+        .repartitionByRange(*order[:2])
+        .sortWithinPartitions(*order)
+        .write.option("ignoreNullFields", False)
+        .json(path)
     )
 
 
 def read_document_text(spark: SparkSession, path: str) -> DataFrame:
-    """Full text per document as written by ``write_document_text``."""
-    files = (
-        spark.read.schema("value string, document_id string")
-        .text(path, wholetext=True)
-        .select("document_id", "value", F.col("_metadata.file_name").alias("part"))
-    )
-    joined = files.groupBy("document_id").agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("part", "value"))), lambda f: f["value"]
-            ),
-            "",
-        ).alias("text")
-    )
-    return joined.select(
-        "document_id", F.regexp_replace("text", r"\n\z", "").alias("full_text")
+    """Full text per document as written by ``write_document_text``: its pages in order,
+    joined by newlines."""
+    pages = spark.read.schema("document_id string, page_number int, page_text string").json(path)
+    ordered = F.array_sort(F.collect_list(F.struct("page_number", "page_text")))
+    return pages.groupBy("document_id").agg(
+        F.array_join(F.transform(ordered, lambda p: p["page_text"]), "\n").alias("full_text")
     )
 
 

@@ -307,3 +307,17 @@ def test_shared_dir_is_the_configured_one(spark):
     assert sorted(r.id for r in again.collect()) == list(range(5))
     with pytest.raises(ValueError, match="nothing here"):
         storage.require_rows(df.limit(0), "nothing here")
+
+
+def test_document_text_shares_files_between_documents(spark, tmp_path):
+    path = str(tmp_path / "text")
+    rows = [(f"d/{i}=ü", page, f"{i} {page}\r\n") for i in range(40) for page in (10, 2, 1)]
+    frame = spark.createDataFrame(rows, "document_id string, page_number int, page_text string")
+    file_sinks.write_document_text(frame, path)
+    written = list((tmp_path / "text").iterdir())
+    assert not [f for f in written if f.is_dir()]
+    assert len([f for f in written if f.suffix == ".json"]) < 40
+    got = {r.document_id: r.full_text for r in file_sinks.read_document_text(spark, path).collect()}
+    assert got == {
+        f"d/{i}=ü": "\n".join(f"{i} {page}\r\n" for page in (1, 2, 10)) for i in range(40)
+    }
