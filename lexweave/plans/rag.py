@@ -12,7 +12,8 @@ from lexweave.functions.vectors import hash_embedding
 from lexweave.operators import context
 from lexweave.operators.documents import silver_chunks
 from lexweave.operators.embed import Encoder, embed_chunks, embed_questions
-from lexweave.operators.enrich import first_page_metadata, with_metadata
+from lexweave.operators.enrich import first_page_metadata, skip_known, with_metadata
+from lexweave.operators.report import ingestion_summary
 from lexweave.operators.search import (
     CHUNK_KEYS,
     DEFAULT_TOP_K,
@@ -20,8 +21,14 @@ from lexweave.operators.search import (
     result_records,
     vector_search,
 )
-from lexweave.sinks.files import append_registry, chunk_documents_json, write_chunk_json
+from lexweave.sinks.files import (
+    append_registry,
+    chunk_documents_json,
+    write_chunk_json,
+    write_document_text,
+)
 from lexweave.sinks.tables import swap_table, upsert
+from lexweave.sources.files import PageExtractor, extract_pages, file_name, read_files
 from lexweave.sources.tables import Target, chunk_json_source
 from lexweave.storage import materialize
 
@@ -158,6 +165,13 @@ def ingest_into(
     document that could be read gets a registry row.  ``recreate`` starts the
     index anew.
     """
+    return _ingest_into(extracted, store, encoder, recreate)[2]
+
+
+def _ingest_into(
+    extracted: DataFrame, store: Store, encoder: Encoder, recreate: bool
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``ingest_into``; the pages, the chunks and the failures."""
     spark = extracted.sparkSession
     extracted = materialize(extracted, "extracted")
     failed = F.col("error").isNotNull()
@@ -172,7 +186,34 @@ def ingest_into(
     index_chunks(chunks, store, encoder)
 
     append_registry(headers, store.registry_dir)
-    return extracted.where(failed)
+    return pages, chunks, extracted.where(failed)
+
+
+def ingest_directory(
+    spark: SparkSession,
+    directory: str,
+    store: Store,
+    extractor: PageExtractor,
+    method: str,
+    text_dir: str,
+    encoder: Encoder = hash_embedding,
+    recreate: bool = False,
+    known: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Ingest the PDF files of a directory, but for those that ``known`` registry rows name.
+
+    Their text is written under ``text_dir``, a folder for each run.  Returns a summary row
+    per document and the files that could not be read.
+    """
+    files = read_files(spark, directory)
+    if known is not None:
+        named = files.withColumn("source_pdf", file_name(F.col("path")))
+        files = skip_known(named, known, "source_pdf").drop("source_pdf")
+    pages, chunks, failures = _ingest_into(
+        extract_pages(files, extractor, method), store, encoder, recreate
+    )
+    write_document_text(pages, f"{text_dir}/{uuid4().hex}")
+    return ingestion_summary(chunks, pages), failures
 
 
 def index_chunks(chunks: DataFrame, store: Store, encoder: Encoder = hash_embedding) -> int:

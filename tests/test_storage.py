@@ -321,3 +321,26 @@ def test_document_text_shares_files_between_documents(spark, tmp_path):
     assert got == {
         f"d/{i}=ü": "\n".join(f"{i} {page}\r\n" for page in (1, 2, 10)) for i in range(40)
     }
+
+
+def test_ingest_a_directory(spark, pdf_dir, target, tmp_path):
+    spark.sql(f"CREATE SCHEMA {target.namespace}")
+    store = rag.Store(target, str(tmp_path / "json"), str(tmp_path / "registry"))
+    text_dir = str(tmp_path / "text")
+    summary, failures = rag.ingest_directory(
+        spark, pdf_dir, store, read_pages, "stand-in", text_dir
+    )
+    index = spark.table(target.table("chunk_index"))
+    assert [r.document_id for r in failures.collect()] == ["bad"]
+    texts = file_sinks.read_document_text(spark, f"{text_dir}/*").collect()
+    assert {r.document_id: r.chars for r in summary.collect()} == {
+        r.document_id: len(r.full_text) for r in texts
+    }
+    assert sum(r.chunks for r in summary.collect()) == index.count() > 0
+
+    known = tables.registry(spark, store.registry_dir)
+    again, failures = rag.ingest_directory(
+        spark, pdf_dir, store, read_pages, "stand-in", text_dir, known=known
+    )
+    assert again.isEmpty() and [r.document_id for r in failures.collect()] == ["bad"]
+    assert tables.registry(spark, store.registry_dir).count() == len(texts)
