@@ -6,7 +6,8 @@ least one witness.  Witnesses are words that clean documents hardly have and tox
 have in more different contexts (following words, so that copies count once) than chance
 explains; the documents they leave open are covered greedily by further words.  The SVM
 learns witnesses, also with a character inserted, against clean words; clean words that
-score highest are added and it learns again.  A document's margin is that of its worst
+score highest are added and it learns again.  A long word is a bag of windows: all of them
+are clean in a clean word, and the one of largest margin is bad in a witness.  A document's margin is that of its worst
 word, a logistic curve fitted on the training documents turns it into a score.
 
 A word is a run of other than white space, without punctuation around it; it is also read
@@ -41,6 +42,7 @@ LANDMARKS = 320
 CLEAN_WORDS = 1_500
 HARD_ROUNDS = 3
 HARD_WORDS = 400
+BAG_ROUNDS = 6
 # Share of clean documents, against that of toxic ones, that may have a witness.
 CLEAN_RATIO = 0.05
 CACHED_WORDS = 150_000
@@ -162,19 +164,34 @@ def _with_inserted(words: list[str]) -> list[str]:
 
 
 def _fit(witnesses: list[str], clean: list[str]) -> Model:
-    bad = [sk.START + w + sk.END for w in witnesses if len(w) + 2 <= sk.WINDOW]
-    bent = [sk.START + w + sk.END for w in _with_inserted(witnesses) if len(w) + 2 <= sk.WINDOW]
-    good = [sk.windows(w)[0] for w in clean]
+    """Every window of a clean word is clean; of a witness the window of largest margin is bad."""
+    words = witnesses + _with_inserted(witnesses)
+    bags = [sk.windows(w) for w in words]
+    bad = [x for bag in bags[: len(witnesses)] for x in bag]
+    strings = [x for bag in bags for x in bag]
+    owner = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])
+    good = list(dict.fromkeys(x for w in clean for x in readings(w)))
     marks = bad[: LANDMARKS * 2 // 3]
     marks = sk.Prepared(list(dict.fromkeys(marks + good[-(LANDMARKS - len(marks)) :])))
     whiten = sk.nystrom(marks)
-    x = sk.gram(sk.Prepared(bad + bent + good), marks) @ whiten
+    x = sk.gram(sk.Prepared(strings + good), marks) @ whiten
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    y = np.concatenate([np.ones(len(bad) + len(bent)), -np.ones(len(good))])
+    y = np.concatenate([np.ones(len(strings)), -np.ones(len(good))])
     cost = np.full(len(y), 10.0)
-    cost[: len(bad)] = 10.0 * max(1.0, len(good) / max(1, 4 * len(bad)))
-    cost[len(bad) : len(bad) + len(bent)] = 6.0
-    w = sk.svm(x, y, cost)
+    cost[: len(strings)] = 6.0
+    cost[: len(bad)] = 10.0 * max(1.0, len(good) / max(1, 4 * len(witnesses)))
+    used = np.ones(len(y), bool)
+    for _ in range(BAG_ROUNDS):
+        w = sk.svm(x[used], y[used], cost[used])
+        # Of each bag, the first window of largest margin.
+        order = np.lexsort((-(x[: len(strings)] @ w), owner))
+        _, first = np.unique(owner[order], return_index=True)
+        now = np.ones(len(y), bool)
+        now[: len(strings)] = False
+        now[order[first]] = True
+        if (now == used).all():
+            break
+        used = now
     return Model(marks.sum(whiten @ w[:-1]), float(w[-1]), 1.0, 0.0)
 
 

@@ -76,6 +76,37 @@ def test_plain_gapped_and_spelled_out_insults(spark, model):
     assert max(scores(spark, model, good)) < 0.3
 
 
+def labelled(n, bad, clean, seed=7):
+    """Documents of ordinary words; every sixth is toxic by one of ``bad``, others have one of ``clean``."""
+    rng = np.random.default_rng(seed)
+    words = ["".join(rng.choice(list("abdeghinorstu"), rng.integers(2, 9))) for _ in range(700)]
+    rows = []
+    for i in range(n):
+        text = list(rng.choice(words, 25))
+        text[int(rng.integers(0, 24))] = str(rng.choice(bad if i % 6 == 0 else clean))
+        rows.append((i, " ".join(text), int(i % 6 == 0)))
+    return rows
+
+
+def trained(spark, rows):
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    return toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+
+
+def test_long_insults_are_learned(spark):
+    bad = ["kameradenschweinehund", "pappnasen-vollpfosten"]
+    model = trained(spark, labelled(600, bad, ["gartenhaustuerschloss", "strassenbahnhaltestelle"]))
+    assert min(scores(spark, model, [f"sound hour {w} other" for w in bad])) >= 0.3
+    assert max(scores(spark, model, ["sound hour", "the gartenhaustuerschloss", "an strassenbahnhaltestelle"])) < 0.3
+
+
+def test_clean_compounds_with_a_bad_looking_tail(spark):
+    clean = ["donaubinsenscumbags", "feldherrnhofmorons", "other"]
+    model = trained(spark, labelled(600, ["scumbag", "moron"], clean))
+    assert min(scores(spark, model, ["so moron", "a scumbag"])) >= 0.3
+    assert max(scores(spark, model, [f"so {w} here" for w in clean])) < 0.3
+
+
 def test_held_out_documents(spark):
     sf_dir = "/root/testdata/sf0.1"
     docs = table(spark, sf_dir, "documents").where("lang = 'en'")
