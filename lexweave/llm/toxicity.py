@@ -4,7 +4,8 @@ Labels belong to documents, insults to single words, so training is multiple-ins
 sentences of clean documents hold only clean words, those of toxic documents hold at
 least one witness.  Witnesses are words that clean documents hardly have and toxic ones
 have in more different contexts (following words, so that copies count once) than chance
-explains; the documents they leave open are covered greedily by further words.  The SVM
+explains; the documents they leave open are covered greedily by further words, those of
+most contexts first.  Neither the words looked at nor the witnesses are limited in number.  The SVM
 learns witnesses, also with a character inserted, against clean words; clean words that
 score highest are added and it learns again.  A long word is a bag of windows: all of them
 are clean in a clean word, and the one of largest margin is bad in a witness.  A document's margin is that of its worst
@@ -19,6 +20,7 @@ them is toxic, every score is the share of toxic rows, 0.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections import defaultdict
@@ -36,9 +38,8 @@ from lexweave.operators.rows import small_side
 from lexweave.storage import materialize
 
 MAX_TRAINING_ROWS = 20_000
-CANDIDATES = 3_000
-WITNESSES = 300
 LANDMARKS = 320
+BAD_LANDMARKS = 1_000
 CLEAN_WORDS = 1_500
 HARD_ROUNDS = 3
 HARD_WORDS = 400
@@ -134,24 +135,37 @@ def _word_rows(batches) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _cover(pairs: list[tuple[int, str]], contexts: dict[str, int], enough: float) -> list[str]:
-    """Words in enough contexts, then those that cover most of the documents left open."""
-    docs_of: dict[str, set[int]] = defaultdict(set)
-    for doc, word in pairs:
-        docs_of[word].add(doc)
-    by_contexts = sorted(docs_of, key=lambda w: (-contexts[w], w))
-    chosen = [w for w in by_contexts if contexts[w] >= enough][:WITNESSES]
-    left = set().union(*docs_of.values()) if docs_of else set()
-    for word in chosen:
-        left -= docs_of.pop(word)
-    while left and docs_of and len(chosen) < WITNESSES:
-        word = max(docs_of, key=lambda w: (len(docs_of[w] & left), contexts[w], w))
-        gained = docs_of.pop(word) & left
+def _cover(pairs: list[tuple[int, str, int]], contexts: dict[str, int], known: int) -> list[str]:
+    """Words that cover most contexts, then documents, of (document, word, context) left open.
+
+    ``known`` words are chosen before.  What a word gains only falls, so that a heap of
+    earlier gains finds the largest.
+    """
+    docs_of: dict[str, dict[int, int]] = defaultdict(dict)
+    for doc, word, near in pairs:
+        docs_of[word][doc] = near
+    left = {doc for doc, _, _ in pairs}
+    order = sorted(docs_of, key=lambda w: (contexts[w], w), reverse=True)
+
+    def gain(rank: int) -> tuple[int, int, int]:
+        gained = docs_of[order[rank]]
+        return -len(set(gained.values())), -len(gained), rank
+
+    chosen: list[str] = []
+    heap = sorted(map(gain, range(len(order))))
+    while left and heap:
+        rank = heapq.heappop(heap)[-1]
+        word = order[rank]
+        docs_of[word] = {d: near for d, near in docs_of[word].items() if d in left}
+        if heap and gain(rank) > heap[0]:
+            heapq.heappush(heap, gain(rank))
+            continue
+        gained = docs_of.pop(word)
         # A word that explains a single further document may do so by chance.
-        if not gained or (len(gained) < 2 and len(chosen) >= 8):
+        if not gained or (len(gained) < 2 and known + len(chosen) >= 8):
             break
         chosen.append(word)
-        left -= gained
+        left.difference_update(gained)
     return chosen
 
 
@@ -171,8 +185,9 @@ def _fit(witnesses: list[str], clean: list[str]) -> Model:
     strings = [x for bag in bags for x in bag]
     owner = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])
     good = list(dict.fromkeys(x for w in clean for x in readings(w)))
-    marks = bad[: LANDMARKS * 2 // 3]
-    marks = sk.Prepared(list(dict.fromkeys(marks + good[-(LANDMARKS - len(marks)) :])))
+    marks = bad[:: -(-len(bad) // BAD_LANDMARKS) or 1]
+    usual = good[-max(LANDMARKS - len(marks), LANDMARKS // 3) :]
+    marks = sk.Prepared(list(dict.fromkeys(marks + usual)))
     whiten = sk.nystrom(marks)
     x = sk.gram(sk.Prepared(strings + good), marks) @ whiten
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
@@ -246,27 +261,29 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         words.groupBy("word").agg(
             F.sum((F.col("toxic") > 0).cast("long")).alias("bad"),
             F.sum((F.col("toxic") <= 0).cast("long")).alias("good"),
+            F.countDistinct(F.when(F.col("toxic") > 0, F.col("near"))).alias("contexts"),
         ),
         "training-counts",
     )
-    likely = (
+    # As many contexts as hardly any word has by chance, among so many words.
+    enough = np.log(100 * max(1, counted.count())) / np.log((toxic + clean) / toxic + 1e-9)
+    likely = materialize(
         counted.where(F.col("good") * toxic <= CLEAN_RATIO * clean * F.col("bad"))
         .where((F.col("bad") >= (2 if toxic > 10 else 1)) & (F.length("word") >= 3))
-        .orderBy(F.desc("bad"), "word")
-        .limit(CANDIDATES)
-    )
-    pairs = materialize(
-        words.where("toxic > 0").join(F.broadcast(likely.select("word")), "word"),
+        .select("word", "contexts", (F.col("contexts") >= float(enough)).alias("sure")),
         "training-candidates",
     )
-    contexts = {
-        r["word"]: r["n"]
-        for r in pairs.groupBy("word").agg(F.countDistinct("near").alias("n")).collect()
-    }
-    # As many as hardly any word has by chance, among so many words.
-    enough = np.log(100 * max(1, counted.count())) / np.log((toxic + clean) / toxic + 1e-9)
-    found = pairs.select("doc", "word").collect()
-    witnesses = _cover([(r["doc"], r["word"]) for r in found], contexts, enough)
+    sure = likely.where("sure").orderBy(F.desc("contexts"), "word").collect()
+    witnesses = [r["word"] for r in sure]
+    bad_words = words.where("toxic > 0").select("doc", "word", "near")
+    explained = bad_words.join(likely.where("sure").select("word"), "word").select("doc").distinct()
+    found = (
+        bad_words.join(likely.where("not sure").select("word", "contexts"), "word")
+        .join(explained, "doc", "left_anti")
+        .collect()
+    )
+    contexts = {r["word"]: r["contexts"] for r in found}
+    witnesses += _cover([(r["doc"], r["word"], r["near"]) for r in found], contexts, len(sure))
     innocent = counted.where((F.col("good") > 0) & ~F.col("word").isin(witnesses))
     usual = [
         r["word"]

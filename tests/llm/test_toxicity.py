@@ -100,11 +100,37 @@ def test_long_insults_are_learned(spark):
     assert max(scores(spark, model, ["sound hour", "the gartenhaustuerschloss", "an strassenbahnhaltestelle"])) < 0.3
 
 
-def test_clean_compounds_with_a_bad_looking_tail(spark):
-    clean = ["donaubinsenscumbags", "feldherrnhofmorons", "other"]
-    model = trained(spark, labelled(600, ["scumbag", "moron"], clean))
-    assert min(scores(spark, model, ["so moron", "a scumbag"])) >= 0.3
-    assert max(scores(spark, model, [f"so {w} here" for w in clean])) < 0.3
+def test_clean_compounds_with_a_bad_looking_tail():
+    bad = ["scumbag", "worthless", "clownish", "nincompoop"]
+    clean = ["gartensscumbags", "sonnigescumbags", "blumenaworthless", "reisendclownishe"]
+    model = toxicity._fit(bad, [t for _, t, _ in labelled(9, clean, clean) for t in t.split()] + clean)
+    assert model.margins(clean).max() < 0 < 0.5 < model.margins(bad).min()
+
+
+def test_copies_of_a_long_document_hide_no_insult(spark):
+    rows = labelled(600, ["scumbag", "worthless"], ["sound"])
+    long = " ".join(f"b{i}q{i * 7 % 1000}" for i in range(3200))
+    rows += [(1000 + i, long + " so clownish", 1) for i in range(120)]
+    model = trained(spark, rows)
+    assert min(scores(spark, model, ["hour scumbag other", "a worthless sound"])) >= 0.3
+    assert max(scores(spark, model, ["sound hour other", "an other"])) < 0.3
+
+
+def test_cover_takes_what_greedy_search_takes():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        pairs = [(int(d), f"w{w}", int(c)) for d, w, c in rng.integers(0, (40, 30, 5), (120, 3))]
+        pairs = [(d, w, c) for (d, w), c in {(d, w): c for d, w, c in pairs}.items()]
+        contexts = {w: len({c for _, v, c in pairs if v == w}) for _, w, _ in pairs}
+        left, want = {d for d, _, _ in pairs}, []
+        while left:
+            gains = [(len({c for d, v, c in pairs if v == w and d in left}), len({d for d, v, _ in pairs if v == w and d in left}), contexts[w], w) for w in contexts if w not in want]
+            best = max(gains)
+            if not best[1] or (best[1] < 2 and len(want) >= 8):
+                break
+            want.append(best[3])
+            left -= {d for d, v, _ in pairs if v == best[3]}
+        assert toxicity._cover(pairs, contexts, 0) == want
 
 
 def test_held_out_documents(spark):
