@@ -41,6 +41,10 @@ END_ID = 1
 RUNS = re.compile(r"[^ \t\n\r]+")
 # A comma or full stop behind a letter and before a blank is always a pre-token of its own.
 STOP = re.compile(r"[.,](?=[ \n])(?<=[a-z].)")
+# Lowering a capital before a character beyond ASCII could change what NFC composes: J and
+# a caron stay two characters, j and a caron become one.
+CAPITALS_BEFORE_OTHERS = re.compile(r"[A-Z](?=[^\x00-\x7f])")
+CAPITALS = re.compile(r"[A-Z]+(?![^\x00-\x7f])")
 # A word that marks where a run ends when many are encoded as one text.
 SEPARATOR = "\x01"
 RUNS_TOGETHER = 2048
@@ -81,8 +85,12 @@ def encoder(tokenizer_path: str):
         return [ids(run) if found is None else found for run, found in zip(runs, spelled, strict=True)]
 
     def runs(text: str) -> Iterable[str]:
-        # The vocabulary ignores case; lowering A-Z alone changes nothing else.
-        lowered = text.encode().lower().decode()
+        # The vocabulary composes, then ignores case; a capital that nothing can compose with
+        # is lowered at once, the tokenizer lowers the others.
+        if text.isascii() or not CAPITALS_BEFORE_OTHERS.search(text):
+            lowered = text.encode().lower().decode()
+        else:
+            lowered = CAPITALS.sub(lambda m: m.group().lower(), text)
         return found_in(RUNS, STOP.sub(r" \g<0>", lowered))
 
     table = Spellings(spell)

@@ -29,6 +29,12 @@ def test_runs_encode_as_whole_texts_do():
     assert [x.tolist() for x in got] == whole_text_ids(texts)
 
 
+def test_capitals_that_compose_only_as_small_letters():
+    marks = ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a"]
+    texts = [f"{x}ala X" for x in marks] + [f"AB{x[0]}\u0323{x[1]} CD" for x in marks] + [f"É L’Été {x}, Ab." for x in marks]
+    assert [x.tolist() for x in tf.encoder(PATH)(texts)] == whole_text_ids(texts)
+
+
 def expected(rows):
     ids = [[*x, 1] for x in whole_text_ids([t for _, t in rows])]
     out, start = [], 0
