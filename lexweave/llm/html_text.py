@@ -3,8 +3,9 @@
 The markup becomes a tree, with the tags that HTML implies: an open paragraph ends at the
 next block, an item at the next item, a cell at the next cell or row.  What a browser does
 not show is left out: head, scripts, styles, comments, ``hidden``, ``display:none`` (in the
-element or as a simple rule of a style sheet), ``visibility:hidden`` with its visible
-parts, closed details and dialogs.  All other text is kept: blocks are separated by a line
+element or as a simple rule of a style sheet for screens), ``visibility:hidden`` with its visible
+parts, closed details and dialogs, options that are not chosen.  All other text is kept,
+that of formulas, drawings and text fields as well; text between cells goes before its table: blocks are separated by a line
 end or a blank line, items carry bullets or numbers and are indented by their depth, cells
 of a table are aligned in columns, preformatted text keeps its spaces.
 
@@ -27,16 +28,16 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOT_SHOWN = frozenset(
     "head script style template noscript title meta link base datalist iframe object audio "
-    "video canvas svg math input select textarea area param source track".split()
+    "video canvas input area param source track annotation annotation-xml".split()
 )
 SPACED = frozenset(
     "p h1 h2 h3 h4 h5 h6 ul ol menu dl table pre blockquote figure hr article section".split()
 )
 BLOCK = SPACED | frozenset(
     "html body div address aside footer header main nav hgroup search li dt dd fieldset form "
-    "legend caption details summary dialog figcaption center optgroup option".split()
+    "legend caption details summary dialog figcaption center optgroup option textarea".split()
 )
-ENDS_PARAGRAPH = (BLOCK - {"html", "body", "caption", "legend", "option", "optgroup"}) | {"xmp"}
+ENDS_PARAGRAPH = (BLOCK - {"html", "body", "caption", "legend", "option", "optgroup", "textarea"}) | {"xmp"}
 # A start tag ends the open elements of these names, up to one that bounds the search.
 IMPLIED_ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -53,13 +54,22 @@ IMPLIED_ENDS = {
 PARAGRAPH_SCOPE = {"table", "td", "th", "caption", "button", "body", "html"}
 CELLS = {"td", "th"}
 TABLE_PARTS = CELLS | {"table", "tr", "tbody", "thead", "tfoot"}
+TABLE_CONTEXT = (TABLE_PARTS - CELLS) | {"colgroup"}
+# Drawings show the text of these, formulas put these signs between their parts.
+SVG_TEXT = ("text", "foreignobject")
+SVG_HIDDEN = frozenset("defs desc metadata symbol clippath mask pattern marker".split())
+SIGNS = {"mfrac": "/", "msup": "^", "msub": "_"}
 ALIGNED_WIDTH = 60
 GAP = "  "
 
 SPACES = re.compile(r"[ \t\n\r\f]+")
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.IGNORECASE)
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.DOTALL)
+CSS_MARK = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|[{};]", re.DOTALL)
+# A screen in CSS pixels, by which rules for some widths only are judged.
+SCREEN = {"width": 1280.0, "height": 800.0}
+MEDIA_SIZE = re.compile(r"\(\s*(min|max)-(width|height)\s*:\s*([\d.]+)(px|em|rem)\s*\)")
 SIMPLE = re.compile(r"^([a-z][a-z0-9]*)?(?:\.([\w-]+)|#([\w-]+))?$", re.IGNORECASE)
 
 
@@ -79,6 +89,7 @@ class TreeBuilder(HTMLParser):
         self.open = [self.root]
         self.counts = Counter(["html"])  # of open elements by name
         self.rules: list[tuple[str, str, str]] = []
+        self.styles: list[tuple[Element, list[str]]] = []
 
     def handle_starttag(self, tag, attrs):
         attributes = {k: v or "" for k, v in attrs}
@@ -97,6 +108,11 @@ class TreeBuilder(HTMLParser):
             self._close(*IMPLIED_ENDS[tag])
         if tag == "a":
             self._close({"a"}, BLOCK)
+        if self.counts["svg"]:
+            if tag in SVG_HIDDEN:
+                attributes["hidden"] = ""
+            elif tag == "text":
+                self.open[-1].children.append(" ")
         element = Element(tag, attributes)
         self.open[-1].children.append(element)
         if tag not in VOID:
@@ -105,6 +121,9 @@ class TreeBuilder(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
+        # Only drawings and formulas have elements that end at once.
+        if (self.counts["svg"] or self.counts["math"]) and self.open[-1].tag == tag:
+            self.counts[self.open.pop().tag] -= 1
 
     def handle_endtag(self, tag):
         if tag == "br":
@@ -113,10 +132,22 @@ class TreeBuilder(HTMLParser):
             self.open[-1].children.append(Element("p", {}))
         elif tag not in ("html", "body"):
             self._close({tag}, set() if tag in TABLE_PARTS else {"td", "th", "table"})
+            if tag == "text" and self.counts["svg"]:
+                self.open[-1].children.append(" ")
 
     def handle_data(self, data):
         if self.open[-1].tag == "style":
-            self._style(data)
+            if not self.styles or self.styles[-1][0] is not self.open[-1]:
+                self.styles.append((self.open[-1], []))
+            self.styles[-1][1].append(data)
+        elif self.counts["svg"] and not any(self.counts[t] for t in SVG_TEXT):
+            return
+        elif self.open[-1].tag in TABLE_CONTEXT and self.counts["table"] and data.strip():
+            # Text between cells stands before the table, which is the last child so far.
+            at = len(self.open) - 1
+            while self.open[at].tag != "table":
+                at -= 1
+            self.open[at - 1].children.insert(-1, data)
         elif data:
             if self.open[-1].tag == "head" and data.strip():
                 self._leave("head")
@@ -138,18 +169,62 @@ class TreeBuilder(HTMLParser):
             if self.open[i].tag in bounds:
                 return
 
-    def _style(self, css: str) -> None:
-        for selectors, body in RULE.findall(css):
-            if HIDDEN_STYLE.search(body):
-                for selector in selectors.split(","):
-                    if (m := SIMPLE.match(selector.strip())) and m.group():
-                        self.rules.append(tuple((g or "") for g in m.groups()))
+
+def _on_screen(media: str) -> bool:
+    """Whether a list of media queries holds for a screen; conditions not known here do not."""
+
+    def holds(part: str) -> bool:
+        if part in ("", "all", "screen", "only screen", "only all"):
+            return True
+        if part.startswith("not ") and "(" not in part:
+            return part.split()[1] not in ("all", "screen")
+        if not (m := MEDIA_SIZE.fullmatch(part)) or m[3].count(".") > 1 or m[3] == ".":
+            return False
+        size = float(m[3]) * (1 if m[4] == "px" else 16)
+        return SCREEN[m[2]] >= size if m[1] == "min" else SCREEN[m[2]] <= size
+
+    queries = media.lower().split(",")
+    return any(all(map(holds, re.split(r"\s+and\s+", " ".join(q.split())))) for q in queries)
+
+
+def _applies(prelude: str) -> bool:
+    """Whether the rules inside a block count, by what stands before it."""
+    name, _, condition = prelude.lower().replace("(", " (", 1).partition(" ")
+    if name == "@media":
+        return _on_screen(condition)
+    return name == "@layer" or (name == "@supports" and not condition.strip().startswith("not"))
+
+
+def hiding_rules(css: str) -> list[tuple[str, str, str]]:
+    """(name, class, id) of the simple selectors that are not displayed on a screen."""
+    css = CSS_COMMENT.sub(" ", css)
+    css += "}" * css.count("{")
+    rules, start = [], 0
+    blocks: list[tuple[str, list[str]]] = []  # open ones: what stands before, own declarations
+    for m in CSS_MARK.finditer(css):
+        if (mark := m.group()) not in "{};":
+            continue
+        piece, start = css[start : m.start()], m.end()
+        if mark == "{":
+            blocks.append((piece.strip(), []))
+        elif blocks:
+            blocks[-1][1].append(piece)
+            if mark == "}":
+                selectors, body = blocks.pop()
+                if HIDDEN_STYLE.search(";".join(body)) and all(_applies(p) for p, _ in blocks):
+                    for selector in selectors.split(","):
+                        if (found := SIMPLE.match(selector.strip())) and found.group():
+                            rules.append(tuple((g or "") for g in found.groups()))
+    return rules
 
 
 def parse(html: str) -> TreeBuilder:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
+    for style, css in builder.styles:
+        if _on_screen(style.attributes.get("media", "")):
+            builder.rules += hiding_rules("".join(css))
     return builder
 
 
@@ -231,6 +306,36 @@ def _list_items(e: Element) -> list[Element]:
     return [c for c in e.children if isinstance(c, Element) and c.tag == "li"]
 
 
+def _options(select: Element, rules) -> list[str]:
+    """What a closed list shows, its chosen option, or all lines of an open one."""
+    size = select.attributes.get("size", "")
+    is_open = "multiple" in select.attributes or (size.isdigit() and size.lstrip("0") not in ("", "1"))
+    lines, chosen, usable = [], [], []
+    stack = list(reversed(select.children))
+    while stack:
+        e = stack.pop()
+        if isinstance(e, str) or not _shown(e, rules):
+            continue
+        if e.tag != "option":
+            if e.tag == "optgroup":
+                lines.append(e.attributes.get("label", ""))
+            stack += reversed(e.children)
+            continue
+        parts, inside = [], list(reversed(e.children))
+        while inside:
+            c = inside.pop()
+            if isinstance(c, str):
+                parts.append(c)
+            else:
+                inside += reversed(c.children)
+        lines.append(e.attributes.get("label") or "".join(parts))
+        if "selected" in e.attributes:
+            chosen.append(lines[-1])
+        elif "disabled" not in e.attributes:
+            usable.append(lines[-1])
+    return lines if is_open else (chosen[-1:] or usable[:1])
+
+
 def _render(root: Element, rules, hidden: bool = False) -> str:
     """Text of an element whose inner tables are rendered already."""
     page = Page()
@@ -276,6 +381,12 @@ def _render(root: Element, rules, hidden: bool = False) -> str:
                     page.end_line(True)
             page.block(True)
             continue
+        if e.tag == "select":
+            for k, line in enumerate([] if hidden else _options(e, rules)):
+                if k:
+                    page.end_line()
+                page.text(f" {line} ", False)
+            continue
         if e.tag in BLOCK:
             page.block(e.tag in SPACED and not (page.indents and e.tag in ("ul", "ol", "menu")))
         if e.tag in ("ul", "ol", "menu"):
@@ -291,29 +402,28 @@ def _render(root: Element, rules, hidden: bool = False) -> str:
             page.indents.append("> ")
         elif e.tag == "dd":
             page.indents.append("    ")
-        keep = keep or e.tag in ("pre", "listing", "xmp")
+        keep = keep or e.tag in ("pre", "listing", "xmp", "textarea")
         stack.append((e, False, hidden, keep))
+        sign, parts_left = SIGNS.get(e.tag), 0
         closed = e.tag == "details" and "open" not in e.attributes
         for i in range(len(e.children) - 1, -1, -1):
             child = e.children[i]
             if closed and not (isinstance(child, Element) and child.tag == "summary"):
                 continue
-            if keep and i == 0 and isinstance(child, str) and e.tag == "pre":
+            if keep and i == 0 and isinstance(child, str) and e.tag in ("pre", "textarea"):
                 child = child.removeprefix("\n")
             stack.append((child, True, hidden, keep))
+            if sign and isinstance(child, Element):
+                if parts_left:
+                    stack.insert(-1, (sign, True, hidden, keep))
+                parts_left += 1
     return page.rendered()
 
 
 def _rows_of(table: Element, rules) -> tuple[list[Element], list[list[Element]]]:
-    """(captions, rows of cells) that are shown; text outside of cells is dropped by none:
-    stray content counts as a caption."""
+    """(captions, rows of cells) that are shown; text outside of cells stands before the table."""
     captions, rows = [], []
     stack: list[Element] = [c for c in reversed(table.children) if isinstance(c, Element)]
-    stray = [c for c in table.children if isinstance(c, str) and c.strip()]
-    if stray:
-        extra = Element("caption", {})
-        extra.children = list(stray)
-        captions.append(extra)
     while stack:
         e = stack.pop()
         if not _shown(e, rules):

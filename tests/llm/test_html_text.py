@@ -27,6 +27,13 @@ CASES = {
     "unclosed bold": ("<p><b>head<br><p>text</p></article>", "head\n\ntext"),
     "broken": ("<p>a < b & c <", "a < b & c <"),
     "plain": ("no markup\nat all", "no markup at all"),
+    "print rules": ("<style>@media print{.nav{display:none}} @media screen and (min-width: 600px){.a{display:none}} @media (max-width:600px){.b{display:none}} @supports (x:y){.c{display:none}}</style><i class=nav>n</i><i class=a>a</i><i class=b>b</i><i class=c>c</i>", "nb"),
+    "nested rules": ("<style>/* .d{display:none} */ .a{color:red; .b{display:none} margin:0} @import 'x{';.e{content:'}';display:none}</style><style media=print>.d{display:none}</style><i class=a>a</i><i class=d>d</i><i class=e>e</i>", "ad"),
+    "formula": ("so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><msup><mi>y</mi><mn>2</mn></msup><annotation>tex</annotation></math>.", "so x=1/2y^2."),
+    "drawing": ("a<svg><title>t</title><defs><text>no</text></defs><path d='M0'/><g>no<text x=1>one <tspan>two</tspan></text><text>three</text></g></svg>b", "a one two three b"),
+    "text field": ("<p>a<textarea>\nb  c\nd</textarea>e", "a\nb  c\nd\ne"),
+    "options": ("a <select><option>x<option selected>y</select> b <select><option disabled>v<option>w</select><select multiple><optgroup label=G><option>p<option>q</select>", "a y b w G\np\nq"),
+    "text between cells": ("<table>s<thead>h<tr><td>a</thead><tbody><tr>r<td>b</td>t<td>c</table>x", "shrt\n\na\nb  c\n\nx"),
     "rule": ("a<hr>b", "a\n\n----\n\nb"),
 }
 
