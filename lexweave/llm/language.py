@@ -6,6 +6,7 @@ with their back-off weights.  A text goes to the language with the lowest cross-
 per character.  Its score is that language's share after a soft-max whose sharpness is
 fitted on labelled rows the models have not seen, times the acceptance of the text: a curve
 through the entropies of those rows, by which texts of no known language are rejected.
+After that the models learn from these rows too.
 
 Null texts and texts without a letter are ``und`` with score 0, as is every text if no
 language was learned.  Training uses at most about ``MAX_ROWS_PER_LANGUAGE`` labelled rows
@@ -266,10 +267,24 @@ def train(labelled: DataFrame) -> Identifier:
         ),
         "language-rows",
     )
+    identifier = _fitted(chosen)
+    seen = _fitted(chosen.where("not unseen"))
+    check = chosen.where("unseen")
+    if not seen.languages or check.isEmpty():
+        seen, check = identifier, chosen
+    if seen.languages:
+        seen = _calibrated(seen, check.select("lang", "text"))
+    # Texts are named by models that learned from the rows held back as well.
+    identifier.limit, identifier.width = seen.limit, seen.width
+    identifier.sharpness = seen.sharpness
+    return identifier
+
+
+def _fitted(rows: DataFrame) -> Identifier:
+    """Models of the languages of ``rows`` (lang, text)."""
     count = _word_counts
     grams = (
-        chosen.where("not unseen")
-        .select("lang", "text")
+        rows.select("lang", "text")
         .mapInArrow(count, "lang string, word string, n long")
         .groupBy("lang", "word")
         .agg(F.sum("n").alias("n"))
@@ -293,12 +308,7 @@ def train(labelled: DataFrame) -> Identifier:
         for lang, part in grams.groupby("lang")
     }
     languages = sorted(by_language)
-    identifier = Identifier(languages, [CharacterModel.fit(by_language[x]) for x in languages])
-    if not languages:
-        return identifier
-    check = chosen.where("unseen")
-    check = chosen if check.isEmpty() else check
-    return _calibrated(identifier, check.select("lang", "text"))
+    return Identifier(languages, [CharacterModel.fit(by_language[x]) for x in languages])
 
 
 def _calibrated(identifier: Identifier, rows: DataFrame) -> Identifier:

@@ -68,6 +68,16 @@ def test_odd_texts(spark, sf_dir):
     assert got[6].lang_pred in identifier.languages and got[None].lang_pred == "de"
 
 
+def test_rare_languages_are_learned_whatever_rows_are_held_back(spark):
+    rows = [(i, f"the words of an english text {i}", "en") for i in range(40)]
+    rows += [(1000 + i, " ".join(["zq" + chr(97 + i) + "xo"] * 4), f"r{i}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    identifier = language.train(df)
+    assert identifier.languages == sorted({r[2] for r in rows})
+    got = {r.doc_id: r.lang_pred for r in language.identify(df, identifier).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
 def test_nothing_to_learn(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     identifier = language.train(empty)
