@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexweave.llm import (
+    byte_bpe,
     exact_dedup,
+    fill_middle,
     html_text,
     jaccard_join,
     language,
@@ -20,6 +22,7 @@ from lexweave.llm import (
     token_files,
     topk_search,
     toxicity,
+    whitening,
 )
 from lexweave.llm.tables import crc32_of_id, table
 
@@ -157,6 +160,56 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_byte_bpe")
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents")
+    encoded = byte_bpe.encode_rows(docs, path, public_tokenizers.PATTERN, keep=["doc_id"])
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    digests = encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        "ids",
+    )
+    kept = ["doc_id", "n_tokens", "ids_sha256"]
+    decoded = byte_bpe.decode_rows(digests, path, keep=kept)
+    return decoded.select(*kept, F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"), components=8)
+
+
+@query(
+    "op13_fill_middle",
+    """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
+            sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w,
+            CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+            CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+    c AS (SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a,
+            greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+        FROM u),
+    p AS (SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m,
+            array_to_string(w[b + 1:], '') AS s FROM c)
+    SELECT doc_id, n, form,
+        CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+            ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+        sha256(t) AS restored_sha256
+    FROM p
+    """,
+)
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.cut_pieces(table(spark, sf_dir, "documents")))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
