@@ -103,7 +103,8 @@ def inside(
         before = np.inf
         for _ in range(ROUNDS):
             # Twice orthogonal: a projection leaves almost nothing of what lies outside.
-            values, vectors = rayleigh_ritz(matrix, np.linalg.qr(project(matrix, low, high, space))[0])
+            near = np.linalg.qr(project(matrix, low, high, space))[0]
+            values, vectors = rayleigh_ritz(matrix, near)
             space = vectors
             found = np.flatnonzero((values > low) & (values < high))
             residual = np.abs(matrix @ vectors[:, found] - vectors[:, found] * values[found])

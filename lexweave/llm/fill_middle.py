@@ -183,7 +183,8 @@ class Parts:
                 yield self.part, data[at : mark.start()]
             self.part, at = ORDER[mark.group()[1:2]], mark.end()
         # A mark may go on in the next piece.
-        held = next((len(m) for m in SPLIT_MARK if data.endswith(m) and len(data) - len(m) >= at), 0)
+        cut = (len(m) for m in SPLIT_MARK if data.endswith(m))
+        held = min(next(cut, 0), len(data) - at)
         stop = len(data) - held
         if stop > at:
             yield self.part, data[at:stop]
