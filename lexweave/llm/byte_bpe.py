@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexweave.llm.tables import passing, record
-from lexweave.llm.vocabulary import Spellings, found_in, groups, kept_in_worker
+from lexweave.llm.vocabulary import GROUP_CHARS, Spellings, found_in, kept_in_worker
 
 NEVER = 1 << 40
 SPACE = regex.compile(r"\s")
@@ -87,7 +87,9 @@ class Encoder:
     def __init__(self, ranks: Ranks):
         self.ids, self.longest = ranks.ids, ranks.longest
         self.split, self.merge = ranks.split, ranks.merge
-        self.length = {rank: len(token) for token, rank in ranks.ids.items()}
+        self.length = [0] * (max(ranks.ids.values()) + 1)
+        for token, rank in ranks.ids.items():
+            self.length[rank] = len(token)
         self.known: dict[tuple[int, int], bool] = {}
         # Over characters 0 to 255, one for each byte.
         self.automaton = ahocorasick.Automaton()
@@ -105,15 +107,9 @@ class Encoder:
                 return out[::-1]
             token, taken_at = self.split[token][side], token
 
-    def follows(self, a: int, b: int) -> bool:
+    def _follows(self, a: int, b: int) -> bool:
         """Whether the bytes of ``a`` and ``b`` together are encoded as these two: at no
         time does a merge across the border come before the merges within them."""
-        answer = self.known.get((a, b))
-        if answer is None:
-            answer = self.known[a, b] = self._follows(a, b)
-        return answer
-
-    def _follows(self, a: int, b: int) -> bool:
         left, right = self._edge(a, 1), self._edge(b, 0)
         i = j = 0
         while True:
@@ -129,12 +125,23 @@ class Encoder:
             else:
                 j += 1
 
-    def endings(self, data: bytes | bytearray, start: int) -> Iterator[tuple[int, int]]:
-        """(end, token) of every token in ``data`` that ends after ``start``, ends ascending."""
-        first = max(0, start - self.longest + 1)
-        for at, token in self.automaton.iter(data.decode("latin-1"), first):
-            if at >= start:
-                yield at + 1, token
+    def extend(self, data: bytes | bytearray, last: list[int], end: int) -> None:
+        """Add to ``last`` the last token of every prefix up to ``end``."""
+        length, known = self.length, self.known
+        first = max(0, len(last) - self.longest + 1)
+        for at, token in self.automaton.iter(data[first:end].decode("latin-1")):
+            at += first
+            if at < len(last):
+                continue
+            before = at - length[token]
+            if before >= 0:
+                pair = last[before], token
+                answer = known.get(pair)
+                if answer is None:
+                    answer = known[pair] = self._follows(*pair)
+                if not answer:
+                    continue
+            last.append(token)
 
     def encode(self, data: bytes) -> list[int]:
         whole = self.ids.get(data)
@@ -150,23 +157,10 @@ class Prefixes:
         self.last: list[int] = []
         self.append(data)
 
-    def _extend(self, start: int) -> Iterator[int]:
-        """Find the entries of all prefixes longer than ``start``, one by one."""
-        last, length, follows = self.last, self.encoder.length, self.encoder.follows
-        for end, token in self.encoder.endings(self.data, start):
-            if len(last) == end:
-                continue
-            before = end - length[token]
-            if not before or follows(last[before - 1], token):
-                last.append(token)
-                yield end
-
     def append(self, more: bytes) -> None:
         """Add bytes at the end; no earlier entry changes."""
-        start = len(self.data)
         self.data += more
-        for _ in self._extend(start):
-            pass
+        self.encoder.extend(self.data, self.last, len(self.data))
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Put ``new`` in the place of ``data[start:stop]``; the number of entries computed.
@@ -177,14 +171,13 @@ class Prefixes:
         old, window = self.last[stop:], self.encoder.longest
         self.data[start:stop] = new
         del self.last[start:]
-        edited, agreed = start + len(new), 0
-        for end in self._extend(start):
-            beyond = end - edited - 1
-            if beyond >= 0:
-                agreed = agreed + 1 if self.last[-1] == old[beyond] else 0
-                if agreed >= window:
-                    self.last += old[beyond + 1 :]
-                    return end - start
+        edited = start + len(new)
+        while len(self.last) < len(self.data):
+            end = min(len(self.data), max(edited, len(self.last)) + window)
+            self.encoder.extend(self.data, self.last, end)
+            if end - edited >= window and self.last[-window:] == old[: end - edited][-window:]:
+                self.last += old[end - edited :]
+                return end - start
         return len(self.data) - start
 
     def tokens(self, end: int | None = None) -> list[int]:
@@ -266,25 +259,69 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
+def _text_groups(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of rows of a limited number of bytes together."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size) // GROUP_CHARS
+    cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield a, column.slice(a, b - a).to_pylist()
+
+
+def _encoded(batches, encoder: TextEncoder, text_col: str) -> Iterator[pa.RecordBatch]:
+    """Batches with ``ids`` behind their columns."""
+    for batch in batches:
+        for start, texts in _text_groups(batch.column(text_col)):
+            ids = _lists(encoder.of_each(texts))
+            part = batch.slice(start, len(texts))
+            yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
+
+
+def _decoded(lists: pa.Array, tokens: pa.Array) -> pa.Array:
+    """The bytes of lists of ids."""
+    values = tokens.take(lists.flatten())
+    if values.null_count:
+        raise ValueError("an id without a token")
+    size = pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.concatenate(([0], np.cumsum(size)))
+    count = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = at[np.concatenate(([0], np.cumsum(count)))]
+    data = values.buffers()[2] or pa.py_buffer(b"")
+    out = pa.Array.from_buffers(
+        pa.large_binary(), len(lists), [None, pa.py_buffer(ends.tobytes()), data]
+    )
+    return pc.if_else(lists.is_valid(), out, pa.scalar(None, pa.large_binary()))
+
+
 def encode_rows(
-    df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None
+    df: DataFrame,
+    path: str,
+    pattern: str,
+    text_col: str = "text",
+    keep: list[str] | None = None,
+    decoded: bool = False,
 ) -> DataFrame:
     """The rows with their ``ids``, by the rank file ``path``; ``keep`` names the columns
-    to return."""
+    to return.  With ``decoded`` also the bytes that the ids decode to, as ``decode_rows``
+    gives them, without a second way through Python."""
     ranks, run = Ranks.load(path), uuid.uuid4().hex
     shared = df.sparkSession.sparkContext.broadcast(ranks)
-    chosen, names, schema = passing(df, keep, [T.StructField("ids", IDS)], [text_col])
+    added = [T.StructField("ids", IDS)]
+    if decoded:
+        added.append(T.StructField("decoded", T.BinaryType()))
+    chosen, names, schema = passing(df, keep, added, [text_col])
     arrow = to_arrow_schema(schema)
 
-    def encoded(batches):
+    def encode(batches):
         encoder = kept_in_worker(run, lambda: TextEncoder(shared.value, pattern))
-        for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            for a, b in groups(texts):
-                ids = _lists(encoder.of_each(texts[a:b]))
-                yield record(batch.slice(a, b - a), names, [ids], arrow)
+        tokens = shared.value.spelled() if decoded else None
+        for batch in _encoded(batches, encoder, text_col):
+            new = [batch.column(batch.num_columns - 1)]
+            if decoded:
+                new.append(_decoded(new[0], tokens))
+            yield record(batch, names, new, arrow)
 
-    return chosen.mapInArrow(encoded, schema)
+    return chosen.mapInArrow(encode, schema)
 
 
 def decode_rows(
@@ -297,25 +334,11 @@ def decode_rows(
     chosen, names, schema = passing(df, keep, added, [ids_col])
     arrow = to_arrow_schema(schema)
 
-    def decoded(batches):
-        tokens = shared.value
+    def decode(batches):
         for batch in batches:
-            lists = batch.column(ids_col)
-            values = tokens.take(lists.flatten())
-            if values.null_count:
-                raise ValueError("an id without a token")
-            size = pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = np.concatenate(([0], np.cumsum(size)))
-            count = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = at[np.concatenate(([0], np.cumsum(count)))]
-            data = values.buffers()[2] or pa.py_buffer(b"")
-            text = pa.Array.from_buffers(
-                pa.large_binary(), len(lists), [None, pa.py_buffer(ends.tobytes()), data]
-            )
-            text = pc.if_else(lists.is_valid(), text, pa.scalar(None, pa.large_binary()))
-            yield record(batch, names, [text], arrow)
-
-    return chosen.mapInArrow(decoded, schema)
+            yield record(batch, names, [_decoded(batch.column(ids_col), shared.value)], arrow)
+
+    return chosen.mapInArrow(decode, schema)
 
 
 def reencode_rows(

@@ -164,17 +164,15 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents")
-    encoded = byte_bpe.encode_rows(docs, path, public_tokenizers.PATTERN, keep=["doc_id"])
-    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    digests = encoded.select(
+    encoded = byte_bpe.encode_rows(
+        docs, path, public_tokenizers.PATTERN, keep=["doc_id"], decoded=True
+    )
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(ids, 256).alias("ids_sha256"),
-        "ids",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-    kept = ["doc_id", "n_tokens", "ids_sha256"]
-    decoded = byte_bpe.decode_rows(digests, path, keep=kept)
-    return decoded.select(*kept, F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op12_whitening")

@@ -106,6 +106,9 @@ def test_rows(spark, library):
     assert len(back) == len(rows)
     for r in back:
         assert r.ids == library.encode_ordinary(r.text or "") and bytes(r.decoded).decode() == (r.text or "")
+    both = bb.encode_rows(df, PATH, PATTERN, keep=["doc_id"], decoded=True)
+    key = lambda r: (r.doc_id or 0, len(r.ids))
+    assert [(r.ids, r.decoded) for r in sorted(both.collect(), key=key)] == [(r.ids, r.decoded) for r in sorted(back, key=key)]
     odd = spark.createDataFrame([([104, 105],), ([],), (None,)], "ids array<int>")
     assert [r.decoded and bytes(r.decoded) for r in bb.decode_rows(odd, PATH).collect()] == [library.decode_bytes([104, 105]), b"", None]
     empty = bb.encode_rows(df.limit(0), PATH, PATTERN)
