@@ -14,7 +14,7 @@ from lexweave.functions.vectors import cosine_similarity, rounded_score
 from lexweave.operators import answers as ans
 from lexweave.operators import context, evaluate, search
 from lexweave.operators.rows import small_side
-from lexweave.plans import medallion, rag
+from lexweave.plans import library, medallion, rag
 from lexweave.sinks import files as file_sinks
 from lexweave.sources import files, tables
 from lexweave.storage import materialize, new_dir
@@ -378,14 +378,6 @@ def rag_ingest(spark, sf_dir):
     return rag.ingest(inputs.legal_pages(spark, sf_dir))
 
 
-def form_feed_pages(content: bytes) -> list[str]:
-    """A stand-in for a PDF reader; refuses files that say so."""
-    text = content.decode()
-    if "Clause " in text:
-        raise ValueError("unreadable file")
-    return text.split("\f")
-
-
 @query(
     "ingest_all",
     sql.LEGAL_CHUNKS
@@ -402,19 +394,17 @@ def ingest_all(spark, sf_dir):
     Chunk counts come from the written registry and, distinct labels, the index.
     """
     extracted = files.extract_pages(
-        inputs.legal_file_contents(spark, sf_dir), form_feed_pages, "stand-in"
-    )
-    store = rag.Store(
-        inputs.scratch_target(spark), new_dir(spark, "json"), new_dir(spark, "registry")
+        inputs.legal_file_contents(spark, sf_dir), inputs.form_feed_pages, "stand-in"
     )
-    failures = rag.ingest_into(extracted, store, recreate=True)
+    store = library.Library(new_dir(spark, "library"), buckets=8)
+    _, failures = library.ingest_run(extracted, store, "all", recreate=True)
     indexed = (
-        tables.table_scan(spark, store.target, store.index)
+        store.read(spark, library.INDEX)
         .groupBy("document_id")
         .agg(F.count("*").alias("indexed"))
     )
     done = (
-        tables.registry(spark, store.registry_dir)
+        store.read(spark, library.REGISTRY)
         .join(indexed, "document_id", "left")
         .select("document_id", "chunk_count", "indexed", F.lit(None).cast("string").alias("error"))
     )

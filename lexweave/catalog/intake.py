@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from lexweave import schemas
@@ -12,9 +14,10 @@ from lexweave.functions.vectors import HASH_MODEL, HASH_VERSION
 from lexweave.operators import documents as docs
 from lexweave.operators import enrich, report, search
 from lexweave.operators.embed import embed_chunks, missing_embeddings, wrong_dimensions
-from lexweave.plans import rag
+from lexweave.plans import library, rag
 from lexweave.sinks import files as file_sinks
 from lexweave.sinks import tables as table_sinks
+from lexweave.sinks.versions import Manifest, Versions, empty_table
 from lexweave.sources import files, tables
 from lexweave.storage import materialize, new_dir
 
@@ -214,18 +217,15 @@ def vector_upsert(spark, sf_dir):
         search.encode_nulls(chunks, "chunk_text")
     ).drop("embedding_model", "embedding_version")
     incoming = materialize(rows.withColumnRenamed("chunk_text", "text"), "incoming-rows")
-    target = inputs.scratch_target(spark)
     outdated = incoming.withColumn("text", F.lit("outdated")).withColumn("title", F.lit("?"))
-    first = table_sinks.upsert(outdated.limit(0), outdated, "chunk_uid", F.col("chunk_index"))
-    table_sinks.swap_table(first, target, "chunk_index")
-    merged = table_sinks.upsert(
-        tables.table_scan(spark, target, "chunk_index"),
-        incoming,
-        "chunk_uid",
-        F.col("chunk_index"),
-    )
-    table_sinks.swap_table(merged, target, "chunk_index")
-    stored = tables.table_scan(spark, target, "chunk_index")
+    store = Versions(spark, new_dir(spark, "versions"))
+    table = empty_table(incoming.schema, ["chunk_uid"], buckets=16)
+    manifest = Manifest()
+    for generation, rows in (("outdated", outdated), ("current", incoming)):
+        last = table_sinks.last_rows(rows, "chunk_uid", F.col("chunk_index"))
+        table = store.replaced(table, generation, last)
+        manifest = store.commit(replace(manifest, tables={"index": table}))
+    stored = store.read("index")
     return stored.select(
         *[c for c in stored.columns if c != "embedding"], *inputs.vector_facts()
     )
@@ -551,6 +551,57 @@ def pair_embeddings(spark, sf_dir):
     )
 
 
+_FIRST_CLASS = "length(document_id) % 3"
+
+
+@query(
+    "incremental_intake",
+    sql.LEGAL_CHUNKS
+    + f"""SELECT concat(document_id, '.pdf') AS source_pdf,
+      CASE WHEN bad OR class = 0 THEN 'new' WHEN class = 1 THEN 'changed' ELSE 'same' END
+        AS status,
+      CASE WHEN bad THEN NULL ELSE coalesce(n, 0) END AS chunk_count,
+      CASE WHEN bad THEN 0 ELSE coalesce(labels, 0) END AS indexed
+    FROM (SELECT document_id, contains(full_text, 'Clause ') AS bad,
+            {_FIRST_CLASS} AS class FROM legal_documents)
+    LEFT JOIN (SELECT document_id, count(*) AS n, count(DISTINCT chunk_uid) AS labels
+               FROM chunks GROUP BY document_id) USING (document_id)
+    UNION ALL SELECT concat('gone-', document_id, '.pdf'), 'gone', NULL, 0
+    FROM legal_documents WHERE {_FIRST_CLASS} = 0 AND NOT contains(full_text, 'Clause ')""",
+)
+def incremental_intake(spark, sf_dir):
+    """A library that was brought up to an earlier listing is brought up to all files.
+
+    Of the files, a third was missing then and had another name, and a third had more text.
+    """
+    listed = materialize(inputs.legal_file_contents(spark, sf_dir), "files")
+    group = (F.length("path") - 4) % 3
+    more = F.concat("content", F.lit("\fMore text.\n").cast("binary"))
+    earlier = listed.select(
+        F.when(group == 0, F.concat(F.lit("gone-"), "path")).otherwise(F.col("path")).alias("path"),
+        F.when(group == 1, more).otherwise(F.col("content")).alias("content"),
+    )
+    store = library.Library(new_dir(spark, "library"), buckets=8)
+    library.sync(earlier, store, "first", inputs.form_feed_pages, "stand-in")
+    found, _ = library.sync(listed, store, "second", inputs.form_feed_pages, "stand-in")
+    indexed = (
+        store.read(spark, library.INDEX)
+        .groupBy(F.col("file_name").alias("source_pdf"))
+        .agg(F.count("*").alias("indexed"))
+    )
+    registry = store.read(spark, library.REGISTRY).select("source_pdf", "chunk_count")
+    return (
+        found.join(registry, "source_pdf", "left")
+        .join(indexed, "source_pdf", "left")
+        .select(
+            "source_pdf",
+            "status",
+            "chunk_count",
+            F.coalesce("indexed", F.lit(0).cast("bigint")).alias("indexed"),
+        )
+    )
+
+
 @query(
     "skip_known_sources",
     """SELECT doc_id, source, n_chars FROM documents

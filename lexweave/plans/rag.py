@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions.vectors import hash_embedding
@@ -29,8 +29,8 @@ from lexweave.sinks.files import (
 )
 from lexweave.sinks.tables import swap_table, upsert
 from lexweave.sources.files import PageExtractor, extract_pages, file_name, read_files
-from lexweave.sources.tables import Target, chunk_json_source
-from lexweave.storage import materialize
+from lexweave.sources.tables import Target, chunk_documents, chunks_of_documents
+from lexweave.storage import materialize, remove
 
 MAX_TOP_K = 20
 
@@ -162,8 +162,9 @@ def ingest_into(
     """Ingest all documents at once and return the failures.
 
     Chunks are written as JSON, embedded and upserted into the index; every
-    document that could be read gets a registry row.  ``recreate`` starts the
-    index anew.
+    document that could be read gets a registry row.  ``recreate`` starts index, JSON and
+    registry anew.  The three are written one after the other; ``plans.library`` makes them
+    visible together.
     """
     return _ingest_into(extracted, store, encoder, recreate)[2]
 
@@ -179,10 +180,12 @@ def _ingest_into(
     chunks = materialize(ingest(pages), "chunks")
 
     headers = registry_rows(pages, chunks)
-    write_chunk_json(chunk_documents_json(chunks, headers), f"{store.json_dir}/{uuid4().hex}")
-
     if recreate:
         spark.sql(f"DROP TABLE IF EXISTS {store.target.table(store.index)}")
+        for folder in (store.json_dir, store.registry_dir):
+            remove(spark, folder)
+    write_chunk_json(chunk_documents_json(chunks, headers), f"{store.json_dir}/{uuid4().hex}")
+
     index_chunks(chunks, store, encoder)
 
     append_registry(headers, store.registry_dir)
@@ -216,15 +219,40 @@ def ingest_directory(
     return ingestion_summary(chunks, pages), failures
 
 
-def index_chunks(chunks: DataFrame, store: Store, encoder: Encoder = hash_embedding) -> int:
-    """Embed chunk rows and upsert them into the index; the number of rows it then has."""
+def index_chunks(
+    chunks: DataFrame,
+    store: Store,
+    encoder: Encoder = hash_embedding,
+    order: Column | None = None,
+) -> int:
+    """Embed chunk rows and upsert them into the index; the number of rows it then has.
+
+    Of the rows of a label the last in ``order`` wins, by default that of the last chunk.
+    """
     spark, name = chunks.sparkSession, store.target.table(store.index)
     incoming = embed_chunks(chunks, encoder).drop("embedding_model", "embedding_version")
-    existing = spark.table(name) if spark.catalog.tableExists(name) else incoming.limit(0)
-    merged = upsert(existing, incoming, CHUNK_KEYS[0], F.col("chunk_id"))
+    if spark.catalog.tableExists(name):
+        existing = spark.table(name)
+    else:
+        existing = incoming.drop("ingested_at").limit(0)
+    last = F.col("chunk_id") if order is None else order
+    merged = upsert(existing, incoming, CHUNK_KEYS[0], last)
     return swap_table(merged, store.target, store.index)
 
 
 def reindex(spark: SparkSession, store: Store, encoder: Encoder = hash_embedding) -> int:
-    """Index the chunk JSON of a store anew, without reading any document again."""
-    return index_chunks(chunk_json_source(spark, f"{store.json_dir}/*"), store, encoder)
+    """Index the chunk JSON of a store anew, without reading any document again.
+
+    Of a document that several runs have written, the last run counts.
+    """
+    documents = chunk_documents(spark, f"{store.json_dir}/*")
+    last = documents.groupBy("document_id", "source_pdf").agg(
+        F.max("ingested_at").alias("ingested_at")
+    )
+    same = [
+        F.col(f"d.{c}").eqNullSafe(F.col(f"l.{c}"))
+        for c in ("document_id", "source_pdf", "ingested_at")
+    ]
+    latest = documents.alias("d").join(last.alias("l"), same, "left_semi")
+    chunks = chunks_of_documents(latest, "ingested_at")
+    return index_chunks(chunks, store, encoder, F.struct("ingested_at", "chunk_id"))

@@ -40,21 +40,23 @@ def recreate_table(spark: SparkSession, target: Target, name: str) -> None:
     )
 
 
+def last_rows(incoming: DataFrame, key: str, order: Column) -> DataFrame:
+    """One row per key: the last in ``order``, by partial aggregation."""
+    rest = F.struct(*[c for c in incoming.columns if c != key])
+    rows = incoming.groupBy(key).agg(F.max_by(rest, order).alias("_row"))
+    return rows.select(key, "_row.*").select(*incoming.columns)
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, order: Column) -> DataFrame:
     """One row per key: the incoming row if there is one, and of several the last
     in ``order``.
 
     ``existing`` has one row per key already, so it is only relieved of incoming
-    keys and not shuffled while those are few.  A key that repeats is reduced by
-    partial aggregation.
+    keys and not shuffled while those are few.  The result is the whole index;
+    ``versions`` rewrites only the files that hold an incoming key.
     """
-    rest = F.struct(*[c for c in existing.columns if c != key])
     latest = materialize(
-        incoming.groupBy(key)
-        .agg(F.max_by(rest, order).alias("_row"))
-        .select(key, "_row.*")
-        .select(*existing.columns),
-        "incoming",
+        last_rows(incoming, key, order).select(*existing.columns), "incoming"
     )
     keys = latest.select(key)
     if latest.count() <= MAX_BROADCAST_KEYS:

@@ -34,12 +34,21 @@ def chunk_json_source(
 
     ``char_length`` is counted anew and the source file is the stored one's name.
     """
-    documents = (
-        spark.read.schema(schemas.CHUNK_DOCUMENT)
-        .option("multiLine", multi_line)
-        .json(path)
-    )
+    return chunks_of_documents(chunk_documents(spark, path, multi_line=multi_line))
+
+
+def chunk_documents(
+    spark: SparkSession, path: str, *, multi_line: bool = False
+) -> DataFrame:
+    """Nested chunk documents as they were written."""
+    reader = spark.read.schema(schemas.CHUNK_DOCUMENT)
+    return reader.option("multiLine", multi_line).json(path)
+
+
+def chunks_of_documents(documents: DataFrame, *extra: str) -> DataFrame:
+    """Chunk rows of nested chunk documents; ``extra`` names further document fields."""
     return documents.select(
+        *extra,
         "document_id",
         "law_passed_date",
         "regulation_title",
@@ -47,6 +56,7 @@ def chunk_json_source(
         "issuing_authority",
         F.explode("chunks").alias("chunk"),
     ).select(
+        *extra,
         "document_id",
         F.col("chunk.chunk_uid"),
         F.col("chunk.chunk_id"),

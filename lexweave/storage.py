@@ -41,6 +41,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there, through the file system Spark uses."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(
+        hadoop_path, True
+    )
+
+
 def require_rows(df: DataFrame, message: str) -> DataFrame:
     if df.isEmpty():
         raise ValueError(message)

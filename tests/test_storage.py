@@ -274,8 +274,14 @@ def test_ingest_into_a_store_twice(spark, target, tmp_path):
     }
     assert tables.registry(spark, store.registry_dir).count() == 3
     assert tables.chunk_json_source(spark, f"{store.json_dir}/*").count() == 3
+    # Of the two generations of ``b`` in the JSON the later one counts, in any order of files.
+    rag.reindex(spark, store)
+    index = spark.table(target.table("chunk_index"))
+    assert {r.chunk_uid: r.chunk_text for r in index.collect()}["b_chunk_0"] == "new text"
     rag.ingest_into(extracted(("d", "more", None)), store, recreate=True)
     assert [r.chunk_uid for r in spark.table(target.table("chunk_index")).collect()] == ["d_chunk_0"]
+    assert [r.document_id for r in tables.registry(spark, store.registry_dir).collect()] == ["d"]
+    assert [r.document_id for r in tables.chunk_json_source(spark, f"{store.json_dir}/*").collect()] == ["d"]
 
 
 def test_source_manifest(spark):
