@@ -254,5 +254,7 @@ def reindex(spark: SparkSession, store: Store, encoder: Encoder = hash_embedding
         for c in ("document_id", "source_pdf", "ingested_at")
     ]
     latest = documents.alias("d").join(last.alias("l"), same, "left_semi")
-    chunks = chunks_of_documents(latest, "ingested_at")
+    chunks = chunks_of_documents(latest, "source_pdf", "ingested_at").withColumnRenamed(
+        "source_pdf", "file_name"
+    )
     return index_chunks(chunks, store, encoder, F.struct("ingested_at", "chunk_id"))
