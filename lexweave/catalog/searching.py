@@ -8,6 +8,7 @@ from lexweave.catalog import inputs, sql
 from lexweave.catalog.registry import query
 from lexweave.functions import vectors
 from lexweave.functions.text import preview
+from lexweave.operators import inverted_lists as lists
 from lexweave.operators import report, search
 from lexweave.operators.embed import embed_chunks, embed_questions
 from lexweave.plans import rag
@@ -238,6 +239,71 @@ def ann_search(spark, sf_dir):
     return hits.select("query_id", "rank", "vec_id", _six("score"))
 
 
+def _list_index(spark, rows):
+    """An index of vectors, with about as many lists as rows in a list."""
+    index = lists.ListIndex(new_dir(spark, "list-index"), _VEC)
+    lists.build(rows, index, lists=max(16, int(rows.count() ** 0.5)), parts=32)
+    return index
+
+
+@query(
+    "ann_lists",
+    """SELECT vec_id AS query_id, least(5, (SELECT count(*) FROM embeddings))::BIGINT AS results,
+      0::BIGINT AS wrong_scores, true AS recall_reached
+    FROM embeddings WHERE vec_id % 50 = 0""",
+)
+def ann_lists(spark, sf_dir):
+    """Every 50th vector against inverted lists of all: rows for each query, scores that
+    differ from those of exact search, and whether 0.9 of the exact results are found."""
+    rows = inputs.vectors(spark, sf_dir).select("vec_id", "embedding")
+    asked = rows.where(F.col("vec_id") % 50 == 0).select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")
+    )
+    hits = lists.search(spark, _list_index(spark, rows), asked, 5)
+    true = search.nearest(rows, asked, 5, keys=_VEC).select(
+        "query_id", "vec_id", F.col("score").alias("true_score")
+    )
+    both = hits.join(true, ["query_id", "vec_id"], "full")
+    far = F.abs(F.col("score") - F.col("true_score")) > 1e-6
+    found = (F.count_if(F.col("score").isNotNull() & F.col("true_score").isNotNull())).alias("found")
+    counted = materialize(
+        both.groupBy("query_id").agg(
+            F.count("score").alias("results"),
+            F.count_if(far).alias("wrong_scores"),
+            found,
+            F.count("true_score").alias("wanted"),
+        ),
+        "counted",
+    )
+    share = counted.agg((F.sum("found") >= 0.9 * F.sum("wanted")).alias("recall_reached"))
+    return counted.select("query_id", "results", "wrong_scores").join(F.broadcast(share))
+
+
+@query(
+    "ann_lists_upserts",
+    """SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN -1.0 ELSE 1.0 END::DOUBLE AS direction
+    FROM embeddings WHERE vec_id % 10 <> 7""",
+)
+def ann_lists_upserts(spark, sf_dir):
+    """Lists of half the vectors, three upserts that add, turn round and remove some, and
+    maintenance: which vectors are left, and which way they point."""
+    rows = inputs.vectors(spark, sf_dir).select("vec_id", "embedding")
+    turned = rows.withColumn("embedding", F.transform("embedding", lambda x: -x))
+    index = _list_index(spark, rows.where("vec_id % 2 = 0"))
+    lists.upsert(rows.where("vec_id % 4 = 1"), index)
+    lists.upsert(
+        rows.where("vec_id % 4 = 3").unionByName(turned.where("vec_id % 10 = 0")), index
+    )
+    lists.upsert(
+        turned.where("vec_id % 10 = 5"), index, rows.where("vec_id % 10 = 7").select("vec_id")
+    )
+    lists.maintain(spark, index, max_rows=max(16, int(1.5 * rows.count() ** 0.5)))
+    versions = index.versions(spark)
+    left = lists.live(versions, versions.manifest())
+    direction = F.round(vectors.cosine_similarity(F.col("unit"), F.col("embedding")), 6)
+    return left.join(rows, "vec_id").select("vec_id", direction.alias("direction"))
+
+
 @query(
     "vector_search",
     sql.with_(

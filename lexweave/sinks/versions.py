@@ -14,7 +14,7 @@ more than ``FILES_PER_BUCKET`` of them and is written together.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -196,21 +196,39 @@ class Versions:
             if len(paths) > FILES_PER_BUCKET:
                 holders |= set(paths)
         rest = _joined(self.read_files(table, sorted(holders)), affected, keys, "left_anti")
+        rows = rest.withColumn(_BUCKET, bucket).unionByName(rows)
+        return self._with_files(table, self._written(table, generation, rows), holders)
+
+    def placed(
+        self,
+        table: Table,
+        generation: str,
+        rows: DataFrame,
+        bucket: str,
+        emptied: Collection[int] = (),
+    ) -> Table:
+        """The table with more rows in the buckets that a column of theirs names, and none
+        of the files of the ``emptied`` buckets.  As ``replaced``, it changes nothing yet."""
+        rows = rows.select(*table.struct().names, F.col(bucket).cast("int").alias(_BUCKET))
+        left = {p for b in emptied for p in table.files.get(b, ())}
+        return self._with_files(table, self._written(table, generation, rows), left)
+
+    def _written(self, table: Table, generation: str, rows: DataFrame) -> list[str]:
+        """Write rows by bucket; range partitioning also splits a bucket of many rows."""
         (
-            rest.withColumn(_BUCKET, bucket)
-            .unionByName(rows)
-            .repartitionByRange(_BUCKET, *keys)
-            .sortWithinPartitions(_BUCKET, *keys)
+            rows.repartitionByRange(_BUCKET, *table.keys)
+            .sortWithinPartitions(_BUCKET, *table.keys)
             .write.partitionBy(_BUCKET)
             .option("ignoreNullFields", False)
             .mode("overwrite")
             .format(table.format)
             .save(f"{self.root}/{generation}")
         )
-        files = {
-            b: tuple(p for p in paths if p not in holders) for b, paths in table.files.items()
-        }
-        for path in self.files_under(generation):
+        return self.files_under(generation)
+
+    def _with_files(self, table: Table, added: list[str], left: set[str]) -> Table:
+        files = {b: tuple(p for p in paths if p not in left) for b, paths in table.files.items()}
+        for path in added:
             number = int(path.split(f"{_BUCKET}=")[1].split("/")[0])
             files[number] = (*files.get(number, ()), path)
         return replace(table, files={b: paths for b, paths in files.items() if paths})
