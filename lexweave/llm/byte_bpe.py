@@ -52,19 +52,17 @@ def split_of(token: bytes, rank: int, ranks: dict[bytes, int]) -> tuple[int, int
 class Ranks:
     """Tokens with their ids, which are also the order of merges, and their splits."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], splits: dict[int, tuple[int, int]] | None = None):
         if not {bytes([b]) for b in range(256)} <= ranks.keys():
             raise ValueError("not every byte is a token")
         self.ids = ranks
         self.longest = max(map(len, ranks))
-        self.split: dict[int, tuple[int, int]] = {}
-        self.merge: dict[tuple[int, int], int] = {}
-        for token, rank in ranks.items():
-            parts = split_of(token, rank, ranks) if len(token) > 1 else None
-            if parts is not None:
-                self.split[rank], self.merge[parts] = parts, rank
-            elif len(token) > 1:
-                raise ValueError(f"token {rank} is no merge of two tokens of lower rank")
+        self.split = splits or {
+            rank: split_of(token, rank, ranks) for token, rank in ranks.items() if len(token) > 1
+        }
+        if None in self.split.values():
+            raise ValueError("a token is no merge of two tokens of lower rank")
+        self.merge = {parts: rank for rank, parts in self.split.items()}
 
     @classmethod
     def load(cls, path: str) -> Ranks:
@@ -73,6 +71,10 @@ class Ranks:
             pairs = (line.split() for line in lines if line.strip())
             return cls({base64.b64decode(token): int(rank) for token, rank in pairs})
 
+    def plain(self) -> tuple[dict, dict]:
+        """What makes an equal one, as values that workers read without this module."""
+        return self.ids, self.split
+
     def spelled(self) -> pa.Array:
         """Token bytes by id; ids without a token are null."""
         out: list[bytes | None] = [None] * (max(self.ids.values()) + 1)
@@ -304,8 +306,8 @@ def encode_rows(
     """The rows with their ``ids``, by the rank file ``path``; ``keep`` names the columns
     to return.  With ``decoded`` also the bytes that the ids decode to, as ``decode_rows``
     gives them, without a second way through Python."""
-    ranks, run = Ranks.load(path), uuid.uuid4().hex
-    shared = df.sparkSession.sparkContext.broadcast(ranks)
+    context, run = df.sparkSession.sparkContext, uuid.uuid4().hex
+    shared = context.broadcast(Ranks.load(path).plain())
     added = [T.StructField("ids", IDS)]
     if decoded:
         added.append(T.StructField("decoded", T.BinaryType()))
@@ -313,8 +315,8 @@ def encode_rows(
     arrow = to_arrow_schema(schema)
 
     def encode(batches):
-        encoder = kept_in_worker(run, lambda: TextEncoder(shared.value, pattern))
-        tokens = shared.value.spelled() if decoded else None
+        encoder = kept_in_worker(run, lambda: TextEncoder(Ranks(*shared.value), pattern))
+        tokens = Ranks(*shared.value).spelled() if decoded else None
         for batch in _encoded(batches, encoder, text_col):
             new = [batch.column(batch.num_columns - 1)]
             if decoded:
@@ -355,14 +357,14 @@ def reencode_rows(
     ``pattern`` must end a match where white space follows something else.  Null texts
     count as empty, and rows without ids are encoded anew.
     """
-    ranks, run = Ranks.load(path), uuid.uuid4().hex
-    shared = df.sparkSession.sparkContext.broadcast(ranks)
+    context, run = df.sparkSession.sparkContext, uuid.uuid4().hex
+    shared = context.broadcast(Ranks.load(path).plain())
     added = [T.StructField("edited_ids", IDS), T.StructField("reused", T.LongType())]
     chosen, names, schema = passing(df, None, added, [before, ids_col, after])
     arrow = to_arrow_schema(schema)
 
     def encoded(batches):
-        encoder = kept_in_worker(run, lambda: TextEncoder(shared.value, pattern))
+        encoder = kept_in_worker(run, lambda: TextEncoder(Ranks(*shared.value), pattern))
         for batch in batches:
             ids, reused = [], []
             for old, old_ids, new in zip(

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.llm.components import components
@@ -377,13 +377,19 @@ def jaccard_components(
         "classes",
     )
     keyed = reps.select("node", F.explode("keys").alias("key"))
-    meeting = (
-        keyed.groupBy("key")
-        .agg(F.count("*").alias("members"), F.min("node").alias("rep"))
+    # Counting the members of a key and joining them back share one exchange.
+    same_key = Window.partitionBy("key")
+    members = materialize(
+        keyed.select(
+            "key",
+            "node",
+            F.min("node").over(same_key).alias("rep"),
+            F.count(F.lit(1)).over(same_key).alias("members"),
+        )
         .where("members > 1")
-        .drop("members")
+        .drop("members"),
+        "key-groups",
     )
-    members = materialize(keyed.join(meeting, "key"), "key-groups")
     sizes = reps.select("node", "n")
     star = members.where("node <> rep").select(
         F.col("rep").alias("a"), F.col("node").alias("b")
@@ -411,6 +417,10 @@ def jaccard_components(
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
     """One document of each component stays, the one with the smallest id."""
     found = jaccard_components(df, id_col, **settings)
-    # No name of this table can clash with the documents' own.
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    # A row travels as a struct, so that its columns' names meet no others.
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+        F.col(f"`{id_col}`").cast("long").alias("own"),
+    )
+    return rows.join(gone, F.col("own") == F.col("gone"), "left_anti").select("row.*")

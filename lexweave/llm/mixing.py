@@ -259,20 +259,20 @@ def mixed_rows(
     copies = (
         mixed_copies(df, id_col, text_col, source_col)
         .where("copies > 0")
-        .select(
-            F.col("doc_id").alias("__unit"),
-            F.col("source").alias("__source"),
-            (F.col("size") > 0).alias("__words"),
-            F.col("copies").alias("__copies"),
-        )
+        .select("doc_id", "source", (F.col("size") > 0).alias("words"), "copies")
         .distinct()
     )
-    own = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__unit"))
-    same = F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__source"))
-    filled = (word_count(F.col(f"`{text_col}`")) > 0) == F.col("__words")
-    names = [F.col(f"`{c}`") for c in df.columns]
-    return (
-        df.join(copies, own & same & filled)
-        .select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy"))
-        .drop("__copy")
+    # A row travels as a struct, so that its columns' names meet no others.
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+        F.col(f"`{id_col}`").cast("long").alias("own_id"),
+        F.col(f"`{source_col}`").cast("string").alias("own_source"),
+        (word_count(F.col(f"`{text_col}`")) > 0).alias("own_words"),
+    )
+    same = (
+        F.col("own_id").eqNullSafe(F.col("doc_id"))
+        & F.col("own_source").eqNullSafe(F.col("source"))
+        & (F.col("own_words") == F.col("words"))
     )
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
+    return rows.join(copies, same).select("row", each).select("row.*")

@@ -10,7 +10,8 @@ merged into the best of the task; the best of all tasks meet in one shuffle.
 Vectors that are null or hold null or non-finite components take no part, nor do rows
 without an id.  Missing dimensions count as 0.  A query's own rows (its id) are no
 candidates; of several rows with a query's id the smallest vector is the query.  Ties go
-to the smaller id.
+to the smaller id.  Scores are exact; components of 62 bits or more after scaling, and scores
+of as many, end the job with an error.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.storage import materialize
+from lexweave.storage import materialize, new_dir
 
 SLICE_QUERIES = 2048
 BLOCK_ROWS = 1024
@@ -40,7 +41,15 @@ def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) ->
             F.col(vector_col).cast("array<double>").alias("vector"),
         )
         .where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite)
-        .select("vec_id", F.transform("vector", lambda x: F.floor(x * scale)).alias("vector"))
+        .select("vec_id", F.transform("vector", lambda x: whole(x * scale)).alias("vector"))
+    )
+
+
+def whole(x: Column) -> Column:
+    """The integer at or below a double; the job ends if none of 62 bits is."""
+    message = F.lit("a component is too large for exact integer scores")
+    return F.when(F.abs(x) < F.lit(float(1 << 62)), F.floor(x)).otherwise(
+        F.raise_error(message).cast("long")
     )
 
 
@@ -58,8 +67,27 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
 
 
 def accumulate(terms: list[tuple[np.ndarray, np.ndarray]], n: int, block: np.ndarray):
-    """Scores (query, candidate), one dimension after the other."""
-    scores = np.zeros((n, len(block)), np.int64)
+    """Scores (query, candidate), one dimension after the other.
+
+    Where sums could pass 62 bits they are taken over Python's integers; a score that does
+    not fit a long integer ends the job."""
+    reach = 0
+    for (_, weights), values in zip(terms, block.T, strict=False):
+        reach += _largest(weights) * _largest(values)
+    if reach >= 1 << 62:
+        exact = _accumulate([(q, w.astype(object)) for q, w in terms], n, block.astype(object))
+        if _largest(exact) >= 1 << 62:
+            raise ArithmeticError("a score is too large for a long integer")
+        return exact.astype(np.int64)
+    return _accumulate(terms, n, block)
+
+
+def _largest(values: np.ndarray) -> int:
+    return max(int(values.max(initial=0)), -int(values.min(initial=0))) if values.size else 0
+
+
+def _accumulate(terms: list[tuple[np.ndarray, np.ndarray]], n: int, block: np.ndarray):
+    scores = np.zeros((n, len(block)), block.dtype)
     for (queries, weights), values in zip(terms, block.T, strict=False):
         at = np.flatnonzero(values)
         if not len(queries) or not len(at):
@@ -138,7 +166,8 @@ def exact_topk(
         vectors.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries"
     )
     slices = max(1, -(-queries.count() // SLICE_QUERIES))
-    search, found = _search, None
+    search, path = _search, new_dir(spark, "best")
+    # One slice after the other, so that one broadcast is held at a time.
     for number in range(slices):
         chosen = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(slices)) == number).collect()
         shared = spark.sparkContext.broadcast(_terms(chosen))
@@ -148,7 +177,9 @@ def exact_topk(
             return search(batches, ids, terms, k)
 
         part = vectors.mapInArrow(scan, "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
+        part.write.mode("append").parquet(path)
+        shared.destroy()
+    found = spark.read.schema("query_id long, vec_id long, score long").parquet(path)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order))

@@ -13,15 +13,15 @@ from lexweave.llm.shingles import WordHasher, shingle_sets
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles(text):
+def shingles(text, size=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
-    if len(words) < 3:
+    if len(words) < size:
         return {tuple(words)} if words else set()
-    return {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
-def brute(rows):
-    sets = {i: shingles(t) for i, t in rows}
+def brute(rows, size=3, percent=90):
+    sets = {i: shingles(t, size) for i, t in rows}
     label = {i: i for i in sets}
 
     def root(i):
@@ -33,7 +33,7 @@ def brute(rows):
     for a in ids:
         for b in ids:
             both = len(sets[a] & sets[b])
-            if a < b and both and 100 * both >= 90 * len(sets[a] | sets[b]):
+            if a < b and both and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 label[y] = x
     return {i: (len(sets[i]), root(i)) for i in ids}
@@ -122,3 +122,14 @@ def test_shingles_of_sliced_arrays_and_long_texts():
     sets = list(shingle_sets(texts.slice(1), 3, WordHasher()))
     assert [len(s) for s in sets] == [0, 1, 2, 0, 1, 1]
     assert sets[1] == sets[5] and sets[1][0] in sets[2]
+
+
+def test_near_copies_go_and_no_name_clashes(spark):
+    rows = families(11, n=4)
+    names = ["__gone", "gone", "own", "row", "n_shingles", "component_id", "key"]
+    df = spark.createDataFrame([(*r, *range(7)) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = jj.drop_near_copies(df, size=5, numerator=80, denominator=100)
+    assert got.columns == df.columns and dict(got.dtypes) == dict(df.dtypes)
+    want = brute(rows, 5, 80)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
+    assert all(tuple(r)[2:] == tuple(range(7)) for r in got.collect())

@@ -90,3 +90,12 @@ def test_repeated_and_missing_ids_and_empty_tables(spark):
     assert len({r.copies for r in got if r.doc_id == 1}) == 1
     empty = spark.createDataFrame([], SCHEMA)
     assert mixed_copies(empty).count() == 0 and mixed_rows(empty).count() == 0
+
+
+def test_rows_of_the_mix_keep_columns_of_any_name(spark):
+    names = ["__copies", "__copy", "copies", "copy", "row", "words", "own_id", "size", "target"]
+    rows = [(i, "one two three", "ab"[i % 2], *range(9)) for i in range(20)] + [(None, None, None, *range(9))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    got = mixed_rows(df)
+    assert got.columns == df.columns and got.count() > 20
+    assert all(tuple(r)[3:] == tuple(range(9)) for r in got.collect())

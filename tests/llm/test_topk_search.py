@@ -47,3 +47,34 @@ def test_fewer_candidates_than_k_and_empty_tables(spark):
     got = ts.exact_topk(df, F.col("vec_id") % 5 == 0, k=10)
     assert sorted(map(tuple, got.collect())) == [(0, 1, 5, 2 << 20), (0, 2, 7, 1 << 20), (5, 1, 0, 2 << 20), (5, 2, 7, 2 << 20)]
     assert ts.exact_topk(df.limit(0), F.col("vec_id") % 5 == 0).count() == 0
+
+
+def test_large_components_are_exact_or_refused(spark):
+    rows = [(0, [1.0, 2.0], "", ""), (1, [4e9, 1.0], "", ""), (2, [-4e9, 3.0], "", ""), (3, [1e12, -5e11], "", ""), (4, [1e12, 0.5], "", "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = ts.exact_topk(df, F.col("vec_id") % 5 == 0, k=10).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 10)
+    for far in (1e300, 4e15, -1e20):
+        with pytest.raises(Exception, match="too large"):
+            ts.exact_topk(df.union(spark.createDataFrame([(7, [far, 1.0], "", ""), (10, [far, 1.0], "", "")], SCHEMA)), F.col("vec_id") % 5 == 0).collect()
+
+
+def test_one_broadcast_at_a_time(spark, monkeypatch):
+    held, most = set(), []
+    monkeypatch.setattr(ts, "SLICE_QUERIES", 5)
+    context = type(spark.sparkContext)
+    original = context.broadcast
+
+    def counted(self, value):
+        made = original(self, value)
+        if isinstance(value, tuple) and len(value) == 2:
+            held.add(id(made))
+            most.append(len(held))
+            destroy = made.destroy
+            made.destroy = lambda blocking=False: (held.discard(id(made)), destroy(blocking))
+        return made
+
+    monkeypatch.setattr(context, "broadcast", counted)
+    df = spark.createDataFrame([(i, [float(i), 1.0], "", "") for i in range(125)], SCHEMA)
+    assert ts.exact_topk(df, F.col("vec_id") % 5 == 0, k=3).count() == 75
+    assert len(most) == 5 and set(most) == {1} and not held
