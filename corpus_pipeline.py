@@ -26,7 +26,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.drop_near_copies(docs)
+    """Of documents that share 0.8 of their shingles of five words, directly or in steps, the
+    one with the smallest id stays."""
+    return jaccard_join.drop_near_copies(docs, size=5, numerator=80, denominator=100)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
