@@ -10,8 +10,9 @@ and renames at the end: a repeated task replaces a file by an equal one.
 
 White space ends every pre-token of the vocabulary and case does not count, so texts are
 encoded by their distinct lower-case runs between blanks; a Python worker keeps them, in
-bounded number, for all its tasks of one run.  Null texts are empty and hold the end id
-only.  Rows without an id come last; rows that share an id are ordered by a hash of their
+bounded number, for all its tasks of one run.  A text that holds an added token of the
+vocabulary is encoded as a whole, as the library does it.  Null texts are empty and hold the
+end id only.  Rows without an id come last; rows that share an id are ordered by a hash of their
 text.
 """
 
@@ -20,10 +21,11 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -31,20 +33,20 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexweave.llm.tables import partitions
-from lexweave.llm.vocabulary import Spellings, found_in, groups, kept_in_worker
+from lexweave.llm.vocabulary import Spellings, groups, kept_in_worker
 from lexweave.storage import materialize, new_dir
 
 LENGTH = 1024
 BATCH_SEQUENCES = 256
 END_ID = 1
-# Blanks at which the vocabulary always cuts, whatever stands around them.
-RUNS = re.compile(r"[^ \t\n\r]+")
 # A comma or full stop behind a letter and before a blank is always a pre-token of its own.
-STOP = re.compile(r"[.,](?=[ \n])(?<=[a-z].)")
+STOP, CUT_STOP = r"([a-z])([.,])([ \n])", r"\1 \2\3"
 # Lowering a capital before a character beyond ASCII could change what NFC composes: J and
 # a caron stay two characters, j and a caron become one.
-CAPITALS_BEFORE_OTHERS = re.compile(r"[A-Z](?=[^\x00-\x7f])")
+CAPITALS_BEFORE_OTHERS = r"[A-Z][^\x00-\x7F]"
 CAPITALS = re.compile(r"[A-Z]+(?![^\x00-\x7f])")
+# Texts encoded together have about so many characters.
+TOGETHER_CHARS = 1 << 22
 # A word that marks where a run ends when many are encoded as one text.
 SEPARATOR = "\x01"
 RUNS_TOGETHER = 2048
@@ -60,7 +62,7 @@ def encoder(tokenizer_path: str):
     """A function from a list of texts to their arrays of ids."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True
+    added = [t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()]
 
     def ids(text: str) -> np.ndarray:
         (found,) = tokenizer.encode_batch_fast([text], add_special_tokens=False)
@@ -70,31 +72,44 @@ def encoder(tokenizer_path: str):
     if len(comma) != 1:
         raise ValueError(f"{tokenizer_path} does not spell the separator by one id")
 
-    def spell(runs: list[str]) -> list[np.ndarray]:
+    def spell(runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Many runs are one text, with a word of its own between them."""
-        joined = [i for i, run in enumerate(runs) if SEPARATOR not in run]
-        spelled: list[np.ndarray | None] = [None] * len(runs)
-        for k in range(0, len(joined), RUNS_TOGETHER):
-            part = joined[k : k + RUNS_TOGETHER]
-            stream = ids(f" {SEPARATOR} ".join(runs[i] for i in part))
+        flat, lengths = [], []
+        for k in range(0, len(runs), RUNS_TOGETHER):
+            part = runs[k : k + RUNS_TOGETHER]
+            stream = ids(f" {SEPARATOR} ".join(part))
             cuts = np.flatnonzero(stream == comma[0])
-            for i, found in zip(part, np.split(stream, cuts), strict=True):
-                spelled[i] = found
-            for i in part[1:]:
-                spelled[i] = spelled[i][1:]
-        return [ids(run) if found is None else found for run, found in zip(runs, spelled, strict=True)]
+            if len(cuts) == len(part) - 1:
+                flat.append(np.delete(stream, cuts))
+                lengths.append(np.diff(cuts, prepend=-1, append=len(stream)) - 1)
+                continue
+            # A run holds the separator itself.
+            for run in part:
+                flat.append(ids(run))
+                lengths.append([len(flat[-1])])
+        return np.concatenate(flat), np.concatenate(lengths).astype(np.int64)
 
-    def runs(text: str) -> Iterable[str]:
+    table = Spellings(spell)
+
+    def encode(texts: list[str | None]) -> list[np.ndarray]:
         # The vocabulary composes, then ignores case; a capital that nothing can compose with
         # is lowered at once, the tokenizer lowers the others.
-        if text.isascii() or not CAPITALS_BEFORE_OTHERS.search(text):
-            lowered = text.encode().lower().decode()
-        else:
-            lowered = CAPITALS.sub(lambda m: m.group().lower(), text)
-        return found_in(RUNS, STOP.sub(r" \g<0>", lowered))
-
-    table = Spellings(spell)
-    return lambda texts: table.of_each([runs(t or "") for t in texts])
+        column = pa.array([t or "" for t in texts], pa.string())
+        lowered = pc.ascii_lower(column)
+        careful = pc.match_substring_regex(column, CAPITALS_BEFORE_OTHERS)
+        if pc.any(careful).as_py():
+            some = column.filter(careful).to_pylist()
+            by_hand = [CAPITALS.sub(lambda m: m.group().lower(), t) for t in some]
+            lowered = pc.replace_with_mask(lowered, careful, pa.array(by_hand, pa.string()))
+        cut = pc.replace_substring_regex(lowered, STOP, CUT_STOP)
+        out = table.of_lists(pc.ascii_split_whitespace(cut))
+        # An added token is found in the text as it stands, before anything else.
+        for token in added:
+            for i in np.flatnonzero(pc.match_substring(lowered, token)):
+                out[i] = ids(texts[i])
+        return out
+
+    return encode
 
 
 def _types(length: int, narrow: bool) -> tuple[pa.Schema, pa.Schema]:
@@ -208,7 +223,7 @@ def _write_shard(
     end = np.array([end_id], np.int32)
     for batch in batches:
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-        for a, b in groups(texts):
+        for a, b in groups(texts, TOGETHER_CHARS):
             writer.add(ids[a:b], [np.concatenate([x, end]) for x in encode(texts[a:b])])
     docs, total = writer.close()
     yield pa.RecordBatch.from_arrays(

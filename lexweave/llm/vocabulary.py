@@ -9,6 +9,7 @@ from itertools import chain
 from types import ModuleType
 
 import numpy as np
+import pyarrow as pa
 
 # Texts are taken in groups of about so many characters.
 GROUP_CHARS = 1 << 20
@@ -56,9 +57,13 @@ def tokens_of(text: str) -> Iterable[str]:
 
 
 class Spellings:
-    """Integer sequences of strings, each found once; bounded in number."""
+    """Integer sequences of strings, each found once; bounded in number.
 
-    def __init__(self, spell: Callable[[list[str]], list[np.ndarray]]):
+    ``spell`` gives the sequence of each string, or all of them one after the other and
+    their lengths.
+    """
+
+    def __init__(self, spell: Callable[[list[str]], list[np.ndarray] | tuple]):
         self.spell = spell
         self.clear()
 
@@ -71,15 +76,18 @@ class Spellings:
 
     def _add(self, strings: list[str]) -> None:
         spelled = self.spell(strings)
-        lengths = np.array([len(s) for s in spelled], np.int64)
+        if isinstance(spelled, tuple):
+            flat, lengths = spelled
+        else:
+            flat = np.concatenate(spelled)
+            lengths = np.array([len(s) for s in spelled], np.int64)
         n, more = len(self.number), int(lengths.sum())
         while len(self.flat) < self.used + more:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.start) < n + len(strings):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-        if more:
-            self.flat[self.used : self.used + more] = np.concatenate(spelled)
+        self.flat[self.used : self.used + more] = flat
         self.length[n : n + len(strings)] = lengths
         self.start[n : n + len(strings)] = self.used + np.cumsum(lengths) - lengths
         self.used += more
@@ -88,9 +96,15 @@ class Spellings:
     def _rows(self, block: list[str]) -> np.ndarray:
         if len(self.number) > KEPT_STRINGS:
             self.clear()
-        new = list(set(block).difference(self.number))
-        if new:
-            self._add(new)
+        self._add_new(set(block).difference(self.number))
+        return self._numbers(block)
+
+    def _add_new(self, new: Iterable[str]) -> None:
+        strings = list(new)
+        if strings:
+            self._add(strings)
+
+    def _numbers(self, block: list[str]) -> np.ndarray:
         return np.fromiter(map(self.number.__getitem__, block), np.int64, len(block))
 
     def of(self, strings: Iterable[str]) -> np.ndarray:
@@ -112,6 +126,20 @@ class Spellings:
         return [next(parts) if isinstance(x, list) else self.of(x) for x in lists]
 
 
+    def of_lists(self, lists: pa.ListArray) -> list[np.ndarray]:
+        """As ``of_each``, for strings in Arrow, which finds the distinct ones."""
+        strings = lists.flatten().dictionary_encode()
+        distinct = strings.dictionary.to_pylist()
+        if len(self.number) > KEPT_STRINGS:
+            self.clear()
+        self._add_new(s for s in distinct if s not in self.number)
+        rows = self._numbers(distinct)[strings.indices.to_numpy()]
+        length = self.length[rows]
+        ids = gathered(self.flat, self.start[rows], length)
+        ends = np.concatenate(([0], np.cumsum(length)))[lists.offsets.to_numpy()]
+        return np.split(ids, ends[1:-1])
+
+
 def blocks(strings: Iterable[str], size: int = 1 << 18) -> Iterator[list[str]]:
     if isinstance(strings, list):
         for i in range(0, len(strings), size):

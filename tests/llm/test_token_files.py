@@ -17,13 +17,12 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def whole_text_ids(texts):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return [e.ids for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 def test_runs_encode_as_whole_texts_do():
     rng = random.Random(2)
-    odd = ["a", "É", "é", " ", "\n", "\t", " ", " ", "\x1c", "\x85", "'s", "'", "12", "٣", "ß", "Σ", "İ", "<|endoftext|>", "日本", "👍🏽", "‍", "ﬁ", ".", "!?"]
+    odd = ["a", "É", "é", " ", "\n", "\t", " ", " ", "\x0b", "\x0c", "\x01", "\x1c", "\x85", "'s", "'", "12", "٣", "ß", "Σ", "İ", "<|endoftext|>", "日本", "👍🏽", "‍", "ﬁ", ".", "!?"]
     texts = ["".join(rng.choices(odd, k=rng.randrange(30))) for _ in range(600)]
     got = tf.encoder(PATH)(texts)
     assert [x.tolist() for x in got] == whole_text_ids(texts)
@@ -35,6 +34,12 @@ def test_capitals_that_compose_only_as_small_letters():
     assert [x.tolist() for x in tf.encoder(PATH)(texts)] == whole_text_ids(texts)
 
 
+def test_added_tokens_are_found_as_the_library_finds_them():
+    texts = ["hello <|endoftext|> world", "<|startoftext|>A b.", "a<|endoftext|>b, c", "<|ENDOFTEXT|> x", "J\u030c <|endoftext|> <|endoftext|>", "<|endoftext|", "<| endoftext |>"]
+    got = [x.tolist() for x in tf.encoder(PATH)(texts)]
+    assert got == whole_text_ids(texts) and got[0] == [3306, 49407, 1002]
+
+
 def expected(rows):
     ids = [[*x, 1] for x in whole_text_ids([t for _, t in rows])]
     out, start = [], 0
