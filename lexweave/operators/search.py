@@ -33,7 +33,8 @@ from lexweave.functions.vectors import (
 
 DEFAULT_TOP_K = 5
 
-# Queries shipped to every task.  More than this many are joined in blocks.
+# Queries shipped to every task.  More than this many are joined in blocks: pruned by bounds
+# (``block_search``), or all with all within an approximate index.
 MAX_SHIPPED_QUERIES = 2048
 # Size of a block of chunks, and bytes in a block of queries, in that join.
 BLOCK_ROWS = 8192
@@ -329,6 +330,10 @@ def nearest(
         best = _nearest_shipped(
             left, _queries_of(head, buckets), top_k, schema, query_id, buckets
         )
+    elif buckets is None:
+        from lexweave.operators.block_search import nearest_pruned
+
+        best, _ = nearest_pruned(left, wanted, top_k, schema, block_rows)
     else:
         width = max(len(v) for v in _as_vectors(head.column(1)))
         query_rows = min(4 * block_rows, QUERY_BLOCK_BYTES // (8 * max(width, 1)))

@@ -211,3 +211,38 @@ def test_null_encoding(spark):
     assert encoded["page_number"] == -1
     assert {encoded[c] for c in ("title", "law_passed_date", "annex_number")} == {""}
     assert None not in encoded.values()
+
+
+def pruned(spark, chunks, queries, k, block_rows):
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    from lexweave.operators.block_search import nearest_pruned
+
+    left = chunks.select(*KEYS, "embedding")
+    schema = StructType([queries.schema["query_id"], *[left.schema[c] for c in KEYS], StructField("score", DoubleType())])
+    return nearest_pruned(left, queries.select("query_id", "query_vector"), k, schema, block_rows)
+
+
+def test_blocks_around_pivots_are_pruned_and_exact(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 12))
+    vectors = [(centres[i % 20] + rng.normal(scale=0.05, size=12)).astype(np.float32).tolist() for i in range(1000)]
+    chunks = chunk_frame(spark, vectors)
+    queries = query_frame(spark, [v for v in vectors[:60]])
+    hits, share = pruned(spark, chunks, queries, 5, 50)
+    assert share > 0.5
+    want = search.nearest(chunks, queries, 5)
+    key = lambda df: sorted((r.query_id, r.chunk_uid, r.chunk_id, r.score) for r in df.collect())
+    got = search.numbered_results(hits).where(F.col("rank") <= 5)
+    assert key(got) == key(want)
+    assert key(search.nearest(chunks, queries, 5, max_shipped=10, block_rows=50)) == key(want)
+
+
+def test_pruned_search_takes_odd_vectors(spark, odd_vectors):
+    chunks, queries = chunk_frame(spark, odd_vectors), query_frame(spark, odd_vectors[:40] + [None, [], [0.0, 0.0]])
+    key = lambda df: sorted((r.query_id, r.chunk_uid, r.chunk_id, r.score) for r in df.collect())
+    want = key(search.nearest(chunks, queries, 7))
+    assert key(search.nearest(chunks, queries, 7, max_shipped=3, block_rows=20)) == want
+    assert key(search.nearest(chunks.limit(0), queries, 7, max_shipped=3)) == []
+    plan = plan_of(search.nearest(chunks, queries, 7, max_shipped=3, block_rows=20))
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
