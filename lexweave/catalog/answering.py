@@ -14,7 +14,7 @@ from lexweave.functions.vectors import cosine_similarity, rounded_score
 from lexweave.operators import answers as ans
 from lexweave.operators import context, evaluate, search
 from lexweave.operators.rows import small_side
-from lexweave.plans import library, medallion, rag
+from lexweave.plans import evaluation, library, medallion, rag
 from lexweave.sinks import files as file_sinks
 from lexweave.sources import files, tables
 from lexweave.storage import materialize, new_dir
@@ -318,6 +318,60 @@ def eval_csv_sink(spark, sf_dir):
     )
 
 
+def first_words(questions: pd.Series, prompts: pd.Series) -> pd.Series:
+    """A stand-in that answers with the question's beginning and refuses some."""
+    if questions.str.len().mod(7).eq(3).any():
+        raise ValueError("no answer")
+    return questions.str.slice(0, 40)
+
+
+def counting_judge(kind: str, rows: pd.DataFrame) -> list[list[str]]:
+    """A stand-in whose verdicts follow from lengths."""
+    if kind == evaluation.REGENERATED:
+        return [[answer] for answer in rows["answer"]]
+    if kind == evaluation.USEFUL:
+        return [[str(n % 2)] for n in rows["passage"].str.len()]
+    return [["1", str(n % 2)] for n in rows["answer"].str.len()]
+
+
+@query(
+    "evaluation_run",
+    RAG_HITS
+    + f""", golden AS (SELECT item_id AS query_id, text AS question, substr(text, 1, 40) AS answer,
+          {sql.embedding("text")} AS q, {sql.embedding("substr(text, 1, 40)")} AS a
+        FROM benchmark WHERE length(text) % 7 <> 3),
+      useful AS (SELECT query_id, rank, length(chunk_text) % 2 AS verdict FROM hits),
+      at_rank AS (SELECT *, sum(verdict) OVER (PARTITION BY query_id ORDER BY rank) / rank AS p
+        FROM useful),
+      precision_of AS (SELECT query_id, coalesce(sum(p * verdict) / nullif(sum(verdict), 0), 0.0)
+        AS context_precision FROM at_rank GROUP BY query_id)
+    SELECT 'benchmark' AS act, question, CAST(query_id AS VARCHAR) AS ground_truth, answer,
+      (1 + length(answer) % 2) / 2 AS faithfulness,
+      round({sql.cosine(sql.doubles("q"), sql.doubles("a"))}, 6) AS response_relevancy,
+      round(context_precision, 6) AS context_precision
+    FROM golden JOIN precision_of USING (query_id)""",
+)
+def evaluation_run(spark, sf_dir):
+    """From questions to the rows of the CSV: search, answers, verdicts and scores."""
+    golden = inputs.questions(spark, sf_dir).select(
+        "query_id",
+        F.lit("benchmark").alias("act"),
+        "question",
+        F.col("query_id").cast("string").alias("ground_truth"),
+    )
+    path = new_dir(spark, "evaluation")
+    evaluation.evaluate_to_csv(
+        f"{path}/csv", golden, rag_index(spark, sf_dir), first_words, counting_judge, path
+    )
+    schema = ", ".join(
+        f"{c} {'string' if i < 4 else 'double'}" for i, c in enumerate(schemas.EVAL_COLUMNS)
+    )
+    reader = spark.read.schema(schema).option("header", True).option("escape", '"')
+    scores = reader.option("multiLine", True).csv(f"{path}/csv")
+    rounded = ("faithfulness", "response_relevancy", "context_precision")
+    return scores.withColumns({c: F.round(c, 6) for c in rounded})
+
+
 def picky_model(questions: pd.Series, prompts: pd.Series) -> pd.Series:
     """A stand-in that fails on some questions."""
     if prompts.str.contains("the", regex=False).any():

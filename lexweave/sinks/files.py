@@ -118,9 +118,14 @@ def write_eval_csv(results: DataFrame, path: str) -> bool:
     """Scores as CSV with a header; nothing is written when there are none."""
     if results.isEmpty():
         return False
-    results.select(*schemas.EVAL_COLUMNS).write.option("header", True).option(
-        "escape", '"'
-    ).csv(path)
+    (
+        results.select(*schemas.EVAL_COLUMNS)
+        .write.option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
     return True
 
 

@@ -41,6 +41,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.exists(hadoop_path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a file or folder, if it is there, through the file system Spark uses."""
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
