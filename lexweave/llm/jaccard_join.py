@@ -94,8 +94,12 @@ def part_keys(found: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def bitmap(found: np.ndarray) -> bytes:
-    """Bits at the low end of each hash; at least four bits for each shingle."""
-    width = max(64, 1 << (4 * len(found) - 1).bit_length())
+    """Bits at the low end of each hash; at least one bit for each shingle.
+
+    The overlap of two unlike sets is then bounded by some 0.6 of a set, which is below what
+    a link needs, and a bitmap is small enough to travel with every key.
+    """
+    width = max(64, 1 << (len(found) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(found & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
