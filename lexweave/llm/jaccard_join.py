@@ -7,7 +7,8 @@ Two documents link when the Jaccard similarity of their shingle sets reaches
 2. Sets whose sizes can link differ in at most ``k`` shingles, with ``k`` known from the
    size band.  The hash range is cut into more than ``k`` parts, so two linked sets agree
    in at least one whole part.  The hashes of the parts are the keys by which sets meet.
-3. Every set is compared with the smallest of each of its key groups.  Groups whose
+3. Every set is compared with the smallest of each of its key groups, by its bitmap and
+   then, if that allows a link, by its text.  Groups whose
    members thereby are one component are done; this keeps huge groups of near copies
    linear.
 4. In the other groups signature trees find the remaining pairs: a node holds the
@@ -272,6 +273,54 @@ def _checked(batches, size: int, p: int, q: int) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _folded(bits: int, width: int, wanted: int) -> int:
+    """A bitmap of ``width`` bits brought to ``wanted`` bits, both powers of two."""
+    while width > wanted:
+        width //= 2
+        bits = (bits >> width) | (bits & ((1 << width) - 1))
+    return bits
+
+
+def _can_link(batches, p: int, q: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) whose bitmaps allow the overlap that a link needs."""
+    for batch in batches:
+        left, right = [], []
+        for a, b, na, nb, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            width = 8 * min(len(x), len(y))
+            one = _folded(int.from_bytes(x, "little"), 8 * len(x), width)
+            two = _folded(int.from_bytes(y, "little"), 8 * len(y), width)
+            # Shingles that share a bit with another one of their set are counted apart.
+            slack = min(na - one.bit_count(), nb - two.bit_count())
+            if ((one & two).bit_count() + slack) * (p + q) >= p * (na + nb):
+                left.append(a)
+                right.append(b)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"]
+        )
+
+
+def _within_bounds(pairs: DataFrame, reps: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs that may link by their sizes and bitmaps, written."""
+
+    def side(name: str, *columns: str) -> DataFrame:
+        facts = [F.col(c).alias(f"{c}_{name}") for c in columns]
+        return reps.select(F.col("node").alias(name), *facts)
+
+    near = (
+        pairs.join(side("a", "n"), "a")
+        .join(side("b", "n"), "b")
+        .where(F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p)
+        .select("a", "b")
+        .distinct()
+    )
+    rows = near.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
+    can_link = _can_link
+    found = rows.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(
+        lambda batches: can_link(batches, p, q), "a long, b long"
+    )
+    return materialize(found.distinct(), "pairs-within-bounds")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, size: int, p: int, q: int):
     """The pairs (a, b) whose whole texts link, written.  A hot ``a`` is cut into chunks."""
     spark = docs.sparkSession
@@ -398,9 +447,10 @@ def jaccard_components(
     star = members.where("node <> rep").select(
         F.col("rep").alias("a"), F.col("node").alias("b")
     )
-    links = _verified(star.distinct(), docs, sizes, size, p, q)
+    links = _verified(_within_bounds(star.distinct(), reps, p, q), docs, sizes, size, p, q)
     labels = components(links)
     rest = materialize(_remaining_pairs(members, labels, reps, p, q), "pairs")
+    rest = _within_bounds(rest, reps, p, q)
     if not rest.isEmpty():
         more = _verified(rest, docs, sizes, size, p, q)
         labels = components(links.unionByName(more))
