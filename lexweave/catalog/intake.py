@@ -194,7 +194,8 @@ def gold_ctas(spark, sf_dir):
     _CHUNKS
     + f"""SELECT chunk_uid, source_file, page_number, chunk_index, type, article_number,
       annex_number, title, part_index, part_count, law_passed_date, regulation_title,
-      document_version, issuing_authority, text, {sql.vector_facts()}
+      document_version, issuing_authority, '' AS ingested_at, text,
+      {sql.vector_facts()}
     FROM (
       SELECT *, {sql.embedding("text")} AS embedding,
         row_number() OVER (PARTITION BY chunk_uid ORDER BY chunk_index DESC) AS rn
@@ -368,13 +369,17 @@ def index_projection(spark, sf_dir):
       coalesce(article_number, '') AS article_number, coalesce(annex_number, '') AS annex_number,
       coalesce(title, '') AS title, part_index, part_count,
       coalesce(CAST(law_passed_date AS VARCHAR), '') AS law_passed_date,
+      CASE WHEN chunk_id % 2 = 0 THEN '2024-01-02 03:04:05' ELSE '' END AS ingested_at,
       coalesce(regulation_title, '') AS regulation_title,
       coalesce(document_version, '') AS document_version,
       coalesce(issuing_authority, '') AS issuing_authority
     FROM rag_chunks""",
 )
 def null_encoding(spark, sf_dir):
-    return search.encode_nulls(rag.ingest(inputs.legal_pages(spark, sf_dir)))
+    """All chunks, every other one with a time of intake."""
+    at = F.when(F.col("chunk_id") % 2 == 0, F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    chunks = rag.ingest(inputs.legal_pages(spark, sf_dir))
+    return search.encode_nulls(chunks.withColumn("ingested_at", at))
 
 
 @query(

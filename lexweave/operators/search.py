@@ -567,10 +567,12 @@ def encode_nulls(chunks: DataFrame, *extra: str) -> DataFrame:
         text("title"),
         "part_index",
         "part_count",
+        text("law_passed_date"),
+        # Chunks that were not yet stored have no time.
+        text("ingested_at") if "ingested_at" in chunks.columns else F.lit("").alias("ingested_at"),
         *[
             text(name)
             for name in (
-                "law_passed_date",
                 "regulation_title",
                 "document_version",
                 "issuing_authority",
