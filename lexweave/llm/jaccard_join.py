@@ -7,14 +7,15 @@ Two documents link when the Jaccard similarity of their shingle sets reaches
 2. Sets whose sizes can link differ in at most ``k`` shingles, with ``k`` known from the
    size band.  The hash range is cut into more than ``k`` parts, so two linked sets agree
    in at least one whole part.  The hashes of the parts are the keys by which sets meet.
-3. Every set is compared with the smallest of each of its key groups.  Groups whose
-   members thereby are one component are done; this keeps huge groups of near copies
-   linear.
-4. In the other groups signature trees find the remaining pairs: a node holds the
+   Keys with the same members are one group.
+3. In groups over ``SMALL_GROUP`` sets every set is compared with the smallest one.  Groups
+   whose members thereby are one component are done; this keeps huge groups of near
+   copies linear.
+4. In all other groups signature trees find the pairs: a node holds the
    OR-combined bitmaps of its sets, their range of sizes and their label if it is one.
-   Two trees are descended together; a pair of nodes is left when the largest overlap
-   that its bitmaps and sizes allow is too small, or when both have one and the same
-   label.  Large groups are cut into blocks, and only sets outside the component of the
+   Two trees are descended together, in step 3 too, where one of them is the smallest set;
+   a pair of nodes is left when the largest overlap that its bitmaps and sizes allow is
+   too small, or when both have one and the same label.  Large groups are cut into blocks, and only sets outside the component of the
    group's smallest member are copied to several blocks.
 5. Candidate pairs are checked on whole texts, and components are taken of all links.
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.llm.components import components
@@ -39,6 +40,7 @@ from lexweave.storage import materialize
 
 BAND_RATIO = 1.5
 BLOCK_SETS = 1024
+SMALL_GROUP = 8
 FAN_OUT = 8
 CHUNK_SHINGLES = 500_000
 
@@ -107,19 +109,16 @@ def set_name(found: np.ndarray) -> tuple[int, int]:
     return tuple(int(h.astype(np.int64)) for h in halves)
 
 
-def _features(batches, size: int, bands: Bands) -> Iterator[pa.RecordBatch]:
+def _features(batches, size: int) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher()
     for batch in batches:
-        n, first, second, bits, keys = [], [], [], [], []
+        n, first, second, bits = [], [], [], []
         for found in shingle_sets(batch.column("text"), size, hasher):
             h1, h2 = set_name(found)
             n.append(len(found))
             first.append(h1)
             second.append(h2)
             bits.append(bitmap(found) if len(found) else None)
-            keys.append(part_keys(found, bands).view(np.int64))
-        offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-        flat = np.concatenate([*keys, np.zeros(0, np.int64)])
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
@@ -127,12 +126,68 @@ def _features(batches, size: int, bands: Bands) -> Iterator[pa.RecordBatch]:
                 pa.array(first, pa.int64()),
                 pa.array(second, pa.int64()),
                 pa.array(bits, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
             ],
-            names=["doc_id", "n", "h1", "h2", "bits", "keys"],
+            names=["doc_id", "n", "h1", "h2", "bits"],
         )
 
 
+def _keys(batches, size: int, bands: Bands) -> Iterator[pa.RecordBatch]:
+    """(key, node) for every part key of every text."""
+    hasher = WordHasher()
+    for batch in batches:
+        sets = shingle_sets(batch.column("text"), size, hasher)
+        for node, found in zip(batch.column("doc_id").to_pylist(), sets, strict=True):
+            keys = part_keys(found, bands).view(np.int64)
+            if len(keys):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), pa.array(np.full(len(keys), node, np.int64))],
+                    names=["key", "node"],
+                )
+
+
+def _key_groups(docs: DataFrame, sets: DataFrame, reps: DataFrame, size: int, bands: Bands):
+    """(key, node, rep, g) of sets that meet, written; ``rep`` is the smallest node of a group
+    and ``g`` its size.
+
+    Keys are taken from the texts once more instead of being kept with the sets, so that
+    the exchange by key is the one place they are written.  Groups of the same members
+    take the name of their members, which leaves one of them.
+    """
+    copies = small_side(
+        sets.where("doc_id is not null")
+        .select("doc_id")
+        .distinct()
+        .join(reps.select(F.col("node").alias("doc_id")), "doc_id", "left_anti"),
+        "copies",
+        200_000,
+    )
+    keys = _keys
+    keyed = (
+        docs.where("doc_id is not null")
+        .join(copies, "doc_id", "left_anti")
+        .mapInArrow(lambda b: keys(b, size, bands), "key long, node long")
+    )
+    same_key = Window.partitionBy("key")
+    return materialize(
+        keyed.select(
+            "node",
+            F.min("node").over(same_key).alias("rep"),
+            # Halves of the hashes, so that the sum of a group of any size holds.
+            F.sum(F.shiftright(F.xxhash64("node"), 32)).over(same_key).alias("name"),
+            F.count(F.lit(1)).over(same_key).alias("g"),
+        )
+        .where("g > 1")
+        .select(
+            F.xxhash64("rep", "name", "g").alias("key"),
+            "node",
+            "rep",
+            "g",
+        )
+        .distinct(),
+        "key-groups",
+    )
+
+
 class SignatureTree:
     """Levels of nodes over sets: OR-combined bitmaps, sizes, bitmap slack and labels."""
 
@@ -298,14 +353,50 @@ def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, size: int, p:
     )
 
 
+def _tree_pairs(rows: DataFrame, reps: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (a, b) that the trees leave; ``rows`` are (key, gi, uj, out, node, label), and the
+    two trees of a group (key, gi, uj) hold its rows with and without ``out``."""
+    groups = (
+        rows.join(reps.select("node", "n", "bits"), "node")
+        .select("key", "gi", "uj", "out", "node", "n", "label", "bits")
+        .repartition(partitions(rows.sparkSession), "key", "gi", "uj")
+        .sortWithinPartitions("key", "gi", "uj")
+    )
+    traverse = _traverse
+    return groups.mapInArrow(lambda b: traverse(b, p, q), "a long, b long").distinct()
+
+
+def _blocks(sets: str) -> Column:
+    return F.ceil(F.col(sets) / F.lit(BLOCK_SETS)).cast("long")
+
+
+def _each_block(count: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+
+
+def _star_pairs(members: DataFrame, reps: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs of the smallest set of a group over ``SMALL_GROUP`` with its other sets."""
+    large = members.where(F.col("g") > SMALL_GROUP)
+    first = F.lit(0).cast("long").alias("uj")
+    label = F.col("node").alias("label")
+    home = large.where("node <> rep").select(
+        "key",
+        F.pmod(F.xxhash64("node"), _blocks("g")).alias("gi"),
+        first, F.lit(False).alias("out"), "node", label,
+    )
+    smallest = large.where("node = rep").select(
+        "key", _each_block(_blocks("g")).alias("gi"), first, F.lit(True).alias("out"), "node", label
+    )
+    return _tree_pairs(home.unionByName(smallest), reps, p, q)
+
+
 def _remaining_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, p: int, q: int):
-    """Pairs that share a key, have different labels, and were not compared so far."""
-    spark = members.sparkSession
+    """Pairs of sets in one group that have different labels and were not compared so far."""
     named = members.join(labels, "node", "left").select(
-        "key", "rep", "node", F.coalesce("label", "node").alias("label")
+        "key", "rep", "g", "node", F.coalesce("label", "node").alias("label")
     )
     of_rep = labels.select(F.col("node").alias("rep"), F.col("label").alias("main"))
-    rest = named.where("node <> rep")
+    rest = named.where((F.col("g") <= SMALL_GROUP) | (F.col("node") != F.col("rep")))
     several = (
         rest.groupBy("key", "rep")
         .agg(F.count("*").alias("g"), F.min("label").alias("low"), F.max("label").alias("high"))
@@ -314,37 +405,27 @@ def _remaining_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, p:
         .select("key", "g", F.coalesce("main", "rep").alias("main"))
     )
     open_rows = materialize(
-        rest.join(several, "key").select("key", "node", "label", "g", "main"), "open-groups"
+        rest.drop("g").join(several, "key").select("key", "node", "label", "g", "main"),
+        "open-groups",
     )
     outside = open_rows.where("label <> main").groupBy("key").agg(F.count("*").alias("u"))
-    sized = (
-        open_rows.join(outside, "key")
-        .join(reps.select("node", "n", "bits"), "node")
-        .withColumn("ng", F.ceil(F.col("g") / F.lit(BLOCK_SETS)).cast("long"))
-        .withColumn("nu", F.ceil(F.col("u") / F.lit(BLOCK_SETS)).cast("long"))
-    )
+    sized = open_rows.join(outside, "key")
     block = F.xxhash64("node")
     home = sized.select(
         "key",
-        F.pmod(block, F.col("ng")).alias("gi"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("nu") - 1)).alias("uj"),
+        F.pmod(block, _blocks("g")).alias("gi"),
+        _each_block(_blocks("u")).alias("uj"),
         F.lit(False).alias("out"),
-        "node", "n", "label", "bits",
+        "node", "label",
     )
     others = sized.where("label <> main").select(
         "key",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("ng") - 1)).alias("gi"),
-        F.pmod(block, F.col("nu")).alias("uj"),
+        _each_block(_blocks("g")).alias("gi"),
+        F.pmod(block, _blocks("u")).alias("uj"),
         F.lit(True).alias("out"),
-        "node", "n", "label", "bits",
+        "node", "label",
     )
-    groups = (
-        home.unionByName(others)
-        .repartition(partitions(spark), "key", "gi", "uj")
-        .sortWithinPartitions("key", "gi", "uj")
-    )
-    traverse = _traverse
-    return groups.mapInArrow(lambda b: traverse(b, p, q), "a long, b long").distinct()
+    return _tree_pairs(home.unionByName(others), reps, p, q)
 
 
 def jaccard_components(
@@ -361,40 +442,20 @@ def jaccard_components(
     features = _features
     sets = materialize(
         docs.mapInArrow(
-            lambda b: features(b, size, bands),
-            "doc_id long, n long, h1 long, h2 long, bits binary, keys array<long>",
+            lambda b: features(b, size), "doc_id long, n long, h1 long, h2 long, bits binary"
         ),
         "shingle-sets",
     )
     reps = materialize(
         sets.where("n > 0 and doc_id is not null")
         .groupBy("n", "h1", "h2")
-        .agg(
-            F.min("doc_id").alias("node"),
-            F.min_by(F.struct("bits", "keys"), "doc_id").alias("rest"),
-        )
-        .select("node", "n", "h1", "h2", "rest.bits", "rest.keys"),
+        .agg(F.min("doc_id").alias("node"), F.min_by("bits", "doc_id").alias("bits")),
         "classes",
     )
-    keyed = reps.select("node", F.explode("keys").alias("key"))
-    # Counting the members of a key and joining them back share one exchange.
-    same_key = Window.partitionBy("key")
-    members = materialize(
-        keyed.select(
-            "key",
-            "node",
-            F.min("node").over(same_key).alias("rep"),
-            F.count(F.lit(1)).over(same_key).alias("members"),
-        )
-        .where("members > 1")
-        .drop("members"),
-        "key-groups",
-    )
+    members = _key_groups(docs, sets, reps, size, bands)
     sizes = reps.select("node", "n")
-    star = members.where("node <> rep").select(
-        F.col("rep").alias("a"), F.col("node").alias("b")
-    )
-    links = _verified(star.distinct(), docs, sizes, size, p, q)
+    star = materialize(_star_pairs(members, reps, p, q), "pairs-with-smallest")
+    links = _verified(star, docs, sizes, size, p, q)
     labels = components(links)
     rest = materialize(_remaining_pairs(members, labels, reps, p, q), "pairs")
     if not rest.isEmpty():

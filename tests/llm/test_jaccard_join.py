@@ -78,6 +78,24 @@ def test_blocks_of_large_groups(spark, monkeypatch):
     assert found(spark, rows) == brute(rows)
 
 
+def test_trees_find_links_without_the_smallest_set(spark, monkeypatch):
+    """With every group small no pair comes from the comparison with the smallest set."""
+    monkeypatch.setattr(jj, "SMALL_GROUP", 10**9)
+    rows = families(7)
+    assert found(spark, rows) == brute(rows)
+
+
+def test_large_groups_meet_their_smallest_set_first(spark, monkeypatch):
+    monkeypatch.setattr(jj, "SMALL_GROUP", 1)
+    monkeypatch.setattr(jj, "BLOCK_SETS", 4)
+    rows = families(8, n=5, members=30)
+    rows += [(10_000 + i, t) for i, t in rows[:40]] + rows[:40]
+    got = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jj.jaccard_components(got, size=5, numerator=80).collect()
+    want = brute(rows, 5, 80)
+    assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got) and len(got) == len(rows)
+
+
 def test_repeated_rows_missing_ids_and_empty_tables(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(3, text), (3, text), (5, text + " end"), (None, text), (None, None), (9, "other words here")]
