@@ -43,6 +43,9 @@ BLOCK_SETS = 1024
 SMALL_GROUP = 8
 FAN_OUT = 8
 CHUNK_SHINGLES = 500_000
+BATCH_KEYS = 1 << 15
+# The trees of a group that a row belongs to.
+HOME, OUT, BOTH = 0, 1, 2
 
 
 class Bands:
@@ -96,8 +99,8 @@ def part_keys(found: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def bitmap(found: np.ndarray) -> bytes:
-    """Bits at the low end of each hash; at least four bits for each shingle."""
-    width = max(64, 1 << (4 * len(found) - 1).bit_length())
+    """Bits at the low end of each hash; at least one bit for each shingle."""
+    width = max(64, 1 << (len(found) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(found & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -132,17 +135,31 @@ def _features(batches, size: int) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(batches, size: int, bands: Bands) -> Iterator[pa.RecordBatch]:
-    """(key, node) for every part key of every text."""
+    """(key, node) for every part key of every text, some ``BATCH_KEYS`` at a time."""
     hasher = WordHasher()
+    nodes, keys, held = [], [], 0
+
+    def rows():
+        repeats = [len(k) for k in keys]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate(keys).view(np.int64)),
+                pa.array(np.repeat(np.array(nodes, np.int64), repeats)),
+            ],
+            names=["key", "node"],
+        )
+
     for batch in batches:
         sets = shingle_sets(batch.column("text"), size, hasher)
         for node, found in zip(batch.column("doc_id").to_pylist(), sets, strict=True):
-            keys = part_keys(found, bands).view(np.int64)
-            if len(keys):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(np.full(len(keys), node, np.int64))],
-                    names=["key", "node"],
-                )
+            nodes.append(node)
+            keys.append(part_keys(found, bands))
+            held += len(keys[-1])
+            if held >= BATCH_KEYS:
+                yield rows()
+                nodes, keys, held = [], [], 0
+    if held:
+        yield rows()
 
 
 def _key_groups(docs: DataFrame, sets: DataFrame, reps: DataFrame, size: int, bands: Bands):
@@ -288,11 +305,14 @@ def _traverse(batches, p: int, q: int) -> Iterator[pa.RecordBatch]:
 
     group, home, others = None, [], []
     for batch in batches:
-        for key, gi, uj, out, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, gi, uj, side, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (key, gi, uj) != group:
                 yield from found(home, others)
                 group, home, others = (key, gi, uj), [], []
-            (others if out else home).append(tuple(row))
+            if side != OUT:
+                home.append(tuple(row))
+            if side != HOME:
+                others.append(tuple(row))
     yield from found(home, others)
 
 
@@ -354,11 +374,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, size: int, p:
 
 
 def _tree_pairs(rows: DataFrame, reps: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs (a, b) that the trees leave; ``rows`` are (key, gi, uj, out, node, label), and the
-    two trees of a group (key, gi, uj) hold its rows with and without ``out``."""
+    """Pairs (a, b) that the trees leave; ``rows`` are (key, gi, uj, side, node, label), and
+    ``side`` says which of the two trees of a group (key, gi, uj) hold a row."""
     groups = (
         rows.join(reps.select("node", "n", "bits"), "node")
-        .select("key", "gi", "uj", "out", "node", "n", "label", "bits")
+        .select("key", "gi", "uj", "side", "node", "n", "label", "bits")
         .repartition(partitions(rows.sparkSession), "key", "gi", "uj")
         .sortWithinPartitions("key", "gi", "uj")
     )
@@ -382,10 +402,10 @@ def _star_pairs(members: DataFrame, reps: DataFrame, p: int, q: int) -> DataFram
     home = large.where("node <> rep").select(
         "key",
         F.pmod(F.xxhash64("node"), _blocks("g")).alias("gi"),
-        first, F.lit(False).alias("out"), "node", label,
+        first, F.lit(HOME).alias("side"), "node", label,
     )
     smallest = large.where("node = rep").select(
-        "key", _each_block(_blocks("g")).alias("gi"), first, F.lit(True).alias("out"), "node", label
+        "key", _each_block(_blocks("g")).alias("gi"), first, F.lit(OUT).alias("side"), "node", label
     )
     return _tree_pairs(home.unionByName(smallest), reps, p, q)
 
@@ -410,22 +430,32 @@ def _remaining_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, p:
     )
     outside = open_rows.where("label <> main").groupBy("key").agg(F.count("*").alias("u"))
     sized = open_rows.join(outside, "key")
-    block = F.xxhash64("node")
-    home = sized.select(
+    block, is_out = F.xxhash64("node"), F.col("label") != F.col("main")
+    # Where one block holds the group, a row travels once for both trees.
+    whole = F.col("g") <= BLOCK_SETS
+    zero = F.lit(0).cast("long")
+    one_block = sized.where(whole).select(
+        "key",
+        zero.alias("gi"),
+        zero.alias("uj"),
+        F.when(is_out, F.lit(BOTH)).otherwise(F.lit(HOME)).alias("side"),
+        "node", "label",
+    )
+    home = sized.where(~whole).select(
         "key",
         F.pmod(block, _blocks("g")).alias("gi"),
         _each_block(_blocks("u")).alias("uj"),
-        F.lit(False).alias("out"),
+        F.lit(HOME).alias("side"),
         "node", "label",
     )
-    others = sized.where("label <> main").select(
+    others = sized.where(~whole & is_out).select(
         "key",
         _each_block(_blocks("g")).alias("gi"),
         F.pmod(block, _blocks("u")).alias("uj"),
-        F.lit(True).alias("out"),
+        F.lit(OUT).alias("side"),
         "node", "label",
     )
-    return _tree_pairs(home.unionByName(others), reps, p, q)
+    return _tree_pairs(one_block.unionByName(home).unionByName(others), reps, p, q)
 
 
 def jaccard_components(

@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 # Texts are copied this many at a time, not with their whole batch.
-SLICE_TEXTS = 512
+SLICE_TEXTS = 128
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,7 +21,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _text_chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bytes, offsets) of consecutive texts, about a megabyte at a time; null is empty."""
+    """(bytes, offsets) of consecutive texts, some ``CHUNK_BYTES`` at a time; null is empty."""
     for start in range(0, len(texts), SLICE_TEXTS):
         yield from _chunks_of_slice(texts.slice(start, SLICE_TEXTS))
 
