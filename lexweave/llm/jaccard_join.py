@@ -8,16 +8,20 @@ Two documents link when the Jaccard similarity of their shingle sets reaches
    size band.  The hash range is cut into more than ``k`` parts, so two linked sets agree
    in at least one whole part.  The hashes of the parts are the keys by which sets meet.
    Keys with the same members are one group.
-3. In groups over ``SMALL_GROUP`` sets every set is compared with the smallest one.  Groups
-   whose members thereby are one component are done; this keeps huge groups of near
-   copies linear.
-4. In all other groups signature trees find the pairs: a node holds the
-   OR-combined bitmaps of its sets, their range of sizes and their label if it is one.
-   Two trees are descended together, in step 3 too, where one of them is the smallest set;
-   a pair of nodes is left when the largest overlap that its bitmaps and sizes allow is
-   too small, or when both have one and the same label.  Large groups are cut into blocks, and only sets outside the component of the
-   group's smallest member are copied to several blocks.
-5. Candidate pairs are checked on whole texts, and components are taken of all links.
+3. In groups of several blocks (over ``BLOCK_SETS`` and ``SMALL_GROUP`` sets) every set is
+   compared with the smallest one.  Groups whose members thereby are one component are done,
+   and only sets outside the component of the smallest one are copied to several blocks.
+4. In all groups left signature trees find the pairs: a node holds the OR-combined bitmaps
+   of its sets, their range of sizes and their label if it is one.  Two trees are descended
+   together; a pair of nodes is left when the largest overlap that its bitmaps and sizes
+   allow is too small, or when both have one and the same label.  Sets of a pair take one
+   label, so that a group gives fewer pairs than it has sets, whatever the number of
+   its pairs.
+5. Sets connected by these pairs are a cluster; linked sets are in one.  The texts of a
+   cluster meet once, and a tree over finer bitmaps finds its links on whole texts.
+6. Clusters over ``CLUSTER_SHINGLES`` shingles do not meet in one task: their groups are
+   searched again with finer bitmaps, first for pairs that connect, which are checked on
+   whole texts, then for all pairs that are not connected by links so far.
 
 A null or blank text has an empty set and links with nothing.  Rows that repeat an id are
 one document with several sets; rows without an id keep a null component.
@@ -43,6 +47,12 @@ BLOCK_SETS = 1024
 SMALL_GROUP = 8
 FAN_OUT = 8
 CHUNK_SHINGLES = 500_000
+CLUSTER_SHINGLES = 4_000_000
+# Bits for a shingle in the bitmaps of clusters, and bytes of all bitmaps of one.
+FINE_BITS = 8
+CLUSTER_BYTES = 1 << 26
+# Labels that a task holds.
+HELD_LABELS = 1 << 20
 BATCH_KEYS = 1 << 15
 # The trees of a group that a row belongs to.
 HOME, OUT, BOTH = 0, 1, 2
@@ -98,9 +108,9 @@ def part_keys(found: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def bitmap(found: np.ndarray) -> bytes:
-    """Bits at the low end of each hash; at least one bit for each shingle."""
-    width = max(64, 1 << (len(found) - 1).bit_length())
+def bitmap(found: np.ndarray, width: int = 0) -> bytes:
+    """Bits at the low end of each hash; at least one bit for each shingle, or ``width``."""
+    width = width or max(64, 1 << (len(found) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(found & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -225,6 +235,14 @@ class SignatureTree:
                 )
             )
 
+    def relabel(self, label: np.ndarray) -> None:
+        first = last = label
+        for k, level in enumerate(self.levels):
+            if k:
+                at = np.arange(0, len(first), FAN_OUT)
+                first, last = np.minimum.reduceat(first, at), np.maximum.reduceat(last, at)
+            self.levels[k] = (*level[:4], first, last)
+
     def children(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in ``nodes``, child) of all children one level below."""
         end = np.minimum((nodes + 1) * FAN_OUT, len(self.levels[level - 1][1]))
@@ -246,7 +264,9 @@ def _possible(one, i, two, j, p: int, q: int) -> np.ndarray:
 
 
 def dual_traversal(a: SignatureTree, b: SignatureTree, p: int, q: int) -> Iterator[tuple]:
-    """Blocks of leaf pairs (i, j) whose bitmaps and sizes allow a link."""
+    """Blocks of leaf pairs (i, j) whose bitmaps and sizes allow a link.
+
+    Of a tree with itself every pair is met once.  Labels may change between blocks."""
     top, other = len(a.levels) - 1, len(b.levels) - 1
     i, j = np.meshgrid(
         np.arange(len(a.levels[top][1])), np.arange(len(b.levels[other][1])), indexing="ij"
@@ -254,7 +274,9 @@ def dual_traversal(a: SignatureTree, b: SignatureTree, p: int, q: int) -> Iterat
     stack = [(top, other, i.ravel(), j.ravel())]
     while stack:
         la, lb, i, j = stack.pop()
-        step = max(1, (1 << 20) // max(1, a.levels[0][0].shape[1]))
+        if a is b and la == lb:
+            i, j = i[i <= j], j[i <= j]
+        step = max(1, (1 << 18) // max(1, a.levels[0][0].shape[1]))
         if len(i) > step:
             stack += [(la, lb, i[k : k + step], j[k : k + step]) for k in range(0, len(i), step)]
             continue
@@ -294,11 +316,76 @@ def _pairs_of_group(home: list[tuple], others: list[tuple], p: int, q: int):
         yield ids_a[i], ids_b[j]
 
 
-def _traverse(batches, p: int, q: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each (key, gi, uj) group; rows come sorted by group."""
+class Labels:
+    """Labels that became one, under the smallest of them."""
+
+    def __init__(self):
+        self.under: dict[int, int] = {}
+
+    def of(self, label: int) -> int:
+        passed = []
+        while (over := self.under.get(label, label)) != label:
+            passed.append(label)
+            label = over
+        for x in passed:
+            self.under[x] = label
+        return label
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.of(x), self.of(y)
+        if x != y:
+            self.under[max(x, y)] = min(x, y)
+
+    def of_all(self, label: np.ndarray) -> np.ndarray:
+        return np.array([self.of(x) for x in label.tolist()], np.int64)
+
+
+def connecting(a: SignatureTree, b: SignatureTree, p: int, q: int, labels: Labels, links=None):
+    """Blocks of leaf pairs (i, j), one for each two labels that they make one.
+
+    All pairs that the bitmaps allow, and ``links`` if given, are connected by those found.
+    """
+    names_a, names_b = a.levels[0][4], b.levels[0][4]
+    a.relabel(labels.of_all(names_a))
+    if b is not a:
+        b.relabel(labels.of_all(names_b))
+    for i, j in dual_traversal(a, b, p, q):
+        chosen = []
+        named = zip(names_a[i].tolist(), names_b[j].tolist(), strict=True)
+        for at, (x, y) in enumerate(named):
+            if labels.of(x) != labels.of(y) and (links is None or links(i[at], j[at])):
+                labels.join(x, y)
+                chosen.append(at)
+        if chosen:
+            yield i[chosen], j[chosen]
+            a.relabel(labels.of_all(names_a))
+            if b is not a:
+                b.relabel(labels.of_all(names_b))
+
+
+def _connections(home: list[tuple], others: list[tuple], p: int, q: int, labels: Labels):
+    if not home or not others:
+        return
+    width = min(len(r[3]) for r in home + others)
+    a, ids_a = _tree(home, width)
+    b, ids_b = (a, ids_a) if home == others else _tree(others, width)
+    for i, j in connecting(a, b, p, q, labels):
+        yield ids_a[i], ids_b[j]
+
+
+def _traverse(batches, p: int, q: int, every: bool) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of each (key, gi, uj) group, every one or those that connect all;
+    rows come sorted by group."""
+    labels = Labels()
 
     def found(home, others):
-        for x, y in _pairs_of_group(home, others, p, q):
+        if every:
+            pairs = _pairs_of_group(home, others, p, q)
+        else:
+            if len(labels.under) > HELD_LABELS:
+                labels.under.clear()
+            pairs = _connections(home, others, p, q, labels)
+        for x, y in pairs:
             keep = x != y
             low, high = np.minimum(x, y)[keep], np.maximum(x, y)[keep]
             yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
@@ -316,6 +403,62 @@ def _traverse(batches, p: int, q: int) -> Iterator[pa.RecordBatch]:
     yield from found(home, others)
 
 
+def _cluster_links(batches, size: int, p: int, q: int) -> Iterator[pa.RecordBatch]:
+    """Links that connect all linked sets of a cluster; rows (cluster, node, label, text)
+    come sorted by cluster."""
+    hasher = WordHasher()
+
+    def found(nodes, names, sets):
+        longest = max((len(s) for s in sets), default=0)
+        width = 1 << (max(8, longest) * FINE_BITS - 1).bit_length()
+        while width > 64 and width // 8 * len(sets) > CLUSTER_BYTES:
+            width //= 2
+        rows = [
+            (at, len(s), name, bitmap(s, width))
+            for at, (name, s) in enumerate(zip(names, sets, strict=True))
+            if len(s)
+        ]
+        if len(rows) < 2:
+            return
+        tree, place = _tree(rows, width // 8)
+
+        def links(i, j):
+            one, two = sets[place[i]], sets[place[j]]
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            return both * (p + q) >= p * (len(one) + len(two))
+
+        ids = np.array(nodes, np.int64)[place]
+        for i, j in connecting(tree, tree, p, q, Labels(), links):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
+
+    cluster, nodes, names, sets = None, [], [], []
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("cluster", "node", "label")]
+        texts = shingle_sets(batch.column("text"), size, hasher)
+        for of, node, label, shingles in zip(*columns, texts, strict=True):
+            if of != cluster:
+                yield from found(nodes, names, sets)
+                cluster, nodes, names, sets = of, [], [], []
+            nodes.append(node)
+            names.append(label)
+            sets.append(shingles)
+    yield from found(nodes, names, sets)
+
+
+def _fine(batches, size: int) -> Iterator[pa.RecordBatch]:
+    hasher = WordHasher()
+    for batch in batches:
+        n, bits = [], []
+        for found in shingle_sets(batch.column("text"), size, hasher):
+            n.append(len(found))
+            width = 1 << (max(8, len(found)) * FINE_BITS - 1).bit_length()
+            bits.append(bitmap(found, width) if len(found) else None)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("node"), pa.array(n, pa.int64()), pa.array(bits, pa.binary())],
+            names=["node", "n", "bits"],
+        )
+
+
 def _checked(batches, size: int, p: int, q: int) -> Iterator[pa.RecordBatch]:
     """Pairs that link; rows (a, chunk, doc, text) come sorted with a's own texts first."""
     hasher = WordHasher()
@@ -373,9 +516,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, size: int, p:
     )
 
 
-def _tree_pairs(rows: DataFrame, reps: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs (a, b) that the trees leave; ``rows`` are (key, gi, uj, side, node, label), and
-    ``side`` says which of the two trees of a group (key, gi, uj) hold a row."""
+def _tree_pairs(rows: DataFrame, reps: DataFrame, p: int, q: int, every: bool) -> DataFrame:
+    """Pairs (a, b) that the trees leave, every one or those that connect all; ``rows`` are
+    (key, gi, uj, side, node, label), and ``side`` says which of the two trees of a group
+    (key, gi, uj) hold a row."""
     groups = (
         rows.join(reps.select("node", "n", "bits"), "node")
         .select("key", "gi", "uj", "side", "node", "n", "label", "bits")
@@ -383,7 +527,7 @@ def _tree_pairs(rows: DataFrame, reps: DataFrame, p: int, q: int) -> DataFrame:
         .sortWithinPartitions("key", "gi", "uj")
     )
     traverse = _traverse
-    return groups.mapInArrow(lambda b: traverse(b, p, q), "a long, b long").distinct()
+    return groups.mapInArrow(lambda b: traverse(b, p, q, every), "a long, b long").distinct()
 
 
 def _blocks(sets: str) -> Column:
@@ -394,9 +538,13 @@ def _each_block(count: Column) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
 
 
+def _has_star() -> Column:
+    return F.col("g") > max(SMALL_GROUP, BLOCK_SETS)
+
+
 def _star_pairs(members: DataFrame, reps: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs of the smallest set of a group over ``SMALL_GROUP`` with its other sets."""
-    large = members.where(F.col("g") > SMALL_GROUP)
+    """Pairs of the smallest set of a group of several blocks with its other sets."""
+    large = members.where(_has_star())
     first = F.lit(0).cast("long").alias("uj")
     label = F.col("node").alias("label")
     home = large.where("node <> rep").select(
@@ -407,16 +555,19 @@ def _star_pairs(members: DataFrame, reps: DataFrame, p: int, q: int) -> DataFram
     smallest = large.where("node = rep").select(
         "key", _each_block(_blocks("g")).alias("gi"), first, F.lit(OUT).alias("side"), "node", label
     )
-    return _tree_pairs(home.unionByName(smallest), reps, p, q)
+    return _tree_pairs(home.unionByName(smallest), reps, p, q, every=True)
 
 
-def _remaining_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, p: int, q: int):
-    """Pairs of sets in one group that have different labels and were not compared so far."""
+def _remaining_pairs(
+    members: DataFrame, labels: DataFrame, reps: DataFrame, p: int, q: int, every: bool
+) -> DataFrame:
+    """Pairs of sets in one group that have different labels and were not compared with the
+    smallest one, every pair or those that connect all."""
     named = members.join(labels, "node", "left").select(
         "key", "rep", "g", "node", F.coalesce("label", "node").alias("label")
     )
     of_rep = labels.select(F.col("node").alias("rep"), F.col("label").alias("main"))
-    rest = named.where((F.col("g") <= SMALL_GROUP) | (F.col("node") != F.col("rep")))
+    rest = named.where(~_has_star() | (F.col("node") != F.col("rep")))
     several = (
         rest.groupBy("key", "rep")
         .agg(F.count("*").alias("g"), F.min("label").alias("low"), F.max("label").alias("high"))
@@ -438,7 +589,7 @@ def _remaining_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, p:
         "key",
         zero.alias("gi"),
         zero.alias("uj"),
-        F.when(is_out, F.lit(BOTH)).otherwise(F.lit(HOME)).alias("side"),
+        F.lit(BOTH).alias("side"),
         "node", "label",
     )
     home = sized.where(~whole).select(
@@ -455,7 +606,59 @@ def _remaining_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, p:
         F.lit(OUT).alias("side"),
         "node", "label",
     )
-    return _tree_pairs(one_block.unionByName(home).unionByName(others), reps, p, q)
+    return _tree_pairs(one_block.unionByName(home).unionByName(others), reps, p, q, every)
+
+
+def _links_in_clusters(
+    docs: DataFrame, members: DataFrame, named: DataFrame, labels: DataFrame,
+    sizes: DataFrame, size: int, p: int, q: int,
+) -> DataFrame:
+    """Links (a, b) that connect all linked sets; ``named`` has the cluster of a node."""
+    of = F.col("cluster")
+    rows = (
+        named.select("node", F.col("label").alias("cluster"))
+        .join(labels, "node", "left")
+        .select("node", "cluster", F.coalesce("label", "node").alias("label"))
+        .join(sizes.groupBy("node").agg(F.sum("n").alias("n")), "node")
+    )
+    clusters = rows.groupBy("cluster").agg(
+        F.sum("n").alias("total"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    rows = materialize(
+        rows.join(clusters.where("low <> high"), "cluster").select(
+            "cluster", "node", "label", (F.col("total") > CLUSTER_SHINGLES).alias("large")
+        ),
+        "clusters",
+    )
+    texts = docs.select(F.col("doc_id").alias("node"), "text")
+    small = small_side(rows.where("not large").select("cluster", "node", "label"), "small", 200_000)
+    met = (
+        texts.join(small, "node")
+        .select("cluster", "node", "label", "text")
+        .repartition(partitions(docs.sparkSession), of)
+        .sortWithinPartitions(of)
+    )
+    search = _cluster_links
+    links = materialize(
+        met.mapInArrow(lambda b: search(b, size, p, q), "a long, b long"), "cluster-links"
+    )
+    large = rows.where("large").select("node")
+    if large.isEmpty():
+        return links
+    fine = _fine
+    wanted = small_side(large, "large", 200_000)
+    reps = materialize(
+        texts.join(wanted, "node", "left_semi").mapInArrow(
+            lambda b: fine(b, size), "node long, n long, bits binary"
+        ),
+        "fine-bitmaps",
+    ).where("n > 0")
+    members = materialize(members.join(wanted, "node", "left_semi"), "large-clusters")
+    pairs = materialize(_remaining_pairs(members, labels, reps, p, q, False), "connections")
+    more = _verified(pairs, docs, sizes, size, p, q)
+    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+    pairs = materialize(_remaining_pairs(members, labels, reps, p, q, True), "pairs")
+    return links.unionByName(more).unionByName(_verified(pairs, docs, sizes, size, p, q))
 
 
 def jaccard_components(
@@ -485,11 +688,12 @@ def jaccard_components(
     members = _key_groups(docs, sets, reps, size, bands)
     sizes = reps.select("node", "n")
     star = materialize(_star_pairs(members, reps, p, q), "pairs-with-smallest")
-    links = _verified(star, docs, sizes, size, p, q)
+    links = star if star.isEmpty() else _verified(star, docs, sizes, size, p, q)
     labels = components(links)
-    rest = materialize(_remaining_pairs(members, labels, reps, p, q), "pairs")
-    if not rest.isEmpty():
-        more = _verified(rest, docs, sizes, size, p, q)
+    pairs = materialize(_remaining_pairs(members, labels, reps, p, q, False), "connections")
+    if not pairs.isEmpty():
+        named = components(links.unionByName(pairs))
+        more = _links_in_clusters(docs, members, named, labels, sizes, size, p, q)
         labels = components(links.unionByName(more))
     named = (
         reps.select("n", "h1", "h2", "node")

@@ -151,3 +151,26 @@ def test_near_copies_go_and_no_name_clashes(spark):
     want = brute(rows, 5, 80)
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
     assert all(tuple(r)[2:] == tuple(range(7)) for r in got.collect())
+
+
+def test_clusters_over_the_bound_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(jj, "CLUSTER_SHINGLES", 300)
+    monkeypatch.setattr(jj, "BLOCK_SETS", 6)
+    rows = families(9, n=4, members=20)
+    assert found(spark, rows) == brute(rows)
+
+
+def test_a_group_of_near_copies_gives_fewer_pairs_than_sets():
+    """Of 300 sets that all may link, as of a chain in which neighbours do."""
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([np.delete(base, rng.integers(0, 200, 4)), rng.integers(0, 1 << 63, 2, dtype=np.uint64)])) for _ in range(300)]
+    names = ["key", "gi", "uj", "side", "node", "n", "label", "bits"]
+    rows = [(7, 0, 0, jj.BOTH, i, len(s), i, jj.bitmap(s)) for i, s in enumerate(sets)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+    pairs = {(a, b) for out in jj._traverse(iter([batch]), 90, 100, False) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)}
+    assert len(pairs) == 299
+    reached = {0}
+    while more := {y for pair in pairs for y in pair if reached & set(pair)} - reached:
+        reached |= more
+    assert len(reached) == 300
