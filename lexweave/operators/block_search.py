@@ -27,7 +27,14 @@ from pyspark.sql.types import (
 )
 
 from lexweave.operators.quantize import lloyd, matrix, sample, unit_vector
-from lexweave.operators.search import _as_vectors, _Best, _by_length, _Queries, _row_groups
+from lexweave.operators.search import (
+    TILE_SCORES,
+    _as_vectors,
+    _Best,
+    _by_length,
+    _Queries,
+    _row_groups,
+)
 from lexweave.storage import materialize
 
 # Pivots, which every task holds, and rows they are trained on.
@@ -36,6 +43,8 @@ PIVOT_ROWS = 65_536
 PIVOT_ROUNDS = 3
 # Scores are rounded to nine decimals; a bound this much below the k-th score cannot tie.
 SLACK = 1e-8
+# Visits, each with its query's vector, in a batch.
+VISIT_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -99,9 +108,13 @@ def _placed(left: DataFrame, vector: str, pivots: np.ndarray, keys: list[str]) -
                     continue
                 size = np.sqrt((block * block).sum(axis=1))
                 rows, block, size = rows[size > 0], block[size > 0], size[size > 0]
-                cosine = np.clip(block @ pivots.T / size[:, None], -1.0, 1.0)
-                pivot[rows] = cosine.argmax(axis=1)
-                angle[rows] = np.arccos(cosine.max(axis=1, initial=-1.0))
+                step = max(1, TILE_SCORES // len(pivots))
+                for at in range(0, len(rows), step):
+                    tile = slice(at, at + step)
+                    cosine = block[tile] @ pivots.T / size[tile, None]
+                    pivot[rows[tile]] = cosine.argmax(axis=1)
+                    nearest = np.clip(cosine.max(axis=1, initial=-1.0), -1.0, 1.0)
+                    angle[rows[tile]] = np.arccos(nearest)
             lengths = np.array([len(v) for v in vectors], np.int32)
             ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
             flat = np.concatenate([np.zeros(0), *vectors])
@@ -202,11 +215,25 @@ def _visits(asked: DataFrame, blocks: Blocks, top_k: int, cutoff: str | None) ->
         [StructField("block", IntegerType()), asked.schema.fields[0], asked.schema["vector"]]
     )
 
+    def visits(batch, who, where):
+        block = np.concatenate([np.zeros(0, np.int64), *where]).astype(np.int32)
+        query = np.repeat(np.array(who, np.int64), [len(w) for w in where])
+        for start in range(0, len(block), VISIT_ROWS):
+            at = pa.array(query[start : start + VISIT_ROWS])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(block[start : start + VISIT_ROWS]),
+                    batch.column(0).take(at),
+                    batch.column(1).take(at),
+                ],
+                schema.names,
+            )
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = _as_vectors(batch.column(1))
             floors = batch.column(2).to_pylist() if cutoff else [None] * len(vectors)
-            who, where = [], []
+            who, where, held = [], [], 0
             for i, (vector, floor) in enumerate(zip(vectors, floors, strict=True)):
                 bounds = blocks.bounds(vector)
                 order = np.argsort(-bounds, kind="stable")
@@ -215,14 +242,13 @@ def _visits(asked: DataFrame, blocks: Blocks, top_k: int, cutoff: str | None) ->
                 if cutoff:
                     rest = order[first:]
                     chosen = rest if floor is None else rest[bounds[rest] >= floor - SLACK]
-                who.append(np.full(len(chosen), i))
+                who.append(i)
                 where.append(chosen)
-            at = pa.array(np.concatenate([np.zeros(0, np.int64), *who]).astype(np.int64))
-            block = np.concatenate([np.zeros(0, np.int64), *where]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block), batch.column(0).take(at), batch.column(1).take(at)],
-                schema.names,
-            )
+                held += len(chosen)
+                if held >= VISIT_ROWS:
+                    yield from visits(batch, who, where)
+                    who, where, held = [], [], 0
+            yield from visits(batch, who, where)
 
     return asked.mapInArrow(run, schema)
 

@@ -20,6 +20,8 @@ from lexweave.functions.vectors import norm, normalize_vector
 # Rows a quantiser is trained on at most, chosen by a hash of their keys.
 TRAIN_ROWS = 65_536
 ROUNDS = 8
+# Products of points and centroids held at a time.
+TILE_PRODUCTS = 1 << 21
 _SUMS = "place int, dimension int, total double, points long"
 
 
@@ -50,8 +52,12 @@ def nearest_place(points: np.ndarray, centroids: np.ndarray, group: np.ndarray)
     cuts = np.searchsorted(group[order], np.arange(len(centroids) + 1))
     for g in np.flatnonzero(np.diff(cuts)):
         rows = order[cuts[g] : cuts[g + 1]]
-        near = points[rows] @ centroids[g].T - 0.5 * (centroids[g] ** 2).sum(axis=1)
-        out[rows] = g * centroids.shape[1] + near.argmax(axis=1)
+        half = 0.5 * (centroids[g] ** 2).sum(axis=1)
+        step = max(1, TILE_PRODUCTS // len(half))
+        for start in range(0, len(rows), step):
+            tile = rows[start : start + step]
+            near = points[tile] @ centroids[g].T - half
+            out[tile] = g * centroids.shape[1] + near.argmax(axis=1)
     return out
 
 
