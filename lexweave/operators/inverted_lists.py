@@ -52,10 +52,11 @@ LISTS, DEAD, CENTROIDS, CODEBOOKS = "lists", "dead", "centroids", "codebooks"
 PROBED_SHARE = 0.75
 # Rows scored exactly for each row of the result, but at most this share of all rows.
 SURVIVORS_PER_RESULT, SURVIVING_SHARE = 40, 0.1
-# Queries sent to every task; more are joined with the lists they probe.
+# Queries sent to every task at a time.
 MAX_SHIPPED_QUERIES = 2048
-# Codes of a list that meet a query in one task of that join.
+# Codes of a list that meet the queries at a time, and scores of these at most.
 SLICE_ROWS = 1 << 16
+SLICE_SCORES = 1 << 21
 # Lists are written anew when this share of all rows is dead.
 DEAD_SHARE = 0.1
 
@@ -356,10 +357,10 @@ def _candidates(table: pa.Table, asked, ids: pa.Array, quantizer, survivors: int
         rows = order[a:b]
         number = int(lists[rows[0]])
         queries = np.flatnonzero([number in p for p in probes])
-        for start in range(0, len(rows), SLICE_ROWS):
-            part = rows[start : start + SLICE_ROWS]
-            if len(queries):
-                best.add(queries, number, codes[part], part)
+        step = max(1, min(SLICE_ROWS, SLICE_SCORES // max(len(queries), 1)))
+        for start in range(0, len(rows) if len(queries) else 0, step):
+            part = rows[start : start + step]
+            best.add(queries, number, codes[part], part)
     query, row, score = best.found()
     out = table.drop_columns(["list", "code"]).take(pa.array(row))
     out = out.add_column(0, "query_id", ids.take(pa.array(query)))
@@ -411,16 +412,21 @@ def search(
         ]
     )
     count = asked.count()
-    if count <= max_shipped:
-        near = _shipped(versions, manifest, asked, quantizer, sizes, wanted, survivors, schema)
-    else:
-        near = _by_list(versions, manifest, asked, quantizer, sizes, wanted, survivors, schema)
-    near = materialize(
-        numbered_results(near.withColumnRenamed("approximate", "score"), keys)
-        .where(F.col("rank") <= survivors)
-        .select("query_id", *keys),
-        "survivors",
-    )
+    # A task gives as many rows for each query as survive, whatever the number of lists it
+    # reads; queries are sent in slices, so that neither these rows nor the scores of a task
+    # grow with the number of queries.
+    slices = max(1, -(-count // max(max_shipped, 1)))
+    near = None
+    for number in range(slices):
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == number)
+        found = _shipped(versions, manifest, some, quantizer, sizes, wanted, survivors, schema)
+        found = materialize(
+            numbered_results(found.withColumnRenamed("approximate", "score"), keys)
+            .where(F.col("rank") <= survivors)
+            .select("query_id", *keys),
+            "survivors",
+        )
+        near = found if near is None else near.unionByName(found)
     named = near if count * survivors > 200_000 else F.broadcast(near)
     same = [F.col(f"v.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
     scored = (
@@ -445,7 +451,7 @@ def _cosine(query: Column, unit: Column) -> Column:
 
 
 def _shipped(versions, manifest, asked, quantizer, sizes, wanted, survivors, schema) -> DataFrame:
-    """All queries in every task; reads the lists that any of them probes."""
+    """The best by code of some queries, all in every task; reads the lists that any probes."""
     table = asked.toArrow()
     ids = table.column(0).combine_chunks()
     units = matrix(table.column(1).combine_chunks(), quantizer.dimensions)
@@ -463,54 +469,3 @@ def _shipped(versions, manifest, asked, quantizer, sizes, wanted, survivors, sch
             yield from found.combine_chunks().to_batches()
 
     return rows.mapInArrow(run, schema)
-
-
-def _by_list(versions, manifest, asked, quantizer, sizes, wanted, survivors, schema) -> DataFrame:
-    """Queries joined with the lists they probe, slices of a list apart."""
-    keys = list(manifest.tables[LISTS].keys)
-    slices = np.maximum(1, -(-sizes // SLICE_ROWS))
-
-    def probing(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            units = matrix(batch.column(1), quantizer.dimensions)
-            probes = _probes(units, quantizer.centroids, sizes, wanted)
-            pairs = [(i, b, s) for i, p in enumerate(probes) for b in p for s in range(slices[b])]
-            number, lists, slice_ = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
-            at = pa.array(number)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(at),
-                    batch.column(1).take(at),
-                    pa.array(lists, pa.int32()),
-                    pa.array(slice_, pa.int32()),
-                ],
-                ["query_id", "query", "list", "slice"],
-            )
-
-    wide = StructType(
-        [*asked.schema.fields, *[StructField(n, IntegerType()) for n in ("list", "slice")]]
-    )
-    questions = asked.mapInArrow(probing, wide)
-    per_list = F.element_at(F.array(*[F.lit(int(s)) for s in slices]), F.col("list") + 1)
-    rows = (
-        live(versions, manifest)
-        .select(*keys, "list", "code")
-        .withColumn("slice", F.pmod(F.xxhash64(*keys), per_list).cast("int"))
-    )
-
-    def run(row_table: pa.Table, query_table: pa.Table) -> pa.Table:
-        ids = query_table.column("query_id").combine_chunks()
-        if not row_table.num_rows or not len(ids):
-            names = ["query_id", *keys]
-            types = [ids.type, *[row_table.schema.field(k).type for k in keys], pa.float64()]
-            return pa.table([pa.array([], t) for t in types], [*names, "approximate"])
-        units = matrix(query_table.column("query").combine_chunks(), quantizer.dimensions)
-        probes = [query_table.column("list").combine_chunks().to_numpy()[:1]] * len(ids)
-        rows = row_table.select([*keys, "list", "code"])
-        return _candidates(rows, (units, probes), ids, quantizer, survivors)
-
-    return (
-        rows.groupBy("list", "slice")
-        .cogroup(questions.groupBy("list", "slice"))
-        .applyInArrow(run, schema)
-    )

@@ -134,3 +134,30 @@ def test_lloyd_finds_clusters(spark):
     df = spark.createDataFrame(points, "group int, vector array<double>").repartition(4)
     got = qz.lloyd(df, np.array([points[i][1] for i in (0, 1, 2)])[None], 5)[0]
     assert np.abs(got - centres).max() < 0.2
+
+
+def test_queries_are_sent_in_slices(spark, vectors, built, monkeypatch):
+    """Also beyond what is sent at a time, a task gives what survives, not that of every list."""
+    sent, shipped = [], il._shipped
+    monkeypatch.setattr(il, "_shipped", lambda v, m, asked, *rest: sent.append(asked.count()) or shipped(v, m, asked, *rest))
+    asked = questions(vectors).where("query_id % 4 = 0")
+    found(spark, built, asked, max_shipped=40)
+    assert len(sent) == -(-asked.count() // 40) and sum(sent) == asked.count()
+
+
+def test_products_with_many_centroids_are_held_in_tiles():
+    import tracemalloc
+
+    import numpy as np
+
+    from lexweave.operators.quantize import nearest_place
+
+    rng = np.random.default_rng(1)
+    points, centroids = rng.normal(size=(10_000, 4)), rng.normal(size=(1, 4096, 4))
+    tracemalloc.start()
+    place = nearest_place(points, centroids, np.zeros(len(points), np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    near = points[:50] @ centroids[0].T - 0.5 * (centroids[0] ** 2).sum(axis=1)
+    assert (place[:50] == near.argmax(axis=1)).all()
