@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.components import components
 from lexweave.llm.shingles import WordHasher, mix, shingle_sets
-from lexweave.llm.tables import partitions
+from lexweave.llm.tables import bounded_batches, partitions
 from lexweave.operators.rows import small_side
 from lexweave.storage import materialize
 
@@ -670,6 +670,7 @@ def jaccard_components(
     denominator: int = 100,
 ) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
+    bounded_batches(df.sparkSession)
     bands, p, q = Bands(numerator, denominator), numerator, denominator
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     features = _features

@@ -87,27 +87,35 @@ def by_length(strings: list[str]) -> dict[int, list[int]]:
     return found
 
 
+def _parts(strings: list[str], batch: int = 2048):
+    """(rows, feature numbers, weights by position, norms) of strings of one length, a batch each."""
+    for length, rows in by_length(strings).items():
+        if length < LENGTH:
+            continue
+        for i in range(0, len(rows), batch):
+            part = rows[i : i + batch]
+            codes = encode([strings[r] for r in part])
+            numbers, spans = features(codes)
+            norm = np.sqrt(kernel(codes, codes))
+            yield part, numbers, spans, np.maximum(norm, 1e-12)
+
+
+def _project(n: int, parts, direction: np.ndarray) -> np.ndarray:
+    out = np.zeros(n, np.float32)
+    for rows, numbers, spans, norm in parts:
+        out[rows] = direction[numbers] @ spans / norm
+    return out
+
+
 class Prepared:
     """Strings with their subsequences and norms, to be projected again and again."""
 
-    def __init__(self, strings: list[str], batch: int = 2048):
-        self.n, self.parts = len(strings), []
-        for length, rows in by_length(strings).items():
-            if length < LENGTH:
-                continue
-            for i in range(0, len(rows), batch):
-                part = rows[i : i + batch]
-                codes = encode([strings[r] for r in part])
-                numbers, spans = features(codes)
-                norm = np.sqrt(kernel(codes, codes))
-                self.parts.append((part, numbers, spans, np.maximum(norm, 1e-12)))
+    def __init__(self, strings: list[str]):
+        self.n, self.parts = len(strings), list(_parts(strings))
 
     def project(self, direction: np.ndarray) -> np.ndarray:
         """Inner product of each (unit length) string with a vector of feature space."""
-        out = np.zeros(self.n, np.float32)
-        for rows, numbers, spans, norm in self.parts:
-            out[rows] = direction[numbers] @ spans / norm
-        return out
+        return _project(self.n, self.parts, direction)
 
     def sum(self, weights: np.ndarray) -> np.ndarray:
         """The weighted sum of the strings in feature space."""
@@ -118,10 +126,10 @@ class Prepared:
 
 
 def project(strings: list[str], direction: np.ndarray, batch: int = 1 << 14) -> np.ndarray:
-    """As ``Prepared.project``, of any number of strings."""
+    """As ``Prepared.project``, of any number of strings; subsequences are held a part at a time."""
     parts = [strings[i : i + batch] for i in range(0, len(strings), batch)]
     return np.concatenate(
-        [np.zeros(0, np.float32), *(Prepared(part).project(direction) for part in parts)]
+        [np.zeros(0, np.float32), *(_project(len(p), _parts(p, 512), direction) for p in parts)]
     )
 
 

@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+SPARK_BATCH = "67108864b"
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -20,6 +24,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python ``BATCH_BYTES`` at a time, unless the session names a size.
+
+    Spark's own bounds are 10,000 rows and 64 MB, which whole texts fill in every task, outside
+    the heap and once more in its Python worker.
+    """
+    if spark.conf.get(BATCH_SETTING) == SPARK_BATCH:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def crc32_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 

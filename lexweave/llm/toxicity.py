@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm import string_kernel as sk
+from lexweave.llm.tables import bounded_batches
 from lexweave.operators.rows import small_side
 from lexweave.storage import materialize
 
@@ -231,6 +232,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     Labels that are null or have no id, and those of unknown documents, are left out.
     """
+    bounded_batches(docs.sparkSession)
     rows = labels.where("toxic is not null and doc_id is not null").select(
         F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")
     )

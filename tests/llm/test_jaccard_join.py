@@ -174,3 +174,26 @@ def test_a_group_of_near_copies_gives_fewer_pairs_than_sets():
     while more := {y for pair in pairs for y in pair if reached & set(pair)} - reached:
         reached |= more
     assert len(reached) == 300
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark):
+    import pyarrow as pa
+
+    from lexweave.llm import tables
+    from lexweave.llm.jaccard_join import jaccard_components
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    docs = spark.range(0, 8000, 1, 1).selectExpr("id AS doc_id", "concat(id, repeat(' word', 600)) AS text")
+    spark.conf.unset(tables.BATCH_SETTING)
+    try:
+        jaccard_components(docs.limit(3)).collect()
+        counts = [r.n for r in docs.mapInArrow(rows, "n long").collect()]
+        assert sum(counts) == 8000 and max(counts) * 3000 < 2 * tables.BATCH_BYTES
+        spark.conf.set(tables.BATCH_SETTING, "1m")
+        tables.bounded_batches(spark)
+        assert spark.conf.get(tables.BATCH_SETTING).startswith("1")
+    finally:
+        spark.conf.unset(tables.BATCH_SETTING)

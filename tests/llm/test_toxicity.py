@@ -159,3 +159,16 @@ def test_nothing_to_learn(spark):
     for labels in ([], [(1, 0)], [(1, None), (None, 1)], [(9, 1)]):
         model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
         assert max(scores(spark, model, ["a b", None])) < 0.3
+
+
+def test_projection_holds_one_part_of_the_subsequences_at_a_time():
+    import tracemalloc
+
+    strings = [f"{sk.START}{i:014d}{sk.END}" for i in range(1 << 14)]
+    direction = np.random.default_rng(1).random(sk.LETTERS**sk.LENGTH, np.float32)
+    tracemalloc.start()
+    got = sk.project(strings, direction)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20
+    assert np.allclose(got, sk.Prepared(strings).project(direction), rtol=1e-5)
