@@ -13,6 +13,10 @@ or earlier in its own.  Lines count as equal when they agree but for white space
    that start at each line of the runs around it.  Every line of a repeated run lies in
    one of these, so that joining them by content finds the whole repeated run.
 4. The first occurrence of each stays, and the lines of all later ones go.
+5. Where a single line is a run (``MIN_WORDS`` is 1), this is done twice: with windows of
+   ``PASSAGE_LINES`` lines, of which winnowing looks up the smallest hash, for repeated
+   passages, and with windows that shrink to one line for the lines that these leave.  A line
+   that went occurred before, so the first occurrence of every line is among those left.
 
 All of it is DataFrame operations.  A frequent line meets partial aggregates, never pairs.
 Null texts stay null and empty ones empty.  Rows that repeat an id and a text are one
@@ -31,6 +35,7 @@ from lexweave.storage import materialize
 
 # A line that is not blank has a word, so that a single repeated line is a run.
 MIN_WORDS = 1
+PASSAGE_LINES = 4
 
 
 def _normalised(line: Column) -> Column:
@@ -91,9 +96,9 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
     )
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, at) of the lines to delete; ``docs`` has doc, which orders it, and text."""
-    runs = materialize(_windows(_lines(docs), min_words), "line-windows")
+def _repeated(lines: DataFrame, min_words: int) -> DataFrame:
+    """(doc, at) of the lines of later runs of enough words."""
+    runs = materialize(_windows(lines, min_words), "line-windows")
     run = F.explode(
         F.filter(
             F.array_distinct(F.array("start_here", "end_here")), lambda x: x.isNotNull()
@@ -147,6 +152,22 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
+def repeated_passages(lines: DataFrame) -> DataFrame:
+    """(doc, at) of the lines of later runs of at least ``PASSAGE_LINES`` lines."""
+    return _repeated(lines.withColumn("words", F.lit(1)), PASSAGE_LINES)
+
+
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc, at) of the lines to delete; ``docs`` has doc, which orders it, and text."""
+    lines = _lines(docs)
+    if min_words > 1:
+        return _repeated(lines, min_words)
+    lines = materialize(lines, "lines")
+    gone = materialize(repeated_passages(lines), "passages")
+    left = lines.join(gone, ["doc", "at"], "left_anti")
+    return gone.unionByName(_repeated(left, min_words))
+
+
 def dedup_lines(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
 ) -> DataFrame:

@@ -78,3 +78,24 @@ def test_plan_is_native(spark):
 
     plan = plan_of(dedup_lines(spark.createDataFrame([(1, "a")], "doc_id long, text string")))
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop"))
+
+
+def test_passages_go_by_windows_of_several_lines_and_the_rest_as_in_brute_force(spark, monkeypatch):
+    from lexweave.llm import line_dedup
+
+    looked_up, repeated = [], line_dedup._repeated
+
+    def counted(lines, min_words):
+        looked_up.append((min_words, lines.count()))
+        return repeated(lines, min_words)
+
+    monkeypatch.setattr(line_dedup, "_repeated", counted)
+    rng = random.Random(7)
+    lines = [" ".join(rng.choices("abcdefgh", k=rng.choice([1, 2, 6]))) for _ in range(40)]
+    rows = [(doc, "\n".join(lines[at : at + rng.randrange(1, 12)] + [f"new {doc}"])) for doc, at in enumerate(rng.choices(range(30), k=60))]
+    rows += [(60, "\n".join([lines[3]] * 9)), (61, "\n \n" + lines[0]), (62, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in dedup_lines(df).collect()}
+    assert got == brute(rows, 1)
+    (passage, of_all), (single, left) = looked_up
+    assert passage > 1 == single and left < of_all / 2
