@@ -48,6 +48,9 @@ SMALL_GROUP = 8
 FAN_OUT = 8
 CHUNK_SHINGLES = 500_000
 CLUSTER_SHINGLES = 4_000_000
+# Bits for a shingle in the bitmaps of groups, while a bitmap stays within ``GROUP_WIDTH`` bits.
+GROUP_BITS = 2
+GROUP_WIDTH = 2048
 # Bits for a shingle in the bitmaps of clusters, and bytes of all bitmaps of one.
 FINE_BITS = 8
 CLUSTER_BYTES = 1 << 26
@@ -109,8 +112,10 @@ def part_keys(found: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def bitmap(found: np.ndarray, width: int = 0) -> bytes:
-    """Bits at the low end of each hash; at least one bit for each shingle, or ``width``."""
-    width = width or max(64, 1 << (len(found) - 1).bit_length())
+    """Bits at the low end of each hash: ``width`` of them, or ``GROUP_BITS`` for each shingle,
+    and at least one where that is more than ``GROUP_WIDTH``."""
+    least = max(64, 1 << (len(found) - 1).bit_length())
+    width = width or max(least, min(GROUP_BITS * least, GROUP_WIDTH))
     bits = np.zeros(width, bool)
     bits[(found & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -307,13 +312,41 @@ def _tree(rows: list[tuple], width: int) -> tuple[SignatureTree, np.ndarray]:
     return SignatureTree(folded, n, label), np.array([r[0] for r in rows], np.int64)
 
 
+def _trees(home: list[tuple], others: list[tuple], p: int, q: int) -> Iterator[tuple]:
+    """Pairs of trees with the nodes of their leaves, between which all links are.
+
+    A tree holds sets of one width of bitmaps.  Sets are folded only to meet those of half
+    their width and a linking size: folded to the smallest of the group, bitmaps fill up and
+    tell nothing.
+    """
+    alone = home == others
+    own, rest = _by_width(home), _by_width(others)
+    for w, left in own.items():
+        for v, right in rest.items():
+            if w == v:
+                one = _tree(left, w)
+                yield one + (one if alone else _tree(right, w))
+            elif not alone or w < v:
+                small, large = (left, right) if w < v else (right, left)
+                most, least = max(r[1] for r in small) * q, min(r[1] for r in large) * p
+                near = [r for r in small if r[1] * q >= least]
+                far = [r for r in large if r[1] * p <= most]
+                if near and far:
+                    fold = min(w, v)
+                    yield _tree(near if w < v else far, fold) + _tree(far if w < v else near, fold)
+
+
+def _by_width(rows: list[tuple]) -> dict[int, list[tuple]]:
+    widths = {}
+    for row in rows:
+        widths.setdefault(len(row[3]), []).append(row)
+    return widths
+
+
 def _pairs_of_group(home: list[tuple], others: list[tuple], p: int, q: int):
-    if not home or not others:
-        return
-    width = min(len(r[3]) for r in home + others)
-    (a, ids_a), (b, ids_b) = _tree(home, width), _tree(others, width)
-    for i, j in dual_traversal(a, b, p, q):
-        yield ids_a[i], ids_b[j]
+    for a, ids_a, b, ids_b in _trees(home, others, p, q):
+        for i, j in dual_traversal(a, b, p, q):
+            yield ids_a[i], ids_b[j]
 
 
 class Labels:
@@ -364,13 +397,9 @@ def connecting(a: SignatureTree, b: SignatureTree, p: int, q: int, labels: Label
 
 
 def _connections(home: list[tuple], others: list[tuple], p: int, q: int, labels: Labels):
-    if not home or not others:
-        return
-    width = min(len(r[3]) for r in home + others)
-    a, ids_a = _tree(home, width)
-    b, ids_b = (a, ids_a) if home == others else _tree(others, width)
-    for i, j in connecting(a, b, p, q, labels):
-        yield ids_a[i], ids_b[j]
+    for a, ids_a, b, ids_b in _trees(home, others, p, q):
+        for i, j in connecting(a, b, p, q, labels):
+            yield ids_a[i], ids_b[j]
 
 
 def _traverse(batches, p: int, q: int, every: bool) -> Iterator[pa.RecordBatch]:
@@ -518,10 +547,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, size: int, p:
 
 def _tree_pairs(rows: DataFrame, reps: DataFrame, p: int, q: int, every: bool) -> DataFrame:
     """Pairs (a, b) that the trees leave, every one or those that connect all; ``rows`` are
-    (key, gi, uj, side, node, label), and ``side`` says which of the two trees of a group
-    (key, gi, uj) hold a row."""
+    (key, gi, uj, side, node), and ``side`` says which of the two trees of a group
+    (key, gi, uj) hold a row.  Labels come with the bitmaps of ``reps``."""
     groups = (
-        rows.join(reps.select("node", "n", "bits"), "node")
+        rows.join(reps.select("node", "n", "label", "bits"), "node")
         .select("key", "gi", "uj", "side", "node", "n", "label", "bits")
         .repartition(partitions(rows.sparkSession), "key", "gi", "uj")
         .sortWithinPartitions("key", "gi", "uj")
@@ -546,15 +575,15 @@ def _star_pairs(members: DataFrame, reps: DataFrame, p: int, q: int) -> DataFram
     """Pairs of the smallest set of a group of several blocks with its other sets."""
     large = members.where(_has_star())
     first = F.lit(0).cast("long").alias("uj")
-    label = F.col("node").alias("label")
     home = large.where("node <> rep").select(
         "key",
         F.pmod(F.xxhash64("node"), _blocks("g")).alias("gi"),
-        first, F.lit(HOME).alias("side"), "node", label,
+        first, F.lit(HOME).alias("side"), "node",
     )
     smallest = large.where("node = rep").select(
-        "key", _each_block(_blocks("g")).alias("gi"), first, F.lit(OUT).alias("side"), "node", label
+        "key", _each_block(_blocks("g")).alias("gi"), first, F.lit(OUT).alias("side"), "node"
     )
+    reps = reps.withColumn("label", F.col("node"))
     return _tree_pairs(home.unionByName(smallest), reps, p, q, every=True)
 
 
@@ -563,49 +592,64 @@ def _remaining_pairs(
 ) -> DataFrame:
     """Pairs of sets in one group that have different labels and were not compared with the
     smallest one, every pair or those that connect all."""
-    named = members.join(labels, "node", "left").select(
-        "key", "rep", "g", "node", F.coalesce("label", "node").alias("label")
+    rest = members.where(~_has_star() | (F.col("node") != F.col("rep")))
+    # Few sets have a label, and rows of a group are many: labels are joined to the sets, once
+    # each, and to the rows of groups of several blocks.
+    marked = (
+        rest.join(labels, "node")
+        .groupBy("key")
+        .agg(F.count("*").alias("marked"), F.min("label").alias("low"), F.max("label").alias("high"))
     )
-    of_rep = labels.select(F.col("node").alias("rep"), F.col("label").alias("main"))
-    rest = named.where(~_has_star() | (F.col("node") != F.col("rep")))
     several = (
-        rest.groupBy("key", "rep")
-        .agg(F.count("*").alias("g"), F.min("label").alias("low"), F.max("label").alias("high"))
-        .where("low <> high")
-        .join(of_rep, "rep", "left")
-        .select("key", "g", F.coalesce("main", "rep").alias("main"))
+        rest.groupBy("key")
+        .agg(F.count("*").alias("g"))
+        .where("g > 1")
+        .join(marked, "key", "left")
+        .where("marked is null or marked < g or low <> high")
+        .select("key", "g")
     )
     open_rows = materialize(
-        rest.drop("g").join(several, "key").select("key", "node", "label", "g", "main"),
-        "open-groups",
+        rest.drop("g").join(several, "key").select("key", "rep", "node", "g"), "open-groups"
     )
-    outside = open_rows.where("label <> main").groupBy("key").agg(F.count("*").alias("u"))
-    sized = open_rows.join(outside, "key")
-    block, is_out = F.xxhash64("node"), F.col("label") != F.col("main")
     # Where one block holds the group, a row travels once for both trees.
     whole = F.col("g") <= BLOCK_SETS
     zero = F.lit(0).cast("long")
-    one_block = sized.where(whole).select(
+    one_block = open_rows.where(whole).select(
         "key",
         zero.alias("gi"),
         zero.alias("uj"),
         F.lit(BOTH).alias("side"),
-        "node", "label",
-    )
-    home = sized.where(~whole).select(
+        "node",
+    )
+    of_rep = labels.select(F.col("node").alias("rep"), F.col("label").alias("main"))
+    blocks = (
+        open_rows.where(~whole)
+        .join(labels, "node", "left")
+        .join(of_rep, "rep", "left")
+        .select(
+            "key",
+            "node",
+            "g",
+            (F.coalesce("label", "node") != F.coalesce("main", "rep")).alias("is_out"),
+        )
+    )
+    outside = blocks.where("is_out").groupBy("key").agg(F.count("*").alias("u"))
+    sized, block = blocks.join(outside, "key"), F.xxhash64("node")
+    home = sized.select(
         "key",
         F.pmod(block, _blocks("g")).alias("gi"),
         _each_block(_blocks("u")).alias("uj"),
         F.lit(HOME).alias("side"),
-        "node", "label",
-    )
-    others = sized.where(~whole & is_out).select(
+        "node",
+    )
+    others = sized.where("is_out").select(
         "key",
         _each_block(_blocks("g")).alias("gi"),
         F.pmod(block, _blocks("u")).alias("uj"),
         F.lit(OUT).alias("side"),
-        "node", "label",
-    )
+        "node",
+    )
+    reps = reps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     return _tree_pairs(one_block.unionByName(home).unionByName(others), reps, p, q, every)
 
 

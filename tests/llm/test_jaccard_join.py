@@ -197,3 +197,56 @@ def test_whole_texts_go_to_python_in_small_batches(spark):
         assert spark.conf.get(tables.BATCH_SETTING).startswith("1")
     finally:
         spark.conf.unset(tables.BATCH_SETTING)
+
+
+def pairs_in_group(home, others, every=False):
+    names = ["key", "gi", "uj", "side", "node", "n", "label", "bits"]
+    rows = [(i, s, jj.BOTH if i in others and i in home else jj.HOME if i in home else jj.OUT) for i, s in {**home, **others}.items()]
+    rows = [(7, 0, 0, side, i, len(s), i, jj.bitmap(s)) for i, s, side in rows]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+    return [(a, b) for out in jj._traverse(iter([batch]), 80, 100, every) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+
+
+def test_a_smaller_set_does_not_blur_the_bitmaps_of_its_group():
+    """Sets that share next to nothing give no pair, though a set of half their width is there."""
+    rng = np.random.default_rng(8)
+    sets = {i: np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for i, n in enumerate([254] + [397] * 80)}
+    assert pairs_in_group(sets, sets) == []
+
+
+@pytest.mark.parametrize("n", [70, 140, 540, 2200])
+def test_sets_of_two_widths_lose_no_pair(n):
+    """Of a tree with itself and of two, every linked pair is found and is connected."""
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    sets = {i: np.unique(np.concatenate([rng.permutation(base)[int(rng.integers(0, n // 4)) :], rng.integers(0, 1 << 63, 3, dtype=np.uint64)])) for i in range(60)}
+    assert len({len(jj.bitmap(s)) for s in sets.values()}) == 2
+    for home, others in ((sets, sets), ({i: sets[i] for i in range(40)}, {i: sets[i] for i in range(25, 60)})):
+        every, few = set(pairs_in_group(home, others, True)), pairs_in_group(home, others)
+        labels = jj.Labels()
+        for a, b in few:
+            labels.join(a, b)
+        linked = 0
+        for a in home:
+            for b in others:
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if a != b and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                    linked += 1
+                    assert (min(a, b), max(a, b)) in every and labels.of(a) == labels.of(b)
+        assert linked and set(few) <= every and len(few) < len(sets)
+
+
+def test_labels_are_joined_to_sets_and_not_to_the_rows_of_all_groups(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(jj, "SMALL_GROUP", 1)
+    monkeypatch.setattr(jj, "BLOCK_SETS", 4)
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return materialize(df, label)
+
+    materialize = jj.materialize
+    monkeypatch.setattr(jj, "materialize", noted)
+    rows = families(8, n=3, members=12)
+    assert found(spark, rows) == brute(rows)
+    assert "Join LeftOuter, (key" in plans["open-groups"] and "Join LeftOuter, (node" not in plans["open-groups"]
