@@ -7,7 +7,9 @@ Two documents link when the Jaccard similarity of their shingle sets reaches
 2. Sets whose sizes can link differ in at most ``k`` shingles, with ``k`` known from the
    size band.  The hash range is cut into more than ``k`` parts, so two linked sets agree
    in at least one whole part.  The hashes of the parts are the keys by which sets meet.
-   Keys with the same members are one group.
+   Some parts more let every set leave out that many keys, those of its first empty parts,
+   by which sets would meet that have nothing in common.  Keys with the same members are
+   one group.
 3. In groups of several blocks (over ``BLOCK_SETS`` and ``SMALL_GROUP`` sets) every set is
    compared with the smallest one.  Groups whose members thereby are one component are done,
    and only sets outside the component of the smallest one are copied to several blocks.
@@ -84,17 +86,22 @@ class Bands:
         return [own] + ([own + 1] if n * self.q // self.p >= self.lows[own + 1] else [])
 
     def parts(self, band: int) -> tuple[int, int]:
-        """(number of parts, how many of them two linked sets share at least, less one)."""
+        """(number of parts, how many of them two linked sets share at least, less one).
+
+        The latter is what the smallest sets of the band are expected to leave empty, and two
+        standard deviations."""
         k = self.differences(2 * (int(self.lows[band + 1]) - 1))
-        spare = 1 if k < 8 else 2
+        smallest = int(self.lows[band]) * self.p // self.q
+        empty = (k + 1) * np.exp(-smallest / (k + 1))
+        spare = max(1 if k < 8 else 2, int(np.ceil(empty + 2 * np.sqrt(empty))))
         return k + 1 + spare, spare
 
 
 def part_keys(found: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys of a sorted set: one for each part that is not empty.
+    """Keys of a sorted set: one for each part but its first ``spare`` empty ones.
 
-    Linked sets share more than ``spare`` parts, so empty parts need a key only in a set
-    that has more than ``spare`` of them.
+    Linked sets share more than ``spare`` parts. With all empty parts in one order before all
+    others, the last part that two sets share is none of the first ``spare`` of either.
     """
     keys = []
     sums = np.zeros(len(found) + 1, np.uint64)
@@ -104,9 +111,8 @@ def part_keys(found: np.ndarray, bands: Bands) -> np.ndarray:
         edges = np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)
         at = np.concatenate(([0], np.searchsorted(found, edges), [len(found)]))
         names = mix((np.uint64(band) << np.uint64(40)) + np.arange(parts, dtype=np.uint64))
-        some = at[1:] > at[:-1]
-        if parts - int(some.sum()) > spare:
-            some[:] = True
+        some = np.ones(parts, bool)
+        some[np.flatnonzero(at[1:] == at[:-1])[:spare]] = False
         keys.append(mix((sums[at[1:]] - sums[at[:-1]]) ^ names)[some])
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
@@ -622,7 +628,8 @@ def _remaining_pairs(
         "node",
     )
     of_rep = labels.select(F.col("node").alias("rep"), F.col("label").alias("main"))
-    blocks = (
+    # Written, as it is read three times.
+    blocks = materialize(
         open_rows.where(~whole)
         .join(labels, "node", "left")
         .join(of_rep, "rep", "left")
@@ -631,7 +638,8 @@ def _remaining_pairs(
             "node",
             "g",
             (F.coalesce("label", "node") != F.coalesce("main", "rep")).alias("is_out"),
-        )
+        ),
+        "open-blocks",
     )
     outside = blocks.where("is_out").groupBy("key").agg(F.count("*").alias("u"))
     sized, block = blocks.join(outside, "key"), F.xxhash64("node")

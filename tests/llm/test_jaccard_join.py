@@ -250,3 +250,50 @@ def test_labels_are_joined_to_sets_and_not_to_the_rows_of_all_groups(spark, monk
     rows = families(8, n=3, members=12)
     assert found(spark, rows) == brute(rows)
     assert "Join LeftOuter, (key" in plans["open-groups"] and "Join LeftOuter, (node" not in plans["open-groups"]
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sets_do_not_meet_by_their_empty_parts(percent):
+    """Of sets with nothing in common few pairs share a key, however many have empty parts."""
+    rng = np.random.default_rng(12)
+    bands = jj.Bands(percent, 100)
+    for n in (12, 60, 183, 270, 900):
+        keys, rows = {}, 0
+        for at in range(300):
+            found = jj.part_keys(np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1)), bands)
+            rows += len(found)
+            for key in found.tolist():
+                keys.setdefault(key, []).append(at)
+        met = [len(x) for x in keys.values() if len(x) > 1]
+        assert sum(met) < rows / 200 and max(met, default=0) < 20
+
+
+def test_linked_sets_share_a_key_with_many_empty_parts():
+    rng = np.random.default_rng(13)
+    for percent in (50, 80, 90):
+        bands, linked = jj.Bands(percent, 100), 0
+        for _ in range(1500):
+            n = int(rng.integers(2, 300))
+            x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1))
+            y = np.unique(np.concatenate([rng.permutation(x)[int(rng.integers(0, len(x) * (100 - percent) // 100 + 1)) :], rng.integers(0, 1 << 63, int(rng.integers(0, 3)), dtype=np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            if both < max(len(x), len(y)) and 100 * both >= percent * (len(x) + len(y) - both):
+                linked += 1
+                assert np.intersect1d(jj.part_keys(x, bands), jj.part_keys(y, bands)).size
+        assert linked > 300
+
+
+def test_labels_are_joined_once_to_the_rows_of_groups_of_several_blocks(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(jj, "SMALL_GROUP", 1)
+    monkeypatch.setattr(jj, "BLOCK_SETS", 4)
+
+    def noted(df, label):
+        plans.append((label, df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter, (rep")))
+        return materialize(df, label)
+
+    materialize = jj.materialize
+    monkeypatch.setattr(jj, "materialize", noted)
+    rows = families(8, n=3, members=12)
+    assert found(spark, rows) == brute(rows)
+    assert sum(n for label, n in plans) == sum(label == "open-blocks" for label, _ in plans) > 0
