@@ -10,6 +10,7 @@ from lexweave.functions.chunking import PAGE_TIERS, let
 from lexweave.functions.text import match_form
 from lexweave.operators.enrich import LAW_PASSED_DATES, lookup
 from lexweave.operators.long_documents import chunk_long_documents
+from lexweave.operators.page_search import found_pages
 from lexweave.operators.rows import by_key, each, small_side
 from lexweave.storage import materialize
 
@@ -18,11 +19,9 @@ from lexweave.storage import materialize
 # stay spread out over their pages, see ``long_documents`` and ``_tag_long``.
 IN_ROW_CHARS = 2_000_000
 
-# Pages of a long document searched before the others; how many beginnings of
-# sought texts are broadcast at most, and the lengths that they have.
-EARLY_PAGES = 256
-MAX_BROADCAST_TEXTS = 500_000
-_BEGINNINGS = (8, 16, 32, PAGE_TIERS[-1])
+# Pages of a long document that are searched together: so many early ones, then as
+# many again.
+EARLY_PAGES = 16_384
 
 _DOCUMENT = ("document_id", "file_name")
 
@@ -166,97 +165,27 @@ def _tag_short(chunks: DataFrame, forms: DataFrame) -> DataFrame:
 
 
 def _tag_long(chunks: DataFrame, pages: DataFrame) -> DataFrame:
-    """``tag_pages`` for documents of any length, by equality joins on text.
-
-    Sought prefixes are reduced to the first page they occur on before chunks are
-    joined, so no (chunk, page) pairs arise.  A few early pages are searched first:
-    what is found there, as short texts mostly are, need not be sought further on.
-    """
-    prefixes = let(
-        chunking.fingerprint(
-            F.col("chunk_text"),
-            F.col("chunk_type"),
-            F.col("article_number"),
-            F.col("annex_number"),
-            F.col("part_index"),
-        ),
-        lambda mark: F.array(*[F.substring(mark, 1, n) for n in PAGE_TIERS]),
-    )
-    marked = each(chunks, ["document_id", "chunk_id"], prefixes, "tier", "prefix").where(
-        F.col("prefix") != ""
+    """``tag_pages`` for documents of any length, see ``page_search``."""
+    mark = chunking.fingerprint(
+        F.col("chunk_text"),
+        F.col("chunk_type"),
+        F.col("article_number"),
+        F.col("annex_number"),
+        F.col("part_index"),
     )
-    sought = materialize(marked.select("document_id", "prefix").distinct(), "sought-texts")
-    pages = by_key(pages, "document_id", "page_number")
-    is_early = F.col("page_number") <= EARLY_PAGES
-    early = materialize(_first_pages(sought, pages.where(is_early)), "found-texts")
-    later = _first_pages(
-        sought.join(early, ["document_id", "prefix"], "left_anti"), pages.where(~is_early)
+    marks = chunks.select(
+        "document_id", F.struct("chunk_id").alias("key"), let(mark, _beginning).alias("mark")
     )
-    located = (
-        marked.join(early.unionByName(later), ["document_id", "prefix"])
-        .groupBy("document_id", "chunk_id")
-        .agg(F.min(F.struct("tier", "page_number"))["page_number"].alias("page_number"))
+    located = found_pages(marks, pages, EARLY_PAGES).select(
+        "document_id", "key.chunk_id", "page_number"
     )
     return chunks.join(located, ["document_id", "chunk_id"], "left").select(
         *chunks.columns, "page_number"
     )
 
 
-def _first_pages(sought: DataFrame, pages: DataFrame) -> DataFrame:
-    """The first page on which each sought text of a document occurs.
-
-    Every position of a page is looked up by the beginning of the text there; only
-    where some sought text begins like that is it compared in full.  The beginnings
-    are broadcast while they are few enough, which spares a shuffle of all positions.
-    """
-
-    def beginning(text: Column) -> Column:
-        length = F.length(text)
-        for n in sorted(_BEGINNINGS):
-            length = F.when(F.length(text) >= n, F.lit(n)).otherwise(length)
-        return text.substr(F.lit(1), length)
-
-    wanted = small_side(
-        sought.groupBy("document_id", beginning(F.col("prefix")).alias("start")).agg(
-            F.collect_set(F.length("prefix")).alias("lengths")
-        ),
-        "wanted-texts",
-        MAX_BROADCAST_TEXTS,
-    )
-    start_lengths = small_side(
-        wanted.groupBy("document_id").agg(
-            F.collect_set(F.length("start")).alias("start_lengths")
-        ),
-        "wanted-lengths",
-    )
-    # The text at every position, cut in one pass per page.
-    every_window = F.regexp_extract_all(
-        match_form(F.col("page_text")), F.lit(rf"(?s)(?=(.{{1,{PAGE_TIERS[0]}}}))"), F.lit(1)
-    )
-    windows = each(
-        pages.join(start_lengths, "document_id"),
-        ["document_id", "page_number", "start_lengths"],
-        every_window,
-        "at",
-        "window",
-    )
-
-    def cut(rows: DataFrame, lengths: str, name: str) -> DataFrame:
-        """The window cut to each of the lengths it has."""
-        text = F.col("window").substr(F.lit(1), F.col("n"))
-        return (
-            rows.withColumn("n", F.explode(lengths))
-            .withColumn(name, text)
-            .where(F.length(name) == F.col("n"))
-            .drop("n", lengths)
-        )
-
-    starts = cut(windows, "start_lengths", "start").join(wanted, ["document_id", "start"])
-    return (
-        cut(starts, "lengths", "prefix")
-        .groupBy("document_id", "prefix")
-        .agg(F.min("page_number").alias("page_number"))
-    )
+def _beginning(mark: Column) -> Column:
+    return F.substring(mark, 1, PAGE_TIERS[0])
 
 
 def silver_chunks(pages: DataFrame, in_row_chars: int = IN_ROW_CHARS) -> DataFrame:
