@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +11,16 @@ from lexweave.functions import chunking
 from lexweave.functions.chunking import PAGE_TIERS, let
 from lexweave.functions.text import match_form
 from lexweave.operators.enrich import LAW_PASSED_DATES, lookup
-from lexweave.operators.long_documents import chunk_long_documents
+from lexweave.operators.long_documents import (
+    first_ids,
+    long_units,
+    numbered_chunks,
+    placed_pages,
+    with_cuts,
+)
 from lexweave.operators.page_search import found_pages
 from lexweave.operators.rows import by_key, each, small_side
-from lexweave.storage import materialize
+from lexweave.storage import remove, scratch
 
 # A document of up to this many characters is put together in one row, where the
 # search for its chunks' pages grows with chunks times pages.  Longer documents
@@ -89,24 +97,30 @@ def chunk_documents(documents: DataFrame, text: str = "full_text") -> DataFrame:
 
 def split_by_length(
     pages: DataFrame, in_row_chars: int
-) -> tuple[DataFrame, DataFrame | None]:
-    """Pages of documents that fit in a row, and of those that do not (if any).
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """Pages of documents that fit in a row, and of those that do not, each if any.
 
     The check reads document ids and text lengths only.
     """
     length = F.col("char_count") if "char_count" in pages.columns else F.length("page_text")
-    long = (
+    is_long = (F.col("chars") > in_row_chars) & F.col("document_id").isNotNull()
+    # The ids of long documents, and null for all others.
+    ids, _ = scratch(
         pages.groupBy("document_id")
         .agg(F.sum(length + 1).alias("chars"))
-        .where(F.col("chars") > in_row_chars)
-        .select("document_id")
+        .select(F.when(is_long, F.col("document_id")).alias("document_id"))
+        .distinct(),
+        "long-documents",
     )
+    long = ids.where(F.col("document_id").isNotNull())
     if long.isEmpty():
         return pages, None
-    ids = small_side(long, "long-documents")
+    if ids.where(F.col("document_id").isNull()).isEmpty():
+        return None, pages
+    long = small_side(long, "long-documents")
     return (
-        pages.join(ids, "document_id", "left_anti"),
-        pages.join(ids, "document_id", "left_semi"),
+        pages.join(long, "document_id", "left_anti"),
+        pages.join(long, "document_id", "left_semi"),
     )
 
 
@@ -122,11 +136,11 @@ def _id_of_key() -> Column:
 def _by_file(pages: DataFrame) -> DataFrame:
     """Pages of long documents as the blocks need them: one key for each file, and a
     page's number is its position, as it is where a document is put together in a row."""
-    order = Window.partitionBy(*_DOCUMENT).orderBy(
+    order = Window.partitionBy("document_id").orderBy(
         F.asc_nulls_first("page_number"), F.coalesce("page_text", F.lit(""))
     )
-    return pages.withColumn("page_number", F.row_number().over(order)).withColumn(
-        "document_id", _file_key()
+    return pages.withColumn("document_id", _file_key()).withColumn(
+        "page_number", F.row_number().over(order)
     )
 
 
@@ -136,15 +150,20 @@ def tag_pages(
     """Page number per chunk: the first page that contains the 200-character prefix
     of its fingerprint, else the 100-, else the 50-character one."""
     short, long = split_by_length(pages, in_row_chars)
-    forms = _assembled(short, *_DOCUMENT).select(
-        *_DOCUMENT, F.transform("page_texts", match_form).alias("page_forms")
-    )
     if long is None:
-        return _tag_short(chunks, forms)
+        return _tag_short(chunks, _page_forms(short))
     ids = long.select("document_id").distinct()
     of_long = chunks.join(ids, "document_id", "left_semi").withColumn("document_id", _file_key())
     tagged = _tag_long(of_long, _by_file(long)).withColumn("document_id", _id_of_key())
-    return _tag_short(chunks.join(ids, "document_id", "left_anti"), forms).unionByName(tagged)
+    # Chunks of documents without pages are among those of short ones.
+    rest = chunks.join(ids, "document_id", "left_anti")
+    return _tag_short(rest, _page_forms(pages.limit(0) if short is None else short)).unionByName(tagged)
+
+
+def _page_forms(pages: DataFrame) -> DataFrame:
+    return _assembled(pages, *_DOCUMENT).select(
+        *_DOCUMENT, F.transform("page_texts", match_form).alias("page_forms")
+    )
 
 
 def _tag_short(chunks: DataFrame, forms: DataFrame) -> DataFrame:
@@ -195,7 +214,12 @@ def silver_chunks(pages: DataFrame, in_row_chars: int = IN_ROW_CHARS) -> DataFra
     happen in that row.  Documents too long for that are handled in blocks.
     """
     short, long = split_by_length(pages, in_row_chars)
-    chunked = _assembled(short).select(
+    parts = [chunks_of(rows) for chunks_of, rows in ((_short_chunks, short), (_long_chunks, long)) if rows is not None]
+    return _finished(reduce(DataFrame.unionByName, parts))
+
+
+def _short_chunks(pages: DataFrame) -> DataFrame:
+    chunked = _assembled(pages).select(
         *_DOCUMENT,
         chunking.chunk_array(F.array_join("page_texts", "\n")).alias("chunks"),
         F.transform("page_texts", match_form).alias("page_forms"),
@@ -207,15 +231,35 @@ def silver_chunks(pages: DataFrame, in_row_chars: int = IN_ROW_CHARS) -> DataFra
             let(_mark(c), lambda m: chunking.locate_page(m, F.col("page_forms"))),
         ),
     )
-    chunks = _chunk_rows(_numbered(chunked, located))
-    if long is not None:
-        long = materialize(_by_file(long), "long-pages")
-        long_chunks = materialize(
-            _chunk_rows(chunk_long_documents(long), _id_of_key()), "long-chunks"
+    return _chunk_rows(_numbered(chunked, located))
+
+
+def _long_chunks(pages: DataFrame) -> DataFrame:
+    """Texts are written as pages and as units of chunks.  Numbers of chunks and of their
+    pages are found apart from them and joined at the end."""
+    placed, path = scratch(placed_pages(_by_file(with_cuts(pages))), "long-pages")
+    units = long_units(placed)
+    marks = each(
+        units,
+        ["document_id", "unit"],
+        F.transform("chunks", lambda c: let(_mark(c), _beginning)),
+        "at",
+        "mark",
+    ).select("document_id", F.struct("unit", "at").alias("key"), "mark")
+    found = (
+        found_pages(marks, placed, EARLY_PAGES)
+        .groupBy("key.unit")
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("key.at", "page_number"))).alias("pages")
         )
-        tagged = _tag_long(long_chunks, long).withColumn("document_id", _id_of_key())
-        chunks = chunks.unionByName(tagged)
-    return _finished(chunks)
+    )
+    labels, _ = scratch(first_ids(units).join(found, "unit", "left"), "chunk-numbers")
+    remove(pages.sparkSession, path)
+    located = F.transform(
+        "chunks", lambda c, at: c.withField("page_number", F.try_element_at("pages", at))
+    )
+    numbered = numbered_chunks(units, labels, located)
+    return _chunk_rows(numbered, _id_of_key()).withColumn("document_id", _id_of_key())
 
 
 def _finished(chunks: DataFrame) -> DataFrame:

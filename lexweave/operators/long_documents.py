@@ -3,9 +3,10 @@
 The same chunks as ``chunking.chunk_array`` gives, without ever putting a
 document together.  Its pages are regrouped into blocks that start and end with
 ordinary text lines.  No cleaning rule and no heading reaches across such a
-border, so each block is cleaned and cut by itself.  Pieces of an article or
-annex that spans blocks are then joined, as are fixed windows, by their offset.
-Only block numbers, lengths and counts are ordered per document.
+border, so each block is cleaned and cut by itself.  An article, annex or text without
+headings that lies in one block is chunked there; the pieces of one that spans blocks are
+joined, as are fixed windows, by their offset.  Only numbers, lengths, counts and the ends
+of blocks are ordered per document; texts go through one shuffle into their blocks.
 
 What must fit in a row is a block or an article.
 """
@@ -35,7 +36,7 @@ from lexweave.functions.text import (
     strip,
 )
 from lexweave.operators.rows import by_key, each
-from lexweave.storage import materialize
+from lexweave.storage import scratch
 
 # Pages per block, roughly, and windows numbered together.
 BLOCK_PAGES = 64
@@ -49,6 +50,7 @@ _LOOSE_LINE = rf"^(?:{'|'.join(NOISE_LINES)}|(?i:Article)|ANNEX(?:ES)?)\z"
 _OVERLAP_BLOCKS = PART_OVERLAP // 2
 
 _DOCUMENT = ("document_id", "file_name")
+_ORDER = ("major", "minor", "part_group", "position")
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -56,14 +58,15 @@ def _is_firm(line: Column) -> Column:
     return let(strip(line), lambda text: (text != "") & ~text.rlike(_LOOSE_LINE))
 
 
-def _pages_with_cuts(pages: DataFrame, block_pages: int) -> DataFrame:
-    """Pages with the block range they fall in and where the range may be cut."""
-    text = F.translate(F.coalesce("page_text", F.lit("")), DELETED_CHARS, "")
-    ranged = pages.withColumn("range", F.floor(F.col("page_number") / block_pages))
-    lined = (
-        by_key(ranged, "document_id", "range")
-        .select(*_DOCUMENT, "page_number", "range", F.split(text, "\n", -1).alias("lines"))
-        .withColumn("firm", F.transform("lines", _is_firm))
+def _plain_text() -> Column:
+    return F.translate(F.coalesce("page_text", F.lit("")), DELETED_CHARS, "")
+
+
+def with_cuts(pages: DataFrame) -> DataFrame:
+    """Pages with what their own lines say of where a block may start."""
+    return (
+        pages.select(*_DOCUMENT, "page_number", "page_text")
+        .withColumn("firm", F.transform(F.split(_plain_text(), "\n", -1), _is_firm))
         .withColumn("starts_firm", F.get("firm", F.lit(0)))
         .withColumn("ends_firm", F.element_at("firm", -1))
         .withColumn(
@@ -73,220 +76,264 @@ def _pages_with_cuts(pages: DataFrame, block_pages: int) -> DataFrame:
                     "firm", F.slice("firm", 2, 1 << 30), lambda a, b: F.coalesce(a & b, F.lit(False))
                 ),
                 F.lit(True),
-            ),
+            ).cast("int"),
         )
         .drop("firm")
     )
-    in_range = Window.partitionBy("document_id", "range")
-    follows_firm = F.coalesce(
-        F.lag("ends_firm").over(in_range.orderBy("page_number")), F.lit(False)
-    )
-    opened = lined.withColumn("opens", F.col("starts_firm") & follows_firm)
-    can_cut = F.col("opens") | (F.col("cut_after") > 0)
-    return opened.withColumn(
-        "cut_page", F.min(F.when(can_cut, F.col("page_number"))).over(in_range)
-    )
 
 
-def clean_blocks(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
-    """Cleaned text per (document, block); joined by newlines in block order they
-    are the cleaned document text."""
-    cut = _pages_with_cuts(pages, block_pages)
-    by_range = Window.partitionBy("document_id").orderBy("range")
-    is_first = F.row_number().over(by_range) == 1
-    ranges = (
-        cut.groupBy("document_id", "range")
-        .agg(F.first("cut_page").alias("range_cut"))
-        .withColumn("is_first", is_first)
-        .withColumn("starts", F.col("is_first") | F.col("range_cut").isNotNull())
+def placed_pages(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
+    """Pages ``with_cuts`` and the block they belong to, partitioned by document.
+
+    A block starts where its range of pages can first be cut, a document's first one with
+    the first page.  ``cut_line`` is the line after which a page is cut, whose beginning
+    belongs to ``block_before``.
+    """
+    in_range = Window.partitionBy("document_id", "range").orderBy("page_number")
+    # Ranges are in the order of pages; named, they spare a second sort.
+    in_document = Window.partitionBy("document_id").orderBy("range", "page_number")
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    is_first = F.col("range") == F.col("first_block")
+    return (
+        pages.withColumn("range", F.floor(F.col("page_number") / block_pages))
         .withColumn(
-            "earlier",
-            F.last(F.when(F.col("starts"), F.col("range")), ignorenulls=True).over(
-                by_range.rowsBetween(*_BEFORE)
+            "opens",
+            F.col("starts_firm") & F.coalesce(F.lag("ends_firm").over(in_range), F.lit(False)),
+        )
+        .withColumn("can_cut", F.col("opens") | (F.col("cut_after") > 0))
+        .withColumn(
+            "cuts",
+            F.col("can_cut")
+            & ~F.coalesce(F.max("can_cut").over(in_range.rowsBetween(*_BEFORE)), F.lit(False)),
+        )
+        .withColumn("first_block", F.first("range").over(in_document.rowsBetween(*so_far)))
+        .withColumn(
+            "block",
+            F.last(F.when(F.col("cuts") | is_first, F.col("range")), ignorenulls=True).over(
+                in_document.rowsBetween(*so_far)
             ),
         )
+        .withColumn("block_before", F.lag("block").over(in_document))
+        .withColumn("last_block", F.max("block").over(Window.partitionBy("document_id")))
         .withColumn(
+            "cut_line",
+            F.when(F.col("cuts") & ~F.col("opens") & ~is_first, F.col("cut_after")),
+        )
+        .select(
+            *_DOCUMENT,
+            "page_number",
+            "page_text",
+            "block",
+            F.when(F.col("cut_line").isNotNull(), F.col("block_before")).alias("block_before"),
+            "cut_line",
+            "first_block",
             "last_block",
-            F.max(F.when(F.col("starts"), F.col("range"))).over(
-                Window.partitionBy("document_id")
-            ),
         )
-        .drop("range_cut")
     )
 
-    def piece(block: str, first: Column, length: Column | int) -> Column:
-        lines = F.slice("lines", first, length)
-        return F.struct(F.col(block).alias("block"), F.array_join(lines, "\n").alias("piece"))
 
-    whole = (F.lit(1), F.lit(1 << 30))
-    page, cut_page, after = F.col("page_number"), F.col("cut_page"), F.col("cut_after")
-    pieces = (
-        F.when(F.col("is_first"), F.array(piece("range", *whole)))
-        .when(cut_page.isNull() | (page < cut_page), F.array(piece("earlier", *whole)))
-        .when((page > cut_page) | F.col("opens"), F.array(piece("range", *whole)))
-        .otherwise(
-            F.array(
-                piece("earlier", F.lit(1), after.cast("int")),
-                piece("range", (after + 1).cast("int"), F.lit(1 << 30)),
-            )
+def clean_blocks(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
+    """Cleaned text per (document, block); joined by newlines in block order they
+    are the cleaned document text."""
+    if "cut_line" not in pages.columns:
+        pages = placed_pages(with_cuts(pages), block_pages)
+    lines, cut_line = F.split(_plain_text(), "\n", -1), F.col("cut_line")
+
+    def piece(block: str, text: Column) -> Column:
+        return F.struct(F.col(block).alias("block"), text.alias("piece"))
+
+    pieces = F.when(cut_line.isNull(), F.array(piece("block", _plain_text()))).otherwise(
+        F.array(
+            piece("block_before", F.array_join(F.slice(lines, F.lit(1), cut_line), "\n")),
+            piece("block", F.array_join(F.slice(lines, cut_line + 1, F.lit(1 << 30)), "\n")),
         )
     )
-    placed = cut.join(ranges, ["document_id", "range"])
+    rows = each(pages, [*_DOCUMENT, "page_number", "first_block", "last_block"], pieces, "at", "p")
     joined = (
-        each(
-            placed,
-            [*_DOCUMENT, "page_number", "last_block"],
-            pieces,
-            "at",
-            "p",
+        by_key(rows.select("*", "p.*").drop("p"), "document_id", "block")
+        .groupBy(*_DOCUMENT, "block")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("page_number", "at", "piece"))).alias("ps"),
+            F.first("first_block").alias("first_block"),
+            F.first("last_block").alias("last_block"),
         )
-        .groupBy(*_DOCUMENT, "p.block", "last_block")
-        .agg(F.array_sort(F.collect_list(F.struct("page_number", "at", "p.piece"))).alias("ps"))
     )
+    block, text = F.col("block"), F.col("text")
     cleaned = clean_lines(F.array_join(F.transform("ps", lambda p: p["piece"]), "\n"))
-    first_block = F.min("block").over(Window.partitionBy("document_id"))
     return (
-        joined.select(*_DOCUMENT, "block", "last_block", cleaned.alias("text"))
-        .withColumn("is_first", F.col("block") == first_block)
-        .withColumn(
-            "text", F.when(F.col("is_first"), lstrip(F.col("text"))).otherwise(F.col("text"))
-        )
-        .withColumn(
-            "text",
-            F.when(F.col("block") == F.col("last_block"), rstrip(F.col("text"))).otherwise(
-                F.col("text")
-            ),
-        )
-        .drop("last_block", "is_first")
+        joined.select(*_DOCUMENT, "block", "first_block", "last_block", cleaned.alias("text"))
+        .withColumn("text", F.when(block == F.col("first_block"), lstrip(text)).otherwise(text))
+        .withColumn("text", F.when(block == F.col("last_block"), rstrip(text)).otherwise(text))
+        .drop("first_block", "last_block")
     )
 
 
-def _split_regions(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Body blocks and annex blocks of every document."""
-    with_annex = blocks.where(F.col("text").rlike(ANNEX_START))
-    annex_starts = with_annex.groupBy("document_id").agg(F.min("block").alias("annex_block"))
-    placed = blocks.join(annex_starts, "document_id", "left").withColumn(
-        "parts",
-        F.when(F.col("block") == F.col("annex_block"), chunking.halves(F.col("text"))),
-    )
-    block, annex_block = F.col("block"), F.col("annex_block")
-    body = placed.where(annex_block.isNull() | (block <= annex_block)).select(
-        *_DOCUMENT,
-        "block",
-        F.when(block == annex_block, F.get("parts", F.lit(0)))
-        .otherwise(F.col("text"))
-        .alias("text"),
-    )
-    annex = placed.where(block >= annex_block).select(
-        *_DOCUMENT,
-        "block",
-        F.when(block == annex_block, chunking.annex_part(F.col("parts")))
-        .otherwise(F.col("text"))
-        .alias("text"),
-    )
-    return body, annex
-
+def _facts(blocks: DataFrame) -> DataFrame:
+    """(document, block, annex_block, body, annex): where the annexes of the document start
+    and, for the block's part of either region, what lies before and behind it there."""
 
-def _section_pieces(region: DataFrame, heading: str) -> DataFrame:
-    """Pieces of sections as (document, block, major, minor, raw, overlap).
+    def of(text: Column, heading: str) -> Column:
+        return F.struct(
+            (F.size(chunking.cut_at(text, heading)) - 1).alias("headings"),
+            F.substring(text, -PART_OVERLAP, PART_OVERLAP).alias("tail"),
+        )
 
-    A section starts at a heading and is known by the block and number of that
-    heading; the text before the first heading is section 0 of the first block.
-    Its pieces come one from each block it touches.  ``overlap`` is the text just
-    in front of the section, given with its first piece; it is empty for the first
-    section with a heading.
-    """
-    cut = region.withColumn("segments", chunking.cut_at(F.col("text"), heading))
-    in_order = Window.partitionBy("document_id").orderBy("block")
-    blocks = (
-        cut.select(
+    text, block, annex_block = F.col("text"), F.col("block"), F.col("annex_block")
+    own, _ = scratch(
+        blocks.withColumn(
+            "parts", F.when(text.rlike(ANNEX_START), chunking.halves(text))
+        ).select(
             "document_id",
             "block",
-            (F.size("segments") - 1).alias("headings"),
-            F.substring("text", -PART_OVERLAP, PART_OVERLAP).alias("tail"),
-        )
+            F.col("parts").isNotNull().alias("has_annex"),
+            of(text, ARTICLE_HEADING).alias("body"),
+            of(text, ANNEX_HEADING).alias("annex"),
+            F.when(
+                F.col("parts").isNotNull(), of(F.get("parts", F.lit(0)), ARTICLE_HEADING)
+            ).alias("body_half"),
+            F.when(
+                F.col("parts").isNotNull(), of(chunking.annex_part(F.col("parts")), ANNEX_HEADING)
+            ).alias("annex_half"),
+        ),
+        "block-facts",
+    )
+    in_document = Window.partitionBy("document_id")
+    placed = own.withColumn(
+        "annex_block", F.min(F.when(F.col("has_annex"), block)).over(in_document)
+    )
+    is_cut = block == annex_block
+    regions = (
+        F.when(
+            annex_block.isNull() | (block <= annex_block),
+            F.when(is_cut, F.col("body_half")).otherwise(F.col("body")),
+        ),
+        F.when(block >= annex_block, F.when(is_cut, F.col("annex_half")).otherwise(F.col("annex"))),
+    )
+    in_order = Window.partitionBy("document_id", "region").orderBy("block")
+    in_region = Window.partitionBy("document_id", "region")
+    section = F.struct(block.alias("major"), F.col("headings").alias("minor"))
+    ordered = (
+        each(placed, ["document_id", "block", "annex_block"], F.array(*regions), "region", "f")
+        .where(F.col("f").isNotNull())
+        .select("document_id", "block", "annex_block", "region", "f.*")
         .withColumn(
             "earlier",
-            F.last(
-                F.when(
-                    F.col("headings") > 0,
-                    F.struct(F.col("block").alias("major"), F.col("headings").alias("minor")),
-                ),
-                ignorenulls=True,
-            ).over(in_order.rowsBetween(*_BEFORE)),
+            F.last(F.when(F.col("headings") > 0, section), ignorenulls=True).over(
+                in_order.rowsBetween(*_BEFORE)
+            ),
         )
-        .withColumn("first_block", F.min("block").over(Window.partitionBy("document_id")))
-        .withColumn(
-            "tails",
-            F.collect_list("tail").over(in_order.rowsBetween(-_OVERLAP_BLOCKS, -1)),
+        .withColumn("first_block", F.min("block").over(in_region))
+        .withColumn("is_last", block == F.max("block").over(in_region))
+        .withColumn("headed", F.max("headings").over(in_region) > 0)
+        .withColumn("tails", F.collect_list("tail").over(in_order.rowsBetween(-_OVERLAP_BLOCKS, -1)))
+        .withColumn("before", F.array_join(F.concat("tails", F.array(F.lit(""))), "\n"))
+    )
+    fact = F.struct("first_block", "is_last", "headed", "earlier", "before")
+    return ordered.groupBy("document_id", "block").agg(
+        F.first("annex_block").alias("annex_block"),
+        F.max(F.when(F.col("region") == 0, fact)).alias("body"),
+        F.max(F.when(F.col("region") == 1, fact)).alias("annex"),
+    )
+
+
+def _sections(blocks: DataFrame) -> DataFrame:
+    """Pieces of sections, one from each block a section touches: the chunks of those that
+    lie in one block, and the text ``raw`` of those that are ``open`` to another one.
+
+    A section starts at a heading and is known by the block (major) and number (minor) of
+    that heading; the text before the first heading is section 0 of the first block, and left
+    out where there are headings.  ``overlap`` is the text just in front of the section,
+    given with its first piece; it is empty for the first section with a heading.
+    """
+    block, annex_block, text = F.col("block"), F.col("annex_block"), F.col("text")
+    is_cut = block == annex_block
+    joined = blocks.join(_facts(blocks), ["document_id", "block"]).withColumn(
+        "parts", F.when(is_cut, chunking.halves(text))
+    )
+
+    def region(fact: str, part: Column, heading: str) -> Column:
+        own = F.when(is_cut, part).otherwise(text)
+        return F.when(
+            F.col(fact).isNotNull(),
+            F.struct(F.col(fact).alias("fact"), chunking.cut_at(own, heading).alias("segments")),
         )
-        .drop("tail", "headings")
+
+    regions = F.array(
+        region("body", F.get("parts", F.lit(0)), ARTICLE_HEADING),
+        region("annex", chunking.annex_part(F.col("parts")), ANNEX_HEADING),
     )
-    before_block = F.array_join(F.concat("tails", F.array(F.lit(""))), "\n")
+
+    def segment(raw: Column, i: Column) -> Column:
+        before = F.slice(
+            F.col("segments"),
+            F.greatest(i - chunking.OVERLAP_SEGMENTS + 1, F.lit(1)),
+            F.least(i, F.lit(chunking.OVERLAP_SEGMENTS)),
+        )
+        in_block = F.substring(F.array_join(before, ""), -PART_OVERLAP, PART_OVERLAP)
+        return F.struct(raw.alias("raw"), F.when(i > 0, in_block).alias("in_block"))
+
+    cut = each(joined, [*_DOCUMENT, "block"], regions, "region", "r").where(F.col("r").isNotNull())
+    i, headed = F.col("i"), F.col("headed")
     preamble = F.struct(F.col("first_block").alias("major"), F.lit(0).alias("minor"))
     pieces = (
         each(
-            cut.join(blocks, ["document_id", "block"]).withColumn("before", before_block),
-            [*_DOCUMENT, "block", "earlier", "first_block", "before"],
-            F.transform(
-                "segments",
-                lambda raw, i: F.struct(
-                    raw.alias("raw"),
-                    F.when(
-                        i > 0,
-                        F.substring(
-                            F.array_join(
-                                F.slice(
-                                    F.col("segments"),
-                                    F.greatest(i - chunking.OVERLAP_SEGMENTS + 1, F.lit(1)),
-                                    F.least(i, F.lit(chunking.OVERLAP_SEGMENTS)),
-                                ),
-                                "",
-                            ),
-                            -PART_OVERLAP,
-                            PART_OVERLAP,
-                        ),
-                    ).alias("in_block"),
-                ),
-            ),
+            cut.select(*_DOCUMENT, "block", "region", "r.fact.*", "r.segments"),
+            [
+                *(*_DOCUMENT, "block", "region", "first_block", "is_last", "headed", "earlier"),
+                "before",
+                F.size("segments").alias("segment_count"),
+            ],
+            F.transform("segments", segment),
             "i",
             "s",
         )
         .withColumn(
             "section",
-            F.when(
-                F.col("i") > 0,
-                F.struct(F.col("block").alias("major"), F.col("i").alias("minor")),
-            ).otherwise(F.coalesce("earlier", preamble)),
+            F.when(i > 0, F.struct(block.alias("major"), i.alias("minor"))).otherwise(
+                F.coalesce("earlier", preamble)
+            ),
         )
+        .where(~headed | (F.col("section.minor") > 0))
         .withColumn(
             "overlap",
             F.when(
-                (F.col("i") > 1) | F.col("earlier").isNotNull(),
-                F.substring(
-                    F.concat("before", "s.in_block"), -PART_OVERLAP, PART_OVERLAP
-                ),
+                (i > 1) | F.col("earlier").isNotNull(),
+                F.substring(F.concat("before", "s.in_block"), -PART_OVERLAP, PART_OVERLAP),
             ).otherwise(F.lit("")),
         )
+        .withColumn(
+            "open",
+            ~(((i > 0) | (block == F.col("first_block"))) & ((i + 1 < F.col("segment_count")) | F.col("is_last"))),
+        )
+        .select(
+            *(*_DOCUMENT, "region", "headed", "block", "section.*", "open", "s.raw"),
+            F.when(i > 0, F.col("overlap")).alias("overlap"),
+        )
+    )
+    raw = F.col("raw")
+    number = F.when(F.col("minor") > 0, chunking.annex_number(raw))
+    chunks = (
+        F.when(
+            (F.col("region") == 0) & headed,
+            let(chunking.article_entry(raw, F.col("overlap")), chunking.chunks_of_article),
+        )
+        .when(F.col("region") == 0, chunking.fallback_chunks(rstrip(raw)))
+        .otherwise(let(chunking.annex_entry(raw, number), chunking.chunks_of_annex))
+    )
+    return pieces.withColumn("chunks", F.when(~F.col("open"), chunks)).withColumns(
+        {c: F.when(F.col("open"), F.col(c)) for c in ("raw", "overlap")}
     )
-    overlap = F.when(F.col("i") > 0, F.col("overlap"))
-    return pieces.select(*_DOCUMENT, "block", "section.*", "s.raw", overlap.alias("overlap"))
 
 
-def _article_units(body: DataFrame) -> DataFrame:
-    articles = (
-        _section_pieces(body, ARTICLE_HEADING)
-        .where("minor > 0")
-        .groupBy(*_DOCUMENT, "major", "minor")
-        .agg(
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("block", "raw"))), lambda p: p["raw"]
-                ),
-                "\n",
-            ).alias("raw"),
-            F.max("overlap").alias("overlap"),
-        )
+def _article_units(pieces: DataFrame) -> DataFrame:
+    articles = pieces.groupBy(*_DOCUMENT, "major", "minor").agg(
+        F.array_join(
+            F.transform(
+                F.array_sort(F.collect_list(F.struct("block", "raw"))), lambda p: p["raw"]
+            ),
+            "\n",
+        ).alias("raw"),
+        F.max("overlap").alias("overlap"),
     )
     entry = chunking.article_entry(F.col("raw"), F.col("overlap"))
     return articles.select(
@@ -299,19 +346,11 @@ def _article_units(body: DataFrame) -> DataFrame:
     )
 
 
-def _annex_units(annex: DataFrame) -> DataFrame:
+def _annex_units(annexes: DataFrame) -> DataFrame:
     """Annexes by windows, since an annex may be most of a document."""
-    cut = _section_pieces(annex, ANNEX_HEADING)
-    headed = cut.where("minor > 0").select("document_id").distinct()
-    pieces = (
-        cut.where("minor > 0")
-        .unionByName(cut.where("minor = 0").join(headed, "document_id", "left_anti"))
-        .withColumn(
-            "text",
-            F.when(F.col("block") == F.col("major"), lstrip(F.col("raw"))).otherwise(
-                F.col("raw")
-            ),
-        )
+    pieces = annexes.withColumn(
+        "text",
+        F.when(F.col("block") == F.col("major"), lstrip(F.col("raw"))).otherwise(F.col("raw")),
     )
     section = ["document_id", "major", "minor"]
     placed = _with_start(pieces, section)
@@ -350,8 +389,9 @@ def _annex_units(annex: DataFrame) -> DataFrame:
     )
 
 
-def _fallback_units(body: DataFrame) -> DataFrame:
+def _fallback_units(pieces: DataFrame) -> DataFrame:
     """Fixed windows over a whole body."""
+    body = pieces.select(*_DOCUMENT, "block", F.col("raw").alias("text"))
     texts = _window_texts(_with_start(body, ["document_id"]), [], FALLBACK_OVERLAP)
     return texts.select(
         *_DOCUMENT,
@@ -401,47 +441,94 @@ def _window_texts(placed: DataFrame, key: list[str], overlap: int) -> DataFrame:
     )
 
 
-def chunk_long_documents(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
-    """(document_id, file_name, chunk_id, c) rows, ``c`` being the chunk struct."""
-    blocks = materialize(clean_blocks(pages, block_pages), "blocks")
-    body, annex = _split_regions(blocks)
-    with_articles = body.where(F.col("text").rlike(ARTICLE_HEADING)).select("document_id")
-    without_articles = body.join(with_articles.distinct(), "document_id", "left_anti")
-    group = ["major", "minor", "part_group"]
+def long_units(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
+    """Units of chunks, written: (document, unit, region, major, minor, part_group, position,
+    chunk_count, chunks).  ``unit`` is a number of its own; region to position order the
+    units of a document."""
+    sections, _ = scratch(
+        _sections(clean_blocks(pages, block_pages))
+        .withColumn("chunk_count", F.size("chunks"))
+        .withColumn("unit", F.monotonically_increasing_id()),
+        "sections",
+    )
+    is_article = (F.col("region") == 0) & F.col("headed")
+    is_annex = F.col("region") == 1
+    zero = F.lit(0)
 
-    def in_region(units: DataFrame, region: int) -> DataFrame:
+    def ordered(units: DataFrame, region: Column) -> DataFrame:
         return units.select(
             *_DOCUMENT,
-            F.lit(region).alias("region"),
-            *[F.col(c).cast("bigint").alias(c) for c in (*group, "position")],
+            "unit",
+            region.alias("region"),
+            *[F.col(c).cast("bigint").alias(c) for c in _ORDER],
+            "chunk_count",
             "chunks",
         )
 
-    units = materialize(
-        in_region(_article_units(body), 0)
-        .unionByName(in_region(_fallback_units(without_articles), 0))
-        .unionByName(in_region(_annex_units(annex), 1)),
-        "units",
+    units = ordered(
+        sections.where(~F.col("open") & (F.col("chunk_count") > 0)).withColumns(
+            {
+                "position": F.when(is_article, F.col("minor")).otherwise(zero),
+                "part_group": zero,
+                "major": F.when(is_article | is_annex, F.col("major")).otherwise(zero),
+                "minor": F.when(is_annex, F.col("minor")).otherwise(zero),
+            }
+        ),
+        F.col("region"),
     )
-    # Number chunks by group totals first, then within each group.
-    key = ["document_id", "region", *group]
-    before_group = (
-        Window.partitionBy("document_id").orderBy("region", *group).rowsBetween(*_BEFORE)
+    pieces = sections.where("open").drop("chunks", "chunk_count", "unit")
+    if pieces.isEmpty():
+        return units
+
+    def joined(rows: DataFrame, region: int) -> DataFrame:
+        numbered = rows.withColumn("chunk_count", F.size("chunks")).withColumn("unit", zero)
+        return ordered(numbered.where("chunk_count > 0"), F.lit(region))
+
+    across, _ = scratch(
+        joined(_article_units(pieces.where(is_article)), 0)
+        .unionByName(joined(_fallback_units(pieces.where(~is_article & ~is_annex)), 0))
+        .unionByName(joined(_annex_units(pieces.where(is_annex)), 1))
+        # Below the numbers of the others.
+        .withColumn("unit", -1 - F.monotonically_increasing_id()),
+        "units-across-blocks",
     )
+    return units.unionByName(across)
+
+
+def first_ids(units: DataFrame) -> DataFrame:
+    """(unit, first_id): the number of a unit's first chunk in its document.
+
+    Chunks are numbered by group totals first, then within each group.
+    """
+    key = ["document_id", "region", *_ORDER[:-1]]
+    counts = units.select(*key, "position", "unit", "chunk_count")
+    before_group = Window.partitionBy("document_id").orderBy(*key[1:]).rowsBetween(*_BEFORE)
     starts = (
-        units.groupBy(*key)
-        .agg(F.sum(F.size("chunks")).alias("chunk_total"))
+        counts.groupBy(*key)
+        .agg(F.sum("chunk_count").alias("chunk_total"))
         .select(
             *key,
             F.coalesce(F.sum("chunk_total").over(before_group), F.lit(0)).alias("group_start"),
         )
     )
     before_unit = Window.partitionBy(*key).orderBy("position").rowsBetween(*_BEFORE)
-    numbered = units.join(starts, key).withColumn(
-        "first_id",
-        F.col("group_start")
-        + F.coalesce(F.sum(F.size("chunks")).over(before_unit), F.lit(0)),
+    return counts.join(starts, key).select(
+        "unit",
+        (
+            F.col("group_start") + F.coalesce(F.sum("chunk_count").over(before_unit), F.lit(0))
+        ).alias("first_id"),
     )
-    return each(numbered, [*_DOCUMENT, "first_id"], F.col("chunks"), "at", "c").select(
+
+
+def numbered_chunks(units: DataFrame, numbers: DataFrame, chunks: Column) -> DataFrame:
+    """(document_id, file_name, chunk_id, c) rows of units and their ``first_ids``."""
+    rows = units.select(*_DOCUMENT, "unit", "chunks").join(numbers, "unit")
+    return each(rows, [*_DOCUMENT, "first_id"], chunks, "at", "c").select(
         *_DOCUMENT, (F.col("first_id") + F.col("at")).cast("int").alias("chunk_id"), "c"
     )
+
+
+def chunk_long_documents(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
+    """(document_id, file_name, chunk_id, c) rows, ``c`` being the chunk struct."""
+    units = long_units(pages, block_pages)
+    return numbered_chunks(units, first_ids(units), F.col("chunks"))

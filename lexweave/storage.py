@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own_dirs: dict[str, str] = {}
 
@@ -41,6 +42,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``materialize`` for large tables, and the path to ``remove``: compressed harder, and the
+    shuffle files behind it go at once instead of when the driver collects its garbage."""
+    spark, path = df.sparkSession, new_dir(df.sparkSession, label)
+    before = spark.conf.get(SHUFFLE_CLEANUP_SETTING, None)
+    spark.conf.set(SHUFFLE_CLEANUP_SETTING, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP_SETTING)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP_SETTING, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     system = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
