@@ -19,7 +19,7 @@ from lexweave.operators.long_documents import (
     with_cuts,
 )
 from lexweave.operators.page_search import found_pages
-from lexweave.operators.rows import by_key, each, small_side
+from lexweave.operators.rows import by_key, each, one_slice, small_side
 from lexweave.storage import remove, scratch
 
 # A document of up to this many characters is put together in one row, where the
@@ -31,6 +31,11 @@ IN_ROW_CHARS = 2_000_000
 # many again.
 EARLY_PAGES = 16_384
 
+# Long documents of more characters than this in all are handled in up to so many slices,
+# one after the other, as the shuffle files of a slice go before the next.
+SLICE_CHARS = 1 << 25
+SLICES = 4
+
 _DOCUMENT = ("document_id", "file_name")
 
 # Parts of the key that stands for a file among the pages of long documents.
@@ -136,12 +141,14 @@ def _id_of_key() -> Column:
 def _by_file(pages: DataFrame) -> DataFrame:
     """Pages of long documents as the blocks need them: one key for each file, and a
     page's number is its position, as it is where a document is put together in a row."""
+    return _in_order(pages.withColumn("document_id", _file_key()))
+
+
+def _in_order(pages: DataFrame) -> DataFrame:
     order = Window.partitionBy("document_id").orderBy(
         F.asc_nulls_first("page_number"), F.coalesce("page_text", F.lit(""))
     )
-    return pages.withColumn("document_id", _file_key()).withColumn(
-        "page_number", F.row_number().over(order)
-    )
+    return pages.withColumn("page_number", F.row_number().over(order))
 
 
 def tag_pages(
@@ -237,8 +244,19 @@ def _short_chunks(pages: DataFrame) -> DataFrame:
 def _long_chunks(pages: DataFrame) -> DataFrame:
     """Texts are written as pages and as units of chunks.  Numbers of chunks and of their
     pages are found apart from them and joined at the end."""
-    placed, path = scratch(placed_pages(_by_file(with_cuts(pages))), "long-pages")
-    units = long_units(placed)
+    spark = pages.sparkSession
+    written, unplaced = scratch(with_cuts(pages).withColumn("document_id", _file_key()), "pages")
+    chars = written.agg(F.sum(F.length("page_text"))).first()[0] or 0
+    slices = min(SLICES, 1 + chars // SLICE_CHARS)
+
+    def part(rows: DataFrame, at: int) -> DataFrame:
+        return one_slice(rows, "document_id", slices, at)
+
+    placed, path = scratch(
+        (placed_pages(_in_order(part(written, at))) for at in range(slices)), "long-pages"
+    )
+    remove(spark, unplaced)
+    units = long_units(placed, slices=slices)
     marks = each(
         units,
         ["document_id", "unit"],
@@ -246,15 +264,19 @@ def _long_chunks(pages: DataFrame) -> DataFrame:
         "at",
         "mark",
     ).select("document_id", F.struct("unit", "at").alias("key"), "mark")
-    found = (
-        found_pages(marks, placed, EARLY_PAGES)
-        .groupBy("key.unit")
-        .agg(
-            F.map_from_entries(F.collect_list(F.struct("key.at", "page_number"))).alias("pages")
-        )
+    found, _ = scratch(
+        (
+            found_pages(part(marks, at), part(placed, at), EARLY_PAGES)
+            .groupBy("key.unit")
+            .agg(
+                F.map_from_entries(F.collect_list(F.struct("key.at", "page_number"))).alias("pages")
+            )
+            for at in range(slices)
+        ),
+        "found-pages",
     )
+    remove(spark, path)
     labels, _ = scratch(first_ids(units).join(found, "unit", "left"), "chunk-numbers")
-    remove(pages.sparkSession, path)
     located = F.transform(
         "chunks", lambda c, at: c.withField("page_number", F.try_element_at("pages", at))
     )

@@ -35,7 +35,7 @@ from lexweave.functions.text import (
     rstrip,
     strip,
 )
-from lexweave.operators.rows import by_key, each
+from lexweave.operators.rows import by_key, each, one_slice
 from lexweave.storage import scratch
 
 # Pages per block, roughly, and windows numbered together.
@@ -441,14 +441,26 @@ def _window_texts(placed: DataFrame, key: list[str], overlap: int) -> DataFrame:
     )
 
 
-def long_units(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
+def long_units(
+    pages: DataFrame, block_pages: int = BLOCK_PAGES, slices: int = 1
+) -> DataFrame:
     """Units of chunks, written: (document, unit, region, major, minor, part_group, position,
     chunk_count, chunks).  ``unit`` is a number of its own; region to position order the
-    units of a document."""
+    units of a document.  Documents are dealt into ``slices`` that are handled in turn."""
+
+    def numbers(at: int) -> Column:
+        return F.monotonically_increasing_id() * slices + at
+
+    def part(rows: DataFrame, at: int) -> DataFrame:
+        return one_slice(rows, "document_id", slices, at)
+
     sections, _ = scratch(
-        _sections(clean_blocks(pages, block_pages))
-        .withColumn("chunk_count", F.size("chunks"))
-        .withColumn("unit", F.monotonically_increasing_id()),
+        (
+            _sections(clean_blocks(part(pages, at), block_pages))
+            .withColumn("chunk_count", F.size("chunks"))
+            .withColumn("unit", numbers(at))
+            for at in range(slices)
+        ),
         "sections",
     )
     is_article = (F.col("region") == 0) & F.col("headed")
@@ -484,12 +496,17 @@ def long_units(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
         numbered = rows.withColumn("chunk_count", F.size("chunks")).withColumn("unit", zero)
         return ordered(numbered.where("chunk_count > 0"), F.lit(region))
 
+    def of_pieces(pieces: DataFrame) -> DataFrame:
+        body = pieces.where(~is_article & ~is_annex)
+        return (
+            joined(_article_units(pieces.where(is_article)), 0)
+            .unionByName(joined(_fallback_units(body), 0))
+            .unionByName(joined(_annex_units(pieces.where(is_annex)), 1))
+        )
+
     across, _ = scratch(
-        joined(_article_units(pieces.where(is_article)), 0)
-        .unionByName(joined(_fallback_units(pieces.where(~is_article & ~is_annex)), 0))
-        .unionByName(joined(_annex_units(pieces.where(is_annex)), 1))
-        # Below the numbers of the others.
-        .withColumn("unit", -1 - F.monotonically_increasing_id()),
+        # Numbered below the others.
+        (of_pieces(part(pieces, at)).withColumn("unit", -1 - numbers(at)) for at in range(slices)),
         "units-across-blocks",
     )
     return units.unionByName(across)

@@ -34,6 +34,11 @@ def small_side(df: DataFrame, label: str, max_rows: int = 10_000) -> DataFrame:
     return F.broadcast(written) if written.count() <= max_rows else written
 
 
+def one_slice(df: DataFrame, key: str, slices: int, at: int) -> DataFrame:
+    """The rows whose key is dealt to slice ``at`` of ``slices``."""
+    return df if slices == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(slices)) == at)
+
+
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
     """Rows shuffled by key into the session's (initial) number of partitions.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,20 +43,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def scratch(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def scratch(df: DataFrame | Iterable[DataFrame], label: str) -> tuple[DataFrame, str]:
     """``materialize`` for large tables, and the path to ``remove``: compressed harder, and the
-    shuffle files behind it go at once instead of when the driver collects its garbage."""
-    spark, path = df.sparkSession, new_dir(df.sparkSession, label)
-    before = spark.conf.get(SHUFFLE_CLEANUP_SETTING, None)
-    spark.conf.set(SHUFFLE_CLEANUP_SETTING, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(SHUFFLE_CLEANUP_SETTING)
-        else:
-            spark.conf.set(SHUFFLE_CLEANUP_SETTING, before)
-    return spark.read.schema(df.schema).parquet(path), path
+    shuffle files behind it go at once instead of when the driver collects its garbage.
+
+    Of several frames, each is written (and its shuffle files go) before the next.
+    """
+    frames = [df] if isinstance(df, DataFrame) else df
+    path = None
+    for frame in frames:
+        spark = frame.sparkSession
+        path = path or new_dir(spark, label)
+        before = spark.conf.get(SHUFFLE_CLEANUP_SETTING, None)
+        spark.conf.set(SHUFFLE_CLEANUP_SETTING, "true")
+        try:
+            frame.write.mode("append").option("compression", "zstd").parquet(path)
+        finally:
+            if before is None:
+                spark.conf.unset(SHUFFLE_CLEANUP_SETTING)
+            else:
+                spark.conf.set(SHUFFLE_CLEANUP_SETTING, before)
+    return spark.read.schema(frame.schema).parquet(path), path
 
 
 def exists(spark: SparkSession, path: str) -> bool:

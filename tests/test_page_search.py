@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from lexweave.operators import documents as docs
 from lexweave.operators import page_search
+from lexweave.operators.long_documents import first_ids, long_units, numbered_chunks
+from tests.test_chunking import random_pages, rows_of
 
 
 def _brute(groups, texts, pages):
@@ -112,3 +114,42 @@ def test_tagging_writes_a_few_times_its_texts(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert found == chunks.count()
+
+
+@pytest.mark.parametrize("slice_chars", [docs.SLICE_CHARS, 100_000])
+def test_long_documents_write_a_few_times_their_texts(spark, monkeypatch, slice_chars):
+    monkeypatch.setattr(docs, "SLICE_CHARS", slice_chars)
+    pages, chars = _long_pages(spark, 40, 90)
+    pages = pages.cache()
+    want = rows_of(docs.silver_chunks(pages))
+    with _Disk(spark) as disk:
+        got = rows_of(docs.silver_chunks(pages, in_row_chars=0))
+    assert got == want
+    assert disk.most < 4 * chars
+
+
+def test_slices_of_documents_give_the_same_chunks(spark, monkeypatch):
+    """Also where articles, annexes and texts without headings span blocks."""
+    pages = random_pages(spark, 60, seed=41).cache()
+    want = docs.chunk_documents(docs.document_text(pages))
+    units = long_units(pages, block_pages=2, slices=3)
+    got = numbered_chunks(units, first_ids(units), F.col("chunks")).select(
+        "document_id", "chunk_id", "c.*"
+    )
+    assert rows_of(got) == rows_of(want.select(*got.columns))
+    assert units.where("unit < 0").count() > 50
+    monkeypatch.setattr(docs, "SLICE_CHARS", 1000)
+    assert rows_of(docs.silver_chunks(pages, in_row_chars=0)) == rows_of(docs.silver_chunks(pages))
+
+
+def test_documents_all_short_all_long_and_without_an_id(spark):
+    pages = random_pages(spark, 6, seed=43).withColumn(
+        "document_id", F.when(F.col("document_id") != "d3", F.col("document_id"))
+    ).cache()
+    want = rows_of(docs.silver_chunks(pages))
+    for limit, parts in ((docs.IN_ROW_CHARS, (True, False)), (0, (True, True))):
+        assert tuple(p is not None for p in docs.split_by_length(pages, limit)) == parts
+        assert rows_of(docs.silver_chunks(pages, limit)) == want
+    named = pages.where("document_id IS NOT NULL")
+    assert docs.split_by_length(named, 0)[0] is None
+    assert rows_of(docs.silver_chunks(named, 0)) == rows_of(docs.silver_chunks(named))
